@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, secrets
+from . import jaccard, mixing, packing, secrets
 from .common import table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
@@ -64,6 +64,10 @@ select doc_id, source, lang, topic, tokens, round(p, 6) as probability from tagg
 where ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '(none)')), 1, 12))::bigint / 281474976710656.0 < p"""
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("secrets", lambda x: x.k == k)).cast("long")
@@ -75,5 +79,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_secrets": op6_secrets, "op7_packing": op7_packing}
+QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op6_secrets": op6_secrets, "op7_packing": op7_packing}
 SQL = {"op1_mixing": _op1_sql()}
