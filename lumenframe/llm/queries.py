@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secrets
-from .common import table
+from . import jaccard, mixing, packing, secrets, warc
+from .common import Scratch, table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
 TARGETS = {
@@ -79,5 +79,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op6_secrets": op6_secrets, "op7_packing": op7_packing}
-SQL = {"op1_mixing": _op1_sql()}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    files = scratch.save(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{scratch.root}/archives"), "files")
+    got = warc.read(spark, files, scratch.root, with_payload=False)
+    return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_warc": op10_warc}
+SQL = {
+    "op1_mixing": _op1_sql(),
+    "op10_warc": """
+select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+  case when n >= 100 and page_id > first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id > first then first end as refers_to
+from (select page_id, html, octet_length(encode(coalesce(html, ''))) as n, min(page_id) over (partition by coalesce(html, '')) as first from pages)""",
+}
