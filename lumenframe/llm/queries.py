@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secrets, warc
+from . import jaccard, mixing, packing, secrets, suffixes, warc
 from .common import Scratch, table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
@@ -68,6 +68,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda k: F.size(F.filter("secrets", lambda x: x.k == k)).cast("long")
@@ -86,7 +91,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_warc": op10_warc}
+QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_warc": op10_warc}
 SQL = {
     "op1_mixing": _op1_sql(),
     "op10_warc": """
