@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, secrets, suffixes, warc
+from . import hnsw, jaccard, mixing, neardup, packing, secrets, suffixes, warc
 from .common import Scratch, table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
@@ -64,6 +64,10 @@ select doc_id, source, lang, topic, tokens, round(p, 6) as probability from tagg
 where ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '(none)')), 1, 12))::bigint / 281474976710656.0 < p"""
 
 
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -84,6 +88,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     files = scratch.save(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{scratch.root}/archives"), "files")
@@ -91,7 +99,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_jaccard": op3_jaccard, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op10_warc": op10_warc}
+QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op10_warc": op10_warc}
 SQL = {
     "op1_mixing": _op1_sql(),
     "op10_warc": """
