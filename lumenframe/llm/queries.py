@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard, mixing, neardup, packing, secrets, suffixes, warc
+from . import hnsw, jaccard, langid, licenses, mixing, neardup, packing, secrets, suffixes, warc
 from .common import Scratch, table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
@@ -72,6 +72,14 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    profiles = langid.fit(docs, ~held_out)
+    out = langid.predict(docs.select("doc_id", "text"), profiles)
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -92,6 +100,12 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x.license)))
+    return out.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.coalesce(F.array_max(F.transform("licenses", lambda x: x.contained)), F.lit(0.0)).alias("contained"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     files = scratch.save(warc.write(warc.deduplicated(table(spark, sf_dir, "pages")), f"{scratch.root}/archives"), "files")
@@ -99,7 +113,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op10_warc": op10_warc}
+QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_licenses": op9_licenses, "op10_warc": op10_warc}
 SQL = {
     "op1_mixing": _op1_sql(),
     "op10_warc": """
