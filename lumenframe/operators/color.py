@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .base import SqlOp
+from .circular import a1inv
 
 #: Relative luminance without gamma.
 LUM = "(0.212673e0 * r + 0.715152e0 * g + 0.072175e0 * b)"
@@ -79,7 +80,7 @@ dominant_hue = SqlOp(f"""
 with a as (select photo_id, radians(hue) as t from ({HSV}) where hue is not null),
 m as (select photo_id, case when atan2(sum(sin(t)), sum(cos(t))) < 0 then atan2(sum(sin(t)), sum(cos(t))) + 2 * pi() else atan2(sum(sin(t)), sum(cos(t))) end as mu, count(*) as hued from a group by photo_id),
 r as (select m.photo_id, mu, hued, avg(cos(t - mu)) as rbar from a join m on a.photo_id = m.photo_id group by 1, 2, 3),
-k as (select photo_id, mu, hued, case when rbar >= 0.53e0 and rbar < 0.85e0 then -0.4e0 + 1.39e0 * rbar + 0.43e0 / (1 - rbar) when rbar < 0.53e0 and rbar >= 0 then 2 * rbar + pow(rbar, 3) + 5 * pow(rbar, 5) / 6 when rbar >= 1 then null else 1 / (pow(rbar, 3) - 4 * rbar * rbar + 3 * rbar) end as kappa from r),
+k as (select photo_id, mu, hued, {a1inv('rbar')} as kappa from r),
 d as (select k.photo_id, mu, kappa, hued, sum(case when least(abs(t - mu), 2 * pi() - abs(t - mu)) <= 1 / kappa then 1 else 0 end) as dominant from a join k on a.photo_id = k.photo_id group by 1, 2, 3, 4)
 select photo_id, case when dominant >= 4 then round(mu, 6) end as mu, case when dominant >= 4 then round(kappa, 6) end as kappa, case when dominant >= 4 then round(dominant / cast(hued as double), 6) end as pi from d""")
 hue_histogram = SqlOp(f"select photo_id, cast(floor(hue / 3e0) as int) as bin, count(*) as n from ({HSV}) where hue is not null group by 1, 2")

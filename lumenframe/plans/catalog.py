@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import color, stencil
+from ..operators import circular, color, stencil
 from ..operators.base import SqlOp
 from ..sources import tables
 
@@ -29,3 +29,23 @@ for _module, _names in (
 ):
     for _name in _names.split():
         register(_name, getattr(_module, _name))
+
+
+def _view(text: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """A view over the angles, for both engines."""
+    op = SqlOp(text)
+    return (lambda spark, sf_dir: op(*[READERS[i](spark, sf_dir) for i in op.inputs])), op.ansi({i: tables.ANSI[i] for i in op.inputs})
+
+
+_BY_TYPE = {"a": _view("select event_type as g, theta as x from {angles}")}
+_BY_USER = {"a": _view("select user_id as g, theta as x from {angles}")}
+for _name in "circ_summary circ_disp trig_moment est_kappa vm_ml circ_range kuiper watson_uniform rao_spacing rao_homogeneity rose_bins edf".split():
+    register(_name, getattr(circular, _name), _BY_TYPE)
+register("rayleigh", circular.rayleigh, _BY_USER)
+register("trig_moment_centred", circular.trig_moment, _BY_TYPE, p=1, center=1)
+register("circ_cor", circular.circ_cor, {"pairs": _view("select event_type as g, theta as x, (theta * 3 + user_id) % 6e0 as y from {angles}")})
+register("watson_two", circular.watson_two, {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles} where user_id < 40")})
+register("change_point", circular.change_point, {"ordered": _view("select event_type as g, theta as x, event_id as o from {angles}")})
+register("circular_convert", circular.circular_convert, {"points": _view("select event_id as id, theta as x from {angles}")})
+register("circular_densities", circular.circular_densities, {"points": _view("select event_id as id, theta as x from {angles}")})
+register("bessel_ratio", circular.bessel_ratio, {"kappas": _view("select distinct (user_id % 40) / 4e0 + 0.05e0 as k from {angles}")})
