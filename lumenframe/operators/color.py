@@ -76,11 +76,15 @@ digits as (select distinct n from (values {", ".join(f"({i})" for i in range(8))
 buckets as (select x.n * {_N} * {_N} + y.n * {_N} + z.n + 1 as bucket from digits x cross join digits y cross join digits z)
 select ids.photo_id, buckets.bucket, coalesce(c.n, 0) as n from ids cross join buckets left join c on c.photo_id = ids.photo_id and c.bucket = buckets.bucket""", n=4)
 
-dominant_hue = SqlOp(f"""
-with a as (select photo_id, radians(hue) as t from ({HSV}) where hue is not null),
+_HUE_K = f"""
+with a as (select photo_id, h, w, rw, cl, radians(hue) as t from ({HSV}) where hue is not null),
 m as (select photo_id, case when atan2(sum(sin(t)), sum(cos(t))) < 0 then atan2(sum(sin(t)), sum(cos(t))) + 2 * pi() else atan2(sum(sin(t)), sum(cos(t))) end as mu, count(*) as hued from a group by photo_id),
 r as (select m.photo_id, mu, hued, avg(cos(t - mu)) as rbar from a join m on a.photo_id = m.photo_id group by 1, 2, 3),
-k as (select photo_id, mu, hued, {a1inv('rbar')} as kappa from r),
+k as (select photo_id, mu, hued, {a1inv('rbar')} as kappa from r)"""
+dominant_hue = SqlOp(_HUE_K + """,
 d as (select k.photo_id, mu, kappa, hued, sum(case when least(abs(t - mu), 2 * pi() - abs(t - mu)) <= 1 / kappa then 1 else 0 end) as dominant from a join k on a.photo_id = k.photo_id group by 1, 2, 3, 4)
 select photo_id, case when dominant >= 4 then round(mu, 6) end as mu, case when dominant >= 4 then round(kappa, 6) end as kappa, case when dominant >= 4 then round(dominant / cast(hued as double), 6) end as pi from d""")
+#: Pixels whose hue lies within 1 / kappa of the mean hue.
+dominant_pixels = SqlOp(_HUE_K + """
+select a.photo_id, h, w, rw, cl, 1 as dominant from a join k on a.photo_id = k.photo_id where round(least(abs(t - mu), 2 * pi() - abs(t - mu)), 7) <= round(1 / kappa, 7)""")
 hue_histogram = SqlOp(f"select photo_id, cast(floor(hue / 3e0) as int) as bin, count(*) as n from ({HSV}) where hue is not null group by 1, 2")

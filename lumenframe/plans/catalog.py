@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import circular, color, stencil
+from ..operators import circular, color, segments, stencil
 from ..operators.base import SqlOp
 from ..sources import tables
 
@@ -49,3 +49,38 @@ register("change_point", circular.change_point, {"ordered": _view("select event_
 register("circular_convert", circular.circular_convert, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("circular_densities", circular.circular_densities, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("bessel_ratio", circular.bessel_ratio, {"kappas": _view("select distinct (user_id % 40) / 4e0 + 0.05e0 as k from {angles}")})
+
+
+# clusters by fixed centres, and what is made of their components
+_CLUSTERS = SqlOp(segments.CLUSTERS)
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _CLUSTERS(tables.px(spark, sf_dir))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.components(_clusters(spark, sf_dir))
+
+
+_SEGMENTS_SQL = segments.COMPONENTS_SQL.format(px=tables.ANSI["px"]).replace("segments as materialized", "segs as materialized") + " select * from segs"
+_SEGMENTS = {"segments": (_segments, _SEGMENTS_SQL)}
+for _name in "nearest_center reconstruct clustering_mdl_terms elias_delta hull_inside line_distance".split():
+    register(_name, getattr(segments, _name))
+for _name in "bounding_boxes segment_positions top5_segments hull_area".split():
+    register(_name, getattr(segments, _name), _SEGMENTS)
+QUERIES["components"] = lambda spark, sf_dir: _segments(spark, sf_dir).select("photo_id", "rw", "cl", "segment_id")
+SQL["components"] = f"select photo_id, rw, cl, segment_id from ({_SEGMENTS_SQL})"
+QUERIES["dominant_hue_dispersion"] = lambda spark, sf_dir: segments.dispersion(color.dominant_pixels(tables.px(spark, sf_dir)))
+SQL["dominant_hue_dispersion"] = f"""
+with d as ({color.dominant_pixels.ansi({"px": tables.ANSI["px"]})}),
+shift as (select a.photo_id, a.rw - b.rw as dr, a.cl - b.cl as dc, count(*) as n from d a join d b on a.photo_id = b.photo_id group by 1, 2, 3)
+select photo_id, round(sum(n * sqrt(dr * dr + dc * dc)) / sum(n), 6) as ds from shift group by photo_id"""
+QUERIES["shape_convexity"] = lambda spark, sf_dir: segments.convexity(_segments(spark, sf_dir))
+QUERIES["rle2d"] = lambda spark, sf_dir: segments.rle(_clusters(spark, sf_dir))
+QUERIES["mdl_rle2d"] = lambda spark, sf_dir: segments.rle_bits(_clusters(spark, sf_dir))
+QUERIES["colorfulness"] = lambda spark, sf_dir: segments.colorfulness(color.color_buckets(tables.px(spark, sf_dir)))
+QUERIES["colorfulness_grey"] = lambda spark, sf_dir: segments.colorfulness(color.color_buckets(tables.px(spark, sf_dir), n=6), "grey", 6)
+QUERIES["kmeanspp"] = lambda spark, sf_dir: segments.kmeanspp(tables.px(spark, sf_dir))
+QUERIES["photo_segmentation"] = lambda spark, sf_dir: segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1).select("photo_id", "rw", "cl", "segment_id", "clusters")
+QUERIES["region_composition"] = lambda spark, sf_dir: segments.top5_segments(segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1), tables.px(spark, sf_dir))
