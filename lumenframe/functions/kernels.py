@@ -33,11 +33,13 @@ def transport(supply: np.ndarray, demand: np.ndarray, costs: np.ndarray) -> tupl
     flow = np.zeros(costs.shape, dtype=np.int64)
     while left.any():
         to_source = np.where(left > 0, 0.0, np.inf)
-        back = np.full(len(left), -1)
+        back, via, to_sink = np.full(len(left), -1), np.full(len(need), -1), np.full(len(need), np.inf)
         while True:
             through = to_source[:, None] + costs
-            via = through.argmin(axis=0)
-            to_sink = through[via, np.arange(len(need))]
+            by = through.argmin(axis=0)
+            shorter = through[by, np.arange(len(need))] < to_sink - 1e-12  # ties keep the first way, so that ways have no loops
+            to_sink = np.where(shorter, through[by, np.arange(len(need))], to_sink)
+            via = np.where(shorter, by, via)
             undo = np.where(flow > 0, to_sink[None, :] - costs, np.inf)
             by = undo.argmin(axis=1)
             better = undo[np.arange(len(left)), by] < to_source - 1e-12

@@ -100,32 +100,23 @@ edges as (select b.photo_id, b.rw, b.cl, case when b.hi = b.lo then false else b
 islands as (select *, cl - row_number() over {_STEP} as g from edges where is_edge),
 mids as (select photo_id, rw, min(cl) + cast(ceil((max(cl) - min(cl)) / 2e0) as int) as cl from islands group by photo_id, rw, g)"""
 edge_midpoints = SqlOp(_EDGES + " select photo_id, rw, cl from mids")
-#: Widths between the enclosing extrema: the interval of extrema that holds the midpoint, the outermost ones at the ends.
-_SIDE = """
-select m.photo_id, m.rw, m.cl,
-  coalesce(max(case when {0}.cl <= m.cl and {0}.cl < x.last then {0}.cl end), min({0}.cl)) as prev
-from mids m join {0} on {0}.photo_id = m.photo_id and {0}.rw = m.rw join (select photo_id, rw, max(cl) as last from {0} group by 1, 2) x on x.photo_id = m.photo_id and x.rw = m.rw
-group by 1, 2, 3"""
 
 
-def _interval(kind: str) -> str:
-    return f"""
-{kind} as (select photo_id, rw, cl, lead(cl) over {_STEP} as nxt, lag(cl) over {_STEP} as before from ext where {kind}),
-{kind}_of as (select m.photo_id, m.rw, m.cl, e.cl as prev, e.nxt from mids m join {kind} e on e.photo_id = m.photo_id and e.rw = m.rw and e.nxt is not null
-  and (e.cl <= m.cl or e.before is null) and (m.cl < e.nxt or not exists (select 1 from {kind} f where f.photo_id = e.photo_id and f.rw = e.rw and f.cl = e.nxt and f.nxt is not null)))"""
-
+def _enclosing(kind: str, flag: str) -> str:
+    """The extremum at or before each edge's midpoint and the next one; the outermost interval at the ends of a row.
 
-def _plain(kind: str, flag: str) -> str:
+    A midpoint at an extremum of which none before it is missing (the i-th at column i) has that one for the next as well.
+    """
     return f"""
-{kind}_all as (select photo_id, rw, cl, lead(cl) over {_STEP} as nxt, lag(cl) over {_STEP} as before, max(cl) over (partition by photo_id, rw) as last from ext where {flag}),
-{kind}_of as (select m.photo_id, m.rw, m.cl, e.cl as prev, e.nxt from mids m join {kind}_all e on e.photo_id = m.photo_id and e.rw = m.rw and e.nxt is not null
+{kind}_all as (select photo_id, rw, cl, row_number() over {_STEP} as i, lead(cl) over {_STEP} as nxt, lag(cl) over {_STEP} as before, max(cl) over (partition by photo_id, rw) as last from ext where {flag}),
+{kind}_of as (select m.photo_id, m.rw, m.cl, e.cl as prev, case when m.cl = e.cl and e.cl = e.i then e.cl else e.nxt end as nxt from mids m join {kind}_all e on e.photo_id = m.photo_id and e.rw = m.rw and e.nxt is not null
   and (e.cl <= m.cl or e.before is null) and (m.cl < e.nxt or e.nxt = e.last))"""
 
 
 mdwe = SqlOp(_EDGES + f""",
 ext as (select photo_id, rw, cl, d0 <= 0 and d1 >= 0 as is_min, d0 >= 0 and d1 <= 0 as is_max from ({_DIFF})),
-{_plain('mins', 'is_min')},
-{_plain('maxs', 'is_max')},
+{_enclosing('mins', 'is_min')},
+{_enclosing('maxs', 'is_max')},
 widths as (select a.photo_id, least(a.nxt - b.prev, b.nxt - a.prev) as width from mins_of a join maxs_of b on a.photo_id = b.photo_id and a.rw = b.rw and a.cl = b.cl),
 score as (select m.photo_id, sum(x.width) / cast(max(m.n) as double) as score from (select photo_id, count(*) as n from mids group by 1) m left join widths x on x.photo_id = m.photo_id group by m.photo_id)
 select photo_id, round(score, 6) as score, round(1 - (least(10e0, greatest(1e0, pow(score, 1.04e0) - 4.5e0)) - 1) / 9, 6) as gaussian,

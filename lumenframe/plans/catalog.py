@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import vonmises
 from ..operators import circular, color, segments, stencil
 from ..operators.base import SqlOp
-from ..sources import tables
+from ..sources import files, tables
+from . import model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +87,23 @@ QUERIES["colorfulness_grey"] = lambda spark, sf_dir: segments.colorfulness(color
 QUERIES["kmeanspp"] = lambda spark, sf_dir: segments.kmeanspp(tables.px(spark, sf_dir))
 QUERIES["photo_segmentation"] = lambda spark, sf_dir: segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1).select("photo_id", "rw", "cl", "segment_id", "clusters")
 QUERIES["region_composition"] = lambda spark, sf_dir: segments.top5_segments(segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1), tables.px(spark, sf_dir))
+
+# ratings and models
+for _name in "ratings_join rating_stdev fill_missing correlations simple_regressions bw_color_split error_metrics".split():
+    register(_name, getattr(model, _name))
+register("train_split", model.split)
+QUERIES["linear_model"] = lambda spark, sf_dir: model.linear_model(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
+QUERIES["random_forest"] = lambda spark, sf_dir: model.random_forest(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
+QUERIES["measure_record"] = lambda spark, sf_dir: model.measure_record(tables.px(spark, sf_dir), k_max=4, restarts=1)
+QUERIES["scrape_links"] = lambda spark, sf_dir: files.scrape(tables.read(spark, sf_dir, "pages"))
+SQL["scrape_links"] = files.SCRAPE_SQL
+
+# circular operators that SQL does not express
+_ANGLES_ID = _view("select event_id as id, event_type as g, theta as x from {angles}")[0]
+QUERIES["vm_cdf"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.cdf_column(F.col("x"), 1.0, 2.5).alias("p"))
+QUERIES["vm_quantile"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.quantile_column(F.col("x") / vonmises.TAU, 1.0, 2.5).alias("theta"))
+QUERIES["v0_test"] = lambda spark, sf_dir: vonmises.v0_test(_ANGLES_ID(spark, sf_dir), 1.0)
+QUERIES["wrpcauchy_ml"] = lambda spark, sf_dir: vonmises.cauchy_ml(_ANGLES_ID(spark, sf_dir))
+QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_ANGLES_ID(spark, sf_dir).selectExpr("g", "x", "(x * 2 + id % 5) % 6.283185307179586D as y"))
+QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir), reps=50)
+QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
