@@ -6,8 +6,8 @@ Two sets link when ``den * |x & y| >= num * |x | y|``. The join is exact for set
 2. Sizes form bands. In the band of the larger set a linked pair differs in at most H elements, so of any
    H + 1 + E ranges of hash space at least E + 1 hold the same elements. Each set has a key for each range
    (and band) in which it holds enough elements; E makes up for the others. Sets that share a key form a tile.
-3. Each tile first tries its members against its smallest one; the verified links' components are found, and
-   tiles within one component are done. The others compare all their members of different components, in
+3. Each set is first tried against the one it meets most often among its tiles' smallest members; the verified links' components are
+   found, and tiles within one component are done. The others compare all their members of different components, in
    blocks, by the counts of bits of hashed bitmaps, which bound the overlap from above.
 4. Pairs that pass the bound intersect their sorted hash arrays.
 """
@@ -90,8 +90,8 @@ def keys_of(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit for each hash, in about as many bits as the set has elements (a power of two)."""
-    width = min(WIDEST, max(64, 1 << int(len(s) - 1).bit_length())) if len(s) else 64
+    """One bit for each hash, in 4 to 8 bits for each element (a power of two)."""
+    width = min(WIDEST, max(64, 4 << int(len(s) - 1).bit_length())) if len(s) else 64
     bits = np.zeros(width, dtype=bool)
     bits[(mix(s) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -204,32 +204,76 @@ def _spread(groups: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "label")
 
 
+def _pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within groups, given each one's first place and size."""
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # within the group
+    left = np.repeat(first, size) + place
+    many = np.repeat(size, size) - 1 - place
+    of = np.repeat(np.arange(len(left)), many)
+    return left[of], left[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+
+
+class _Bits:
+    """Bitmaps of a partition's documents, folded to a width when it is asked for."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.raw = raw
+        self.width = np.array([len(x) * 8 for x in raw])
+
+    def passing(self, i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Which pairs of documents (numbers) can share enough."""
+        out = np.zeros(len(i), dtype=bool)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            own, where = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+            rows = np.stack([folded(self.raw[d], w) for d in own.tolist()])
+            step = max(1, (1 << 22) // w)
+            for k in range(0, len(at), step):
+                p = at[k : k + step]
+                x, y = rows[where[k : k + len(p)]], rows[where[len(at) + k : len(at) + k + len(p)]]
+                out[p] = enough(bound(x, y, size[i[p]], size[j[p]]), size[i[p]] + size[j[p]], num, den)
+        return out
+
+
 def _tiles(num: int, den: int):
-    """Compare the members of each tile that have different labels; members of one block meet those of the other."""
+    """Compare the members of each tile that have different labels; members of one block meet those of the other.
+
+    Blocks with themselves are compared together, two blocks of a larger tile row by row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
         if table is None:
             return
         tile, side, doc, label, size = (table.column(i).to_numpy() for i in range(5))
-        bits = table.column(5)
-        order = np.argsort(tile, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], tile[order][1:] != tile[order][:-1], [True]]))
-        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[at:to]
-            left, right = own[~side[own]], own[side[own]]
-            if not len(right):  # a block with itself
-                right = left
-            raw = {int(i): bits[int(i)].as_py() for i in {*left.tolist(), *right.tolist()}}
-            width = min(map(len, raw.values())) * 8
-            y = np.stack([folded(raw[int(i)], width) for i in right])
-            found_a, found_b = [], []
-            for i in left.tolist():
-                fit = np.flatnonzero((label[right] != label[i]) & (doc[right] != doc[i]) & enough(np.minimum(size[right], size[i]), size[right] + size[i], num, den))
-                fit = fit[enough(bound(folded(raw[i], width)[None, :], y[fit], size[i], size[right][fit]), size[right][fit] + size[i], num, den)]
-                found_a.append(np.minimum(doc[i], doc[right][fit]))
-                found_b.append(np.maximum(doc[i], doc[right][fit]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+        ids, first, number = np.unique(doc, return_index=True, return_inverse=True)
+        bits, label, size = _Bits(table.column(5).take(pa.array(first)).to_pylist()), label[first], size[first]
+        order = np.lexsort((number, side, tile))
+        tile, side, number = tile[order], side[order], number[order]
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
+        right = np.add.reduceat(side, cuts[:-1], dtype=np.int64)  # members of the second block
+
+        def fitting(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = (label[i] != label[j]) & enough(np.minimum(size[i], size[j]), size[i] + size[j], num, den)
+            i, j = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
+            both = np.unique(i * len(ids) + j)
+            i, j = both // len(ids), both % len(ids)
+            keep = bits.passing(i, j, size, num, den)
+            return i[keep], j[keep]
+
+        own = np.flatnonzero(right == 0)
+        counts = np.diff(cuts)
+        found = []
+        for part in np.array_split(own, max(1, int((counts[own] ** 2).sum()) >> 22)):
+            found.append(fitting(*(number[x] for x in _pairs(cuts[part], counts[part]))))
+        for t in np.flatnonzero(right).tolist():
+            members = number[cuts[t] : cuts[t + 1]]
+            x, y = members[: len(members) - right[t]], members[len(members) - right[t] :]
+            found.append(fitting(np.repeat(x, len(y)), np.tile(y, len(x))))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        both = np.unique(i * len(ids) + j)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[both // len(ids)]), pa.array(ids[both % len(ids)])], names=["a", "b"])
 
     return run
 
@@ -253,7 +297,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     groups = scratch.save(firsts.select(F.explode("keys").alias("key"), "doc_id").repartition("key").mapInArrow(_shared, "key long, doc_id long"), "groups")
     ids = scratch.save(groups.select("doc_id").distinct(), "ids")
     sizes = scratch.save(id_join(there.select("doc_id", "n", "bits"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sizes")
-    star = groups.groupBy("key").agg(F.min("doc_id").alias("a")).join(groups, "key").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
+    # of the smallest members of a document's tiles the one that it meets most often: one pair for each document
+    met = groups.groupBy("key").agg(F.min("doc_id").alias("a")).join(groups, "key").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
+    star = met.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b")
     links = _verified(star, docs, sizes, scratch, "star", n, num, den)
     labels = scratch.save(components(links, scratch, "star-components"), "labels")
     labelled = scratch.save(groups.join(labels, groups.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
