@@ -120,20 +120,35 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n (size of its set), print (digest of the set), bits (bitmap)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = list(sets_of(_texts(batch, 1), n))
-                keys = keys_of(sets, num, den)
-                flat = np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(flat)),
-                ], names=["doc_id", "n", "print", "bits", "keys"])
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()),
+                ], names=["doc_id", "n", "print", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, print binary, bits binary")
+
+
+def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A row (key, doc_id) for every tile key; made anew from the texts, as they are larger than these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                keys = keys_of(list(sets_of(_texts(batch, 1), n)), num, den)
+                flat = np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64)
+                owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
+                for i in range(0, len(flat), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + (1 << 18)]), pa.array(owner[i : i + (1 << 18)])], names=["key", "doc_id"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, bits binary, keys array<long>")
+    return docs.mapInArrow(run, "key long, doc_id long")
 
 
 def _hashes(docs: DataFrame, n: int) -> DataFrame:
@@ -288,13 +303,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = scratch.save(_sets(docs, n, num, den), "sets")
+    sets = scratch.save(_sets(docs, n), "sets")
     there = sets.where("n > 0 and doc_id is not null")
     classes = there.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
     known = scratch.save(there.select("doc_id", "print").join(classes.where("members > 1"), "print").select("doc_id", "class_id"), "classes")
     copies = scratch.save(known.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    firsts = id_join(there, copies, "doc_id", "left_anti")
-    groups = scratch.save(firsts.select(F.explode("keys").alias("key"), "doc_id").repartition("key").mapInArrow(_shared, "key long, doc_id long"), "groups")
+    firsts = id_join(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
+    groups = scratch.save(_keys(firsts, n, num, den).repartition("key").mapInArrow(_shared, "key long, doc_id long"), "groups")
     ids = scratch.save(groups.select("doc_id").distinct(), "ids")
     sizes = scratch.save(id_join(there.select("doc_id", "n", "bits"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sizes")
     # of the smallest members of a document's tiles the one that it meets most often: one pair for each document
@@ -303,6 +318,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = _verified(star, docs, sizes, scratch, "star", n, num, den)
     labels = scratch.save(components(links, scratch, "star-components"), "labels")
     labelled = scratch.save(groups.join(labels, groups.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    scratch.drop("groups")
     tiles = _spread(labelled).join(sizes, "doc_id").select("tile", "side", "doc_id", "label", "n", "bits").repartition("tile")
     rest = scratch.save(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), "rest")
     more = _verified(rest, docs, sizes, scratch, "rest", n, num, den)
