@@ -5,10 +5,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -19,7 +21,12 @@ TOKENIZER = "word_bpe_49k.json"
 #: Tokens held by a task before they are packed (about 1,000 sequences).
 BUFFER_TOKENS = 1 << 22
 #: Distinct white-space separated strings whose ids a task remembers.
-CACHE_STRINGS, CACHE_CHARS = 400_000, 16_000_000
+CACHE_STRINGS, CACHE_CHARS = 250_000, 8_000_000
+#: Pieces of strings that it remembers besides, none of more than LONG characters.
+CACHE_PIECES, LONG = 400_000, 128
+# Fixed value: the pieces into which the tokenizer cuts a string, in its own order.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LATIN_END = "\u0250"
 #: Texts with these are encoded whole: special tokens, and what Python alone takes for white space.
 WHOLE = re.compile("<\\||[\x1c-\x1f]")
 
@@ -32,38 +39,61 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that a byte-level tokenizer has for each byte: itself where it is printable, else the next free one from 256."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
 class WordCache:
     """Ids of a text, string by string: the tokenizer drops white space and never joins ids across it.
 
-    Texts that hold the text of a special token (``<|``) are encoded as a whole.
+    Strings of Latin letters are cut into the tokenizer's pieces here, and each new piece is given to its model
+    once; other strings, and whole texts that hold the text of a special token (``<|``), go through all of it.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.chars = 0
+        self.letters = dict(enumerate(byte_letters()))
+
+    def _piece(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+            if len(piece) <= LONG:
+                if len(self.pieces) >= CACHE_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if word.isascii() or max(word) < LATIN_END:
+            return b"".join(map(self._piece, PIECES.findall(word.lower())))
+        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if WHOLE.search(text):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words, known = text.split(), self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE_STRINGS or self.chars > CACHE_CHARS:
-            known.clear()
-            self.chars = 0
-            new = list(dict.fromkeys(words))
-        self.chars += sum(map(len, new))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        strings = text.split()
+        got = list(map(self.words.get, strings))
+        if None in got:
+            if len(self.words) >= CACHE_STRINGS or self.chars > CACHE_CHARS:
+                self.words.clear()
+                self.chars = 0
+            for i, ids in enumerate(got):
+                if ids is None:
+                    word = strings[i]
+                    if (ids := self.words.get(word)) is None:
+                        ids = self.words[word] = self._word(word)
+                        self.chars += len(word)
+                    got[i] = ids
+        return np.frombuffer(b"".join(got), dtype="<u4")
 
 
 def cost(length: float, linear: float, quadratic: float) -> float:
@@ -166,6 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         seq = 0
         # held: (doc id, first token of ids within the document, ids, tokens of the document)
         held: list[tuple[int | None, int, np.ndarray, int]] = []
+        end = np.array([eod_id], dtype="<u4")
         tokens = 0
 
         def emit(sequences: list[list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +224,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(words.encode(text.as_py() or ""), np.uint32(eod_id)).astype("<u4")
+                ids = np.append(words.encode(text.as_py() or ""), end)
                 held.append((doc, 0, ids, len(ids)))
                 tokens += len(ids)
                 if tokens >= buffer_tokens:
