@@ -123,10 +123,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.int64)
     for i in range(h):
         key = key * 259 + padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     group = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
     # the rank of a group of equals is the place of its first member
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    heads = np.zeros(n, dtype=bool)
+    heads[begin] = True
     rank = np.empty(n + 1, dtype=np.int64)
     rank[order], rank[n] = begin[group], -1
     while h < depth:
@@ -137,11 +139,12 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         place = np.flatnonzero(open_)
         pos = order[place]
         key = rank[pos] * (n + 2) + rank[np.minimum(pos + h, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[place] = pos[by]
         key = key[by]
         fresh = place[np.concatenate([[True], key[1:] != key[:-1]])]
-        begin = np.union1d(begin, fresh)
+        heads[fresh] = True
+        begin = np.flatnonzero(heads)
         where = np.searchsorted(fresh, place, side="right") - 1
         rank[order[place]] = fresh[where]
         h *= 2
@@ -152,9 +155,10 @@ def repeated(text: np.ndarray, length: int) -> np.ndarray:
     """Positions at which a string of ``length`` symbols starts that also starts elsewhere; symbol 0 separates."""
     n = len(text)
     sa = suffix_array(text, length)
-    left = text[sa - 1].astype(np.int64)  # the transform; position 0 is a separator, and so is what comes before it
+    left = text[sa - 1]  # the transform; position 0 is a separator, and so is what comes before it
     lf = np.empty(n, dtype=np.int64)
     lf[np.argsort(left, kind="stable")] = np.arange(n)
+    left = left.astype(np.int64)
     run_at = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
     run_of = np.cumsum(np.concatenate([[0], left[1:] != left[:-1]]))
     run_end = np.append(run_at[1:], n)
