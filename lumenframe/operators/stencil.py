@@ -163,3 +163,21 @@ _MID = "{0} + 1 between floor(1 + ({1} - 1) / 5e0 + 0.5e0) and floor(1 + 4 * ({1
 wavelet_dof = SqlOp(_WAVES + f""",
 d as (select photo_id, channel, abs(hh) + abs(hl) + abs(lh) as detail, case when {_MID.format('rw', 'h')} and {_MID.format('cl', 'w')} then 1 else 0 end as middle from w3)
 select photo_id, channel, round(case when sum(detail) = 0 then 0 else sum(detail * middle) / sum(detail) / (sum(middle) / cast(count(*) as double)) - 1 end, 5) + 0e0 as dof from d group by photo_id, channel""")
+
+
+def conv2(weights: list[list[float]], value: str = LUM) -> SqlOp:
+    """Two-dimensional convolution with any odd kernel, zero beyond the edge.
+
+    Every pixel sends its weighted value to the places around it, and places sum what they get: one aggregation
+    with partial sums, no join of pixels with pixels. Separable kernels are cheaper as two passes of ``conv``.
+    """
+    n, m = len(weights), len(weights[0])
+    if n % 2 == 0 or m % 2 == 0 or any(len(row) != m for row in weights):
+        raise ValueError("kernels have odd sizes")
+    taps = ", ".join(f"({i - n // 2}, {j - m // 2}, cast({w!r} as double))" for i, row in enumerate(weights) for j, w in enumerate(row) if w)
+    return SqlOp(f"""
+select photo_id, rw, cl, round(sum(x), 6) + 0e0 as v from (select photo_id, h, w, rw + dr as rw, cl + dc as cl, weight * {value} as x from {{px}} cross join (values {taps}) k(dr, dc, weight))
+where rw between 1 and h and cl between 1 and w group by photo_id, rw, cl""")
+
+
+emboss = conv2([[-1.0, -2.0, -1.0], [0.0, 0.0, 0.0], [1.0, 2.0, 1.0]])

@@ -107,3 +107,8 @@ QUERIES["wrpcauchy_ml"] = lambda spark, sf_dir: vonmises.cauchy_ml(_ANGLES_ID(sp
 QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_ANGLES_ID(spark, sf_dir).selectExpr("g", "x", "(x * 2 + id % 5) % 6.283185307179586D as y"))
 QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir), reps=50)
 QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
+
+register("emboss", stencil.emboss)
+_DIGITS = "(values (0), (1), (2), (3))"
+_BUCKETS = f"select z.n * 16 + y.n * 4 + x.n + 1 as photo_id, 1 as h, 1 as w, 1 as rw, 1 as cl, (x.n + 0.5e0) / 4 as r, (y.n + 0.5e0) / 4 as g, (z.n + 0.5e0) / 4 as b from {_DIGITS} x(n) cross join {_DIGITS} y(n) cross join {_DIGITS} z(n)"
+register("bucket_luv", color.luv_pixels, {"px": (lambda spark, sf_dir: spark.sql(_BUCKETS), _BUCKETS)})

@@ -179,3 +179,16 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "7.png").write_bytes(png(np.arange(24).reshape(2, 4, 3) * 10))
     measure_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_conv2(spark):
+    m = np.arange(1, 10).reshape((3, 3), order="F") / 1.0
+    px = frame(spark, np.dstack([m] * 3))
+    op = stencil.conv2([[-1.0, -2.0, -1.0], [0.0, 0.0, 0.0], [1.0, 2.0, 1.0]], "r")
+    got = np.zeros((3, 3))
+    for r in op(px).collect():
+        got[r.rw - 1, r.cl - 1] = r.v
+    padded, k = np.pad(m, 1), np.array([[1, 2, 1], [0, 0, 0], [-1, -2, -1]])
+    assert np.allclose(got, [[(padded[i : i + 3, j : j + 3] * k).sum() for j in range(3)] for i in range(3)])
+    with pytest.raises(ValueError):
+        stencil.conv2([[1.0, 1.0]])
