@@ -28,7 +28,7 @@ from .common import Scratch, components, id_join
 from .shingles import mix, sets_of
 
 #: Members of a block of a tile; larger tiles are compared block by block.
-BLOCK = 256
+BLOCK = 1024
 WIDEST = 1 << 17
 
 
@@ -89,9 +89,9 @@ def keys_of(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """One bit for each hash, in 4 to 8 bits for each element (a power of two)."""
-    width = min(WIDEST, max(64, 4 << int(len(s) - 1).bit_length())) if len(s) else 64
+def bitmap(s: np.ndarray, room: int = 4) -> bytes:
+    """One bit for each hash, in ``room`` to twice that many bits for each element (a power of two)."""
+    width = min(WIDEST, max(64, room << int(len(s) - 1).bit_length())) if len(s) else 64
     bits = np.zeros(width, dtype=bool)
     bits[(mix(s) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -121,7 +121,7 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (size of its set), print (digest of the set), bits (bitmap)."""
+    """doc_id, n (size of its set), print (digest of the set), bits and brief (bitmaps; the narrower one for tiles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,10 +129,10 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 batch = whole.slice(at, 512)
                 sets = list(sets_of(_texts(batch, 1), n))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()),
-                ], names=["doc_id", "n", "print", "bits"])
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([bitmap(s, 2) for s in sets], pa.binary()),
+                ], names=["doc_id", "n", "print", "bits", "brief"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, print binary, bits binary, brief binary")
 
 
 def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -175,8 +175,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of the keys that several documents have; keys of the same members become one, which counts them."""
     for key, doc in _groups(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc)], names=["key", "doc_id"])
+        if not len(key):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        same = mix(np.add.reduceat(mix(doc.view(np.uint64)), first) + size.astype(np.uint64))
+        same, at, times = np.unique(same, return_index=True, return_counts=True)
+        first, size = first[at], size[at]
+        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(same.view(np.int64), size)), pa.array(doc[place]), pa.array(np.repeat(times.astype(np.int64), size))], names=["key", "doc_id", "times"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int) -> DataFrame:
@@ -309,17 +318,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     known = scratch.save(there.select("doc_id", "print").join(classes.where("members > 1"), "print").select("doc_id", "class_id"), "classes")
     copies = scratch.save(known.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
     firsts = id_join(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
-    groups = scratch.save(_keys(firsts, n, num, den).repartition("key").mapInArrow(_shared, "key long, doc_id long"), "groups")
+    groups = scratch.save(_keys(firsts, n, num, den).repartition("key").mapInArrow(_shared, "key long, doc_id long, times long").groupBy("key", "doc_id").agg(F.sum("times").alias("times")), "groups")
     ids = scratch.save(groups.select("doc_id").distinct(), "ids")
-    sizes = scratch.save(id_join(there.select("doc_id", "n", "bits"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sizes")
+    sizes = scratch.save(id_join(there.select("doc_id", "n", "bits", "brief"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sizes")
     # of the smallest members of a document's tiles the one that it meets most often: one pair for each document
-    met = groups.groupBy("key").agg(F.min("doc_id").alias("a")).join(groups, "key").where("a <> doc_id").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
+    met = groups.groupBy("key").agg(F.min("doc_id").alias("a")).join(groups, "key").where("a <> doc_id").groupBy("doc_id", "a").agg(F.sum("times").alias("n"))
     star = met.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b")
     links = _verified(star, docs, sizes, scratch, "star", n, num, den)
     labels = scratch.save(components(links, scratch, "star-components"), "labels")
     labelled = scratch.save(groups.join(labels, groups.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
     scratch.drop("groups")
-    tiles = _spread(labelled).join(sizes, "doc_id").select("tile", "side", "doc_id", "label", "n", "bits").repartition("tile")
+    tiles = _spread(labelled).join(sizes, "doc_id").select("tile", "side", "doc_id", "label", "n", "brief").repartition("tile")
     rest = scratch.save(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), "rest")
     more = _verified(rest, docs, sizes, scratch, "rest", n, num, den)
     whole = scratch.save(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "components"), "whole")
