@@ -278,23 +278,27 @@ def _tiles(num: int, den: int):
         cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
         right = np.add.reduceat(side, cuts[:-1], dtype=np.int64)  # members of the second block
 
-        def fitting(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def fitting(i: np.ndarray, j: np.ndarray, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
             keep = (label[i] != label[j]) & enough(np.minimum(size[i], size[j]), size[i] + size[j], num, den)
             i, j = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
-            both = np.unique(i * len(ids) + j)
-            i, j = both // len(ids), both % len(ids)
+            if not once:  # small tiles often repeat pairs
+                both = np.unique(i * len(ids) + j)
+                i, j = both // len(ids), both % len(ids)
             keep = bits.passing(i, j, size, num, den)
             return i[keep], j[keep]
 
         own = np.flatnonzero(right == 0)
         counts = np.diff(cuts)
         found = []
-        for part in np.array_split(own, max(1, int((counts[own] ** 2).sum()) >> 22)):
+        small = own[counts[own] <= 64]
+        for part in np.array_split(small, max(1, int((counts[small] ** 2).sum()) >> 22)):
             found.append(fitting(*(number[x] for x in _pairs(cuts[part], counts[part]))))
+        for t in own[counts[own] > 64]:
+            found.append(fitting(*(number[x] for x in _pairs(cuts[[t]], counts[[t]])), True))
         for t in np.flatnonzero(right).tolist():
             members = number[cuts[t] : cuts[t + 1]]
             x, y = members[: len(members) - right[t]], members[len(members) - right[t] :]
-            found.append(fitting(np.repeat(x, len(y)), np.tile(y, len(x))))
+            found.append(fitting(np.repeat(x, len(y)), np.tile(y, len(x)), True))
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         both = np.unique(i * len(ids) + j)
         yield pa.RecordBatch.from_arrays([pa.array(ids[both // len(ids)]), pa.array(ids[both % len(ids)])], names=["a", "b"])
