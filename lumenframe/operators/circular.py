@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+
 from .base import SqlOp
 
 TAU = "(2 * pi())"
@@ -26,6 +28,37 @@ def bessel(p: int, x: str, terms: int = 40) -> str:
     return f"(pow({x} / 2e0, {p}) / {math.factorial(p)}e0 * {out})"
 
 
+class TwoLevel(SqlOp):
+    """An operator with a plan of its own on Spark, which counts in two levels; ``text`` says the same in one window for the oracle."""
+
+    def __init__(self, text: str, plan: str, **defaults: float) -> None:
+        super().__init__(text, **defaults)
+        self.plan = SqlOp(plan, **defaults)
+
+    def __call__(self, *frames: DataFrame, **params: float) -> DataFrame:
+        return self.plan(*frames, **params)
+
+
+#: Cells of equal width in which rows are ordered; running values over cells are added to those within each.
+CELLS = 4096
+
+
+def in_cells(points: str, sums: str, order: str, cell: str) -> str:
+    """Common table expressions up to ``ranked``: the rows of ``points`` (g, ``order``, and ``sums``, a space between their names) with ``<sum>0`` for
+    what lies before a row and ``<sum>n`` for the whole of its g, the next value in ``nxt`` and the first in ``first``. No window holds more than a cell's rows, or a row a cell."""
+    names = sums.split()
+    before = "rows between unbounded preceding and 1 preceding"
+    return f"""
+points as (select *, {cell} as cell from ({points})),
+cells as (select g, cell, min({order}) as least, {', '.join(f'sum({c}) as {c}' for c in names)} from points group by g, cell),
+heads as (select g, cell, lead(least) over (partition by g order by cell) as after, min(least) over (partition by g) as first,
+  {', '.join(f'coalesce(sum({c}) over (partition by g order by cell {before}), 0) as {c}0, sum({c}) over (partition by g) as {c}n' for c in names)} from cells),
+ranked as (select p.g, p.{order}, {', '.join(f'p.{c}, h.{c}n, h.{c}0 + coalesce(sum(p.{c}) over (partition by p.g, p.cell order by p.{order} {before}), 0) as {c}0' for c in names)},
+  coalesce(lead(p.{order}) over (partition by p.g, p.cell order by p.{order}), h.after) as nxt, h.first from points p join heads h on p.g <=> h.g and p.cell <=> h.cell)"""
+
+
+_CELL = f"case when isnan(x) then {CELLS} else cast(floor(x / {TAU} * {CELLS}) as int) end"
+
 _SUMS = "select g, count(*) as n, sum(sin(x)) as s, sum(cos(x)) as c from {a} group by g"
 _MEAN = f"select g, n, atan2(s, c) as mu, sqrt(s * s + c * c) as r, sqrt(s * s + c * c) / n as rbar from ({_SUMS})"
 
@@ -47,32 +80,52 @@ with d as (select g, x, y, case when atan2(sum(sin(x)) over (partition by g), su
 select g, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) as r, round(sqrt(count(*) * avg(a * a) * avg(b * b) / avg(a * a * b * b)) * sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 5) as test_stat from d group by g""")
 
 _SORTED = f"select g, x, row_number() over (partition by g order by x) as i, count(*) over (partition by g) as n, lead(x) over (partition by g order by x) as nxt, min(x) over (partition by g) as x1 from (select g, {modulo('x')} as x from {{a}})"
-circ_range = SqlOp(f"select g, round(2 * pi() - max(coalesce(nxt, x1 + 2 * pi()) - x), 6) as range from ({_SORTED}) group by g")
-rao_spacing = SqlOp(f"select g, round(sum(abs(degrees(coalesce(nxt, x1 + 2 * pi()) - x) - 360e0 / n)) / 2, 5) as u from ({_SORTED}) group by g")
-kuiper = SqlOp(f"""
-select g, v, case when v < 1.537e0 then 'p > 0.15' when v < 1.62e0 then '0.10 < p < 0.15' when v < 1.747e0 then '0.05 < p < 0.10' when v < 1.862e0 then '0.025 < p < 0.05' when v < 2.001e0 then '0.01 < p < 0.025' else 'p < 0.01' end as p_band
-from (select g, round((max(i / cast(n as double) - x / {TAU}) + max(x / {TAU} - (i - 1) / cast(n as double))) * (sqrt(max(n)) + 0.155e0 + 0.24e0 / sqrt(max(n))), 6) as v from ({_SORTED}) group by g)""")
-watson_uniform = SqlOp(f"""
+# equal angles are one row of m: those ranked m0 + 1 to m0 + m
+_RANKED = "with " + in_cells(f"select g, x, count(*) as m from (select g, {modulo('x')} as x from {{a}}) group by g, x", "m", "x", _CELL)
+_GAP = f"coalesce(nxt, first + {TAU}) - x"
+circ_range = TwoLevel(f"select g, round(2 * pi() - max(coalesce(nxt, x1 + 2 * pi()) - x), 6) as range from ({_SORTED}) group by g", f"{_RANKED} select g, round({TAU} - max({_GAP}), 6) as range from ranked group by g")
+rao_spacing = TwoLevel(f"select g, round(sum(abs(degrees(coalesce(nxt, x1 + 2 * pi()) - x) - 360e0 / n)) / 2, 5) as u from ({_SORTED}) group by g",
+    f"{_RANKED} select g, round(sum(abs(degrees({_GAP}) - 360e0 / mn) + (m - 1) * (360e0 / mn)) / 2, 5) as u from ranked group by g")
+_BAND = "case when v < 1.537e0 then 'p > 0.15' when v < 1.62e0 then '0.10 < p < 0.15' when v < 1.747e0 then '0.05 < p < 0.10' when v < 1.862e0 then '0.025 < p < 0.05' when v < 2.001e0 then '0.01 < p < 0.025' else 'p < 0.01' end"
+kuiper = TwoLevel(f"""
+select g, v, {_BAND} as p_band
+from (select g, round((max(i / cast(n as double) - x / {TAU}) + max(x / {TAU} - (i - 1) / cast(n as double))) * (sqrt(max(n)) + 0.155e0 + 0.24e0 / sqrt(max(n))), 6) as v from ({_SORTED}) group by g)""", f"""
+{_RANKED} select g, v, {_BAND} as p_band
+from (select g, round((max((m0 + m) / cast(mn as double) - x / {TAU}) + max(x / {TAU} - m0 / cast(mn as double))) * (sqrt(max(mn)) + 0.155e0 + 0.24e0 / sqrt(max(mn))), 6) as v from ranked group by g)""")
+watson_uniform = TwoLevel(f"""
 select g, round((u2 - 0.1e0 / n + 0.1e0 / (cast(n as double) * n)) * (1 + 0.8e0 / n), 6) as u2
-from (select g, max(n) as n, sum(pow(u - ubar - (2 * i - 1) / (2e0 * n) + 0.5e0, 2)) + 1 / (12e0 * max(n)) as u2 from (select *, x / {TAU} as u, avg(x / {TAU}) over (partition by g) as ubar from ({_SORTED})) group by g)""")
-watson_two = SqlOp(f"""
+from (select g, max(n) as n, sum(pow(u - ubar - (2 * i - 1) / (2e0 * n) + 0.5e0, 2)) + 1 / (12e0 * max(n)) as u2 from (select *, x / {TAU} as u, avg(x / {TAU}) over (partition by g) as ubar from ({_SORTED})) group by g)""", f"""
+{_RANKED}, means as (select g, sum(m * x) / sum(case when x is not null then m end) / {TAU} as ubar from points group by g)
+select g, round((u2 - 0.1e0 / n + 0.1e0 / (cast(n as double) * n)) * (1 + 0.8e0 / n), 6) as u2
+from (select r.g, max(mn) as n, sum(m * pow(x / {TAU} - ubar - (2 * m0 + m) / (2e0 * mn) + 0.5e0, 2) + (pow(m, 3) - m) / (12e0 * mn * mn)) + 1 / (12e0 * max(mn)) as u2 from ranked r join means on r.g <=> means.g group by r.g)""")
+watson_two = TwoLevel(f"""
 with o as (select side, sum(case when side = 1 then 1 else 0 end) over (order by x, side rows between unbounded preceding and current row) as a, sum(case when side = 2 then 1 else 0 end) over (order by x, side rows between unbounded preceding and current row) as b,
   sum(case when side = 1 then 1 else 0 end) over () as n1, sum(case when side = 2 then 1 else 0 end) over () as n2 from (select side, {modulo('x')} as x from {{two}}))
-select max(n1) as n1, max(n2) as n2, round(cast(max(n1) as double) * max(n2) / (cast(count(*) as double) * count(*)) * (sum(pow(b / cast(n2 as double) - a / cast(n1 as double), 2)) - pow(sum(b / cast(n2 as double) - a / cast(n1 as double)), 2) / count(*)), 6) as u2 from o""")
+select max(n1) as n1, max(n2) as n2, round(cast(max(n1) as double) * max(n2) / (cast(count(*) as double) * count(*)) * (sum(pow(b / cast(n2 as double) - a / cast(n1 as double), 2)) - pow(sum(b / cast(n2 as double) - a / cast(n1 as double)), 2) / count(*)), 6) as u2 from o""", f"""
+with {in_cells(f"select 0 as g, x, count_if(side = 1) as a, count_if(side = 2) as b from (select side, {modulo('x')} as x from {{two}}) group by x", "a b", "x", _CELL)},
+t as (select cast(an as double) as n1, cast(bn as double) as n2, an + bn as n, a, b, b0 / cast(bn as double) - a0 / cast(an as double) as d0 from ranked),
+u as (select *, d0 - (a + 1) / (2 * n1) as da, d0 - a / n1 + (b + 1) / (2 * n2) as db from t)
+select cast(max(n1) as bigint) as n1, cast(max(n2) as bigint) as n2, round(max(n1) * max(n2) / (cast(max(n) as double) * max(n)) * (
+  sum(a * da * da + (pow(a, 3) - a) / (12 * n1 * n1) + b * db * db + (pow(b, 3) - b) / (12 * n2 * n2)) - pow(sum(a * da + b * db), 2) / max(n)), 6) as u2 from u""")
 rao_homogeneity = SqlOp("""
 with m as (select g, count(*) as n, avg(cos(x)) as x, avg(sin(x)) as y, var_samp(cos(x)) as co, var_samp(sin(x)) as ss, covar_samp(cos(x), sin(x)) as cs from {a} group by g),
 s as (select y / x as t, x * x + y * y as u, (ss / (x * x) + y * y * co / pow(x, 4) - 2 * y * cs / pow(x, 3)) / n as polar, 4 * (x * x * co + y * y * ss + 2 * x * y * cs) / n as disp from m)
 select count(*) - 1 as df, round(sum(t * t / polar) - pow(sum(t / polar), 2) / sum(1 / polar), 5) as h_polar, round(sum(u * u / disp) - pow(sum(u / disp), 2) / sum(1 / disp), 5) as h_disp from s""")
-change_point = SqlOp(f"""
+change_point = TwoLevel(f"""
 with o as (select g, k, n, sin(x) as s, cos(x) as c from (select g, x, row_number() over (partition by g order by o) as k, count(*) over (partition by g) as n from {{ordered}})),
 w as (select g, k, n, s, c, sum(s) over (partition by g order by k) as s1, sum(c) over (partition by g order by k) as c1, sum(s) over (partition by g) as st, sum(c) over (partition by g) as ct from o),
 p as (select g, k, n, sqrt(s1 * s1 + c1 * c1) as r1, sqrt((st - s1) * (st - s1) + (ct - c1) * (ct - c1)) as r2, sqrt(st * st + ct * ct) as r from w),
 d as (select g, k, n, r, r1 + case when k = n then 0 else r2 end - r as diff from p)
+select g, max(n) as n, round(max(r) / max(n), 6) as rho, round(max(diff), 5) as rmax, round(avg(diff), 5) as rave from d group by g""", f"""
+with {in_cells("select g, o, sin(x) as s, cos(x) as c, 1 as k, lo, hi from {ordered} cross join (select min(o) as lo, max(o) as hi from {ordered})", "s c k", "o", f"case when hi > lo then cast(floor((cast(o as double) - lo) / (cast(hi as double) - lo) * {CELLS}) as int) else 0 end")},
+w as (select g, k0 + 1 as k, kn as n, s0 + s as s1, c0 + c as c1, sn as st, cn as ct from ranked),
+p as (select g, k, n, sqrt(s1 * s1 + c1 * c1) as r1, sqrt((st - s1) * (st - s1) + (ct - c1) * (ct - c1)) as r2, sqrt(st * st + ct * ct) as r from w),
+d as (select g, k, n, r, r1 + case when k = n then 0 else r2 end - r as diff from p)
 select g, max(n) as n, round(max(r) / max(n), 6) as rho, round(max(diff), 5) as rmax, round(avg(diff), 5) as rave from d group by g""")
 rose_bins = SqlOp(f"""
 select g, bin, n, round(sqrt(n / cast(sum(n) over (partition by g) as double)), 6) as radius
 from (select g, cast(least(:bins, greatest(1, ceil({modulo('x')} / ({TAU} / :bins)))) as int) as bin, count(*) as n from {{a}} group by 1, 2)""", bins=12)
-edf = SqlOp(f"select g, round(x, 6) as x, round(max(i) / cast(max(n) as double), 6) as f from ({_SORTED}) group by g, x")
+edf = TwoLevel(f"select g, round(x, 6) as x, round(max(i) / cast(max(n) as double), 6) as f from ({_SORTED}) group by g, x", f"{_RANKED} select g, round(x, 6) as x, round((m0 + m) / cast(mn as double), 6) as f from ranked")
 circular_convert = SqlOp(f"""
 select id, round(degrees(x), 6) as degrees, round(x * 12 / pi(), 6) as hours, round(({modulo('-x + pi() / 2')}), 6) as geographic, round(({modulo('2 * x')}), 6) as doubled, round(radians(degrees(x)), 6) as back from {{points}}""")
 bessel_ratio = SqlOp(f"""
