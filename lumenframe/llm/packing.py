@@ -64,7 +64,8 @@ class WordCache:
 
     def _piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            # control characters are ASCII, but no letters of the model
+            letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
             if len(piece) <= LONG:
                 if len(self.pieces) >= CACHE_PIECES:

@@ -43,6 +43,17 @@ def test_edges(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_control_characters(spark):
+    """Every character below U+0250 alone, in a word and beside others, and all control characters in one text."""
+    controls = "".join(map(chr, [*range(0x09), *range(0x0E, 0x20), 0x7F]))
+    texts = [t for c in map(chr, range(0x250)) for t in (c, f"a{c}b", f"{c}[0m x", f"A {c}' 1{c}{c}")] + [controls, " ".join(controls), "\x1b[1mBold\x1b[0m\x00\x00", "\x07", "x\x1bé\x7f"]
+    words, tok = packing.WordCache(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for t in texts * 2:  # the second time from the cache
+        assert words.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    verify(packing.pack(df).collect(), dict(enumerate(texts)))
+
+
 def test_balance():
     rnd = np.random.default_rng(1)
     lengths = [int(x) for x in rnd.integers(1, 3000, 2000)]
