@@ -71,16 +71,30 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: i
     return fit.select(F.explode("c").alias("x")).select(*[F.col(f"x.{d}").alias(d) for d in dims], F.col("x.tokens").cast("long").alias("tokens"), F.coalesce(F.try_divide(F.col("x.w"), F.col("x.tokens")), F.lit(0.0)).alias("ratio"))
 
 
+def calibrated(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], rate: float | None = None, rounds: int = 30) -> DataFrame:
+    """Cells with ``probability``, ``rate`` times their ratio and at most 1, and ``weight``, by which what lies above 1 is made up for.
+
+    Probability times weight is ``rate`` times the ratio in every cell; without ``rate`` all weights are 1.
+    """
+    fitted = rake(cells, targets, rounds)
+    scale = F.lit(float(rate)) if rate is not None else F.coalesce(F.try_divide(F.lit(1.0), F.max("ratio").over(_whole())), F.lit(0.0))
+    wanted = F.col("ratio") * scale
+    return fitted.select(*targets, "tokens", F.least(F.lit(1.0), wanted).alias("probability"), F.greatest(F.lit(1.0), wanted).alias("weight"))
+
+
 def mix(docs: DataFrame, dims: Mapping[str, Column], targets: Mapping[str, Mapping[str, float]], tokens: Column, key: Column, rate: float | None = None, rounds: int = 30, seed: int = 1, prefix: str = "mix_") -> DataFrame:
-    """Sample documents so that their tokens meet the target marginals of ``dims``, in expectation.
+    """Sample documents so that their tokens, times their weights, meet the target marginals of ``dims``, in expectation.
 
     ``dims`` names a column for each marginal, ``targets`` the share of each of its values (null: the key
     ``(none)``). A document's probability is ``rate`` times its cell's ratio of fitted to given tokens,
-    at most 1; without ``rate`` it is the largest at which none exceeds 1. It is kept if a number fixed by
+    at most 1; without ``rate`` it is the largest at which none exceeds 1. Where ``rate`` wants more than a
+    cell holds, all of its documents are kept, with the excess as their weight (1 elsewhere): without the
+    weights such a sample misses the targets. A document is kept if a number fixed by
     ``key`` and ``seed`` lies below it, so repeated rows stay or go together and a lost task comes back the
     same. Values without a target, and null ones unless named, count as OTHER and keep their share of the
     tokens. Empty tables give empty results; documents without tokens get their cell's probability, and
-    in a cell without tokens 0. Adds columns ``<prefix><dim>``, ``<prefix>tokens`` and ``<prefix>probability``.
+    in a cell without tokens 0. Adds columns ``<prefix><dim>``, ``<prefix>tokens``, ``<prefix>probability``
+    and ``<prefix>weight``.
 
     The documents are aggregated to cells before anything moves, so a source that holds a third of all
     rows is one row per task; the cells come back by a broadcast bounded by the targets' sizes.
@@ -88,9 +102,8 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], targets: Mapping[str, Mappi
     names = {d: f"{prefix}{d}" for d in dims}
     tagged = docs.withColumns({names[d]: category(c, targets[d]) for d, c in dims.items()} | {f"{prefix}tokens": tokens})
     cells = tagged.groupBy(*[F.col(n).alias(d) for d, n in names.items()]).agg(F.sum(f"{prefix}tokens").alias("tokens"))
-    fitted = rake(cells, targets, rounds)
-    scale = F.lit(float(rate)) if rate is not None else F.coalesce(F.try_divide(F.lit(1.0), F.max("ratio").over(_whole())), F.lit(0.0))
-    fitted = fitted.select(*[F.col(d).alias(names[d]) for d in dims], F.least(F.lit(1.0), F.col("ratio") * scale).alias(f"{prefix}probability"))
+    fitted = calibrated(cells, targets, rate, rounds)
+    fitted = fitted.select(*[F.col(d).alias(names[d]) for d in dims], *[F.col(c).alias(f"{prefix}{c}") for c in ("probability", "weight")])
     out = tagged.join(F.broadcast(fitted), list(names.values()))
     return out.where(uniform(key, seed) < F.col(f"{prefix}probability"))
 

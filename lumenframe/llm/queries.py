@@ -29,17 +29,23 @@ def mixed(docs: DataFrame, rate: float | None = MIX_RATE) -> DataFrame:
     return mixing.mix(docs, dims, TARGETS, mixing.tokens_of(F.col("text")), F.col("doc_id"), rate)
 
 
-def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op1_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample with the weights under which its tokens meet the targets."""
     out = mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"))
+    return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 6).alias("probability"), F.round("mix_weight", 6).alias("weight"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_mixing_weighted(spark, sf_dir).drop("weight")
 
 
-def _op1_sql(rounds: int = 30) -> str:
+def _op1_sql(rounds: int = 30, weighted: bool = False) -> str:
     """Cell weights by a recursive table: each step rakes to one marginal, so a round is three steps."""
     cat = lambda c, d: f"case when {c} in ({', '.join(repr(k) for k in TARGETS[d])}) then {c} else '(other)' end"
     target = "select * from (values " + ", ".join(f"('{d}', '{k}', {v!r}::double)" for d in TARGETS for k, v in TARGETS[d].items()) + ") t(dim, val, share)"
     shape = "case when text is null or length(text) = 0 then null when length(regexp_replace(text, '[^0-9]', '', 'g')) * 50 >= length(text) then 'figures' when (length(text) - length(replace(text, chr(10), ''))) * 120 >= length(text) then 'lists' when length(text) < 2000 then 'short' else 'long' end"
     dims = list(TARGETS)
+    wanted = f"case when t > 0 then w / t else 0 end * {MIX_RATE}"
     by = "case m % 3 " + " ".join(f"when {i} then {d}" for i, d in enumerate(dims)) + " end"
     return f"""
 with recursive tagged as materialized (
@@ -59,8 +65,8 @@ fit as (
       w * h.share * sum(t) over () / sum(w) over (partition by {by}) else w end
   from fit left join held h on h.dim = case m % 3 when 0 then 'source' when 1 then 'lang' else 'topic' end and h.val = {by}
   where m < {3 * rounds}),
-ratio as (select source, lang, topic, least(1.0, case when t > 0 then w / t else 0 end * {MIX_RATE}) as p from fit where m = {3 * rounds})
-select doc_id, source, lang, topic, tokens, round(p, 6) as probability from tagged join ratio using (source, lang, topic)
+ratio as (select source, lang, topic, least(1.0, {wanted}) as p{f', greatest(1.0, {wanted}) as weight' if weighted else ''} from fit where m = {3 * rounds})
+select doc_id, source, lang, topic, tokens, round(p, 6) as probability{', round(weight, 6) as weight' if weighted else ''} from tagged join ratio using (source, lang, topic)
 where ('0x' || substr(md5('1:' || coalesce(doc_id::varchar, '(none)')), 1, 12))::bigint / 281474976710656.0 < p"""
 
 
@@ -113,9 +119,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_licenses": op9_licenses, "op10_warc": op10_warc}
+QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_licenses": op9_licenses, "op10_warc": op10_warc, "op1_mixing_weighted": op1_mixing_weighted}
 SQL = {
     "op1_mixing": _op1_sql(),
+    "op1_mixing_weighted": _op1_sql(weighted=True),
     "op10_warc": """
 select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
   case when n >= 100 and page_id > first then 'revisit' else 'response' end as record_type, case when n >= 100 and page_id > first then first end as refers_to

@@ -1,3 +1,5 @@
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import mixing, queries
@@ -47,3 +49,35 @@ def test_query(spark, small):
     for r in queries.op1_mixing(spark, small).collect():
         c = (r.source, r.lang, r.topic)
         assert abs(r.probability - min(1, want[c] / sums[c] * queries.MIX_RATE)) < 1e-5
+
+
+def test_weighted_shares(spark, small):
+    """Expected shares of the weighted sample are the targets, though many cells want probabilities above 1."""
+    docs = spark.read.parquet(f"{small.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": queries.topic(F.col("text"))}
+    tagged = docs.select(*[mixing.category(c, queries.TARGETS[d]).alias(d) for d, c in dims.items()], mixing.tokens_of(F.col("text")).alias("tokens"))
+    cells = [r for r in mixing.calibrated(tagged.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), queries.TARGETS, queries.MIX_RATE).collect()]
+    assert any(r.weight > 1 for r in cells) and all(0 <= r.probability <= 1 and (r.weight == 1 or r.probability == 1) for r in cells)
+    total = sum(r.tokens * r.probability * r.weight for r in cells)
+    assert total == pytest.approx(queries.MIX_RATE * sum(r.tokens for r in cells), rel=1e-6)
+    for d, t in queries.TARGETS.items():
+        other = sum(r.tokens * r.probability * r.weight for r in cells if r[d] == mixing.OTHER) / total
+        there = {k: v for k, v in t.items() if any(r[d] == k and r.tokens for r in cells)}
+        for k, v in there.items():
+            got = sum(r.tokens * r.probability * r.weight for r in cells if r[d] == k) / total
+            assert got == pytest.approx(v / sum(there.values()) * (1 - other), rel=1e-3), (d, k)
+    by_cell = {(r.source, r.lang, r.topic): r.weight for r in cells}
+    out = queries.mixed(docs).collect()
+    assert all(r.mix_weight == pytest.approx(by_cell[r.mix_source, r.mix_lang, r.mix_topic]) for r in out)
+
+
+def test_weighted_oracle(spark, small):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{small}/documents.parquet')")
+    df = queries.op1_mixing_weighted(spark, small)
+    want = con.execute(queries.SQL["op1_mixing_weighted"])
+    assert [x[0] for x in want.description] == df.columns
+    key = lambda r: (r[0], *r[1:5])
+    got, want = sorted(map(tuple, df.collect()), key=key), sorted(want.fetchall(), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(g[5:] == pytest.approx(w[5:], abs=2e-6) for g, w in zip(got, want, strict=True))
