@@ -87,8 +87,8 @@ QUERIES["mdl_rle2d"] = lambda spark, sf_dir: segments.rle_bits(_clusters(spark,
 QUERIES["colorfulness"] = lambda spark, sf_dir: segments.colorfulness(color.color_buckets(tables.px(spark, sf_dir)))
 QUERIES["colorfulness_grey"] = lambda spark, sf_dir: segments.colorfulness(color.color_buckets(tables.px(spark, sf_dir), n=6), "grey", 6)
 QUERIES["kmeanspp"] = lambda spark, sf_dir: segments.kmeanspp(tables.px(spark, sf_dir))
-QUERIES["photo_segmentation"] = lambda spark, sf_dir: segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1).select("photo_id", "rw", "cl", "segment_id", "clusters")
-QUERIES["region_composition"] = lambda spark, sf_dir: segments.top5_segments(segments.segmentation(tables.px(spark, sf_dir), k_max=6, restarts=1), tables.px(spark, sf_dir))
+QUERIES["photo_segmentation"] = lambda spark, sf_dir: segments.segmentation(tables.px(spark, sf_dir)).select("photo_id", "rw", "cl", "segment_id", "clusters")
+QUERIES["region_composition"] = lambda spark, sf_dir: segments.top5_segments(segments.segmentation(tables.px(spark, sf_dir)), tables.px(spark, sf_dir))
 
 # ratings and models
 for _name in "ratings_join rating_stdev fill_missing correlations simple_regressions bw_color_split error_metrics".split():
@@ -96,7 +96,7 @@ for _name in "ratings_join rating_stdev fill_missing correlations simple_regress
 register("train_split", model.split)
 QUERIES["linear_model"] = lambda spark, sf_dir: model.linear_model(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
 QUERIES["random_forest"] = lambda spark, sf_dir: model.random_forest(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
-QUERIES["measure_record"] = lambda spark, sf_dir: model.measure_record(tables.px(spark, sf_dir), k_max=4, restarts=1)
+QUERIES["measure_record"] = lambda spark, sf_dir: model.measure_record(tables.px(spark, sf_dir))
 QUERIES["scrape_links"] = lambda spark, sf_dir: files.scrape(tables.read(spark, sf_dir, "pages"))
 SQL["scrape_links"] = files.SCRAPE_SQL
 
