@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.circular import a1inv
+
 TAU = 2 * math.pi
 
 
@@ -103,17 +105,30 @@ def circular_regression(pairs: DataFrame, order: int = 1) -> DataFrame:
     return rows.groupBy("g").agg(*sums).groupBy("g").applyInPandas(solve, "g string, rho double, cos_coef array<double>, sin_coef array<double>")
 
 
-def bootstrap(a: DataFrame, reps: int = 200, alpha: float = 0.05, seed: int = 1) -> DataFrame:
-    """Percentile interval of each group's mean resultant length, by Poisson weights of every row and repetition.
+def bootstrap(a: DataFrame, reps: int = 1000, alpha: float = 0.05, seed: int = 1, bias: bool = False) -> DataFrame:
+    """Percentile intervals of each group's mean direction, concentration and mean resultant length (low, high), by Poisson weights of every row and repetition.
 
-    The weights come from a hash of row, repetition and seed, and are summed with a partial aggregation.
+    The weights come from a hash of row, repetition and seed, and are summed with a partial aggregation. The directions of the
+    repetitions are cut at their widest gap, so ``mu_low`` may be negative; ``bias`` corrects the concentrations. Repetitions in which
+    no row has a weight are left out, and those without a finite concentration (all directions equal) from its interval.
     """
     u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
     weight = sum((u >= float(c)).cast("int") for c in steps)
-    boot = a.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", weight)
-    stat = boot.groupBy("g", "rep").agg((F.sqrt(F.sum(F.col("k") * F.sin("x")) ** 2 + F.sum(F.col("k") * F.cos("x")) ** 2) / F.sum("k")).alias("rho"))
-    return stat.groupBy("g").agg(F.percentile("rho", F.lit(alpha / 2)).alias("low"), F.percentile("rho", F.lit(1 - alpha / 2)).alias("high"))
+    boot = a.select("g", "id", F.sin("x").alias("s"), F.cos("x").alias("c")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", weight)
+    sums = boot.groupBy("g", "rep").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in "sc"], F.sum("k").alias("n")).where("n > 0")
+    stat = sums.select("g", "n", F.pmod(F.atan2("s", "c"), F.lit(TAU)).alias("mu"), (F.sqrt(F.col("s") ** 2 + F.col("c") ** 2) / F.col("n")).alias("rho"))
+    # a resultant within rounding of 1 has no finite concentration
+    stat = stat.withColumn("kappa", F.when(F.col("rho") < 1 - 1e-12, F.expr(a1inv("rho"))))
+    if bias:
+        stat = stat.withColumn("kappa", F.expr("case when kappa < 2 then greatest(kappa - 2 / nullif(n * kappa, 0e0), 0e0) else pow(n - 1, 3) * kappa / (pow(n, 3) + n) end"))
+    # one row a repetition: the direction after the widest gap is where they start
+    own, by = Window.partitionBy("g"), Window.partitionBy("g").orderBy("mu")
+    gap = F.col("mu") - F.coalesce(F.lag("mu").over(by), F.max("mu").over(own) - TAU)
+    stat = stat.withColumn("gap", gap).withColumn("least", F.min("mu").over(own)).withColumn("start", F.max_by("mu", F.struct("gap", -F.col("mu"))).over(own))
+    stat = stat.withColumn("turned", F.pmod(F.col("mu") - F.col("start"), F.lit(TAU)) + F.col("start") - F.when(F.col("start") > F.col("least"), TAU).otherwise(0.0))
+    ends = (("low", alpha / 2), ("high", 1 - alpha / 2))
+    return stat.groupBy("g").agg(*[F.percentile(c, F.lit(p)).alias(f"{n}{end}") for c, n in (("rho", ""), ("turned", "mu_"), ("kappa", "kappa_")) for end, p in ends])
 
 
 def draws(ids: DataFrame, mu: float = 1.0, kappa: float = 2.0, rho: float = 0.5, alpha: float = 1.5, seed: int = 1) -> DataFrame:

@@ -107,7 +107,7 @@ QUERIES["vm_quantile"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select(
 QUERIES["v0_test"] = lambda spark, sf_dir: vonmises.v0_test(_ANGLES_ID(spark, sf_dir), 1.0)
 QUERIES["wrpcauchy_ml"] = lambda spark, sf_dir: vonmises.cauchy_ml(_ANGLES_ID(spark, sf_dir))
 QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_ANGLES_ID(spark, sf_dir).selectExpr("g", "x", "(x * 2 + id % 5) % 6.283185307179586D as y"))
-QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir), reps=50)
+QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir))
 QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
 
 register("emboss", stencil.emboss)
