@@ -1,107 +1,65 @@
-"""N-gram Jaccard join: size bands, tiles within them, bitmap bounds, then exact intersections.
+"""N-gram Jaccard join: rare keys, size-banded tiles, hashed bitmap bounds, then exact intersections.
 
 Two sets link when ``den * |x & y| >= num * |x | y|``. The join is exact for sets of 64-bit shingle hashes:
 
 1. Documents become sets; documents of equal sets form a class, and only its smallest id goes on.
-2. Sizes form bands. In the band of the larger set a linked pair differs in at most H elements, so of any
-   H + 1 + E ranges of hash space at least E + 1 hold the same elements. Each set has a key for each range
-   (and band) in which it holds enough elements; E makes up for the others. Sets that share a key form a tile.
-3. Each set is first tried against the one it meets most often among its tiles' smallest members; the verified links' components are
-   found, and tiles within one component are done. The others compare all their members of different components, in
-   blocks, by the counts of bits of hashed bitmaps, which bound the overlap from above.
-4. Pairs that pass the bound intersect their sorted hash arrays.
+2. A set of s elements that links has at least ceil(s * num / den) in common with its partner, so the partner
+   has one of any s - ceil(s * num / den) + 1 of them. A set gives its s - ceil(s * num / den) + l smallest
+   hashes as keys: linked sets then share at least l of them, and each may drop its l - 1 commonest keys (see
+   ``shares``). Passages that many documents share are common, so their shingles are what is dropped.
+3. Documents that keep the same key, in one size band or the next, form a tile; tiles of the same members are
+   one. Documents that tiles connect form a cluster. Clusters of a bounded size are compared as a whole, so
+   that each set moves once; larger ones tile by tile, and tiles beyond that bound block by block.
+4. A comparison bounds overlaps from above by bit counts of hashed bitmaps and intersects the sorted hash
+   arrays of the pairs that pass. It returns which labels become one, never pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, id_join
-from .shingles import mix, sets_of
-
-#: Members of a block of a tile; larger tiles are compared block by block.
-BLOCK = 1024
+from .shingles import sets_of
+
+#: Sets, and elements of theirs, that are compared at once.
+MEMBERS, HASHES = 4096, 1 << 20
+#: A tenth of a set's elements are keys beyond those it needs, for which it may drop as many common ones.
+MORE = 10
+#: A key is heavy if more than one in so many keys is this one (and so many at least): there are at most so many of them.
+HEAVY, HEAVY_LEAST = 1 << 18, 1024
+#: Keys counted at once in search of heavy ones.
+COUNTED = 1 << 22
 WIDEST = 1 << 17
+LIMIT = (1 << 24) - 1
 
 
 @lru_cache
-def edges(limit: int = 1 << 40) -> tuple[int, ...]:
-    """Lower ends of the size bands, each about 1.5 times the one before."""
+def edges(num: int, den: int, limit: int = 1 << 40) -> tuple[int, ...]:
+    """Lower ends of the size bands: linked sets lie in one band or in two neighbouring ones."""
     out = [1]
     while out[-1] < limit:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 9 // 8, -(-out[-1] * den // num)))
     return tuple(out)
 
 
-@lru_cache(maxsize=1024)
-def ranges(band: int, num: int, den: int) -> tuple[int, int, int]:
-    """Of the band of the larger set: the number of hash ranges, E, and the fewest elements that give a key."""
-    low, high = edges()[band], edges()[band + 1] - 1
-    h = 2 * high * (den - num) // (num + den)
-    least, smallest = (2 if h >= 16 else 1), max(1, -(-num * low // den))
-    e = 0
-    for _ in range(8):
-        mean = smallest / (h + 1 + e)
-        light = (h + 1 + e) * math.exp(-mean) * (1 + mean * (least - 1))
-        e = 0 if light < 0.02 else math.ceil(light + 3 * math.sqrt(light))
-    return h + 1 + e, e, least
-
-
-def keys_of(sets: list[np.ndarray], num: int, den: int) -> list[np.ndarray]:
-    """The tile keys of each set: for its own band, and for the next if a linked set can lie there."""
-    out: list[list[np.ndarray]] = [[] for _ in sets]
-    low = np.array(edges())
-    sizes = np.array([len(s) for s in sets])
-    band = np.searchsorted(low, sizes, side="right") - 1
-    for step in (0, 1, 2):  # a set's partner is at most den / num times as large
-        part = [i for i in np.flatnonzero(sizes > 0).tolist() if step == 0 or low[band[i] + step] * num <= sizes[i] * den]
-        if not part:
-            continue
-        rule = [ranges(int(band[i]) + step, num, den) for i in part]
-        flat = np.concatenate([sets[i] for i in part])
-        owner = np.repeat(np.arange(len(part)), sizes[part])
-        k = np.array([r[0] for r in rule], dtype=np.uint64)[owner]
-        place = ((flat >> np.uint64(32)) * k) >> np.uint64(32)
-        cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])]))
-        counts = np.diff(np.append(cut, len(flat)))
-        sums = np.add.reduceat(mix(flat), cut)
-        who, where = owner[cut], place[cut]
-        salt = mix((band[part][who] + step).astype(np.uint64) * np.uint64(1 << 40) + where)
-        key = mix(sums + salt)
-        heavy = counts >= np.array([r[2] for r in rule])[who]
-        bounds = np.searchsorted(who, np.arange(len(part) + 1))
-        for j, i in enumerate(part):
-            a, b = bounds[j], bounds[j + 1]
-            n, e, least = rule[j]
-            got = key[a:b][heavy[a:b]]
-            out[i].append(got)
-            if n - len(got) > e:  # more light ranges than E makes up for: its light ranges count as well, all of one kind
-                out[i].append(mix(np.array([(int(band[i]) + step) * (1 << 20) + 7], dtype=np.uint64)))
-        del flat, owner, place
-    return [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in out]
-
-
-def bitmap(s: np.ndarray, room: int = 4) -> bytes:
-    """One bit for each hash, in ``room`` to twice that many bits for each element (a power of two)."""
-    width = min(WIDEST, max(64, room << int(len(s) - 1).bit_length())) if len(s) else 64
-    bits = np.zeros(width, dtype=bool)
-    bits[(mix(s) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def folded(raw: bytes, width: int) -> np.ndarray:
-    words = np.frombuffer(raw, dtype=np.uint64)
-    while len(words) * 64 > width:
-        words = words[: len(words) // 2] | words[len(words) // 2 :]
-    return words
+def shares(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of keys of sets of these sizes, and how many of their commonest ones they may drop.
+
+    A set of s elements, of which c = ceil(s * num / den) at least are shared by a link, gives s - c + l(s) keys,
+    its smallest hashes. What is shared and no key of both is no key of the one whose keys end first: at most
+    c - l elements, so l(s) keys at least are shared, of the smaller l of two sets. Of these, the rarest one is
+    preceded in either set by l - 1 commoner ones; the smallest partner has c elements.
+    """
+    least = -(-sizes * num // den)
+    extra = lambda s: np.minimum(1 + s // MORE, -(-s * num // den))
+    return sizes - least + extra(sizes), extra(least) - 1
 
 
 def enough(overlap, total, num: int, den: int):
@@ -109,236 +67,342 @@ def enough(overlap, total, num: int, den: int):
     return overlap * (num + den) >= num * total
 
 
-def bound(x: np.ndarray, y: np.ndarray, nx, ny):
-    """Most elements that sets of nx and ny elements with these bitmaps (last axis: words) can share."""
-    only_x = np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
-    only_y = np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
-    return np.minimum(nx - only_x, ny - only_y)
+def bitmaps(sets: list[np.ndarray], width: int) -> np.ndarray:
+    """A row of words for each set: a bit for each hash, by its lowest digits."""
+    bits = np.zeros((len(sets), width), dtype=bool)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits[rows, (np.concatenate(sets) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def connect(labels: np.ndarray, sets: list[np.ndarray], up: np.ndarray, side: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Which labels links make one, as pairs (label, smallest label).
+
+    Sets that are both ``up`` are not compared (they meet in their own band), and only those of different sides
+    if ``cross``; sets of one label need no comparison.
+    """
+    names, label = np.unique(labels, return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    size, label, up, side = size[order], label[order], up[order], side[order]
+    sets = [sets[i] for i in order.tolist()]
+    merged = np.arange(len(names))
+    flat, first = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    reach = np.searchsorted(size, size * den // num, side="right")
+    width = np.array([min(WIDEST, max(64, 8 << int(s - 1).bit_length())) for s in size.tolist()])
+    bounds = np.flatnonzero(np.concatenate([[True], width[1:] != width[:-1], [True]]))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        rows = bitmaps(sets[a : int(reach[b - 1])], int(width[a]))
+        held = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        at = a
+        while at < b:
+            to = min(b, at + max(1, (1 << 19) // ((int(reach[at]) - at) * rows.shape[1] + 1)))
+            end = int(reach[to - 1])
+            x, y = slice(at - a, to - a), slice(at - a, end - a)
+            common = np.bitwise_count(rows[x, None] & rows[None, y]).sum(axis=2, dtype=np.int64)
+            bound = np.minimum(size[at:to, None] - held[x, None] + common, size[None, at:end] - held[None, y] + common)
+            passing = enough(bound, size[at:to, None] + size[None, at:end], num, den)
+            passing &= (np.arange(at, end)[None] > np.arange(at, to)[:, None]) & ~(up[at:to, None] & up[None, at:end])
+            if cross:
+                passing &= side[at:to, None] != side[None, at:end]
+            for i in np.flatnonzero(passing.any(axis=1)).tolist():
+                own = label[at + i]
+                near = at + np.flatnonzero(passing[i])
+                near = near[merged[label[near]] != merged[own]]
+                if not len(near):
+                    continue
+                n = size[near]
+                starts = np.cumsum(n) - n
+                theirs = flat[np.repeat(first[near] - starts, n) + np.arange(n.sum())]
+                mine = sets[at + i]
+                found = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                shared = np.add.reduceat(found, starts, dtype=np.int64)
+                linked = near[enough(shared, n + len(mine), num, den)]
+                if len(linked):
+                    groups = np.unique(merged[np.append(label[linked], own)])
+                    merged[np.isin(merged, groups)] = groups[0]
+            at = to
+    moved = np.flatnonzero(merged != np.arange(len(names)))
+    return list(zip(names[moved].tolist(), names[merged[moved]].tolist(), strict=True))
 
 
 def _texts(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n (size of its set), print (digest of the set), bits and brief (bitmaps; the narrower one for tiles)."""
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                sets = list(sets_of(_texts(batch, 1), n))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([bitmap(s, 2) for s in sets], pa.binary()),
-                ], names=["doc_id", "n", "print", "bits", "brief"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, print binary, bits binary, brief binary")
+def _part(digest: bytes) -> int:
+    """Tells apart different texts of one id."""
+    return int.from_bytes(digest[:3], "little") >> 1
 
 
-def _keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A row (key, doc_id) for every tile key; made anew from the texts, as they are larger than these."""
+def _sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, n (size of its set), part, print (digest of the set) and keys (its smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                keys = keys_of(list(sets_of(_texts(batch, 1), n)), num, den)
-                flat = np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]).view(np.int64)
-                owner = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k in keys])
-                for i in range(0, len(flat), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + (1 << 18)]), pa.array(owner[i : i + (1 << 18)])], names=["key", "doc_id"])
+                sets = list(sets_of(_texts(batch, 1), n))
+                sizes = np.array([len(s) for s in sets])
+                prints = [_digest(s) for s in sets]
+                given = shares(sizes, num, den)[0].tolist()
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array([_part(p) for p in prints], pa.int32()), pa.array(prints, pa.binary()), pa.array([s[:k].tobytes() for s, k in zip(sets, given, strict=True)], pa.binary()),
+                ], names=["doc_id", "n", "part", "print", "keys"])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+    return docs.mapInArrow(run, "doc_id long, n long, part int, print binary, keys binary")
 
 
 def _hashes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, part, n and hashes (the whole set)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets_of(_texts(batch, 1), n)], pa.binary())], names=["doc_id", "hashes"])
-
-    return docs.mapInArrow(run, "doc_id long, hashes binary")
-
+                sets = list(sets_of(_texts(batch, 1), n))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_part(_digest(s)) for s in sets], pa.int32()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "part", "n", "hashes"])
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """The columns of a partition, whose first one is a key, sorted by it; of keys with several rows only."""
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not parts:
-        return
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    order = np.argsort(cols[0], kind="stable")
-    key = cols[0][order]
-    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-    order = order[same[1:] | same[:-1]]
-    yield tuple(c[order] for c in cols)
+    return docs.mapInArrow(run, "doc_id long, part int, n long, hashes binary").where("n > 0")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of the keys that several documents have; keys of the same members become one, which counts them."""
-    for key, doc in _groups(batches):
-        if not len(key):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        same = mix(np.add.reduceat(mix(doc.view(np.uint64)), first) + size.astype(np.uint64))
-        same, at, times = np.unique(same, return_index=True, return_counts=True)
-        first, size = first[at], size[at]
-        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(same.view(np.int64), size)), pa.array(doc[place]), pa.array(np.repeat(times.astype(np.int64), size))], names=["key", "doc_id", "times"])
+def _heavy(firsts: DataFrame, most: int, least: int) -> np.ndarray:
+    """The heavy keys, commonest first: at most ``most``, whatever the number of documents.
 
+    A key that makes up one in ``most`` of all keys does so in some task's chunk; keys are added up over the
+    chunks that hold them twice. (What is missed has but one row in a chunk.)
+    """
+    total = (firsts.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0) // 8
+    floor = max(least, -(-total // most))
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bit counts first, then the sets of what remains."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.frombuffer(b"".join(held), dtype=np.int64), return_counts=True)
+            keep = n >= max(2, size * floor // max(1, total))
+            return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep])], names=["key", "n"])
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            keep = np.zeros(len(a), dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                width = min(len(x), len(y)) * 8
-                keep[i] = enough(min(na[i], nb[i]), na[i] + nb[i], num, den) and enough(bound(folded(x, width), folded(y, width), na[i], nb[i]), na[i] + nb[i], num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                keep.append(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), num, den))
-            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
-
-    one = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
-    near = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(passing, "a long, b long")
-    near = scratch.save(near, f"{name}-near")
-    ids = scratch.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    sets = scratch.save(_hashes(id_join(docs, ids, "doc_id", "left_semi"), n), f"{name}-sets")
-    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}"))
-    out = scratch.save(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(linked, "a long, b long"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
-
-
-def _spread(groups: DataFrame) -> DataFrame:
-    """Blocks of the tiles: (tile, side, doc_id, label) for each pair of blocks of a key's members."""
-    sized = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(sized, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("key", "doc_id", "label", "block", other)
-    return rows.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "label")
-
-
-def _pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places within groups, given each one's first place and size."""
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # within the group
-    left = np.repeat(first, size) + place
-    many = np.repeat(size, size) - 1 - place
-    of = np.repeat(np.arange(len(left)), many)
-    return left[of], left[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            for raw in batch.column(0).to_pylist():
+                held.append(raw)
+                size += len(raw) // 8
+                if size >= COUNTED:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
 
+    found = firsts.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+    rows = sorted(((r.n, r.key) for r in found.collect()), reverse=True)
+    return np.array([k for _, k in rows], dtype=np.int64).view(np.uint64)
 
-class _Bits:
-    """Bitmaps of a partition's documents, folded to a width when it is asked for."""
 
-    def __init__(self, raw: list[bytes]) -> None:
-        self.raw = raw
-        self.width = np.array([len(x) * 8 for x in raw])
+def _rows(firsts: DataFrame, heavy: np.ndarray, of_heavy: bool, num: int, den: int) -> DataFrame:
+    """Rows (key, doc_id, meta) of the keys that are not heavy, or of the heavy ones that cannot be dropped.
 
-    def passing(self, i: np.ndarray, j: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Which pairs of documents (numbers) can share enough."""
-        out = np.zeros(len(i), dtype=bool)
-        width = np.minimum(self.width[i], self.width[j])
-        for w in np.unique(width).tolist():
-            at = np.flatnonzero(width == w)
-            own, where = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-            rows = np.stack([folded(self.raw[d], w) for d in own.tolist()])
-            step = max(1, (1 << 22) // w)
-            for k in range(0, len(at), step):
-                p = at[k : k + step]
-                x, y = rows[where[k : k + len(p)]], rows[where[len(at) + k : len(at) + k + len(p)]]
-                out[p] = enough(bound(x, y, size[i[p]], size[j[p]]), size[i[p]] + size[j[p]], num, den)
-        return out
+    ``meta`` holds what may still be dropped (24 bits), twice the size band and whether linked sets may lie in the
+    next one (16 bits), and the part (23 bits).
+    """
+    by_key = np.argsort(heavy)
+    known = heavy[by_key]
+    low = np.array(edges(num, den))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                doc, size, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                raw = batch.column(3).to_pylist()
+                flat = np.frombuffer(b"".join(raw), dtype=np.uint64)
+                owner = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+                drop = np.minimum(shares(size, num, den)[1], LIMIT)
+                hot = np.zeros(len(flat), dtype=bool)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    hot = known[place] == flat
+                pick, left = np.flatnonzero(~hot), drop
+                if hot.any():
+                    at_hot = np.flatnonzero(hot)
+                    at_hot = at_hot[np.lexsort((by_key[place[at_hot]], owner[at_hot]))]
+                    own = owner[at_hot]
+                    nth = np.arange(len(own)) - np.searchsorted(own, own)
+                    left = np.maximum(drop - np.bincount(own, minlength=len(raw)), 0)
+                    if of_heavy:
+                        pick = at_hot[nth >= drop[own]]
+                elif of_heavy:
+                    continue
+                band = np.searchsorted(low, size, side="right") - 1
+                level = band * 2 + (low[band + 1] * num <= size * den)
+                meta = left.astype(np.int64) | (level << 24) | (part.astype(np.int64) << 40)
+                for i in range(0, len(pick), 1 << 18):
+                    p = pick[i : i + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[p].view(np.int64)), pa.array(doc[owner[p]]), pa.array(meta[owner[p]])], names=["key", "doc_id", "meta"])
+
+    return firsts.select("doc_id", "n", "part", "keys").mapInArrow(run, "key long, doc_id long, meta long")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those of keys with several rows, and these keys' numbers of rows."""
+
+    def several(cols: list[np.ndarray]) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]])) if len(cols[0]) else np.zeros(0, dtype=np.int64)
+        many = np.diff(np.append(first, len(cols[0])))
+        times = np.repeat(many, many)
+        return pa.RecordBatch.from_arrays([*(pa.array(c[times > 1]) for c in cols), pa.array(times[times > 1])], names=["key", "doc_id", "meta", "times"])
+
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut:
+            yield several([c[:cut] for c in cols])
+        held = [c[cut:] for c in cols]
+    if held is not None:
+        yield several(held)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of rows sorted by their first ``keys`` columns, one by one."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _compared(rows: DataFrame, keys: list[str], cross: bool, num: int, den: int) -> DataFrame:
+    """Labels (a, b) that become one in the groups of ``rows`` (keys, up, side, label, hashes)."""
 
-def _tiles(num: int, den: int):
-    """Compare the members of each tile that have different labels; members of one block meet those of the other.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in _grouped(batches, len(keys)):
+            up, side, label = (group.column(len(keys) + i).to_numpy() for i in range(3))
+            if len(label) > 1 and (label != label[0]).any():
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column(len(keys) + 3).to_pylist()]
+                out += connect(label, sets, up, side, cross, num, den)
+            if len(out) >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    rows = rows.select(*keys, "up", "side", "label", "hashes").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _tiles(firsts: DataFrame, scratch: Scratch, num: int, den: int, heavy_most: int, heavy_least: int) -> DataFrame:
+    """Members of the tiles of several documents, tiles of equal members once: tile, doc_id, part, up, m (members), rep (smallest)."""
+    heavy = _heavy(firsts, heavy_most, heavy_least)
+    light = _rows(firsts, heavy, False, num, den).repartition("key").sortWithinPartitions("key").mapInArrow(_counted, "key long, doc_id long, meta long, times long")
+    of_one = Window.partitionBy("doc_id", F.shiftright("meta", 40)).orderBy(F.desc("times"), "key")
+    kept = light.withColumn("nth", F.row_number().over(of_one)).where(F.col("nth") > F.col("meta").bitwiseAND(F.lit(LIMIT))).select("key", "doc_id", "meta")
+    if len(heavy):
+        kept = kept.union(_rows(firsts, heavy, True, num, den))
+    kept = scratch.save(kept, "kept")
+    level = F.shiftright("meta", 24).bitwiseAND(F.lit(0xFFFF))
+    kept = kept.select("key", "doc_id", F.shiftright("meta", 40).cast("int").alias("part"), F.shiftright(level, 1).alias("band"), level.bitwiseAND(F.lit(1)).alias("upper"))
+    own = F.struct(F.xxhash64("key", "band").alias("tile"), F.lit(False).alias("up"))
+    above = F.struct(F.xxhash64("key", F.col("band") + 1).alias("tile"), F.lit(True).alias("up"))
+    tiles = kept.select("doc_id", "part", F.explode(F.when(F.col("upper") == 1, F.array(own, above)).otherwise(F.array(own))).alias("x")).select("x.tile", "doc_id", "part", "x.up")
+    whole = tiles.groupBy("tile").agg(
+        F.count("*").alias("m"), F.sum(F.col("up").cast("long")).alias("ups"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"),
+        F.bit_xor(F.xxhash64("doc_id", "part", "up")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "up", "part", "doc_id")).alias("s2"),
+    ).where("m > ups and rep <> last")
+    chosen = whole.groupBy("s1", "s2", "m").agg(F.min(F.struct("tile", "rep")).alias("x")).select("x.tile", "x.rep", "m")
+    out = scratch.save(tiles.join(chosen, "tile").select("tile", "doc_id", "part", "up", "m", "rep"), "tiles")
+    scratch.drop("kept")
+    return out
 
-    Blocks with themselves are compared together, two blocks of a larger tile row by row.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        tile, side, doc, label, size = (table.column(i).to_numpy() for i in range(5))
-        ids, first, number = np.unique(doc, return_index=True, return_inverse=True)
-        bits, label, size = _Bits(table.column(5).take(pa.array(first)).to_pylist()), label[first], size[first]
-        order = np.lexsort((number, side, tile))
-        tile, side, number = tile[order], side[order], number[order]
-        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-        right = np.add.reduceat(side, cuts[:-1], dtype=np.int64)  # members of the second block
-
-        def fitting(i: np.ndarray, j: np.ndarray, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
-            keep = (label[i] != label[j]) & enough(np.minimum(size[i], size[j]), size[i] + size[j], num, den)
-            i, j = np.minimum(i[keep], j[keep]), np.maximum(i[keep], j[keep])
-            if not once:  # small tiles often repeat pairs
-                both = np.unique(i * len(ids) + j)
-                i, j = both // len(ids), both % len(ids)
-            keep = bits.passing(i, j, size, num, den)
-            return i[keep], j[keep]
-
-        own = np.flatnonzero(right == 0)
-        counts = np.diff(cuts)
-        found = []
-        small = own[counts[own] <= 64]
-        for part in np.array_split(small, max(1, int((counts[small] ** 2).sum()) >> 22)):
-            found.append(fitting(*(number[x] for x in _pairs(cuts[part], counts[part]))))
-        for t in own[counts[own] > 64]:
-            found.append(fitting(*(number[x] for x in _pairs(cuts[[t]], counts[[t]])), True))
-        for t in np.flatnonzero(right).tolist():
-            members = number[cuts[t] : cuts[t + 1]]
-            x, y = members[: len(members) - right[t]], members[len(members) - right[t] :]
-            found.append(fitting(np.repeat(x, len(y)), np.tile(y, len(x)), True))
-        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        both = np.unique(i * len(ids) + j)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[both // len(ids)]), pa.array(ids[both % len(ids)])], names=["a", "b"])
-
-    return run
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _larger(tiles: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, members: int, hashes: int, num: int, den: int) -> DataFrame:
+    """Links of the clusters that are too large to be compared at once: by tiles, whose blocks first meet themselves, then others."""
+    parts = ["doc_id", "part"]
+    sized = tiles.join(sets.select(*parts, "n"), parts).groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / hashes)).cast("int").alias("blocks"))
+    rows = tiles.select("tile", *parts, "up").join(sized, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = scratch.save(rows, "blocks")
+    sets = sets.select(*parts, "hashes")
+    inside = rows.join(sets, parts).select("tile", "block", "up", F.lit(False).alias("side"), F.col("doc_id").alias("label"), "hashes")
+    links = scratch.save(_compared(inside, ["tile", "block"], False, num, den).union(known), "links-inside")
+    cut = rows.where("blocks > 1")
+    if cut.isEmpty():
+        return links
+    labels = scratch.save(components(links, scratch, "inside"), "inside")
+    cut = cut.join(labels, cut.doc_id == labels.node, "left").select("tile", *parts, "up", "block", "blocks", F.coalesce("label", "doc_id").alias("label"))
+    mixed = cut.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("tile")
+    cut = cut.join(mixed, "tile").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    cut = cut.select("tile", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "up", (F.col("block") > F.col("other")).alias("side"), "label", *parts)
+    return links.union(scratch.save(_compared(cut.join(sets, parts), ["tile", "x", "y"], True, num, den), "links-across"))
+
+
+def _links(docs: DataFrame, tiles: DataFrame, scratch: Scratch, n: int, num: int, den: int, members: int, hashes: int) -> DataFrame:
+    """(a, b): labels of linked documents that become one."""
+    clusters = scratch.save(components(tiles.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), scratch, "clusters"), "clusters")
+    ids = clusters.select(F.col("node").alias("doc_id"))
+    sets = scratch.save(_hashes(id_join(docs, ids, "doc_id", "left_semi"), n), "hashes")
+    of = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
+    sizes = sets.select("doc_id", "n").join(of, "doc_id").groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    small = (F.col("m") <= members) & (F.col("n") <= hashes)
+    of = scratch.save(of.join(sizes.select("cluster", small.alias("small")), "cluster"), "sized")
+    rows = id_join(sets, of.where("small"), "doc_id", "inner").select("cluster", F.lit(False).alias("up"), F.lit(False).alias("side"), F.col("doc_id").alias("label"), "hashes")
+    links = scratch.save(_compared(rows, ["cluster"], False, num, den), "links")
+    large = of.where("not small").select("doc_id")
+    if not large.isEmpty():
+        links = _larger(id_join(tiles, large, "doc_id", "left_semi"), id_join(sets, large, "doc_id", "left_semi"), links, scratch, members, hashes, num, den)
+    return links
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100, members: int = MEMBERS, hashes: int = HASHES, heavy_most: int = HEAVY, heavy_least: int = HEAVY_LEAST) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id of an equal set), component_id (smallest id reachable by links).
 
-    Exact: links of any two documents with ``den * intersection >= num * union`` count, whatever the sizes of
-    groups. Words are runs of other than ASCII white space, A-Z as a-z; a text of fewer than ``n`` words is one
-    shingle; a text without words, null included, links with nothing. Rows with a null id form no links and
-    are returned with null class and component; rows with equal ids and texts count as copies.
+    Exact for any ``0 < num <= den``: links of any two documents with ``den * intersection >= num * union`` count,
+    whatever the sizes of groups; ties at the threshold link. Words are runs of other than ASCII white space,
+    A-Z as a-z; a text of fewer than ``n`` words is one shingle; a text without words, null included, links with
+    nothing. Texts of any length are taken whole. Rows with a null id form no links and are returned with null
+    class and component; rows with equal ids and texts count as copies, rows with equal ids and different texts as
+    one document, which links where any of its texts does. Each row of ``docs`` gives one row; its other
+    columns, whatever their names, are not returned. An empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = scratch.save(_sets(docs, n), "sets")
+    rows = ["doc_id", "part"]
+    sets = scratch.save(_sets(docs, n, num, den), "sets")
     there = sets.where("n > 0 and doc_id is not null")
     classes = there.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
-    known = scratch.save(there.select("doc_id", "print").join(classes.where("members > 1"), "print").select("doc_id", "class_id"), "classes")
-    copies = scratch.save(known.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    firsts = id_join(docs.where("doc_id is not null"), copies, "doc_id", "left_anti")
-    groups = scratch.save(_keys(firsts, n, num, den).repartition("key").mapInArrow(_shared, "key long, doc_id long, times long").groupBy("key", "doc_id").agg(F.sum("times").alias("times")), "groups")
-    ids = scratch.save(groups.select("doc_id").distinct(), "ids")
-    sizes = scratch.save(id_join(there.select("doc_id", "n", "bits", "brief"), ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "sizes")
-    # of the smallest members of a document's tiles the one that it meets most often: one pair for each document
-    met = groups.groupBy("key").agg(F.min("doc_id").alias("a")).join(groups, "key").where("a <> doc_id").groupBy("doc_id", "a").agg(F.sum("times").alias("n"))
-    star = met.groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("most")).select((-F.col("most.a")).alias("a"), "b")
-    links = _verified(star, docs, sizes, scratch, "star", n, num, den)
-    labels = scratch.save(components(links, scratch, "star-components"), "labels")
-    labelled = scratch.save(groups.join(labels, groups.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
-    scratch.drop("groups")
-    tiles = _spread(labelled).join(sizes, "doc_id").select("tile", "side", "doc_id", "label", "n", "brief").repartition("tile")
-    rest = scratch.save(tiles.mapInArrow(_tiles(num, den), "a long, b long").distinct(), "rest")
-    more = _verified(rest, docs, sizes, scratch, "rest", n, num, den)
-    whole = scratch.save(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "components"), "whole")
-    small = sets.select("doc_id", F.col("n").alias("n_shingles"))
-    # equal rows of one id are kept as they are
-    known = known.distinct()
-    out = small.join(known, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    known = scratch.save(there.select(*rows, "print").join(classes.where("members > 1"), "print").select(*rows, "class_id").distinct(), "classes")
+    copies = scratch.save(known.where("doc_id <> class_id").select(*rows), "copies")
+    again = scratch.save(there.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "again")
+    firsts = id_join(there.select(*rows, "n", "keys"), copies, rows, "left_anti")
+    repeated = not again.isEmpty()
+    if repeated:
+        firsts = id_join(firsts, again, "doc_id", "left_anti").union(id_join(firsts, again, "doc_id", "left_semi").dropDuplicates(rows))
+    tiles = _tiles(firsts, scratch, num, den, heavy_most, heavy_least)
+    links = _links(docs, tiles, scratch, n, num, den, members, hashes)
+    if repeated:
+        links = links.union(id_join(known, again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
+    whole = scratch.save(components(links, scratch, "components"), "whole")
+    scratch.drop("hashes")
+    out = sets.select(*rows, F.col("n").alias("n_shingles")).join(known, rows, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(whole, out.class_id == whole.node, "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"))

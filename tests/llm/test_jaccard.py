@@ -70,13 +70,32 @@ def corpus(seed, m=220):
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "n", "num"), [(1, 4, 85), (2, 5, 80), (3, 4, 60)])
-def test_brute_force(spark, monkeypatch, seed, n, num):
+@pytest.mark.parametrize(("seed", "n", "num", "limits"), [
+    (2, 5, 80, {}), (4, 4, 85, {"members": 8}), (5, 4, 40, {"members": 4, "hashes": 2000, "heavy_least": 5, "heavy_most": 1 << 14}),
+])
+def test_brute_force(spark, seed, n, num, limits):
+    """Whole, with heavy keys, and with clusters and tiles cut into blocks."""
     texts = corpus(seed)
-    df = spark.createDataFrame([(d, t, "x", 1) for d, t in texts.items()], "doc_id long, text string, label string, n int").repartition(3)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, n=n, num=num).collect()}
-    assert got == brute(texts, n, num, 100)
+    df = spark.createDataFrame([(d, t, "x", 1, 2) for d, t in texts.items()], "doc_id long, text string, label string, n int, component_id int").repartition(3)
+    out = jaccard.join(df, n=n, num=num, **limits)
+    assert out.columns == ["doc_id", "n_shingles", "class_id", "component_id"]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts, n, num, 100)
+
+
+def test_sizes_far_apart(spark):
+    """Sets of 8 and of 20 shingles that share 8: 40 of 100."""
+    words = [f"w{i}" for i in range(23)]
+    df = spark.createDataFrame([(1, " ".join(words[:11])), (2, " ".join(words)), (3, " ".join(words[4:15]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.join(df, n=4, num=40).collect()} == {1: 1, 2: 1, 3: 1}
+    assert {r.doc_id: r.component_id for r in jaccard.join(df.where("doc_id < 3"), n=4, num=41).collect()} == {1: 1, 2: 2}
+
+
+def test_repeated_ids(spark):
+    """Rows of one id and text are copies; an id with two texts links where either does."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(5, a), (5, a), (7, a), (5, b), (9, b + " more"), (4, c), (4, c), (3, "c0 " + c), (8, c + " x")]
+    got = sorted((r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 57, 3, 3), (4, 56, 4, 3), (4, 56, 4, 3), (5, 56, 5, 5), (5, 56, 5, 5), (5, 56, 5, 5), (7, 56, 5, 5), (8, 57, 8, 3), (9, 57, 9, 5)]
 
 
 def test_empty(spark):
@@ -85,29 +104,41 @@ def test_empty(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(1, 0, 1), (2, 0, 2), (None, 1, None)}
 
 
-def test_keys_meet():
-    """Linked sets of every size share a key, also where many ranges are light."""
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (40, 100), (1, 1)])
+def test_shares(num, den):
+    """What linked sets share of their keys is more than either may drop."""
     rng = np.random.default_rng(5)
-    for size in [1, 2, 3, 5, 6, 7, 10, 20, 50, 200, 1000, 9000]:
+    for size in [1, 2, 3, 5, 6, 7, 10, 20, 50, 200, 1000]:
         for _ in range(20):
-            x = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
-            x = np.unique(x)
-            drop = rng.integers(0, max(1, size * 15 // 100) + 1)
-            y = x[rng.permutation(len(x))[drop:]]
-            y = np.unique(np.concatenate([y, rng.integers(0, 1 << 63, max(0, (len(x) * 100 - 85 * len(x)) // 85 - drop), dtype=np.uint64)]))
-            if len(y) and jaccard.enough(len(np.intersect1d(x, y)), len(x) + len(y), 85, 100):
-                a, b = jaccard.keys_of([x, y], 85, 100)
-                assert len(np.intersect1d(a, b))
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            y = np.unique(np.concatenate([x[rng.permutation(len(x))[rng.integers(0, max(1, size * (den - num) // den) + 1) :]], rng.integers(0, 1 << 63, rng.integers(0, size // 5 + 1), dtype=np.uint64)]))
+            if len(y) and jaccard.enough(len(np.intersect1d(x, y)), len(x) + len(y), num, den):
+                given, drop = jaccard.shares(np.array([len(x), len(y)]), num, den)
+                assert len(np.intersect1d(x[: given[0]], y[: given[1]])) > drop.max()
+                band = np.searchsorted(jaccard.edges(num, den), [len(x), len(y)], side="right")
+                assert abs(band[0] - band[1]) <= 1
 
 
-def test_bound():
+@pytest.mark.parametrize("cross", [False, True])
+def test_connect(cross):
     rng = np.random.default_rng(6)
-    for _ in range(50):
-        pool = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
-        x, y = np.unique(rng.choice(pool, 150)), np.unique(rng.choice(pool, 90))
-        bx, by = jaccard.bitmap(x), jaccard.bitmap(y)
-        w = min(len(bx), len(by)) * 8
-        assert jaccard.bound(jaccard.folded(bx, w), jaccard.folded(by, w), len(x), len(y)) >= len(np.intersect1d(x, y))
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.unique(rng.choice(pool[: 100 * (1 + i % 4)], rng.integers(1, 300))) for i in range(120)]
+    sets += [np.unique(np.concatenate([s[rng.integers(0, 4) :], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for s in sets]
+    label, side, up = np.arange(len(sets)) + 1000, rng.random(len(sets)) < 0.5, rng.random(len(sets)) < 0.3
+    root = {int(x): int(x) for x in label}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if both * 100 >= 70 * (len(x) + len(y) - both) and not (up[i] and up[j]) and (not cross or side[i] != side[j]):
+                a, b = sorted((find(int(label[i])), find(int(label[j]))))
+                root[b] = a
+    got = dict(jaccard.connect(label, sets, up, side, cross, 70, 100))
+    assert {int(x): got.get(int(x), int(x)) for x in label} == {int(x): find(int(x)) for x in label}
 
 
 def test_long_texts(monkeypatch):
