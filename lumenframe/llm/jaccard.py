@@ -35,7 +35,7 @@ MORE = 10
 #: A key is heavy if more than one in so many keys is this one (and so many at least): there are at most so many of them.
 HEAVY, HEAVY_LEAST = 1 << 18, 1024
 #: Keys counted at once in search of heavy ones.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 WIDEST = 1 << 17
 LIMIT = (1 << 24) - 1
 
