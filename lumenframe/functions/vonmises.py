@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,14 +38,41 @@ def cdf(theta: np.ndarray, mu: float, kappa: float, terms: int | None = None) ->
     return f(theta - mu % TAU) - f(-(mu % TAU))
 
 
+def bisect(f: Callable[[np.ndarray], np.ndarray], target: np.ndarray, low: float, high: float, rounds: int = 60) -> np.ndarray:
+    """Where a function that grows from ``low`` to ``high`` reaches each target."""
+    a, b = np.full(len(target), low), np.full(len(target), high)
+    for _ in range(rounds):
+        mid = (a + b) / 2
+        less = f(mid) < target
+        a, b = np.where(less, mid, a), np.where(less, b, mid)
+    return (a + b) / 2
+
+
 def quantile(p: np.ndarray, mu: float, kappa: float) -> np.ndarray:
-    """Angle in [0, 2 pi] with the given probability, by bisection."""
-    low, high = np.zeros(len(p)), np.full(len(p), TAU - 1e-15)
-    for _ in range(60):
-        mid = (low + high) / 2
-        less = cdf(mid, mu, kappa) < p
-        low, high = np.where(less, mid, low), np.where(less, high, mid)
-    return (low + high) / 2
+    """Angle in [0, 2 pi] with the given probability."""
+    return bisect(lambda t: cdf(t, mu, kappa), p, 0.0, TAU - 1e-15)
+
+
+def cardioid_quantile(p: np.ndarray, rho: float) -> np.ndarray:
+    """Of the cardioid distribution around 0."""
+    return bisect(lambda t: (t + 2 * rho * np.sin(t)) / TAU, p, 0.0, TAU)
+
+
+def triangular_quantile(p: np.ndarray, rho: float) -> np.ndarray:
+    """Of the triangular distribution, which is highest at 0 and symmetric."""
+    def half(t: np.ndarray) -> np.ndarray:
+        return (4 * t - math.pi**2 * rho * t + TAU * rho * (math.pi * t - t * t / 2)) / (8 * math.pi)
+
+    return bisect(lambda t: np.where(t <= math.pi, half(t), 1 - half(TAU - t)), p, 0.0, TAU)
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """Probability that a chi-square value of ``df`` degrees of freedom is above x."""
+    if x <= 0:
+        return 1.0
+    h, odd = x / 2, df % 2
+    terms = sum(math.exp((k + odd / 2) * math.log(h) - h - math.lgamma(k + 1 + odd / 2)) for k in range((df - odd) // 2))
+    return min(1.0, terms + (math.erfc(math.sqrt(h)) if odd else 0.0))
 
 
 def cdf_column(x: Column, mu: float, kappa: float) -> Column:
@@ -55,6 +83,34 @@ def quantile_column(p: Column, mu: float, kappa: float) -> Column:
     return F.pandas_udf(lambda s: pd.Series(quantile(s.to_numpy(), mu, kappa)), "double")(p)
 
 
+def mixed_cdf_column(x: Column, mu: float, kappa: float, mu2: float, kappa2: float, share: float) -> Column:
+    return F.pandas_udf(lambda s: pd.Series(share * cdf(s.to_numpy(), mu, kappa) + (1 - share) * cdf(s.to_numpy(), mu2, kappa2)), "double")(x)
+
+
+def fitted(edf: DataFrame, summary: DataFrame, fits: DataFrame) -> DataFrame:
+    """Data of a probability plot: empirical (i / (n + 1)) and fitted von Mises probabilities of rows (g, x, f), given n and mu, kappa of each g."""
+    def fitted_cdf(x: pd.Series, mu: pd.Series, kappa: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        for m, k in set(zip(mu[kappa.notna()], kappa[kappa.notna()], strict=True)):
+            at = ((mu == m) & (kappa == k)).to_numpy()
+            out[at] = cdf(x.to_numpy()[at], m, k)
+        return pd.Series(out)
+
+    rows = edf.join(summary.select("g", "n"), "g").join(fits, "g")
+    return rows.select("g", "x", (F.col("f") * F.col("n") / (F.col("n") + 1)).alias("empirical"), F.pandas_udf(fitted_cdf, "double")("x", "mu", "kappa").alias("fitted"))
+
+
+def correlation_test(cor: DataFrame) -> DataFrame:
+    """Adds the two-sided p_value of a circular correlation's test_stat."""
+    return cor.withColumn("p_value", 2 * (1 - normal_cdf(F.abs("test_stat"))))
+
+
+def homogeneity_test(rao: DataFrame) -> DataFrame:
+    """Adds the p-values of Rao's tests of homogeneity, from their chi-square statistics."""
+    tail = F.pandas_udf(lambda h, df: pd.Series([chi_square_tail(x, int(k)) if x == x else None for x, k in zip(h, df, strict=True)], dtype="float64"), "double")
+    return rao.withColumns({"p_polar": tail("h_polar", "df"), "p_disp": tail("h_disp", "df")})
+
+
 def normal_cdf(z: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None), "double")(z)
 
@@ -140,5 +196,6 @@ def draws(ids: DataFrame, mu: float = 1.0, kappa: float = 2.0, rho: float = 0.5,
     stable = F.sin(alpha * v) / F.cos(v) ** (1 / alpha) * (F.cos((1 - alpha) * v) / w) ** ((1 - alpha) / alpha)
     mixture = F.when(u(6) < 0.5, quantile_column(u(5), mu, kappa)).otherwise(quantile_column(u(5), mu + math.pi, kappa))
     return ids.select(
-        "id", quantile_column(u(5), mu, kappa).alias("von_mises"), mixture.alias("mixed"), wrap(mu + math.sqrt(-2 * math.log(rho)) * normal).alias("wrapped_normal"), wrap(mu - math.log(rho) * F.tan(math.pi * (u(7) - 0.5))).alias("wrapped_cauchy"), wrap(stable).alias("wrapped_stable"),
+        "id", quantile_column(u(5), mu, kappa).alias("von_mises"), mixture.alias("mixed"), wrap(mu + math.sqrt(-2 * math.log(rho)) * normal).alias("wrapped_normal"), wrap(mu - math.log(rho) * F.tan(math.pi * (u(7) - 0.5))).alias("wrapped_cauchy"), wrap(stable).alias("wrapped_stable"), stable.alias("stable"),
+        wrap(mu + F.pandas_udf(lambda p: pd.Series(cardioid_quantile(p.to_numpy(), rho * 0.9)), "double")(u(8))).alias("cardioid"), F.pandas_udf(lambda p: pd.Series(triangular_quantile(p.to_numpy(), 0.2)), "double")(u(9)).alias("triangular"),
     )

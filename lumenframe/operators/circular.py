@@ -132,6 +132,9 @@ bessel_ratio = SqlOp(f"""
 select k, round(i0, 6) as i0, round(i1, 6) as i1, round(i2, 6) as i2, round(i1 / i0, 6) as a1, round({a1inv('(i1 / i0)')}, 6) as a1inv
 from (select k, {bessel(0, 'k')} as i0, {bessel(1, 'k')} as i1, {bessel(2, 'k')} as i2 from {{kappas}})""")
 
+#: Ways to choose k of n, n up to 20; 0 where k is above n.
+binomial = SqlOp("select n, k, case when k > n then 0 else cast(round(factorial(cast(n as int)) / cast(factorial(cast(k as int)) * factorial(cast(greatest(n - k, 0) as int)) as double)) as bigint) end as ways from {numbers}")
+
 
 def wrapped_normal(x: str, mu: str, rho: str, terms: int = 8) -> str:
     var = f"(-2 * ln({rho}))"

@@ -27,20 +27,27 @@ def _linear(c: str) -> str:
     return f"(case when {c} <= 0.04045e0 then {c} / 12.92e0 else pow(({c} + 0.055e0) / 1.055e0, 2.4e0) end)"
 
 
-XYZ = "select *, " + ", ".join(
-    f"{a}e0 * {_linear('r')} + {b}e0 * {_linear('g')} + {c}e0 * {_linear('b')} as {n}"
-    for n, a, b, c in (("x", 0.4124564, 0.3575761, 0.1804375), ("y", 0.2126729, 0.7151522, 0.0721750), ("z", 0.0193339, 0.1191920, 0.9503041))
-) + " from {px}"
+def _xyz(of) -> str:
+    return "select *, " + ", ".join(
+        f"{a}e0 * {of('r')} + {b}e0 * {of('g')} + {c}e0 * {of('b')} as {n}"
+        for n, a, b, c in (("x", 0.4124564, 0.3575761, 0.1804375), ("y", 0.2126729, 0.7151522, 0.0721750), ("z", 0.0193339, 0.1191920, 0.9503041))
+    ) + " from {px}"
+
+
+XYZ = _xyz(_linear)
 
 # D65 white point in u', v'
 _UN, _VN = 4 * 0.312713 / (-2 * 0.312713 + 12 * 0.329016 + 3), 9 * 0.329016 / (-2 * 0.312713 + 12 * 0.329016 + 3)
 LUV = f"""select *, case when s = 0 then null else 13 * l * (4 * x / s - {_UN!r}e0) end as u, case when s = 0 then null else 13 * l * (9 * y / s - {_VN!r}e0) end as v
 from (select *, case when y <= 216e0 / 24389e0 then y * 24389e0 / 27e0 else 116 * pow(y, 1e0 / 3e0) - 16 end as l, x + 15 * y + 3 * z as s from ({XYZ}))"""
 
-hsv_pixels = SqlOp(f"select {KEY}, round(hue, 6) as hue, round(sat, 6) as sat, round(val, 6) as val from ({HSV})")
+#: ``radians`` 1 for hues in radians instead of degrees, ``max_value`` for saturations and values up to another bound than 1.
+hsv_pixels = SqlOp(f"select {KEY}, round(case when :radians = 1 then radians(hue) else hue end, 6) as hue, round(sat * :max_value, 6) as sat, round(val * :max_value, 6) as val from ({HSV})", radians=0, max_value=1.0)
 _R, _G, _B = _rgb("coalesce(hue, :na_hue)", "sat", "val")
 rgb_roundtrip = SqlOp(f"select {KEY}, round({_R}, 6) as r, round({_G}, 6) as g, round({_B}, 6) as b from ({HSV})", na_hue=0.0)
 xyz_pixels = SqlOp(f"select {KEY}, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from ({XYZ})")
+#: The same of values that are linear already.
+xyz_plain = SqlOp(f"select {KEY}, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from ({_xyz(str)})")
 xyy_pixels = SqlOp(f"select {KEY}, round(x / nullif(x + y + z, 0), 6) as x, round(y / nullif(x + y + z, 0), 6) as y, round(y, 6) as big_y from ({XYZ})")
 luv_pixels = SqlOp(f"select {KEY}, round(l, 5) + 0e0 as l, round(u, 5) + 0e0 as u, round(v, 5) + 0e0 as v from ({LUV})")
 _R, _G, _B = _rgb("coalesce(hue, 0e0)", "(case when hue is null then :na_sat else 1e0 end)", "(case when hue is null then :na_val else 1e0 end)")
@@ -68,11 +75,23 @@ exposure_contrast = SqlOp(f"""
 select photo_id, round(case when m between 0 and 1 then 4 * m * (1 - m) else 0 end, 6) as exposure, round(sd, 6) as rms_contrast, round(hi - lo, 6) as interval_contrast
 from (select photo_id, avg(lum) as m, stddev_samp(lum) as sd, percentile(lum, 0.975) as hi, percentile(lum, 0.025) as lo from (select photo_id, {LUM} as lum from {{px}}) group by photo_id)""")
 
+class Buckets(SqlOp):
+    """Counts of n by n by n colour buckets, n from 1 to MOST."""
+
+    MOST = 32
+
+    def text(self, **params: float) -> str:
+        n = (self.defaults | params)["n"]
+        if not 1 <= n <= self.MOST:
+            raise ValueError(f"n has to be from 1 to {self.MOST}: {n}")
+        return super().text(**params)
+
+
 _N = ":n"
-color_buckets = SqlOp(f"""
+color_buckets = Buckets(f"""
 with c as (select photo_id, cast(least(floor(b * {_N}), {_N} - 1) * {_N} * {_N} + least(floor(g * {_N}), {_N} - 1) * {_N} + least(floor(r * {_N}), {_N} - 1) as int) + 1 as bucket, count(*) as n from {{px}} group by 1, 2),
 ids as (select distinct photo_id from {{px}}),
-digits as (select distinct n from (values {", ".join(f"({i})" for i in range(8))}) t(n) where n < {_N}),
+digits as (select distinct n from (values {", ".join(f"({i})" for i in range(Buckets.MOST))}) t(n) where n < {_N}),
 buckets as (select x.n * {_N} * {_N} + y.n * {_N} + z.n + 1 as bucket from digits x cross join digits y cross join digits z)
 select ids.photo_id, buckets.bucket, coalesce(c.n, 0) as n from ids cross join buckets left join c on c.photo_id = ids.photo_id and c.bucket = buckets.bucket""", n=4)
 

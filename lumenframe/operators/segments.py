@@ -83,8 +83,22 @@ elias_delta = SqlOp("select n, length(bin(n)) - 1 + 2 * (length(bin(length(bin(n
 
 # geometry over fixed shapes: a clockwise hull and a line segment in pixel coordinates
 _HULL = [(3, 4), (4, 20), (9, 28), (13, 22), (14, 9), (8, 3)]
-_FACETS = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_HULL, _HULL[1:] + _HULL[:1], strict=True))
-hull_inside = SqlOp(f"select photo_id, rw, cl, bool_and((x2 - x1) * (rw - y1) - (y2 - y1) * (cl - x1) <= 0) as inside from {{px}} cross join (values {_FACETS}) f(x1, y1, x2, y2) group by photo_id, rw, cl")
+
+
+def _cross(a: tuple[float, float], b: tuple[float, float]) -> str:
+    """Twice the signed area of the triangle of a, b and a pixel (x: cl, y: rw)."""
+    return f"({b[0] - a[0]} * (rw - {a[1]}) - {b[1] - a[1]} * (cl - {a[0]}))"
+
+
+def inside_hull(hull: list[tuple[float, float]]) -> SqlOp:
+    """Whether a pixel lies in a convex hull of (x, y) in clockwise order, its edge included: a comparison for each facet."""
+    facets = zip(hull, hull[1:] + hull[:1], strict=True)
+    return SqlOp(f"select photo_id, rw, cl, {' and '.join(f'{_cross(a, b)} <= 0' for a, b in facets)} as inside from {{px}}")
+
+
+hull_inside = inside_hull(_HULL)
+#: The turn from a segment to each pixel: cross product, clockwise, counterclockwise.
+turns = SqlOp(f"select photo_id, rw, cl, c as cross_product, c < 0 as clockwise, c > 0 as counterclockwise from (select photo_id, rw, cl, {_cross(_HULL[0], _HULL[2])} as c from {{px}})")
 hull_area = SqlOp("""
 with b as (select photo_id, segment_id, min(cl) as x0, max(cl) as x1, min(rw) as y0, max(rw) as y1 from {segments} group by 1, 2),
 p as (select photo_id, segment_id, t.i, case when t.i in (1, 2) then x0 else x1 + 1 end as x, case when t.i in (2, 3) then y1 + 1 else y0 end as y from b cross join (values (1), (2), (3), (4)) t(i)),

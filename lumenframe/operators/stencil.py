@@ -165,19 +165,36 @@ d as (select photo_id, channel, abs(hh) + abs(hl) + abs(lh) as detail, case when
 select photo_id, channel, round(case when sum(detail) = 0 then 0 else sum(detail * middle) / sum(detail) / (sum(middle) / cast(count(*) as double)) - 1 end, 5) + 0e0 as dof from d group by photo_id, channel""")
 
 
-def conv2(weights: list[list[float]], value: str = LUM) -> SqlOp:
-    """Two-dimensional convolution with any odd kernel, zero beyond the edge.
+def conv2(weights: list[list[float]], value: str = LUM, shape: str = "same", pad: float = 0.0) -> SqlOp:
+    """Two-dimensional convolution with any odd kernel; beyond the edge lies ``pad``.
 
-    Every pixel sends its weighted value to the places around it, and places sum what they get: one aggregation
-    with partial sums, no join of pixels with pixels. Separable kernels are cheaper as two passes of ``conv``.
+    ``shape`` is that of the result: ``same`` as the photo, ``full`` (every place a pixel reaches), or ``valid``
+    (places whose kernel lies inside). Every pixel sends its weighted value to the places around it, and places
+    sum what they get: one aggregation with partial sums, no join of pixels with pixels. Separable kernels are
+    cheaper as two passes of ``conv``.
     """
     n, m = len(weights), len(weights[0])
     if n % 2 == 0 or m % 2 == 0 or any(len(row) != m for row in weights):
         raise ValueError("kernels have odd sizes")
+    if shape not in ("same", "full", "valid"):
+        raise ValueError(f"no such shape: {shape}")
+    out = {"same": 0, "full": 1, "valid": -1}[shape]
+    down, right = out * (n // 2), out * (m // 2)
+    total = sum(map(sum, weights))
     taps = ", ".join(f"({i - n // 2}, {j - m // 2}, cast({w!r} as double))" for i, row in enumerate(weights) for j, w in enumerate(row) if w)
     return SqlOp(f"""
-select photo_id, rw, cl, round(sum(x), 6) + 0e0 as v from (select photo_id, h, w, rw + dr as rw, cl + dc as cl, weight * {value} as x from {{px}} cross join (values {taps}) k(dr, dc, weight))
-where rw between 1 and h and cl between 1 and w group by photo_id, rw, cl""")
+select photo_id, rw + {down} as rw, cl + {right} as cl, round(sum(x) + {pad!r}e0 * ({total!r}e0 - sum(weight)), 6) + 0e0 as v
+from (select photo_id, h, w, rw + dr as rw, cl + dc as cl, weight, weight * {value} as x from {{px}} cross join (values {taps}) k(dr, dc, weight))
+where rw between 1 - {down} and h + {down} and cl between 1 - {right} and w + {right} group by photo_id, rw, cl""")
 
 
-emboss = conv2([[-1.0, -2.0, -1.0], [0.0, 0.0, 0.0], [1.0, 2.0, 1.0]])
+def gaussian_kernel(n: int, sigma: float) -> list[list[float]]:
+    """Weights of a two-dimensional Gaussian of n by n places, which sum to 1."""
+    side = [math.exp(-((i - (n - 1) / 2) ** 2) / (2 * sigma * sigma)) for i in range(n)]
+    return [[a * b / sum(side) ** 2 for b in side] for a in side]
+
+
+_EMBOSS = [[-1.0, -2.0, -1.0], [0.0, 0.0, 0.0], [1.0, 2.0, 1.0]]
+emboss = conv2(_EMBOSS)
+emboss_full, emboss_valid, emboss_padded = conv2(_EMBOSS, shape="full"), conv2(_EMBOSS, shape="valid"), conv2([[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]], pad=0.5)
+gaussian_blur_2d = conv2(gaussian_kernel(5, 1.2))

@@ -27,7 +27,7 @@ def register(name: str, op: SqlOp, views: dict[str, tuple[Callable[[SparkSession
 
 
 for _module, _names in (
-    (color, "exposure_contrast hsv_pixels rgb_roundtrip xyz_pixels xyy_pixels luv_pixels bright_rgb rescaled luminosity channel_math argb_pack hsv_averages hsv_central_averages size_aspect color_buckets dominant_hue hue_histogram"),
+    (color, "exposure_contrast hsv_pixels rgb_roundtrip xyz_pixels xyz_plain xyy_pixels luv_pixels bright_rgb rescaled luminosity channel_math argb_pack hsv_averages hsv_central_averages size_aspect color_buckets dominant_hue hue_histogram"),
     (stencil, "mean_blur gaussian_blur adjust_blur sharp_blur_amount sobel_edges blur_annoyance local_extrema otsu edge_midpoints mdwe wavelet_texture wavelet_dof"),
 ):
     for _name in _names.split():
@@ -110,7 +110,16 @@ QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_ANGLES
 QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir))
 QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
 
-register("emboss", stencil.emboss)
+QUERIES["vm_mixed_cdf"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.mixed_cdf_column(F.col("x"), 1.0, 2.5, 4.0, 1.5, 0.6).alias("p"))
+QUERIES["pp_data"] = lambda spark, sf_dir: vonmises.fitted(QUERIES["edf"](spark, sf_dir), QUERIES["circ_summary"](spark, sf_dir), QUERIES["vm_ml"](spark, sf_dir))
+QUERIES["circ_cor_test"] = lambda spark, sf_dir: vonmises.correlation_test(QUERIES["circ_cor"](spark, sf_dir))
+QUERIES["rao_homogeneity_test"] = lambda spark, sf_dir: vonmises.homogeneity_test(QUERIES["rao_homogeneity"](spark, sf_dir))
+
+for _name in "emboss emboss_full emboss_valid emboss_padded gaussian_blur_2d".split():
+    register(_name, getattr(stencil, _name))
+register("hsv_radians", color.hsv_pixels, radians=1, max_value=255.0)
+register("turns", segments.turns)
+register("binomial", circular.binomial, {"numbers": _view("select distinct user_id % 16 as n, user_id * 7 % 5 as k from {angles}")})
 _DIGITS = "(values (0), (1), (2), (3))"
 _BUCKETS = f"select z.n * 16 + y.n * 4 + x.n + 1 as photo_id, 1 as h, 1 as w, 1 as rw, 1 as cl, (x.n + 0.5e0) / 4 as r, (y.n + 0.5e0) / 4 as g, (z.n + 0.5e0) / 4 as b from {_DIGITS} x(n) cross join {_DIGITS} y(n) cross join {_DIGITS} z(n)"
 register("bucket_luv", color.luv_pixels, {"px": (lambda spark, sf_dir: spark.sql(_BUCKETS), _BUCKETS)})

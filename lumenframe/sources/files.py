@@ -28,7 +28,9 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_measures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=";", header=True, nullValue="NA", inferSchema=True)
+    """Measures by the names in the header; Photo is an integer, all others are numbers, so nothing is inferred from the rows."""
+    rows = spark.read.csv(path, sep=";", header=True, nullValue="NA")
+    return rows.select(*[F.col(f"`{c}`").cast("bigint" if c.lower() in ("photo", "photo_id") else "double").alias(c) for c in rows.columns])
 
 
 def write_measures(df: DataFrame, path: str) -> None:

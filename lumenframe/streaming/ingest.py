@@ -10,12 +10,15 @@ from ..sources import files
 
 
 def measure_arrivals(spark: SparkSession, path: str, target: str, checkpoint: str, measure=color.exposure_contrast) -> StreamingQuery:
-    """Append the measures of photos that arrive under ``path`` to Parquet files, batch by batch."""
+    """Write the measures of photos that arrive under ``path`` as Parquet, each batch to a folder of its own.
+
+    A batch that is repeated after a failure overwrites its own folder, so no photo is counted twice.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
         paths = [r.path for r in df.select("path").collect()]  # file names of one trigger, bounded by maxFilesPerTrigger
         if paths:
-            measure(files.read_images(spark, paths)).write.mode("append").parquet(target)
+            measure(files.read_images(spark, paths)).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
     arrivals = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 1000).load(path).select("path")
     return arrivals.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

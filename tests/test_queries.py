@@ -1,10 +1,13 @@
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 from lumenframe.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = "exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links".split()
+FEW = "exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links emboss_full emboss_valid emboss_padded gaussian_blur_2d hsv_radians xyz_plain turns binomial hull_inside color_buckets".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +33,32 @@ def test_measure_record(spark, small):
     assert len(df.columns) >= 70 and df.count() == 10
 
 
+def test_probabilities(spark, small):
+    """Probability plots of a fit that is no worse than uniform; p-values; draws within the circle."""
+    rows = catalog.QUERIES["pp_data"](spark, small).collect()
+    assert rows and all(0 < r.empirical < 1 and (r.fitted is None or -1e-9 <= r.fitted <= 1 + 1e-9) for r in rows)
+    for name, cols in (("circ_cor_test", ["p_value"]), ("rao_homogeneity_test", ["p_polar", "p_disp"]), ("vm_mixed_cdf", ["p"])):
+        assert all(-1e-9 <= r[c] <= 1 + 1e-9 for r in catalog.QUERIES[name](spark, small).collect() for c in cols)
+    drawn = catalog.QUERIES["random_circular"](spark, small)
+    assert all(0 <= r[c] <= 2 * math.pi for r in drawn.collect() for c in drawn.columns if c not in ("id", "stable"))
+
+
+def test_distributions():
+    from lumenframe.functions import vonmises
+
+    assert abs(vonmises.chi_square_tail(3.841459, 1) - 0.05) < 1e-6 and abs(vonmises.chi_square_tail(9.487729, 4) - 0.05) < 1e-6 and abs(vonmises.chi_square_tail(11.0705, 5) - 0.05) < 1e-6
+    p = np.array([0.01, 0.3, 0.5, 0.9])
+    t = vonmises.cardioid_quantile(p, 0.4)
+    assert np.allclose((t + 0.8 * np.sin(t)) / (2 * math.pi), p) and abs(vonmises.triangular_quantile(np.array([0.5]), 0.2)[0] - math.pi) < 1e-9
+
+
+def test_too_many_buckets(spark):
+    from lumenframe.operators import color
+
+    with pytest.raises(ValueError):
+        color.color_buckets.text(n=33)
+
+
 @pytest.mark.parametrize("name", ["circ_reg", "colorfulness", "colorfulness_grey", "kmeanspp", "region_composition"])
 def test_runs(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
