@@ -112,8 +112,16 @@ _DOT = "((cl - :x1) * (:x2 - :x1) + (rw - :y1) * (:y2 - :y1))"
 line_distance = SqlOp(f"select photo_id, rw, cl, round({_LINE}, 6) as to_line, round(case when {_DOT} <= 0 then {_D1} when {_DOT} >= pow(:x2 - :x1, 2) + pow(:y2 - :y1, 2) then {_D2} else {_LINE} end, 6) as to_segment from {{px}}", x1=2.0, y1=3.0, x2=11.0, y2=25.0)
 
 
-def dispersion(dominant: DataFrame) -> DataFrame:
-    """Mean distance of two pixels drawn from a photo's dominant ones, exactly, by the counts of all displacements."""
+def grid_distance(h: int, w: int) -> float:
+    """Mean distance of two places drawn from a whole raster, with replacement."""
+    r, c = np.arange(h), np.arange(w)
+    rows, cols = np.where(r, 2.0, 1.0) * (h - r), np.where(c, 2.0, 1.0) * (w - c)
+    return float((rows[:, None] * cols[None, :] * np.hypot(r[:, None], c[None, :])).sum() / (float(h) * w) ** 2)
+
+
+def spread(dominant: DataFrame) -> DataFrame:
+    """Mean distance of two pixels drawn from a photo's dominant ones, exactly, by the counts of all displacements (ds), and
+    its share of the same of all pixels, at most 1 (norm_ds)."""
 
     def rows(photo, h, w, m):
         mask = np.zeros((2 * h, 2 * w))
@@ -121,9 +129,14 @@ def dispersion(dominant: DataFrame) -> DataFrame:
         f = np.fft.rfft2(mask)
         n = np.rint(np.fft.irfft2(f * np.conj(f), s=mask.shape))
         dr, dc = np.minimum(np.arange(2 * h), 2 * h - np.arange(2 * h)), np.minimum(np.arange(2 * w), 2 * w - np.arange(2 * w))
-        return {"photo_id": [photo], "ds": [round(float((n * np.hypot(dr[:, None], dc[None, :])).sum() / n.sum()), 6)]}
+        ds, whole = float((n * np.hypot(dr[:, None], dc[None, :])).sum() / n.sum()), grid_distance(h, w)
+        return {"photo_id": [photo], "ds": [round(ds, 6)], "norm_ds": [round(min(1.0, ds / whole), 6) if whole else None]}
 
-    return per_photo(dominant, ["dominant"], rows, "photo_id long, ds double")
+    return per_photo(dominant, ["dominant"], rows, "photo_id long, ds double, norm_ds double")
+
+
+def dispersion(dominant: DataFrame) -> DataFrame:
+    return spread(dominant).select("photo_id", "ds")
 
 
 def convexity(segments: DataFrame) -> DataFrame:

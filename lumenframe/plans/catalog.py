@@ -81,6 +81,16 @@ SQL["dominant_hue_dispersion"] = f"""
 with d as ({color.dominant_pixels.ansi({"px": tables.ANSI["px"]})}),
 shift as (select a.photo_id, a.rw - b.rw as dr, a.cl - b.cl as dc, count(*) as n from d a join d b on a.photo_id = b.photo_id group by 1, 2, 3)
 select photo_id, round(sum(n * sqrt(dr * dr + dc * dc)) / sum(n), 6) as ds from shift group by photo_id"""
+QUERIES["dominant_hue_spread"] = lambda spark, sf_dir: segments.spread(color.dominant_pixels(tables.px(spark, sf_dir)))
+SQL["dominant_hue_spread"] = f"""
+with d as ({color.dominant_pixels.ansi({"px": tables.ANSI["px"]})}),
+shift as (select a.photo_id, a.rw - b.rw as dr, a.cl - b.cl as dc, count(*) as n from d a join d b on a.photo_id = b.photo_id group by 1, 2, 3),
+sizes as (select distinct h, w from d),
+places as (select h, w, unnest(range(h)) as r from sizes),
+pairs as (select h, w, r, unnest(range(w)) as c from places),
+grid as (select h, w, sum((case when r = 0 then 1 else 2 end) * (h - r) * (case when c = 0 then 1 else 2 end) * (w - c) * sqrt(r * r + c * c)) / pow(h * w, 2) as whole from pairs group by h, w),
+ds as (select photo_id, sum(n * sqrt(dr * dr + dc * dc)) / sum(n) as ds from shift group by photo_id)
+select ds.photo_id, round(ds, 6) as ds, round(least(1, ds / whole), 6) as norm_ds from ds join (select distinct photo_id, h, w from d) p on ds.photo_id = p.photo_id join grid on grid.h = p.h and grid.w = p.w"""
 QUERIES["shape_convexity"] = lambda spark, sf_dir: segments.convexity(_segments(spark, sf_dir))
 QUERIES["rle2d"] = lambda spark, sf_dir: segments.rle(_clusters(spark, sf_dir))
 QUERIES["mdl_rle2d"] = lambda spark, sf_dir: segments.rle_bits(_clusters(spark, sf_dir))

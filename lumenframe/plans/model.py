@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -61,8 +62,13 @@ def _wide(df: DataFrame, values: dict[str, str], suffix: str) -> DataFrame:
 
 
 def measure_record(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFrame:
-    """One row of measures a photo: native aggregates joined on photo_id with the grouped-map ones."""
-    seg = segments.segmentation(px, k_max, restarts)
+    """One row of 71 measures a photo: native aggregates joined on photo_id with the grouped-map ones.
+
+    The pixels and the segmentation, the dearest step, are read by many measures, so they are kept (in memory, or on
+    disk beyond it) once made; ``spark.catalog.clearCache()`` lets go of them.
+    """
+    px = px.persist(StorageLevel.MEMORY_AND_DISK)
+    seg = segments.segmentation(px, k_max, restarts).persist(StorageLevel.MEMORY_AND_DISK)
     top, place = segments.top5_segments(seg, px), segments.segment_positions(seg)
     pivot = lambda df, cols: df.groupBy("photo_id").agg(*[F.max(F.when(F.col("place") == i, F.col(c))).alias(f"{n}{i}") for c, n in cols.items() for i in range(1, 6)])
     parts = [
@@ -82,6 +88,6 @@ def measure_record(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFra
         pivot(place, {"position": "PositionPatch", "distance": "DistanceFromCenterPatch"}),
         segments.convexity(seg).toDF("photo_id", "ShapeConvexity"),
         color.dominant_hue(px).toDF("photo_id", "DdcMean", "DdcCompactness", "DdcDominance"),
-        segments.dispersion(color.dominant_pixels(px)).toDF("photo_id", "DdcSpatial"),
+        segments.spread(color.dominant_pixels(px)).toDF("photo_id", "DdcSpatial", "DdcNormSpatial"),
     ]
     return reduce(lambda a, b: a.join(b, "photo_id", "left"), parts, px.select("photo_id").distinct())

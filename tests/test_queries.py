@@ -7,7 +7,7 @@ import pytest
 from lumenframe.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = "exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links emboss_full emboss_valid emboss_padded gaussian_blur_2d hsv_radians xyz_plain turns binomial hull_inside color_buckets".split()
+FEW = "exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links emboss_full emboss_valid emboss_padded gaussian_blur_2d hsv_radians xyz_plain turns binomial hull_inside color_buckets dominant_hue_spread".split()
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,8 @@ def test_oracle(spark, duck, small, name):
 
 def test_measure_record(spark, small):
     df = catalog.QUERIES["measure_record"](spark, small)
-    assert len(df.columns) >= 70 and df.count() == 10
+    assert len(df.columns) == 72 and df.count() == 10 and df.columns[-1] == "DdcNormSpatial"
+    spark.catalog.clearCache()
 
 
 def test_probabilities(spark, small):
