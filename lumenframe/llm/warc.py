@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,8 +19,11 @@ MIN_REVISIT = 100
 #: Bytes of an archive that a task scans.
 SPLIT = 32 << 20
 READ = 1 << 16
-#: Bytes after a range over which the chain of its records has to go on.
-LOOK_AHEAD = 1 << 20
+#: Bytes over which a chain of records has to go on before its first one counts. Bytes of an archive inside a record
+#: show only in stored blocks of deflate, of at most 65,535 bytes each, so no chain of such records is that long.
+LOOK_AHEAD = 1 << 17
+#: Tasks that read, at most.
+TASKS = 100_000
 #: An archive is closed beyond so many bytes, and the next one begun.
 ARCHIVE = 256 << 20
 
@@ -58,8 +62,8 @@ def page_of(value: str | None) -> int | None:
     return int(digits) if digits.removeprefix("-").isdigit() else None
 
 
-def decode(raw: bytes) -> dict | None:
-    """The fields of a record; None if these bytes are none."""
+def decode(raw: bytes) -> tuple[dict, bytes] | None:
+    """The fields of the record that these bytes begin with, and what follows it; None if there is none."""
     head, sep, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not sep or not lines[0].startswith(b"WARC/"):
@@ -67,24 +71,35 @@ def decode(raw: bytes) -> dict | None:
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:])}
     if not fields.get("content-length", "").isdigit():
         return None
-    block = rest[: int(fields["content-length"])]
+    size, kind = int(fields["content-length"]), fields.get("warc-type")
+    block = rest[:size]
     if "application/http" in fields.get("content-type", ""):
         http, _, payload = block.partition(b"\r\n\r\n")
         length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), len(payload))
     else:
         payload, length = block, len(block)
     digest = fields.get("warc-payload-digest", "")
+    digest = digest.partition(":")[2] or digest or None
+    if kind != "revisit":  # what is there counts, not what the headers say
+        digest, length = hashlib.sha256(payload).hexdigest(), len(payload)
     return {
-        "warc_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "page_id": page_of(fields.get("warc-record-id")), "refers_to": page_of(fields.get("warc-refers-to")),
-        "payload_digest": digest.partition(":")[2] or digest or None, "payload_bytes": length, "payload": None if fields.get("warc-type") == "revisit" else payload,
-    }
+        "warc_type": kind, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "page_id": page_of(fields.get("warc-record-id")), "refers_to": page_of(fields.get("warc-refers-to")),
+        "payload_digest": digest, "payload_bytes": length, "payload": None if kind == "revisit" else payload,
+    }, rest[size:].lstrip(b"\r\n")
+
+
+def decoded(raw: bytes) -> Iterator[dict]:
+    """The fields of all records of a member."""
+    while raw and (found := decode(raw)):
+        yield found[0]
+        raw = found[1]
 
 
 class Range:
     """Bytes of an archive from a position on, read as they are asked for; what lies before the position is let go."""
 
     def __init__(self, file, size: int, start: int) -> None:
-        self.file, self.size, self.at, self.held = file, size, start, b""
+        self.file, self.size, self.at, self.held = file, size, start, bytearray()
 
     def bytes_from(self, position: int, count: int) -> bytes:
         while self.at + len(self.held) < min(self.size, position + count):
@@ -94,11 +109,12 @@ class Range:
             if not more:
                 break
             self.held += more
-        return self.held[position - self.at : position - self.at + count]
+        return bytes(self.held[position - self.at : position - self.at + count])
 
     def let_go(self, position: int) -> None:
         if position > self.at + (READ << 2):
-            self.held, self.at = self.held[position - self.at :], position
+            del self.held[: position - self.at]
+            self.at = position
 
 
 def member(data: Range, position: int) -> tuple[bytes, int] | None:
@@ -120,11 +136,10 @@ def member(data: Range, position: int) -> tuple[bytes, int] | None:
 def first_member(data: Range, start: int, end: int) -> int | None:
     """Where the first record that starts in [start, end) begins.
 
-    A candidate is gzip magic whose member decodes to a WARC header and whose successors do so as well, up to
-    LOOK_AHEAD bytes after the range or the end of the file: an archive that lies inside a record, in bytes that
-    deflate only stored, fails where it ends (one that reaches over a whole range and further is not told apart).
+    A candidate is gzip magic whose member decodes to a WARC header and whose successors do so as well, over
+    LOOK_AHEAD bytes or up to the end of the file.
     """
-    at, until = start, min(end + LOOK_AHEAD, data.size)
+    at = start
     while at < end:
         raw = data.bytes_from(at, READ)
         i = raw.find(MAGIC)
@@ -138,7 +153,7 @@ def first_member(data: Range, start: int, end: int) -> int | None:
         if at >= end:
             return None
         walk: int | None = at
-        while walk is not None and walk < until:
+        while walk is not None and walk < min(at + LOOK_AHEAD, data.size):
             found = member(data, walk)
             walk = found[1] if found and decode(found[0]) else None
         if walk is not None:
@@ -148,16 +163,21 @@ def first_member(data: Range, start: int, end: int) -> int | None:
 
 
 def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """Position and fields of the records that start in [start, end)."""
-    at = first_member(Range(file, size, start), start, end)
-    data = Range(file, size, at or 0)
+    """Position and fields of the records of members that start in [start, end), past any damage.
+
+    The first byte of an archive, and the end of a record, are where the next one begins. If none does, and where a
+    range starts, the next one is searched for.
+    """
+    data, at, known = Range(file, size, start), start, start == 0
     while at is not None and at < min(end, size):
-        data.let_go(at)
-        found = member(data, at)
-        if not found or (fields := decode(found[0])) is None:
-            return  # trailing bytes that are no record
-        yield at, fields
-        at = found[1]
+        found = member(data, at) if known else None
+        if found and decode(found[0]):
+            yield from ((at, fields) for fields in decoded(found[0]))
+            at = found[1]
+        else:
+            at, known = first_member(data, at + known, end), True
+        if at is not None:
+            data.let_go(at)
 
 
 def write(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE) -> DataFrame:
@@ -198,7 +218,11 @@ def read(spark: SparkSession, files: DataFrame, directory: str, split: int = SPL
     """The records of archives (path, bytes), scanned by byte ranges of ``split`` bytes, each owned by one task.
 
     ``payload`` is null for revisits (and for all if not ``with_payload``); ``payload_bytes`` and
-    ``payload_digest`` are those of the full payload. Bytes that are no records are passed over.
+    ``payload_digest`` are those of the payload as it was read, for revisits those that it refers to. Bytes that
+    are no records are passed over, and so are damaged members; where a range begins less than LOOK_AHEAD before
+    damage, the records between go with it. Members may hold several records. Equal records are all returned;
+    an archive listed twice is read twice. Payloads of any size are read whole; no archives give no rows, and
+    columns of ``files`` beyond path and bytes are not looked at.
     """
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
@@ -223,13 +247,15 @@ def read(spark: SparkSession, files: DataFrame, directory: str, split: int = SPL
                         yield batch_of(rows)
 
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    return ranges.repartition("path", "start").mapInArrow(run, RECORDS)
+    many = files.where("bytes > 0").agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    return ranges.repartition(min(int(many), TASKS)).mapInArrow(run, RECORDS)
 
 
 def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
     """Rows for ``write``: of equal payloads of at least ``least`` bytes the smallest id is a response, others revisit it.
 
-    Null html counts as empty. Rows with a null id, and rows that repeat the response's id, are responses too.
+    Null html counts as empty; html of any length is taken whole. Rows with a null id, and rows that repeat the
+    response's id, are responses too; other repeated rows are revisits each. Other columns are not looked at.
     Equal payloads meet only as partial minima of their digests; the pages are then joined with the revisits
     alone, so the size of a group of copies does not matter.
     """

@@ -25,6 +25,18 @@ def test_every_split(spark):
         assert got == list(zip(starts, range(7), strict=True)), split
 
 
+def test_damage():
+    """Records before and after a damaged or cut member are read, and all records of a member."""
+    parts = [warc.encode(warc.Record(i, "u", os.urandom(400), "d", None, False)) for i in range(20)]
+    ids = lambda raw: [f["page_id"] for _, f in warc.records_in(io.BytesIO(raw), len(raw), 0, len(raw))]
+    hurt = parts[:10] + [parts[10][:200] + bytes(40) + parts[10][240:]] + parts[11:]
+    assert ids(b"".join(hurt)) == [*range(10), *range(11, 20)]
+    assert ids(b"".join(parts)[:-5]) == list(range(19)) and ids(b"junk" + b"".join(parts) + b"junk\x1f\x8b\x08") == []
+    two = gzip.compress(gzip.decompress(parts[0]) + gzip.decompress(parts[1]))
+    assert ids(two + parts[2]) == [0, 1, 2]
+    assert ids(parts[0] + b"junk" + b"".join(parts[1:])) == list(range(20))
+
+
 def test_round_trip(spark):
     same, rows = "é" * 60, [(5, "u5", "é" * 60), (2, "u2", "é" * 60), (9, None, "é" * 60), (1, "u", None), (3, "u", ""), (4, "a\r\nb", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", "x" * 200000), (None, "u", "é" * 60), (2, "u2", "é" * 60)]
     df = spark.createDataFrame([(*r, "d", 7) for r in rows], "page_id long, url string, html string, digest string, revisit int").repartition(3)
