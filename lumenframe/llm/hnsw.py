@@ -15,8 +15,8 @@ from .vectors import prepared, unit
 
 #: Vectors of a shard; links of a node (twice as many on the ground layer); candidates for them; width of the search.
 SHARD, LINKS, CANDIDATES, WIDTH = 8192, 16, 48, 100
-#: Queries searched at once.
-BLOCK = 512
+#: Queries searched at once, and blocks of them for which a shard is sent once.
+BLOCK, TOGETHER = 512, 32
 
 
 def chosen(v: np.ndarray, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray, m: int) -> np.ndarray:
@@ -169,20 +169,26 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(k: int, width: int):
+    """Rows sorted so that a shard's index comes before the blocks of queries that search it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, dim, layers = np.zeros(0, dtype=np.int64), np.zeros((0, 0)), 0, []
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, raw, nodes, links, dim, queries, qv = (c[row].as_py() for c in batch.columns)
-                ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(raw).reshape(-1, dim)
-                layers = [(a := np.frombuffer(p, dtype=np.int32), np.frombuffer(c, dtype=np.int32).reshape(len(a), -1)) for p, c in zip(nodes, links, strict=True)]
-                y = np.array(qv, dtype=np.float64)
-                got = search(unit(x).astype(np.float32), layers, unit(y).astype(np.float32), k, width)
-                of, place = np.nonzero(got >= 0)
-                a, b = y[of], x[got[of, place]]
-                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                    score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-                score = np.where(np.isfinite(score), score, np.einsum("ij,ij->i", unit(a), unit(b)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(queries, dtype=np.int64)[of]), pa.array(ids[got[of, place]]), pa.array(score)], names=["query_id", "rep", "score"])
+                raw_ids, raw, nodes, links, own, queries, qv = (c[row].as_py() for c in batch.columns)
+                if raw_ids is not None:
+                    ids, x, dim = np.frombuffer(raw_ids, dtype=np.int64), np.frombuffer(raw).reshape(-1, own), own
+                    layers = [(a := np.frombuffer(p, dtype=np.int32), np.frombuffer(c, dtype=np.int32).reshape(len(a), -1)) for p, c in zip(nodes, links, strict=True)]
+                    index = unit(x).astype(np.float32)
+                elif own == dim:  # else no vector of this length is in the shard
+                    y = np.array(qv, dtype=np.float64)
+                    got = search(index, layers, unit(y).astype(np.float32), k, width)
+                    of, place = np.nonzero(got >= 0)
+                    a, b = y[of], x[got[of, place]]
+                    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                        score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+                    score = np.where(np.isfinite(score), score, np.einsum("ij,ij->i", unit(a), unit(b)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(queries, dtype=np.int64)[of]), pa.array(ids[got[of, place]]), pa.array(score)], names=["query_id", "rep", "score"])
 
     return run
 
@@ -192,22 +198,31 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
 
     ``is_query`` is a condition on vec_id. All rows that take part (see ``prepared``) are indexed, in shards of
     about SHARD distinct vectors; equal vectors are one node, with its k + 1 smallest ids. Every query, in
-    blocks, is searched in every shard, so the work is that of queries times shards. A query's own row is no candidate; ties
-    go to the smaller id. Vectors of lengths other than a query's are not compared with it; ids are unique.
+    blocks, is searched in every shard, so the work is that of queries times shards; a shard is sent once for
+    TOGETHER blocks. Rows with the query's id are no candidates; ties go to the smaller id. Rows of one id and
+    vector count once; an id with several vectors is found by the nearest of them, and asks with each. Vectors of
+    lengths other than a query's are not compared with it. Other columns are not looked at; an empty table gives
+    an empty one.
     """
     scratch = Scratch(vectors.sparkSession, "hnsw")
     rows = prepared(vectors, id_col, vector_col).withColumn("dim", F.size("v"))
-    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    classes = scratch.save(few.groupBy("v").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("members"), F.min("dim").alias("dim")), "classes")
+    few = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    classes = few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("members"), F.min("dim").alias("dim"))
+    # a node's number, not its smallest id: an id may have several vectors
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "v", "members", "dim"), "classes")
     shards = max(1, -(-classes.count() // SHARD))
-    slots = classes.select((F.pmod(F.xxhash64("rep"), F.lit(shards)) + F.col("dim").cast("long") * shards).alias("shard"), "rep", "v")
+    slots = classes.select((F.pmod(F.xxhash64("v"), F.lit(shards)) + F.col("dim").cast("long") * shards).alias("shard"), "rep", "v")
     index = scratch.save(slots.repartition(shards, "shard").mapInArrow(_index, "shard long, dim long, ids binary, v binary, nodes array<binary>, links array<binary>"), "index")
-    asked = rows.where(is_query).select("vec_id", "v", "dim").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 20)))
+    asked = scratch.save(rows.where(is_query).select("vec_id", "v", "dim").distinct(), "asked")
     total = max(1, -(-asked.count() // BLOCK))
-    blocks = asked.groupBy("dim", F.pmod(F.col("block"), F.lit(total)).alias("block")).agg(F.collect_list("vec_id").alias("queries"), F.collect_list("v").alias("qv"))
-    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")).select("queries", "qv", "block", (F.col("s") + F.col("dim").cast("long") * shards).alias("shard"))
-    pairs = index.join(blocks.hint("merge"), "shard").repartition(max(1, shards * total), "shard", "block").select("ids", "v", "nodes", "links", "dim", "queries", "qv")
+    groups = -(-total // TOGETHER)
+    blocks = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(total)).alias("block")).agg(F.collect_list("vec_id").alias("queries"), F.collect_list("v").alias("qv"))
+    some = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    blocks = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
+        (F.col("s") + F.col("dim").cast("long") * shards).alias("shard"), F.pmod("block", F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), some("ids", "binary"), some("v", "binary"), some("nodes", "array<binary>"), some("links", "array<binary>"), F.col("dim").cast("long").alias("dim"), "queries", "qv")
+    there = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("shard", "g", F.lit(0).alias("kind"), "ids", "v", "nodes", "links", "dim", some("queries", "array<bigint>"), some("qv", "array<array<double>>"))
+    pairs = there.union(blocks).repartition(shards * groups, "shard", "g").sortWithinPartitions("shard", "g", "kind").select("ids", "v", "nodes", "links", "dim", "queries", "qv")
     found = pairs.mapInArrow(_found(k + 1, width), "query_id long, rep long, score double")
-    hits = found.join(classes.select("rep", F.explode("members").alias("vec_id")), "rep").where("vec_id <> query_id")
+    hits = found.join(classes.select("rep", F.explode("members").alias("vec_id")), "rep").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

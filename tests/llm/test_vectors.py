@@ -76,6 +76,16 @@ def test_hnsw(spark, monkeypatch, shard):
     assert hits >= 0.95 * 200 and set(found) == set(range(0, 400, 10))
 
 
+def test_repeated_rows(spark):
+    """Rows that repeat count once; an id with two vectors is found by the nearer one; neither is a neighbour of itself."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(7, [1.0, 0.1])] * 9 + [(3, [1.0, 0.5]), (3, [0.0, 1.0]), (9, [0.0, 2.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", rank int, v string")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in hnsw.neighbours(df, "vec_id % 50 = 0").collect())
+    assert got == [(0, 1, 7), (0, 2, 3), (0, 3, 9)]
+    linked = sorted((r.vec_id, r.n_links, r.component_id) for r in neardup.dedup(df.where("vec_id in (0, 7)")).collect())
+    assert linked == [(0, 12, 0)] * 4 + [(7, 12, 0)] * 9
+
+
 def test_few(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (7, [0.0, 1.0])]
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in hnsw.neighbours(spark.createDataFrame(rows, SCHEMA), "vec_id % 50 = 0").collect())
