@@ -109,7 +109,8 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: st
     """Add ``<prefix>pred`` and ``<prefix>score`` (0 to 1), from the whole text alone.
 
     Null text, and text without a letter, gives ``und`` and 0, as does a fit without languages; ties go to the
-    language first in order. Other columns, whatever their names, pass through; rows are judged one by one.
+    language first in order. Columns of these two names are replaced, others pass through; rows, repeated ones as
+    well, are judged one by one, and texts of any length whole. An empty table gives an empty one.
     """
     ready = [(lang, np.sort(np.array(g, dtype=np.int64)), np.argsort(np.array(g, dtype=np.int64))) for lang, g in profiles]
     text = docs[text_col].cast("string")
@@ -124,4 +125,4 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: st
             out.append(place(grams, ready, most) if len(grams) else (UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["pred", "score"])
 
-    return docs.withColumn(f"{prefix}__judged", judge(text)).select(*docs.columns, F.col(f"{prefix}__judged.pred").alias(f"{prefix}pred"), F.col(f"{prefix}__judged.score").alias(f"{prefix}score"))
+    return docs.withColumn(f"{prefix}__judged", judge(text)).select(*[c for c in docs.columns if c not in (f"{prefix}pred", f"{prefix}score", f"{prefix}__judged")], F.col(f"{prefix}__judged.pred").alias(f"{prefix}pred"), F.col(f"{prefix}__judged.score").alias(f"{prefix}score"))

@@ -86,7 +86,8 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", notices
     window is verified if one of BANDS min-hashes equals the notice's: a match has at least a Jaccard
     similarity of need / (2 s + s - need) with a notice of s shingles, so it is missed with a probability of
     at most (1 - that) ** BANDS, below 0.0001. Texts that hold none of the words of which every match needs
-    one are passed over. Null and short texts give an empty array. Row-wise: no shuffle.
+    one are passed over. Null and short texts give an empty array, an empty table an empty one; a column named
+    ``out`` is replaced, others stay. Row-wise, repeated rows as well, over whole texts: no shuffle.
     """
     known = templates(notices)
     first = docs[text_col].cast("string")

@@ -94,7 +94,7 @@ def mix(docs: DataFrame, dims: Mapping[str, Column], targets: Mapping[str, Mappi
     same. Values without a target, and null ones unless named, count as OTHER and keep their share of the
     tokens. Empty tables give empty results; documents without tokens get their cell's probability, and
     in a cell without tokens 0. Adds columns ``<prefix><dim>``, ``<prefix>tokens``, ``<prefix>probability``
-    and ``<prefix>weight``.
+    and ``<prefix>weight``; columns of these names are replaced, others stay. Texts of any length count whole.
 
     The documents are aggregated to cells before anything moves, so a source that holds a third of all
     rows is one row per task; the cells come back by a broadcast bounded by the targets' sizes.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -123,18 +124,19 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets", classes:
     Kinds 0 to 2 are the base ones (assign, access, hex), further ones the classes whose candidate strings
     hold a window of high entropy; the span goes from the first such window to the end of the last, and a
     candidate that matches the allow-list whole is suppressed. Base spans are never suppressed. Null and
-    empty text give an empty array. Columns of ``docs`` stay as they are; repeated rows are judged one by
-    one. Everything is row-wise: no shuffle, whatever the distribution of sources or copies.
+    empty text give an empty array, and an empty table gives an empty one. A column named ``out`` is replaced, all
+    others stay as they are; repeated rows are judged one by one, texts of any length whole. Everything is row-wise: no shuffle, whatever the distribution of sources or copies.
     """
-    text, base = f"{out}__text", ["assign", "access", "hex"]
+    own = f"_{uuid.uuid4().hex}"  # a name that no column has
+    text, base = f"{own}_text", ["assign", "access", "hex"]
     df = docs.withColumn(text, F.coalesce(docs[text_col].cast("string"), F.lit("")))
     span = lambda k, kind: lambda s, e, m: F.struct(s.alias("s"), e.alias("e"), F.lit(k).alias("k"), F.lit(kind).alias("kind"))
     cols = []
     for k, (kind, pattern) in enumerate(zip(base, (ASSIGN, ACCESS, HEX), strict=True)):
-        cols.append(f"{out}__{k}")
+        cols.append(f"{own}_{k}")
         df = _spans(df, text, pattern, cols[-1], lambda m, v, kind=kind: F.char_length(v) >= MIN_VALUE if kind == "assign" else F.lit(True), span(k, kind))
     for k, c in enumerate(classes, len(base)):
-        cols.append(f"{out}__{k}")
+        cols.append(f"{own}_{k}")
         allowed = lambda m: ~m.rlike("^(?:" + "|".join(f"(?:{a})" for a in allow) + ")$") if allow else F.lit(True)
 
         def narrowed(s: Column, e: Column, m: Column, k: int = k, c: CharClass = c) -> Column:
@@ -152,7 +154,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace every span that ``scan`` finds (overlapping ones as one) by ``mark``; the columns stay."""
-    found = scan(docs, text_col, "secrets__found")
+    own = f"_{uuid.uuid4().hex}"
+    found = scan(docs, text_col, own)
     text = F.col(text_col)
 
     def step(acc: Column, x: Column) -> Column:
@@ -160,5 +163,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return F.struct(F.greatest(acc.pos, x.e).alias("pos"), F.concat(acc.out, F.array(lead)).alias("out"))
 
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("secrets__found", zero, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.pos + 1, F.char_length(text))))
-    return found.withColumn(text_col, F.when(F.size("secrets__found") > 0, clean).otherwise(text)).drop("secrets__found")
+    clean = F.aggregate(own, zero, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.pos + 1, F.char_length(text))))
+    return found.withColumn(text_col, F.when(F.size(own) > 0, clean).otherwise(text)).drop(own)

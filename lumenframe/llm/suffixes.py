@@ -345,7 +345,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     Each byte goes that is covered by a string of ``length`` bytes which also starts anywhere else, in any
     document or in the same one, as the input stands. Null text counts as empty; texts shorter than ``length``
-    stay whole; rows that repeat each other are copies, whatever their ids (null ones too); ids may repeat.
+    stay whole; rows that repeat each other are copies, whatever their ids (null ones too); ids may repeat. Texts of
+    any length are searched whole, other columns are not looked at, and an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
