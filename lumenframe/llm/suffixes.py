@@ -32,7 +32,7 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of text anchored at once, and bytes of slices in one transform.
 PIECE = 1 << 20
-TILE = 2 << 20
+TILE = 1 << 19
 #: Slices of an anchor beyond which its runs are cut into shorter ones, of so many starts.
 MOST = 2048
 STEPS = (16, 1)
@@ -123,13 +123,13 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, dtype=np.int64)
     for i in range(h):
         key = key * 259 + padded[i : i + n]
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     group = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
     # the rank of a group of equals is the place of its first member
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     heads = np.zeros(n, dtype=bool)
     heads[begin] = True
-    rank = np.empty(n + 1, dtype=np.int64)
+    rank = np.empty(n + 1, dtype=np.int32)
     rank[order], rank[n] = begin[group], -1
     while h < depth:
         edge = np.concatenate([np.diff(begin), [n - begin[-1]]]) if len(begin) else np.zeros(0, dtype=np.int64)
@@ -138,7 +138,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             break
         place = np.flatnonzero(open_)
         pos = order[place]
-        key = rank[pos] * (n + 2) + rank[np.minimum(pos + h, n)] + 1
+        key = rank[pos].astype(np.int64) * (n + 2) + rank[np.minimum(pos + h, n)] + 1
         by = np.argsort(key)
         order[place] = pos[by]
         key = key[by]
@@ -156,8 +156,8 @@ def repeated(text: np.ndarray, length: int) -> np.ndarray:
     n = len(text)
     sa = suffix_array(text, length)
     left = text[sa - 1]  # the transform; position 0 is a separator, and so is what comes before it
-    lf = np.empty(n, dtype=np.int64)
-    lf[np.argsort(left, kind="stable")] = np.arange(n)
+    lf = np.empty(n, dtype=np.int32)
+    lf[np.argsort(left, kind="stable")] = np.arange(n, dtype=np.int32)
     left = left.astype(np.int64)
     run_at = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
     run_of = np.cumsum(np.concatenate([[0], left[1:] != left[:-1]]))
