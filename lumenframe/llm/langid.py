@@ -125,4 +125,5 @@ def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: st
             out.append(place(grams, ready, most) if len(grams) else (UNKNOWN, 0.0))
         return pd.DataFrame(out, columns=["pred", "score"])
 
-    return docs.withColumn(f"{prefix}__judged", judge(text)).select(*[c for c in docs.columns if c not in (f"{prefix}pred", f"{prefix}score", f"{prefix}__judged")], F.col(f"{prefix}__judged.pred").alias(f"{prefix}pred"), F.col(f"{prefix}__judged.score").alias(f"{prefix}score"))
+    # not deterministic to the optimizer: a filter on its results would else judge every text twice
+    return docs.withColumn(f"{prefix}__judged", judge.asNondeterministic()(text)).select(*[c for c in docs.columns if c not in (f"{prefix}pred", f"{prefix}score", f"{prefix}__judged")], F.col(f"{prefix}__judged.pred").alias(f"{prefix}pred"), F.col(f"{prefix}__judged.score").alias(f"{prefix}score"))
