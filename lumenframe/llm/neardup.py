@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
-from .vectors import prepared, unit, usable
+from .vectors import matrix, prepared, unit, usable
 
-#: Vectors of a block; a tile compares two blocks, in strips of rows.
-BLOCK, STRIP = 4096, 512
+#: Most vectors of a block and most components of all its vectors (a block moves as int8, one byte each); a tile compares
+#: two blocks, in strips of rows and columns. Small tables are cut into ``LEAST`` blocks, so that there are tiles for all cores.
+BLOCK, COMPONENTS, LEAST, STRIP = 32768, 1 << 21, 8, 512
+#: Tasks that compare tiles; beyond it a task has several.
+MOST_TASKS = 1 << 15
 #: Covers the rounding of single-precision scaling, far above its size.
 SLACK = 1e-5
 
@@ -41,78 +44,133 @@ def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, high[open_], low[open_])
 
 
-def tile(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Pairs (i, j) of cosine >= threshold, strip by strip, and how many of them were recomputed.
+class Side:
+    """The quantised vectors of one side of a tile: ids, members of each class, int8 vectors, scales, norms of what is left."""
 
-    With u = s q + e and v = t r + f the cosine u.v differs from st q.r by at most |e| + |f| + |e||f|. The
-    product of int8 values is exact in single precision up to 1,040 components, and in double beyond.
+    def __init__(self, ids: np.ndarray, members: np.ndarray, q: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        self.ids, self.members, self.q, self.s, self.e = ids, members, q, s, e
+        # exact in single precision up to 1,040 components (1,040 * 127 * 127 < 2 ** 24), and in double beyond
+        self.kind = np.float32 if q.shape[1] <= 1040 else np.float64
+
+    @classmethod
+    def of(cls, ids: np.ndarray, members: np.ndarray, x: np.ndarray) -> Side:
+        return cls(ids, members, *quantise(unit(x)))
+
+
+def tile(x: Side, y: Side, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (i, j) whose cosine may be >= threshold, strip by strip, and which of them certainly are.
+
+    With u = s q + e and v = t r + f the cosine u.v differs from st q.r by at most |e| + |f| + |e||f|. The product
+    of int8 values is exact, so a pair gets the same bounds in whatever tile it is compared.
     """
-    ux, uy = unit(x), unit(y)
-    (q, s, e), (r, t, f) = quantise(ux), quantise(uy)
-    kind = np.float32 if x.shape[1] <= 1040 else np.float64
-    rt = r.astype(kind).T
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    plain = np.isfinite(nx).all() and np.isfinite(ny).all() and nx.min() > 1e-150 and ny.min() > 1e-150
-    for at in range(0, len(x), STRIP):
-        g = q[at : at + STRIP].astype(kind) @ rt
-        g *= s[at : at + STRIP, None].astype(kind)
-        g *= t[None, :].astype(kind)
-        es = e[at : at + STRIP]
-        i, j = np.nonzero(g >= (threshold - SLACK - es - f.max() * (1 + es))[:, None].astype(kind))
-        near = g[i, j].astype(np.float64)
-        i += at
-        off = e[i] + f[j] + e[i] * f[j] + SLACK
-        keep = near + off >= threshold
-        if same:
-            keep &= i != j
-        i, j, near, off = i[keep], j[keep], near[keep], off[keep]
-        doubt = np.flatnonzero(near - off < threshold)
-        linked = np.ones(len(i), dtype=bool)
-        for d in range(0, len(doubt), 1 << 16):
-            k = doubt[d : d + (1 << 16)]
-            a, b = i[k], j[k]
-            linked[k] = (np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) if plain else np.einsum("ij,ij->i", ux[a], uy[b])) >= threshold
-        yield i[linked], j[linked], len(doubt)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each block of a partition."""
-    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if table is None:
-        return
-    block, dim = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.lexsort((dim, block))
-    cut = np.flatnonzero(np.concatenate([[True], (block[order][1:] != block[order][:-1]) | (dim[order][1:] != dim[order][:-1]), [True]]))
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own = table.take(pa.array(order[a:b]))
-        values = own.column(4).combine_chunks()
-        raw = (values.flatten() if isinstance(values, pa.ListArray) else pa.concat_arrays([c.flatten() for c in own.column(4).chunks])).to_numpy().astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([int(block[order[a]])]), pa.array([int(dim[order[a]])]), pa.array([own.column(2).to_numpy().tobytes()]), pa.array([own.column(3).to_numpy().tobytes()]), pa.array([raw.tobytes()])], names=["block", "dim", "ids", "members", "v"])
+    for at in range(0, len(x.q), STRIP):
+        q, s, e = x.q[at : at + STRIP].astype(x.kind), x.s[at : at + STRIP], x.e[at : at + STRIP]
+        for to in range(0, len(y.q), 8 * STRIP):
+            r, t, f = y.q[to : to + 8 * STRIP].astype(x.kind), y.s[to : to + 8 * STRIP], y.e[to : to + 8 * STRIP]
+            g = q @ r.T
+            i, j = np.nonzero(g * t[None, :].astype(x.kind) >= ((threshold - 2 * SLACK - e - f.max() * (1 + e)) / s)[:, None].astype(x.kind))
+            near = g[i, j].astype(np.float64) * s[i] * t[j]
+            off = e[i] + f[j] + e[i] * f[j] + SLACK
+            keep = near + off >= threshold
+            if same:
+                keep &= i + at != j + to
+            yield i[keep] + at, j[keep] + to, (near - off)[keep] >= threshold
+
+
+class Links:
+    """Links of two sides (or of one with itself) as counts for each vector and components, never as pairs."""
+
+    def __init__(self, x: Side, y: Side, same: bool) -> None:
+        self.x, self.y, self.same = x, y, same
+        self.ids = x.ids if same else np.concatenate([x.ids, y.ids])
+        self.order = np.argsort(self.ids)  # positions in ascending order of ids: a set's root is its smallest id
+        self.place = np.empty(len(self.ids), dtype=np.int64)
+        self.place[self.order] = np.arange(len(self.ids))
+        self.parent, self.links = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.links, i, self.y.members[j])
+        if not self.same:
+            np.add.at(self.links, len(self.x.ids) + j, self.x.members[i])
+            j = len(self.x.ids) + j
+        joined(self.parent, self.place[i], self.place[j])
+
+    def rows(self, doubtful: np.ndarray) -> pa.RecordBatch:
+        """A row for each vector that is linked or (for a later look) in doubt."""
+        hit = np.flatnonzero((self.links > 0) | doubtful)
+        roots(self.parent)
+        root = self.ids[self.order][self.parent[self.place[hit]]]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[hit]), pa.array(self.links[hit]), pa.array(root), pa.array(doubtful[hit])], names=["vec_id", "links", "root", "doubtful"])
+
+
+def _vectors(table: pa.Table, name: str, dim: int) -> np.ndarray:
+    return np.concatenate([matrix(c, dim) for c in table.column(name).chunks])
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """The row of a block: its vectors as int8."""
+    dim = table.column("dim")[0].as_py()
+    side = Side.of(table.column("rep").to_numpy(), table.column("members").to_numpy(), _vectors(table, "v", dim))
+    return pa.table({"block": table.column("block").slice(0, 1), "dim": table.column("dim").slice(0, 1)} | {k: pa.array([np.ascontiguousarray(v).tobytes()]) for k, v in vars(side).items() if k in PACKED})
+
+
+#: What a packed block holds, as bytes.
+PACKED = {"ids": np.int64, "members": np.int64, "q": np.int8, "s": np.float64, "e": np.float64}
+FOUND = "lo long, hi long, vec_id long, links long, root long, doubtful boolean"
 
 
 def _compare(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, other, dim, ids, members, v, ids2, members2, v2 = (c[row].as_py() for c in batch.columns)
-                same = block == other
-                a, b = np.frombuffer(ids, dtype=np.int64), np.frombuffer(ids2, dtype=np.int64)
-                m, m2 = np.frombuffer(members, dtype=np.int64), np.frombuffer(members2, dtype=np.int64)
-                x, y = np.frombuffer(v).reshape(-1, dim), np.frombuffer(v2).reshape(-1, dim)
-                both = a if same else np.concatenate([a, b])
-                order = np.argsort(both)  # positions in ascending order of ids: a set's root is its smallest id
-                place = np.empty(len(both), dtype=np.int64)
-                place[order] = np.arange(len(both))
-                parent, links = np.arange(len(both)), np.zeros(len(both), dtype=np.int64)
-                for i, j, _ in tile(x, y, threshold, same):
-                    np.add.at(links, i, m2[j])
-                    j = j if same else j + len(a)
-                    if not same:
-                        np.add.at(links, j, m[i])
-                    joined(parent, place[i], place[j])
-                hit = np.flatnonzero(links)
-                roots(parent)
-                yield pa.RecordBatch.from_arrays([pa.array(both[hit]), pa.array(links[hit]), pa.array(both[order][parent[place[hit]]])], names=["vec_id", "links", "root"])
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi, dim = (k.as_py() for k in key)
+        sides = []
+        for row in table.sort_by("block").to_pylist():
+            got = {k: np.frombuffer(row[k], dtype=kind) for k, kind in PACKED.items()}
+            sides.append(Side(**got | {"q": got["q"].reshape(-1, dim)}))
+        if len(sides) < 1 + (lo != hi):  # no vectors of this length in the other block
+            return pa.table({"lo": [], "hi": [], "vec_id": [], "links": [], "root": [], "doubtful": []}, schema=SHAPE)
+        x, y, same = sides[0], sides[-1], lo == hi
+        out, doubtful = Links(x, y, same), np.zeros(len(x.ids) + (0 if same else len(y.ids)), dtype=bool)
+        for i, j, sure in tile(x, y, threshold, same):
+            out.add(i[sure], j[sure])
+            doubtful[i[~sure]] = True
+            doubtful[j[~sure] + (0 if same else len(x.ids))] = True
+        found = pa.Table.from_batches([out.rows(doubtful)])
+        return found.add_column(0, "lo", pa.array(np.full(found.num_rows, lo))).add_column(1, "hi", pa.array(np.full(found.num_rows, hi)))
+
+    return run
+
+
+#: Pairs that are recomputed at once.
+AT_ONCE = 1 << 16
+SHAPE = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("vec_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("doubtful", pa.bool_())])
+
+
+def exact(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosines of the rows of a and b are >= threshold, in double precision."""
+    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    if np.isfinite(na).all() and np.isfinite(nb).all() and na.min() > 1e-150 and nb.min() > 1e-150:
+        return np.einsum("ij,ij->i", a, b) / (na * nb) >= threshold
+    return np.einsum("ij,ij->i", unit(a), unit(b)) >= threshold
+
+
+def _recompute(threshold: float):
+    """The doubtful pairs of a tile, among the vectors that have any, from the vectors themselves."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lo, hi, dim = (k.as_py() for k in key)
+        v, block = _vectors(table, "v", dim), table.column("block").to_numpy()
+        ids, members, same = table.column("rep").to_numpy(), table.column("members").to_numpy(), lo == hi
+        first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        x, y = (Side.of(ids[k], members[k], v[k]) for k in (first, second))
+        out = Links(x, y, same)
+        for i, j, sure in tile(x, y, threshold, same):
+            i, j = i[~sure], j[~sure]
+            for at in range(0, len(i), AT_ONCE):
+                a, b = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+                linked = exact(v[first[a]], v[second[b]], threshold)
+                out.add(a[linked], b[linked])
+        found = pa.Table.from_batches([out.rows(np.zeros(len(out.ids), dtype=bool))])
+        return found.select(["vec_id", "links", "root"])
 
     return run
 
@@ -121,22 +179,28 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     """vec_id, n_links (other vectors of cosine >= threshold), component_id, kept (the smallest of its component).
 
     All pairs are compared, by tiles of two blocks; equal vectors form one class first, so copies, however many,
-    take one place, and a tile's output is a row for each of its linked vectors with their number of links and
-    their component within the tile, never the pairs. The work is quadratic in the number of distinct vectors,
-    at about 64 multiplications a pair. Vectors that are null, empty, zero or hold null or non-finite
+    take one place. Blocks move as int8; a tile's output is a row for each of its linked or doubtful vectors, with
+    their number of certain links and their component within the tile, never the pairs. For each tile the doubtful
+    vectors alone are then fetched in full, and what is between the bounds is recomputed. The work is quadratic in
+    the number of distinct vectors, at about 64 multiplications a pair; a block of 3 MB moves for a billion pairs. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without an id, link with nothing (an id's component is itself). Vectors of different
     lengths never link. Rows with equal ids count as vectors of their own.
     """
     scratch = Scratch(vectors.sparkSession, "neardup")
     rows = prepared(vectors, id_col, vector_col)
     classes = scratch.save(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes")
-    blocks = max(1, -(-classes.count() // BLOCK))
-    packed = classes.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), F.col("rep").alias("ids"), "members", "v").repartition("block")
-    packed = scratch.save(packed.mapInArrow(_pack, "block long, dim long, ids binary, members binary, v binary"), "blocks")
-    left = packed.select("*", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1).cast("long"))).alias("other"))
-    right = packed.select(F.col("block").alias("other"), "dim", F.col("ids").alias("ids2"), F.col("members").alias("members2"), F.col("v").alias("v2"))
-    tiles = left.hint("merge").join(right, ["other", "dim"]).select("block", "other", "dim", "ids", "members", "v", "ids2", "members2", "v2").repartition(max(1, blocks * (blocks + 1) // 2), "block", "other")
-    found = scratch.save(tiles.mapInArrow(_compare(threshold), "vec_id long, links long, root long"), "found")
+    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    blocks = max(1, -(-n // min(BLOCK, max(1, COMPONENTS // dim))), min(LEAST, n // (4 * STRIP)))
+    classes = classes.select("*", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long").alias("block"), F.size("v").alias("dim"))
+    packed = classes.repartition(blocks, "block").groupBy("block", "dim").applyInArrow(_pack, "block long, dim int, " + ", ".join(f"{k} binary" for k in PACKED))
+    packed = scratch.save(packed, "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    tiles = packed.select("*", other.alias("other")).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
+    count = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    seen = scratch.save(tiles.repartition(count, "lo", "hi", "dim").groupBy("lo", "hi", "dim").applyInArrow(_compare(threshold), FOUND), "seen")
+    doubt = seen.where("doubtful").select("lo", "hi", F.col("vec_id").alias("rep"))
+    doubt = doubt.join(classes, "rep").repartition(count, "lo", "hi", "dim").groupBy("lo", "hi", "dim").applyInArrow(_recompute(threshold), "vec_id long, links long, root long")
+    found = scratch.save(seen.where("links > 0").select("vec_id", "links", "root").union(doubt), "found")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch, "components")
     of = classes.join(links, classes.rep == links.vec_id, "left").drop("vec_id").join(labels, F.col("rep") == labels.node, "left")

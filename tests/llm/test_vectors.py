@@ -48,10 +48,12 @@ def test_neardup(spark, monkeypatch, block):
 
 def test_bounds():
     x = np.array([v for _, v in data(2)], dtype=np.float64)
-    pairs, doubtful = set(), 0
-    for i, j, d in neardup.tile(x, x, 0.9, True):
-        pairs |= set(zip(i.tolist(), j.tolist(), strict=True))
-        doubtful += d
+    pairs, doubtful, side = set(), 0, neardup.Side.of(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x)
+    for i, j, sure in neardup.tile(side, side, 0.9, True):
+        linked = sure | neardup.exact(x[i], x[j], 0.9) if len(i) else sure
+        assert (neardup.exact(x[i[sure]], x[j[sure]], 0.9)).all() if sure.any() else True
+        pairs |= set(zip(i[linked].tolist(), j[linked].tolist(), strict=True))
+        doubtful += (~sure).sum()
     near = cosines(list(enumerate(x))) >= 0.9
     np.fill_diagonal(near, False)
     assert pairs == set(zip(*(a.tolist() for a in np.nonzero(near)), strict=True)) and doubtful < len(pairs)
