@@ -47,9 +47,8 @@ for _name in "circ_summary circ_disp trig_moment est_kappa vm_ml circ_range kuip
 register("rayleigh", circular.rayleigh, _BY_USER)
 register("trig_moment_centred", circular.trig_moment, _BY_TYPE, p=1, center=1)
 register("circ_cor", circular.circ_cor, {"pairs": _view("select event_type as g, theta as x, (theta * 3 + user_id) % 6e0 as y from {angles}")})
-register("watson_two", circular.watson_two, {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles} where user_id < 40")})
-# watson_two and its SQL are of the users below 40 (a fixed subset); this is the test over all events
-register("watson_two_all", circular.watson_two, {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles}")})
+for _name in ("watson_two", "watson_two_all"):  # two names of one query
+    register(_name, circular.watson_two, {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles}")})
 register("change_point", circular.change_point, {"ordered": _view("select event_type as g, theta as x, event_id as o from {angles}")})
 register("circular_convert", circular.circular_convert, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("circular_densities", circular.circular_densities, {"points": _view("select event_id as id, theta as x from {angles}")})
@@ -107,6 +106,16 @@ register("train_split", model.split)
 QUERIES["linear_model"] = lambda spark, sf_dir: model.linear_model(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
 QUERIES["random_forest"] = lambda spark, sf_dir: model.random_forest(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
 QUERIES["measure_record"] = lambda spark, sf_dir: model.measure_record(tables.px(spark, sf_dir))
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.rated(QUERIES["measure_record"](spark, sf_dir), tables.ratings(spark, sf_dir)).persist()
+
+
+for _kind in ("all", "colour", "bw"):
+    QUERIES[f"correlation_matrix_{_kind}"] = lambda spark, sf_dir, kind=_kind: model.correlation_matrix(_rated(spark, sf_dir), kind)
+    QUERIES[f"rating_model_{_kind}"] = lambda spark, sf_dir, kind=_kind: model.rating_model(_rated(spark, sf_dir), kind)
+QUERIES["model_report"] = lambda spark, sf_dir: model.model_report(_rated(spark, sf_dir))
 QUERIES["scrape_links"] = lambda spark, sf_dir: files.scrape(tables.read(spark, sf_dir, "pages"))
 SQL["scrape_links"] = files.SCRAPE_SQL
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +94,102 @@ def measure_record(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFra
         segments.spread(color.dominant_pixels(px)).toDF("photo_id", "DdcSpatial", "DdcNormSpatial"),
     ]
     return reduce(lambda a, b: a.join(b, "photo_id", "left"), parts, px.select("photo_id").distinct())
+
+
+#: What stands for a patch that a photo does not have: no hue, saturation, value, size or distance, and the position of the centre.
+FILLS = {"AvgHuePatch": 0.0, "AvgSatPatch": 0.0, "AvgValPatch": 0.0, "RelSizePatch": 0.0, "PositionPatch": 22.0, "DistanceFromCenterPatch": 0.0}
+#: Measures that only photos with colours have, by the beginnings of their names.
+OF_DOMINANT = ("Ddc",)
+OF_COLOUR = (*OF_DOMINANT, "AverageSaturation", "AverageHue", "AverageCentralHue", "AverageCentralSaturation", "TextureHue", "TextureSat", "AvgHuePatch", "AvgSatPatch", "DepthOfFieldHue", "DepthOfFieldSat")
+
+
+def rated(record: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The measure record with the photos' ratings, the measures of absent patches filled, and ``bw`` for photos without a dominant hue or saturation."""
+    fills = {c: v for c in record.columns for head, v in FILLS.items() if c.startswith(head)}
+    none = F.col("DdcCompactness").isNull() | F.isnan("DdcCompactness") | (F.col("DdcCompactness") < 1e-5) | (F.col("DdcCompactness") == math.inf) | (F.col("AverageCentralSaturation") < 1e-5)
+    measures = [F.col(c).cast("double").alias(c) for c in record.columns if c != "photo_id"]
+    return record.select(F.col("photo_id").alias("photo"), *measures).fillna(fills).withColumn("bw", F.coalesce(none, F.lit(False))).join(ratings, "photo")
+
+
+def measures_of(rows: DataFrame, kind: str) -> list[str]:
+    """The measures of a model: ``all`` photos have neither hues nor saturations nor a dominant hue, ``bw`` neither; ``colour`` photos have every one."""
+    known = [c for c in rows.columns[1 : rows.columns.index("bw")]]
+    return known if kind == "colour" else [c for c in known if not c.startswith(OF_COLOUR)]
+
+
+def _of_kind(rows: DataFrame, kind: str) -> DataFrame:
+    return {"all": rows, "colour": rows.where("not bw"), "bw": rows.where("bw")}[kind]
+
+
+def _finite(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < math.inf)
+
+
+def _features(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose measures are all present, with their vector; a measure that no row has is left out."""
+    have = rows.agg(*[F.count_if(_finite(c)).alias(c) for c in names]).first() if names else {}
+    names = [c for c in names if have[c]]
+    whole = reduce(lambda a, b: a & b, map(_finite, names), F.lit(True))
+    return rows.where(whole).withColumn("features", array_to_vector(F.array(*[F.col(c) for c in names]).cast("array<double>")))
+
+
+def correlation_matrix(rows: DataFrame, kind: str = "all") -> DataFrame:
+    """Correlations of the rating and every measure with each other over photos of a kind (all, colour, bw): a, b, r, long format.
+
+    They are null with a measure that is null for some photo, or equal for all (but 1 with itself), and from fewer than two photos. ``all`` photos have
+    all measures but those of the dominant hue, ``colour`` photos have those too, ``bw`` photos have the measures of brightness.
+    """
+    names = [c for c in measures_of(rows, "bw" if kind == "bw" else "colour") if kind != "all" or not c.startswith(OF_DOMINANT)]
+    rows, names = _of_kind(rows, kind), ["rating", *names]
+    seen = rows.agg(F.count("*").alias("n_rows"), *[F.count_if(_finite(c)).alias(c) for c in names]).first()
+    known = [c for c in names if seen[c] == seen["n_rows"] > 1]
+    found = {}
+    if known:
+        vectors = rows.select(array_to_vector(F.array(*[F.col(c) for c in known]).cast("array<double>")).alias("features"))
+        matrix = Correlation.corr(vectors, "features").first()[0].toArray()
+        found = {(a, b): float(matrix[i, j]) for i, a in enumerate(known) for j, b in enumerate(known) if not math.isnan(matrix[i, j])}
+    return rows.sparkSession.createDataFrame([(a, b, found.get((a, b))) for a in names for b in names], "a string, b string, r double")
+
+
+def rating_model(rows: DataFrame, kind: str = "all") -> DataFrame:
+    """photo, rating, prediction of a linear model of all measures of a kind of photos (all, colour, bw).
+
+    Photos without one of the measures are left out; no photo, no row.
+    """
+    data = _features(_of_kind(rows, kind), measures_of(rows, kind)).select("photo", "rating", "features")
+    if not data.take(1):
+        return rows.sparkSession.createDataFrame([], "photo long, rating double, prediction double")
+    model = LinearRegression(featuresCol="features", labelCol="rating", solver="normal", regParam=1e-6).fit(data)
+    return model.transform(data).select("photo", "rating", "prediction")
+
+
+def _uniform(*key):
+    return (F.pmod(F.xxhash64(*key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def model_report(rows: DataFrame, share: float = 0.6, trees: int = 100, seed: int = 1) -> DataFrame:
+    """One row on a random forest of all measures, fitted to a share of the rated colour photos, and judged on the rest.
+
+    forest_corr: rating and prediction; reference_corr: rating and one draw from the photo's own normal distribution of ratings
+    (what another person might say); chance_corr: a random target and a linear model of as many random variables, over the photos
+    it was fitted to (what overfitting alone may explain); then the mean deviation of ratings, the mean error, absolute and in
+    deviations, and its central 95 %. Draws are hashes of photo and seed. Figures are null where too few photos are left.
+    """
+    names = measures_of(rows, "colour")
+    data = _features(rows.where("not bw and rating > 0"), names)
+    data = data.withColumn("draw", _uniform("photo", F.lit(seed))).withColumn("sd", F.expr(f"case when num > 1 then {_SPREAD} end")).persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = data.where(F.col("draw") < share), data.where(F.col("draw") >= share)
+    if not train.take(1) or not test.take(1):
+        none = "forest_corr reference_corr mean_sd mean_abs mean_relative low high chance_corr".split()
+        return rows.sparkSession.createDataFrame([(0, 0, *[None] * len(none))], "n_train long, n_test long, " + ", ".join(f"{c} double" for c in none))
+    forest = RandomForestRegressor(featuresCol="features", labelCol="rating", numTrees=trees, seed=seed).fit(train.select("rating", "features"))
+    normal = F.sqrt(-2 * F.log(_uniform("photo", F.lit("radius"), F.lit(seed)))) * F.cos(2 * math.pi * _uniform("photo", F.lit("angle"), F.lit(seed)))
+    judged = forest.transform(test).select("rating", "prediction", "sd", (F.col("rating") + F.col("sd") * normal).alias("reference"), (F.col("prediction") - F.col("rating")).alias("error"))
+    relative = F.col("error") / F.when(F.col("sd") > 0, F.col("sd"))
+    report = judged.agg(
+        F.lit(train.count()).alias("n_train"), F.count("*").alias("n_test"), F.corr("rating", "prediction").alias("forest_corr"), F.corr("rating", "reference").alias("reference_corr"), F.avg("sd").alias("mean_sd"),
+        F.avg(F.abs("error")).alias("mean_abs"), F.avg(F.abs(relative)).alias("mean_relative"), F.percentile_approx(relative, F.lit(0.025), 100_000).alias("low"), F.percentile_approx(relative, F.lit(0.975), 100_000).alias("high"),
+    )
+    random = test.select(_uniform("photo", F.lit("target"), F.lit(seed)).alias("target"), array_to_vector(F.array(*[_uniform("photo", F.lit(c), F.lit(seed)) for c in names])).alias("features"))
+    chance = LinearRegression(featuresCol="features", labelCol="target", solver="normal", regParam=1e-6).fit(random).transform(random)
+    return report.crossJoin(chance.agg(F.corr("target", "prediction").alias("chance_corr")))
