@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import math
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.circular import a1inv
+from ..operators.circular import WATSON_VM_BAND, a1inv, circ_range, vm_ml, watson_fitted
 
 TAU = 2 * math.pi
 
@@ -87,17 +88,23 @@ def mixed_cdf_column(x: Column, mu: float, kappa: float, mu2: float, kappa2: flo
     return F.pandas_udf(lambda s: pd.Series(share * cdf(s.to_numpy(), mu, kappa) + (1 - share) * cdf(s.to_numpy(), mu2, kappa2)), "double")(x)
 
 
+def _cdf_by_fit(x: pd.Series, mu: pd.Series, kappa: pd.Series) -> pd.Series:
+    out = np.full(len(x), np.nan)
+    for m, k in set(zip(mu[kappa.notna()], kappa[kappa.notna()], strict=True)):
+        at = ((mu == m) & (kappa == k)).to_numpy()
+        out[at] = cdf(x.to_numpy()[at], m, k)
+    return pd.Series(out)
+
+
+def fitted_cdf(x: Column, mu: Column, kappa: Column) -> Column:
+    """Von Mises probabilities with each row's own parameters; NaN without a finite concentration."""
+    return F.pandas_udf(_cdf_by_fit, "double")(x, mu, kappa)
+
+
 def fitted(edf: DataFrame, summary: DataFrame, fits: DataFrame) -> DataFrame:
     """Data of a probability plot: empirical (i / (n + 1)) and fitted von Mises probabilities of rows (g, x, f), given n and mu, kappa of each g."""
-    def fitted_cdf(x: pd.Series, mu: pd.Series, kappa: pd.Series) -> pd.Series:
-        out = np.full(len(x), np.nan)
-        for m, k in set(zip(mu[kappa.notna()], kappa[kappa.notna()], strict=True)):
-            at = ((mu == m) & (kappa == k)).to_numpy()
-            out[at] = cdf(x.to_numpy()[at], m, k)
-        return pd.Series(out)
-
     rows = edf.join(summary.select("g", "n"), "g").join(fits, "g")
-    return rows.select("g", "x", (F.col("f") * F.col("n") / (F.col("n") + 1)).alias("empirical"), F.pandas_udf(fitted_cdf, "double")("x", "mu", "kappa").alias("fitted"))
+    return rows.select("g", "x", (F.col("f") * F.col("n") / (F.col("n") + 1)).alias("empirical"), fitted_cdf(F.col("x"), F.col("mu"), F.col("kappa")).alias("fitted"))
 
 
 def correlation_test(cor: DataFrame) -> DataFrame:
@@ -141,24 +148,86 @@ def cauchy_ml(a: DataFrame, mu0: float = 1.0, rho0: float = 0.3, tol: float = 1e
     return a.select("g", "x").groupBy("g").applyInPandas(run, "g string, mu double, rho double")
 
 
+def _design(order: int) -> list[str]:
+    return ["1e0"] + [f"{f}({k} * x)" for f in ("cos", "sin") for k in range(1, order + 1)]
+
+
 def circular_regression(pairs: DataFrame, order: int = 1) -> DataFrame:
-    """Trigonometric regression of y on x by group: rho, concentration of the residuals and coefficients, from sums of products alone.
+    """Trigonometric regression of y on x by group: rho, coefficients, and whether terms of the next order would add to it (p_cos, p_sin), from sums of products alone.
 
-    The normal equations are aggregated, so no group has to fit anywhere.
+    The normal equations are aggregated, so no group has to fit anywhere. Groups with too few different angles for the
+    next order have no p-values, and those with too few for this one get the coefficients of least norm.
     """
-    design = ["1e0"] + [f"{f}({k} * x)" for f in ("cos", "sin") for k in range(1, order + 1)]
-    cols = {**{f"a{i}": d for i, d in enumerate(design)}, "c": "cos(y)", "s": "sin(y)"}
-    n = len(design)
-    rows = pairs.selectExpr("g", *[f"{v} as {k}" for k, v in cols.items()])
-    sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)] + [F.sum(F.col(f"a{i}") * F.col(t)).alias(f"{t}{i}") for i in range(n) for t in "cs"]
+    design = _design(order) + [f"{f}({order + 1} * x)" for f in ("cos", "sin")] + ["cos(y)", "sin(y)"]
+    n, k = len(design), 2 * order + 1
+    rows = pairs.selectExpr("g", *[f"{v} as a{i}" for i, v in enumerate(design)])
+    sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"m{i}_{j}") for i in range(n) for j in range(i, n)]
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         m = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-        bc, bs = (np.linalg.solve(m, np.array([r[f"{t}{i}"] for i in range(n)])) for t in "cs")
-        return pd.DataFrame({"g": [key[0]], "rho": [math.sqrt((bc @ m @ bc + bs @ m @ bs) / m[0, 0])], "cos_coef": [bc.tolist()], "sin_coef": [bs.tolist()]})
+        x, w, count = slice(k), slice(k, k + 2), m[0, 0]
+        coef, *_ = np.linalg.lstsq(m[x, x], m[x, k + 2 :], rcond=1e-12)
+        size = sum(coef[:, t] @ m[x, x] @ coef[:, t] for t in range(2))
+        rest = m - m[:, x] @ np.linalg.lstsq(m[x, x], m[x, :], rcond=1e-12)[0]  # products of what the terms of x leave
+        p = [None, None]
+        if count > k + 2 and np.linalg.eigvalsh(rest[w, w])[0] > 1e-9 * count:
+            for t in range(2):
+                y = k + 2 + t
+                gain = rest[y, w] @ np.linalg.solve(rest[w, w], rest[w, y])
+                # the tail of a chi-square value of two degrees of freedom
+                p[t] = math.exp(-(count - k) * gain / rest[y, y] / 2) if rest[y, y] > 1e-12 * count else None
+        out = {"g": [key[0]], "rho": [math.sqrt(max(size, 0.0) / count)], "cos_coef": [coef[:, 0].tolist()], "sin_coef": [coef[:, 1].tolist()]}
+        return pd.DataFrame(out | {"p_cos": pd.Series([p[0]], dtype="float64"), "p_sin": pd.Series([p[1]], dtype="float64")})
+
+    return rows.where(" and ".join(f"a{i} is not null and not isnan(a{i})" for i in (1, n - 1))).groupBy("g").agg(*sums).groupBy("g").applyInPandas(solve, "g string, rho double, cos_coef array<double>, sin_coef array<double>, p_cos double, p_sin double")
+
+
+def regression_fit(pairs: DataFrame, regression: DataFrame, order: int = 1) -> DataFrame:
+    """The rows of ``pairs`` with their ``fitted`` angle and ``residual``, both in [0, 2 pi)."""
+    fit = lambda c: " + ".join(f"{c}[{i}] * {d}" for i, d in enumerate(_design(order)))
+    rows = pairs.join(regression.select("g", "cos_coef", "sin_coef"), "g").withColumn("fitted", F.pmod(F.expr(f"atan2({fit('sin_coef')}, {fit('cos_coef')})"), F.lit(TAU)))
+    return rows.withColumn("residual", F.pmod(F.col("y") - F.col("fitted"), F.lit(TAU))).drop("cos_coef", "sin_coef")
+
+
+def residual_concentration(fits: DataFrame) -> DataFrame:
+    """g, a_k (mean cosine of the residuals), kappa of them."""
+    return fits.groupBy("g").agg(F.avg(F.cos("residual")).alias("a_k")).withColumn("kappa", F.expr(a1inv("a_k")))
+
+
+def range_tail(n: int, gap: float) -> float:
+    """Probability that n uniform angles leave a gap of this share of the circle or more, which is that of their range or a smaller one."""
+    if n < 2 or gap <= 0:
+        return 1.0
+    # gaps are negatively associated, so that none reaches ``gap`` is at most this likely
+    if n * math.log1p(-math.exp((n - 1) * math.log1p(-gap))) < math.log(1e-17) if gap < 1 else False:
+        return 1.0
+    with decimal.localcontext(prec=60):
+        d, ways, total = decimal.Decimal(gap), decimal.Decimal(1), decimal.Decimal(0)
+        for k in range(1, min(n, math.floor(1 / gap)) + 1):
+            ways = ways * (n - k + 1) / k
+            term = ways * max(1 - k * d, decimal.Decimal(0)) ** (n - 1)
+            total += term if k % 2 else -term
+            if k > 2 * n * math.exp(-n * gap) + 8 and term < decimal.Decimal("1e-30"):
+                break
+    return float(min(max(total, decimal.Decimal(0)), decimal.Decimal(1)))
+
+
+def range_test(a: DataFrame) -> DataFrame:
+    """g, n, range and the p_value of the test of uniformity by the circular range (small: the angles crowd into an arc)."""
+    found = circ_range(a, digits=15).join(a.where("x is not null and not isnan(x)").groupBy("g").agg(F.count("*").alias("n")), "g")
+    tail = F.pandas_udf(lambda n, r: pd.Series([range_tail(int(k), 1 - v / TAU) for k, v in zip(n, r, strict=True)], dtype="float64"), "double")
+    return found.select("g", "n", "range", tail("n", "range").alias("p_value"))
 
-    return rows.groupBy("g").agg(*sums).groupBy("g").applyInPandas(solve, "g string, rho double, cos_coef array<double>, sin_coef array<double>")
+
+def watson_vm(a: DataFrame) -> DataFrame:
+    """Watson's test against the von Mises distribution that fits each group best: g, n, kappa, u2 and the band of its p-value.
+
+    Null where the concentration is infinite (all angles equal).
+    """
+    fits = vm_ml(a, digits=15)
+    z = a.join(fits, "g").select("g", fitted_cdf(F.pmod(F.col("x") - F.col("mu"), F.lit(TAU)), F.lit(0.0), F.col("kappa")).alias("x"))
+    return watson_fitted(z.where("x is not null and not isnan(x)")).join(fits.select("g", "kappa"), "g").select("g", "n", "kappa", "u2", F.expr(WATSON_VM_BAND).alias("p_band"))
 
 
 def bootstrap(a: DataFrame, reps: int = 1000, alpha: float = 0.05, seed: int = 1, bias: bool = False) -> DataFrame:

@@ -73,7 +73,7 @@ select g, round(rbar, 6) as rbar, round(exp(-z) * case when n < 50 then 1 + (2 *
 from (select *, n * rbar * rbar as z from ({_MEAN}))""")
 _KAPPA = f"select g, n, mu, {a1inv('a')} as kappa from (select m.g, m.n, m.mu, avg(cos(x - mu)) as a from {{a}} a join ({_MEAN}) m on a.g = m.g group by m.g, m.n, m.mu)"
 est_kappa = SqlOp(f"select g, round(kappa, 6) as kappa, round(case when kappa < 2 then greatest(kappa - 2 / (n * kappa), 0e0) else pow(n - 1, 3) * kappa / (pow(n, 3) + n) end, 6) as kappa_unbiased from ({_KAPPA})")
-vm_ml = SqlOp(f"select g, round(mu, 6) as mu, round(kappa, 6) as kappa from ({_KAPPA})")
+vm_ml = SqlOp(f"select g, round(mu, :digits) as mu, round(kappa, :digits) as kappa from ({_KAPPA})", digits=6)
 circ_cor = SqlOp(f"""
 with d as (select g, x, y, case when atan2(sum(sin(x)) over (partition by g), sum(cos(x)) over (partition by g)) is null then 0e0 else sin(x - atan2(sum(sin(x)) over (partition by g), sum(cos(x)) over (partition by g))) end as a,
   sin(y - atan2(sum(sin(y)) over (partition by g), sum(cos(y)) over (partition by g))) as b from {{pairs}})
@@ -83,7 +83,7 @@ _SORTED = f"select g, x, row_number() over (partition by g order by x) as i, cou
 # equal angles are one row of m: those ranked m0 + 1 to m0 + m
 _RANKED = "with " + in_cells(f"select g, x, count(*) as m from (select g, {modulo('x')} as x from {{a}}) group by g, x", "m", "x", _CELL)
 _GAP = f"coalesce(nxt, first + {TAU}) - x"
-circ_range = TwoLevel(f"select g, round(2 * pi() - max(coalesce(nxt, x1 + 2 * pi()) - x), 6) as range from ({_SORTED}) group by g", f"{_RANKED} select g, round({TAU} - max({_GAP}), 6) as range from ranked group by g")
+circ_range = TwoLevel(f"select g, round(2 * pi() - max(coalesce(nxt, x1 + 2 * pi()) - x), :digits) as range from ({_SORTED}) group by g", f"{_RANKED} select g, round({TAU} - max({_GAP}), :digits) as range from ranked group by g", digits=6)
 rao_spacing = TwoLevel(f"select g, round(sum(abs(degrees(coalesce(nxt, x1 + 2 * pi()) - x) - 360e0 / n)) / 2, 5) as u from ({_SORTED}) group by g",
     f"{_RANKED} select g, round(sum(abs(degrees({_GAP}) - 360e0 / mn) + (m - 1) * (360e0 / mn)) / 2, 5) as u from ranked group by g")
 _BAND = "case when v < 1.537e0 then 'p > 0.15' when v < 1.62e0 then '0.10 < p < 0.15' when v < 1.747e0 then '0.05 < p < 0.10' when v < 1.862e0 then '0.025 < p < 0.05' when v < 2.001e0 then '0.01 < p < 0.025' else 'p < 0.01' end"
@@ -98,6 +98,14 @@ from (select g, max(n) as n, sum(pow(u - ubar - (2 * i - 1) / (2e0 * n) + 0.5e0,
 {_RANKED}, means as (select g, sum(m * x) / sum(case when x is not null then m end) / {TAU} as ubar from points group by g)
 select g, round((u2 - 0.1e0 / n + 0.1e0 / (cast(n as double) * n)) * (1 + 0.8e0 / n), 6) as u2
 from (select r.g, max(mn) as n, sum(m * pow(x / {TAU} - ubar - (2 * m0 + m) / (2e0 * mn) + 0.5e0, 2) + (pow(m, 3) - m) / (12e0 * mn * mn)) + 1 / (12e0 * max(mn)) as u2 from ranked r join means on r.g <=> means.g group by r.g)""")
+#: Upper points of Watson's statistic for a fitted von Mises distribution: concentration below, then the 10 %, 5 % and 1 % points.
+WATSON_VM_POINTS = (
+    (0.25, 0.052, 0.061, 0.081), (0.75, 0.056, 0.066, 0.09), (1.25, 0.066, 0.079, 0.11), (1.75, 0.077, 0.092, 0.128), (3, 0.084, 0.101, 0.142), (5, 0.093, 0.113, 0.158), (float("inf"), 0.096, 0.117, 0.164),
+)
+WATSON_VM_BAND = "case " + " ".join(f"when kappa < {'double(\'inf\')' if k == float('inf') else k} then case when u2 < {a}e0 then 'p > 0.10' when u2 < {b}e0 then '0.05 < p < 0.10' when u2 < {c}e0 then '0.01 < p < 0.05' else 'p < 0.01' end" for k, a, b, c in WATSON_VM_POINTS) + " end"
+#: Watson's statistic of probabilities x under a fitted distribution, against evenly spread ones.
+watson_fitted = SqlOp("with " + in_cells("select g, x, count(*) as m from {a} group by g, x", "m", "x", f"cast(floor(x * {CELLS}) as int)") + """
+select g, max(mn) as n, round(sum(m * pow(x - (2 * m0 + m) / (2e0 * mn), 2) + (pow(m, 3) - m) / (12e0 * mn * mn)) - max(mn) * pow(sum(m * x) / max(mn) - 0.5e0, 2) + 1 / (12e0 * max(mn)), 6) as u2 from ranked group by g""")
 watson_two = TwoLevel(f"""
 with o as (select side, sum(case when side = 1 then 1 else 0 end) over (order by x, side rows between unbounded preceding and current row) as a, sum(case when side = 2 then 1 else 0 end) over (order by x, side rows between unbounded preceding and current row) as b,
   sum(case when side = 1 then 1 else 0 end) over () as n1, sum(case when side = 2 then 1 else 0 end) over () as n2 from (select side, {modulo('x')} as x from {{two}}))

@@ -125,7 +125,17 @@ QUERIES["vm_cdf"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id",
 QUERIES["vm_quantile"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.quantile_column(F.col("x") / vonmises.TAU, 1.0, 2.5).alias("theta"))
 QUERIES["v0_test"] = lambda spark, sf_dir: vonmises.v0_test(_ANGLES_ID(spark, sf_dir), 1.0)
 QUERIES["wrpcauchy_ml"] = lambda spark, sf_dir: vonmises.cauchy_ml(_ANGLES_ID(spark, sf_dir))
-QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_ANGLES_ID(spark, sf_dir).selectExpr("g", "x", "(x * 2 + id % 5) % 6.283185307179586D as y"))
+QUERIES["circ_range_test"] = lambda spark, sf_dir: vonmises.range_test(_BY_TYPE["a"][0](spark, sf_dir))
+QUERIES["watson_vm"] = lambda spark, sf_dir: vonmises.watson_vm(_BY_TYPE["a"][0](spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ANGLES_ID(spark, sf_dir).selectExpr("g", "x", "(x * 2 + id % 5) % 6.283185307179586D as y", "id")
+
+
+QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_pairs(spark, sf_dir))
+QUERIES["circ_reg_fit"] = lambda spark, sf_dir: vonmises.regression_fit(_pairs(spark, sf_dir), QUERIES["circ_reg"](spark, sf_dir))
+QUERIES["circ_reg_residuals"] = lambda spark, sf_dir: vonmises.residual_concentration(QUERIES["circ_reg_fit"](spark, sf_dir))
 QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir))
 QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
 
