@@ -36,8 +36,14 @@ def listed(spans):
 
 
 def check(spark, texts):
-    rows = secrets.scan(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, secrets__0 string").drop("secrets__0")).select("id", secrets.listed(secrets.F.col("secrets")).alias("got")).collect()
+    """The scan against plain Python; columns that look like its own, and one it replaces, are there before."""
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "id long, text string, secrets__0 string, secrets int")
+    found = secrets.scan(docs)
+    assert sorted(found.columns) == ["id", "secrets", "secrets__0", "text"]
+    rows = found.select("id", "secrets__0", secrets.listed(secrets.F.col("secrets")).alias("got")).collect()
+    assert len(rows) == len(texts)
     for r in rows:
+        assert r.secrets__0 == "x"
         assert r.got == listed(base(texts[r.id]) + entropy_spans(texts[r.id])), texts[r.id]
 
 
@@ -71,3 +77,10 @@ def test_query(spark, small):
         assert r.base_sha256 == hashlib.sha256(listed(found).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in found) for k in range(3))
         assert r.spans == listed(found + entropy_spans(texts[r.doc_id]))
+
+
+def test_empty_and_repeated(spark):
+    none = spark.createDataFrame([], "id long, text string")
+    assert secrets.scan(none).count() == 0 and secrets.redact(none).columns == ["id", "text"]
+    rows = secrets.scan(spark.createDataFrame([(1, "token=7602ad27cf5550de")] * 4, "id long, text string")).collect()
+    assert len(rows) == 4 and len({str(r.secrets) for r in rows}) == 1 and [x.kind for x in rows[0].secrets] == ["assign", "hex"]
