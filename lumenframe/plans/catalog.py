@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vonmises
-from ..operators import circular, color, segments, stencil
+from ..operators import circular, color, raster, segments, stencil
 from ..operators.base import SqlOp
 from ..sources import files, tables
 from . import model
@@ -152,3 +152,19 @@ register("binomial", circular.binomial, {"numbers": _view("select distinct user_
 _DIGITS = "(values (0), (1), (2), (3))"
 _BUCKETS = f"select z.n * 16 + y.n * 4 + x.n + 1 as photo_id, 1 as h, 1 as w, 1 as rw, 1 as cl, (x.n + 0.5e0) / 4 as r, (y.n + 0.5e0) / 4 as g, (z.n + 0.5e0) / 4 as b from {_DIGITS} x(n) cross join {_DIGITS} y(n) cross join {_DIGITS} z(n)"
 register("bucket_luv", color.luv_pixels, {"px": (lambda spark, sf_dir: spark.sql(_BUCKETS), _BUCKETS)})
+
+
+def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters flattened, cut into rows again, and as signed bytes turned into floats, each as text."""
+    text = lambda row: F.array_join(F.transform(row, lambda v: v.cast("int").cast("string")), ",")
+    by_row = lambda rows: F.array_join(F.transform(rows, text), ";")
+    signed = F.transform("raster", lambda row: F.transform(row, lambda v: F.when(v > 127, v - 256).otherwise(v).cast("byte")))
+    out = raster.rasters(tables.px(spark, sf_dir)).withColumn("line", raster.flat(F.col("raster")))
+    return out.select("photo_id", text("line").alias("flat"), by_row(raster.shaped(F.col("line"), F.col("w"))).alias("rows"), by_row(raster.floats(raster.unsigned(signed))).alias("floats"))
+
+
+QUERIES["rasters"] = _rasters
+SQL["rasters"] = f"""
+with px as ({tables.ANSI["px"]}),
+rows_ as (select photo_id, rw, string_agg(cast(r8 as varchar), ',' order by cl) as v from px group by photo_id, rw)
+select photo_id, string_agg(v, ',' order by rw) as flat, string_agg(v, ';' order by rw) as rows, string_agg(v, ';' order by rw) as floats from rows_ group by photo_id"""

@@ -7,7 +7,7 @@ import pytest
 from lumenframe.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = "exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links emboss_full emboss_valid emboss_padded gaussian_blur_2d hsv_radians xyz_plain turns binomial hull_inside color_buckets dominant_hue_spread".split()
+FEW = "rasters vm_ml rao_spacing exposure_contrast hsv_pixels dominant_hue gaussian_blur blur_annoyance otsu wavelet_dof components top5_segments circ_summary kuiper watson_two change_point ratings_join error_metrics scrape_links emboss_full emboss_valid emboss_padded gaussian_blur_2d hsv_radians xyz_plain turns binomial hull_inside color_buckets dominant_hue_spread".split()
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,15 @@ def test_too_many_buckets(spark):
 @pytest.mark.parametrize("name", ["circ_reg", "colorfulness", "colorfulness_grey", "kmeanspp", "region_composition"])
 def test_runs(spark, small, name):
     assert catalog.QUERIES[name](spark, small).count() > 0
+
+
+def test_shaped(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from lumenframe.operators import raster
+
+    df = spark.createDataFrame([(list(range(1, 7)), 3), ([], 3)], "v array<int>, w int")
+    assert [r[0] for r in df.select(raster.shaped(F.col("v"), F.col("w"))).collect()] == [[[1, 2, 3], [4, 5, 6]], []]
+    with pytest.raises(PySparkException):
+        df.select(raster.shaped(F.col("v"), F.lit(4))).collect()
