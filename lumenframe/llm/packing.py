@@ -47,10 +47,11 @@ def byte_letters() -> list[str]:
 
 
 class WordCache:
-    """Ids of a text, string by string: the tokenizer drops white space and never joins ids across it.
+    """Ids of a text, piece by piece: the tokenizer drops white space and never joins ids across pieces.
 
-    Strings of Latin letters are cut into the tokenizer's pieces here, and each new piece is given to its model
-    once; other strings, and whole texts that hold the text of a special token (``<|``), go through all of it.
+    Texts of Latin letters are cut into the tokenizer's pieces here, and each new piece is given to its model
+    once. Of other texts, strings between white space are looked up, and those of other letters go through all of
+    the tokenizer, as do whole texts that hold the text of a special token (``<|``).
     """
 
     def __init__(self, path: str) -> None:
@@ -81,6 +82,12 @@ class WordCache:
     def encode(self, text: str) -> np.ndarray:
         if WHOLE.search(text):
             return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if text.isascii() or max(text) < LATIN_END:
+            pieces = PIECES.findall(text.lower())
+            got = list(map(self.pieces.get, pieces))
+            if None in got:
+                got = [self._piece(piece) if ids is None else ids for ids, piece in zip(got, pieces, strict=True)]
+            return np.frombuffer(b"".join(got), dtype="<u4")
         strings = text.split()
         got = list(map(self.words.get, strings))
         if None in got:
