@@ -85,13 +85,14 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", notices
     ASCII letters and digits, in lower case); ``at`` is the window's first word, ``contained`` the share. A
     window is verified if one of BANDS min-hashes equals the notice's: a match has at least a Jaccard
     similarity of need / (2 s + s - need) with a notice of s shingles, so it is missed with a probability of
-    at most (1 - that) ** BANDS, below 0.0001. Texts that hold none of the words of which every match needs
-    one are passed over. Null and short texts give an empty array, an empty table an empty one; a column named
+    at most (1 - that) ** BANDS, below 0.0001. A notice is looked for only in texts that hold one of the words of
+    which every match of it needs one. Null and short texts give an empty array, an empty table an empty one; a column named
     ``out`` is replaced, others stay. Row-wise, repeated rows as well, over whole texts: no shuffle.
     """
     known = templates(notices)
     first = docs[text_col].cast("string")
-    may = F.coalesce(F.lower(first).rlike("(?<![a-z0-9])(?:" + "|".join(needed_words(known)) + ")(?![a-z0-9])"), F.lit(False))
+    holds = lambda text, of: text.rlike("(?<![a-z0-9])(?:" + "|".join(needed_words(of)) + ")(?![a-z0-9])")
+    may = F.coalesce(holds(F.lower(first), known), F.lit(False))
     hashes = lambda s, i: F.xxhash64(s, F.lit(i))
 
     def shingles(words: Column) -> Column:
@@ -113,11 +114,11 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "licenses", notices
                 def banded(at: Column) -> Column:
                     return F.arrays_overlap(F.transform(x.m, lambda column: F.array_min(F.slice(column, at + 1, t.window))), mine)
 
-                found = F.transform(F.filter(F.sequence(F.lit(0), F.size(x.s) - 1, F.lit(t.step)), banded), match)
-                parts.append(F.filter(found, lambda y: y.contained >= CONTAINED - 1e-9))
+                places = F.when(F.get(x.may, t.number), F.sequence(F.lit(0), F.size(x.s) - 1, F.lit(t.step))).otherwise(F.array().cast("array<int>"))
+                parts.append(F.filter(F.transform(F.filter(places, banded), match), lambda y: y.contained >= CONTAINED - 1e-9))
             return F.concat(*parts)
 
-        return let(F.struct(s.alias("s"), minima.alias("m")), of)
+        return let(F.struct(s.alias("s"), minima.alias("m"), F.array(*[holds(F.lower(first), [t]) for t in known]).alias("may")), of)
 
     words = F.regexp_extract_all(F.lower(first), F.lit("[a-z0-9]+"), F.lit(0))
     found = F.when(may, let(words, lambda w: let(shingles(w), lambda s: F.when(s.isNotNull(), windows(s)))))
