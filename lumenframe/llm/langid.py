@@ -14,6 +14,8 @@ from .common import Scratch
 #: N-grams of a profile, and labelled texts that each language's profile is made from at most.
 PROFILE, SAMPLE = 300, 2000
 UNKNOWN = "und"
+#: Groups of a language's ids that are cut to the sample's size before they meet.
+SALTS = 64
 #: Characters counted at once.
 PIECE = 1 << 18
 
@@ -79,13 +81,16 @@ def place(grams: np.ndarray, profiles: list[tuple[str, np.ndarray, np.ndarray]],
 def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = PROFILE, sample: int = SAMPLE) -> list[tuple[str, list[int]]]:
     """Profiles of the languages of labelled rows: the ``most`` n-grams of up to ``sample`` texts of each, those of the smallest hashed ids.
 
-    The sample is chosen by ids alone; its texts are then counted in tasks, and what reaches the driver is
-    ``most`` n-grams for each language.
+    The sample is chosen by ids alone, first in SALTS groups of each language and then of what these keep, so no
+    task gets more than SALTS times ``sample`` ids of a language; its texts are then counted in tasks, and what
+    reaches the driver is ``most`` n-grams for each language.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.where(train & docs[lang_col].isNotNull() & docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = scratch.save(known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("id").distinct(), "sample")
+    for keys in (["lang", F.pmod(F.hash("id"), F.lit(SALTS))], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        known = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")
+    ids = scratch.save(known.select("id").distinct(), "sample")
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), train.alias("train")).where("train and lang is not null").join(F.broadcast(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
