@@ -65,3 +65,15 @@ def test_edges(spark):
     assert got[1, rows[0][1]] == ("en", "a") and got[2, rows[1][1]] == ("fr", "b") and got[None, "the dog"] == ("en", None)
     assert all(got[k][0] == "und" for k in [(3, None), (4, ""), (5, "12 !?")])
     assert langid.fit(df.limit(0), langid.F.lit(True)) == [] and langid.predict(df, []).where("lang_pred <> 'und'").count() == 0
+
+
+def test_sample(spark):
+    """A sample smaller than the labelled rows: those of the smallest hashed ids, whatever their groups."""
+    rows = [(i, f"w{chr(97 + i % 23)}x {chr(97 + i % 19) * 2} {chr(97 + i % 7)}", "en" if i % 3 else "fr") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    order = [r.doc_id for r in df.orderBy(langid.F.xxhash64("doc_id"), "doc_id").collect()]
+    got = dict(langid.fit(df, langid.F.lit(True), sample=9, most=20))
+    for lang in ("en", "fr"):
+        own = [d for d in order if rows[d][2] == lang][:9]
+        total = sum((grams(rows[d][1]) for d in own), Counter())
+        assert got[lang] == [code(g) for g in ranked(total, 20)]
