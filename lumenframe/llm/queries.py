@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, jaccard, langid, licenses, mixing, neardup, packing, secrets, suffixes, warc
+from . import divergence, hnsw, jaccard, langid, lexical, licenses, mixing, neardup, packing, secrets, suffixes, urls, warc
 from .common import Scratch, table
 
 #: Target shares of op1 and the pipeline. Values that are not named keep their share.
@@ -119,8 +119,88 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_licenses": op9_licenses, "op10_warc": op10_warc, "op1_mixing_weighted": op1_mixing_weighted}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.fit(urls.labelled(spark))).select("page_id", "host", "path", "rule", "verdict")
+
+
+_SMALL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11_SQL = f"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all({_SMALL.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+q as materialized (select row_number() over () as q, item_id, regexp_extract_all({_SMALL.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from (select distinct item_id, text from benchmark where text is not null)),
+qt as materialized (select q, t, count(*) as times from (select q, unnest(ts) as t from q) group by all),
+size as materialized (select r, doc_id, len(ts)::bigint as n from d where len(ts) > 0),
+total as materialized (select count(*)::bigint as big_n, sum(n)::bigint as big_l from size),
+post as materialized (select r, t, count(*)::bigint as tf from (select r, unnest(ts) as t from d) where t in (select t from qt) group by all),
+weight as materialized (select t, floor(1000 * ln((2.0::double * big_n + 2) / (2 * df + 1)))::bigint as w from (select t, count(*) as df from post group by t), total),
+value as (select r, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) as v from post join weight using (t) join size using (r), total),
+score as (select q, r, sum(times * v)::bigint as score from value join qt using (t) group by all having sum(times * v) > 0)
+select item_id, rank, doc_id, score from (select item_id, cast(row_number() over (partition by q order by score desc, doc_id) as int) as rank, doc_id, score from score join size using (r) join q using (q)) where rank <= 20"""
+_OP12_SQL = f"""
+with d as materialized (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_SMALL.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+occ as materialized (select r, lang, source, t, count(*)::bigint as n from (select r, lang, source, unnest(ts) as t from d) group by all),
+kept as materialized (select lang, t, sum(n)::bigint as n from occ group by all having count(*) >= {divergence.LEAST_DOCS}),
+v as materialized (select lang, count(*)::bigint as v, sum(n)::bigint as n from kept group by all),
+g as materialized (select distinct lang, source from d),
+own as materialized (select lang, source, t, sum(o.n)::bigint as n from occ o join kept using (lang, t) group by all),
+size as materialized (select lang, source, coalesce(sum(n), 0)::bigint as n from g left join own using (lang, source) group by all),
+p as materialized (select s.lang, s.source, k.t, coalesce(o.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(o.n, 0) + 5)) // (s.n + 5 * v.v) as p, 1 + (1000000000::hugeint * (k.n + 5)) // (v.n + 5 * v.v) as q
+  from size s join v using (lang) join kept k using (lang) left join own o on o.lang = s.lang and o.source = s.source and o.t = k.t),
+diff as materialized (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by all),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join diff on diff.lang = a.lang and diff.source = a.source and diff.item = b.source),
+term as (select lang, source, 'term' as part, t as item, (p - q)::bigint as value from p where n > 0 and p > q)
+select lang, source, part, item, value, rank from (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pair union all select * from term))
+where part = 'pair' or rank <= 50"""
+
+
+def _op13_sql(steps: int = 400, pull: float = 0.88) -> str:
+    """The same regression by accelerated gradient steps."""
+    lab = ", ".join(f"('{u}', {k})" for k, names in enumerate((urls.ALLOWED, urls.BLOCKED)) for u in urls.addresses(names))
+    host = "translate(coalesce(regexp_extract(url, '{}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format(urls.PARTS)
+    path = f"coalesce(regexp_extract(url, '{urls.PARTS}', 2), '')"
+
+    def grams(text: str, salt: int, n: int) -> str:
+        h = str(salt * 16 + n)
+        for k in range(n):
+            h = f"(({h}::bigint * {urls.FACTOR} + c[i + {k + 1}]) % {urls.MODULUS})"
+        return f"select id, unnest(list_transform(range(len(c) - {n - 1}), lambda i: {h} % {urls.BUCKETS})) as k from (select id, list_transform(regexp_extract_all({text}, '(?s).'), lambda x: unicode(x)::bigint) as c from seen)"
+
+    feats = " union all ".join(grams(text, salt, n) for salt, text in ((1, "'^' || host || '$'"), (2, "path || '$'")) for n in urls.GRAMS)
+    rate = 1 / (0.5 + urls.PENALTY)
+    fits = lambda r: f"(host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}')"
+    order = sorted(urls.RULES, key=lambda r: (-len(r.text), r.text))
+    case = lambda what, rest: "case " + " ".join(f"when {fits(r)} then '{what(r)}'" for r in order) + f" else {rest} end"
+    return f"""
+with recursive lab as materialized (select row_number() over () as i, * from (values {lab}) t(url, y)),
+seen as materialized (select -i as id, url, {host} as host, {path} as path from lab union all select page_id, url, {host}, {path} from pages),
+found as materialized (select id, k, count(*)::double as n from ({feats}) group by all),
+x as materialized (select id, k, n / sqrt(sum(n * n) over (partition by id)) as x from found),
+train as materialized (select i, y, k, x from lab join x on x.id = -i union all select i, y, -1, 1.0 from lab),
+fit as (
+  select 0 as step, k, 0.0::double as w, 0.0::double as v from (select distinct k from train)
+  union all
+  select step + 1, k, v - {rate} * (g + case when k >= 0 then {urls.PENALTY} * v else 0 end),
+    (v - {rate} * (g + case when k >= 0 then {urls.PENALTY} * v else 0 end)) * {1 + pull} - {pull} * w
+  from fit join (select t.k, avg_sum / (select count(*) from lab) as g from (select t.k, sum(t.x * (1 / (1 + exp(-m)) - t.y)) as avg_sum from train t join (select i, sum(x * v) as m from train join fit using (k) group by i) using (i) group by t.k) t) using (k)
+  where step < {steps}),
+last as materialized (select k, w from fit where step = {steps}),
+margin as materialized (select id, sum(x * w) + (select w from last where k = -1) as m from x join last using (k) group by id)
+select page_id, host, path, {case(lambda r: r.text, 'null')} as rule, {case(lambda r: r.verdict, f"case when coalesce(m, (select w from last where k = -1)) > 0 then 'block' else 'allow' end")} as verdict
+from (select id as page_id, host, path from seen where id >= 0) s left join margin on margin.id = s.page_id"""
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_hnsw": op2_hnsw, "op3_jaccard": op3_jaccard, "op4_langid": op4_langid, "op5_suffixes": op5_suffixes, "op6_secrets": op6_secrets, "op7_packing": op7_packing, "op8_neardup": op8_neardup, "op9_licenses": op9_licenses, "op10_warc": op10_warc, "op1_mixing_weighted": op1_mixing_weighted, "op11_lexical": op11_lexical, "op12_divergence": op12_divergence, "op13_urls": op13_urls}
 SQL = {
+    "op11_lexical": _OP11_SQL,
+    "op12_divergence": _OP12_SQL,
+    "op13_urls": _op13_sql(),
     "op1_mixing": _op1_sql(),
     "op1_mixing_weighted": _op1_sql(weighted=True),
     "op10_warc": """
