@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ MIN_REVISIT = 100
 #: Bytes of an archive that a task scans.
 SPLIT = 32 << 20
 READ = 1 << 16
-#: Bytes over which a chain of records has to go on before its first one counts. Bytes of an archive inside a record
-#: show only in stored blocks of deflate, of at most 65,535 bytes each, so no chain of such records is that long.
-LOOK_AHEAD = 1 << 17
+#: Bytes before a candidate in which a stored block of deflate that holds it would begin: such a block has at most
+#: 65,535 bytes, after 4 bytes of its length. Only in stored blocks do bytes of an archive show within a record.
+BACK = 65_539
+WINDOW = bytes(32768)
 #: Tasks that read, at most.
 TASKS = 100_000
 #: An archive is closed beyond so many bytes, and the next one begun.
@@ -46,10 +48,11 @@ def urn(page_id: int | None) -> str:
 
 def encode(r: Record) -> bytes:
     """One gzip member: WARC headers, then an HTTP message; that of a revisit has no body."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(r.payload)
-    block = http if r.revisit else http + r.payload
+    payload = r.payload or b""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    block = http if r.revisit else http + payload
     url = (r.url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if r.revisit else 'response'}", f"WARC-Record-ID: {urn(r.page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r.digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if r.revisit else 'response'}", f"WARC-Record-ID: {urn(r.page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r.digest or str()}"]
     if r.revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(r.refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -112,6 +115,7 @@ class Range:
         return bytes(self.held[position - self.at : position - self.at + count])
 
     def let_go(self, position: int) -> None:
+        position -= BACK
         if position > self.at + (READ << 2):
             del self.held[: position - self.at]
             self.at = position
@@ -133,11 +137,39 @@ def member(data: Range, position: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(z.unused_data)
 
 
+def enclosing(data: Range, start: int, end: int) -> int | None:
+    """The end of the gzip member in one of whose stored blocks the bytes from start to end lie; None if there is none.
+
+    A block's header is its length and the complement of it. Where one before ``start`` reaches as far as ``end``, what
+    follows the block has to inflate (whatever came before it) to the end of a member, and there another begins, or the file ends.
+    """
+    low = max(data.at, start - BACK)
+    raw = np.frombuffer(data.bytes_from(low, start - low), dtype=np.uint8).astype(np.int64)
+    if len(raw) < 4:
+        return None
+    length, complement = raw[:-3] + 256 * raw[1:-2], raw[2:-1] + 256 * raw[3:]
+    k = np.arange(len(length))
+    for at in (np.flatnonzero((length ^ complement == 0xFFFF) & (low + k + 4 + length >= end)) + low).tolist():
+        for last in (b"\1", b"\0"):
+            z, to = zlib.decompressobj(-15, zdict=WINDOW), at
+            try:
+                z.decompress(last)
+                while not z.eof and (more := data.bytes_from(to, READ)):
+                    z.decompress(more)
+                    to += len(more)
+            except zlib.error:
+                continue
+            close = to - len(z.unused_data) + 8  # after the checksum and the size
+            if z.eof and (close == data.size or data.bytes_from(close, 3) == MAGIC):
+                return close
+    return None
+
+
 def first_member(data: Range, start: int, end: int) -> int | None:
     """Where the first record that starts in [start, end) begins.
 
-    A candidate is gzip magic whose member decodes to a WARC header and whose successors do so as well, over
-    LOOK_AHEAD bytes or up to the end of the file.
+    A candidate is gzip magic whose member decodes, checksum and all, to a WARC header. It counts unless it lies within
+    another record; then the search goes on behind that one. Damage after it does not matter.
     """
     at = start
     while at < end:
@@ -152,13 +184,14 @@ def first_member(data: Range, start: int, end: int) -> int | None:
         at += i
         if at >= end:
             return None
-        walk: int | None = at
-        while walk is not None and walk < min(at + LOOK_AHEAD, data.size):
-            found = member(data, walk)
-            walk = found[1] if found and decode(found[0]) else None
-        if walk is not None:
-            return at
-        at += 1
+        found = member(data, at)
+        if found and decode(found[0]):
+            outer = enclosing(data, at, found[1])
+            if outer is None:
+                return at
+            at = outer
+        else:
+            at += 1
     return None
 
 
@@ -168,7 +201,7 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
     The first byte of an archive, and the end of a record, are where the next one begins. If none does, and where a
     range starts, the next one is searched for.
     """
-    data, at, known = Range(file, size, start), start, start == 0
+    data, at, known = Range(file, size, max(0, start - BACK)), start, start == 0
     while at is not None and at < min(end, size):
         found = member(data, at) if known else None
         if found and decode(found[0]):
@@ -182,7 +215,8 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 
 def write(pages: DataFrame, directory: str, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Write rows (page_id, url, payload binary, digest, refers_to, revisit) as archives in ``directory``, a URI that
-    all executors share; returns (path, bytes, records) of each archive.
+    all executors share; returns (path, bytes, records) of each archive. A null page_id makes a record without one in its
+    name, a null url an empty address, a null payload an empty one, a null digest none.
 
     Each task writes archives of its own under a fresh name, so that a repeated task never touches those of
     another attempt; save the result, which lists the archives that count.
@@ -219,8 +253,7 @@ def read(spark: SparkSession, files: DataFrame, directory: str, split: int = SPL
 
     ``payload`` is null for revisits (and for all if not ``with_payload``); ``payload_bytes`` and
     ``payload_digest`` are those of the payload as it was read, for revisits those that it refers to. Bytes that
-    are no records are passed over, and so are damaged members; where a range begins less than LOOK_AHEAD before
-    damage, the records between go with it. Members may hold several records. Equal records are all returned;
+    are no records are passed over, and so are damaged members, each alone. Members may hold several records. Equal records are all returned;
     an archive listed twice is read twice. Payloads of any size are read whole; no archives give no rows, and
     columns of ``files`` beyond path and bytes are not looked at.
     """
