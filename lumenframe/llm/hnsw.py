@@ -94,8 +94,8 @@ def build(v: np.ndarray, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     return layers
 
 
-def search(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, k: int, width: int) -> np.ndarray:
-    """The k nearest nodes found for each query (-1: none): down the upper layers by single steps, on the ground by a beam."""
+def search(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, width: int) -> np.ndarray:
+    """Up to ``width`` near nodes found for each query (-1: none), in no order: down the upper layers by single steps, on the ground by a beam."""
     n = len(q)
     at = np.zeros(n, dtype=np.int64)  # a place in the top layer
     for level in range(len(layers) - 1, 0, -1):
@@ -115,7 +115,6 @@ def search(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
     nodes, links = layers[0]
     x = v[nodes]
     seen = np.zeros((n, len(x)), dtype=bool)
-    width = max(width, k)
     beam, sims, done = np.full((n, width), -1, dtype=np.int64), np.full((n, width), -np.inf, dtype=q.dtype), np.ones((n, width), dtype=bool)
     # the entry found above, and a spread of others: several ways into separate clusters
     entry = np.unique(np.linspace(0, len(x) - 1, min(16, len(x), width)).astype(np.int64))
@@ -144,51 +143,66 @@ def search(v: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], q: np.nda
         flags = np.concatenate([done[open_], ~fresh], axis=1)
         best = np.argpartition(-all_, width - 1, axis=1)[:, :width]
         beam[open_], sims[open_], done[open_] = (np.take_along_axis(y, best, 1) for y in (ids, all_, flags))
-    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-    out = np.take_along_axis(beam, best, 1)
-    return np.where((out >= 0) & (np.take_along_axis(sims, best, 1) > -np.inf), nodes[np.maximum(out, 0)], -1)
+    return np.where((beam >= 0) & (sims > -np.inf), nodes[np.maximum(beam, 0)], -1)
+
+
+def _indexed(shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The row of a shard: numbers, smallest ids and vectors of its nodes, and its layers, as flat arrays."""
+    own = pa.Table.from_batches(held)
+    x = np.concatenate([c.flatten().to_numpy() for c in own.column("v").chunks]).astype(np.float64).reshape(own.num_rows, -1)
+    by = np.argsort(own.column("rep").to_numpy())  # the same graph whatever the order of the rows
+    x = x[by]
+    layers = build(unit(x).astype(np.float32), shard + 1)
+    ids, first = (own.column(c).to_numpy()[by].tobytes() for c in ("rep", "first"))
+    return pa.RecordBatch.from_arrays([
+        pa.array([shard]), pa.array([x.shape[1]]), pa.array([ids]), pa.array([first]), pa.array([x.tobytes()]),
+        pa.array([[nodes.tobytes() for nodes, _ in layers]], pa.list_(pa.binary())), pa.array([[links.tobytes() for _, links in layers]], pa.list_(pa.binary())),
+    ], names=["shard", "dim", "ids", "first", "v", "nodes", "links"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard of a partition: its vectors and its layers, as flat arrays."""
-    table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if table is None:
-        return
-    shard = table.column(0).to_numpy()
-    for s in np.unique(shard):
-        own = table.filter(pa.array(shard == s))
-        raw = np.concatenate([c.flatten().to_numpy() for c in own.column(2).chunks]).astype(np.float64)
-        x = raw.reshape(own.num_rows, -1)
-        by = np.argsort(own.column(1).to_numpy())  # the same graph whatever the order of the rows
-        x = x[by]
-        layers = build(unit(x).astype(np.float32), int(s) + 1)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([int(s)]), pa.array([x.shape[1]]), pa.array([own.column(1).to_numpy()[by].tobytes()]), pa.array([x.tobytes()]),
-            pa.array([[nodes.tobytes() for nodes, _ in layers]], pa.list_(pa.binary())), pa.array([[links.tobytes() for _, links in layers]], pa.list_(pa.binary())),
-        ], names=["shard", "dim", "ids", "v", "nodes", "links"])
+    """A row for each shard; rows come sorted by shard, and one shard is held at a time."""
+    at, held = None, []
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                if held and shard[a] != at:
+                    yield _indexed(at, held)
+                    held = []
+                at = int(shard[a])
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield _indexed(at, held)
 
 
 def _found(k: int, width: int):
     """Rows sorted so that a shard's index comes before the blocks of queries that search it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, dim, layers = np.zeros(0, dtype=np.int64), np.zeros((0, 0)), 0, []
+        ids, first, x, dim, layers = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros((0, 0)), 0, []
         for batch in batches:
             for row in range(batch.num_rows):
-                raw_ids, raw, nodes, links, own, queries, qv = (c[row].as_py() for c in batch.columns)
+                raw_ids, raw_first, raw, nodes, links, own, queries, qv = (c[row].as_py() for c in batch.columns)
                 if raw_ids is not None:
-                    ids, x, dim = np.frombuffer(raw_ids, dtype=np.int64), np.frombuffer(raw).reshape(-1, own), own
+                    ids, first, x, dim = np.frombuffer(raw_ids, dtype=np.int64), np.frombuffer(raw_first, dtype=np.int64), np.frombuffer(raw).reshape(-1, own), own
                     layers = [(a := np.frombuffer(p, dtype=np.int32), np.frombuffer(c, dtype=np.int32).reshape(len(a), -1)) for p, c in zip(nodes, links, strict=True)]
                     index = unit(x).astype(np.float32)
                 elif own == dim:  # else no vector of this length is in the shard
                     y = np.array(qv, dtype=np.float64)
-                    got = search(index, layers, unit(y).astype(np.float32), k, width)
+                    got = search(index, layers, unit(y).astype(np.float32), max(width, k))
                     of, place = np.nonzero(got >= 0)
-                    a, b = y[of], x[got[of, place]]
+                    node = got[of, place]
+                    a, b = y[of], x[node]
                     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
                         score = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
                     score = np.where(np.isfinite(score), score, np.einsum("ij,ij->i", unit(a), unit(b)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(queries, dtype=np.int64)[of]), pa.array(ids[got[of, place]]), pa.array(score)], names=["query_id", "rep", "score"])
+                    # all that was found, in double precision: the best k, of equal ones those of the smallest ids
+                    order = np.lexsort((first[node], -score, of))
+                    rank = np.arange(len(of)) - np.searchsorted(of, of)
+                    order = order[rank < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(queries, dtype=np.int64)[of[order]]), pa.array(ids[node[order]]), pa.array(score[order])], names=["query_id", "rep", "score"])
 
     return run
 
@@ -211,17 +225,17 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     # a node's number, not its smallest id: an id may have several vectors
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "v", "members", "dim"), "classes")
     shards = max(1, -(-classes.count() // SHARD))
-    slots = classes.select((F.pmod(F.xxhash64("v"), F.lit(shards)) + F.col("dim").cast("long") * shards).alias("shard"), "rep", "v")
-    index = scratch.save(slots.repartition(shards, "shard").mapInArrow(_index, "shard long, dim long, ids binary, v binary, nodes array<binary>, links array<binary>"), "index")
+    slots = classes.select((F.pmod(F.xxhash64("v"), F.lit(shards)) + F.col("dim").cast("long") * shards).alias("shard"), "rep", F.element_at("members", 1).alias("first"), "v")
+    index = scratch.save(slots.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_index, "shard long, dim long, ids binary, first binary, v binary, nodes array<binary>, links array<binary>"), "index")
     asked = scratch.save(rows.where(is_query).select("vec_id", "v", "dim").distinct(), "asked")
     total = max(1, -(-asked.count() // BLOCK))
     groups = -(-total // TOGETHER)
     blocks = asked.groupBy("dim", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(total)).alias("block")).agg(F.collect_list("vec_id").alias("queries"), F.collect_list("v").alias("qv"))
     some = lambda name, kind: F.lit(None).cast(kind).alias(name)
     blocks = blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        (F.col("s") + F.col("dim").cast("long") * shards).alias("shard"), F.pmod("block", F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), some("ids", "binary"), some("v", "binary"), some("nodes", "array<binary>"), some("links", "array<binary>"), F.col("dim").cast("long").alias("dim"), "queries", "qv")
-    there = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("shard", "g", F.lit(0).alias("kind"), "ids", "v", "nodes", "links", "dim", some("queries", "array<bigint>"), some("qv", "array<array<double>>"))
-    pairs = there.union(blocks).repartition(shards * groups, "shard", "g").sortWithinPartitions("shard", "g", "kind").select("ids", "v", "nodes", "links", "dim", "queries", "qv")
+        (F.col("s") + F.col("dim").cast("long") * shards).alias("shard"), F.pmod("block", F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), some("ids", "binary"), some("first", "binary"), some("v", "binary"), some("nodes", "array<binary>"), some("links", "array<binary>"), F.col("dim").cast("long").alias("dim"), "queries", "qv")
+    there = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("shard", "g", F.lit(0).alias("kind"), "ids", "first", "v", "nodes", "links", "dim", some("queries", "array<bigint>"), some("qv", "array<array<double>>"))
+    pairs = there.union(blocks).repartition(shards * groups, "shard", "g").sortWithinPartitions("shard", "g", "kind").select("ids", "first", "v", "nodes", "links", "dim", "queries", "qv")
     found = pairs.mapInArrow(_found(k + 1, width), "query_id long, rep long, score double")
     hits = found.join(classes.select("rep", F.explode("members").alias("vec_id")), "rep").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
