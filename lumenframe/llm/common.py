@@ -1,32 +1,23 @@
-"""What the text operators share: scratch tables, bounded broadcasts, graph components."""
+"""What the text operators share: scratch tables, bounded broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_dir
+
 #: Rows of (long) ids that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset and the master local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-lumen-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables of one operator call, as Parquet in the shared folder.
 
-    A written table cuts the lineage and survives the loss of executors.
+    A written table cuts the lineage and survives the loss of executors. What the result still reads stays there: the
+    folder belongs to the application, and whoever set it clears it when the results have been read.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -49,35 +40,5 @@ def id_join(df: DataFrame, ids: DataFrame, on: str | list[str], how: str, limit:
     return df.join(F.broadcast(ids) if small else ids.hint("merge"), on, how)
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Smallest node reachable for every node of ``edges`` (a, b): columns node, label.
-
-    Alternating large-star and small-star rounds: each keeps at most one row per edge, a node of many
-    edges is only ever the key of a (partial) minimum, and the number of rounds grows with the log of
-    the diameter; they go on until nothing changes. Every round is a written table.
-    """
-    both = lambda e: e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
-    state = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    cur = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, i = state(cur), 0
-    while before[0]:
-        i += 1
-        # large star: larger neighbours of each node go to the smallest of its neighbourhood
-        e = both(cur)
-        low = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = e.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: smaller neighbours of each node and the node itself go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        nxt = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        cur = scratch.save(nxt, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
-        after = state(cur)
-        if after == before:
-            break
-        before = after
-    found = cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-    return found.union(found.select(F.col("label").alias("node"), "label").distinct())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, id_join
+from ..operators.graph import components
+from .common import Scratch, id_join
 from .shingles import sets_of
 
 #: Sets, and elements of theirs, that are compared at once.
@@ -348,7 +349,7 @@ def _larger(tiles: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratc
     cut = rows.where("blocks > 1")
     if cut.isEmpty():
         return links
-    labels = scratch.save(components(links, scratch, "inside"), "inside")
+    labels = scratch.save(components(links), "inside")
     cut = cut.join(labels, cut.doc_id == labels.node, "left").select("tile", *parts, "up", "block", "blocks", F.coalesce("label", "doc_id").alias("label"))
     mixed = cut.groupBy("tile").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("tile")
     cut = cut.join(mixed, "tile").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
@@ -358,7 +359,7 @@ def _larger(tiles: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratc
 
 def _links(docs: DataFrame, tiles: DataFrame, scratch: Scratch, n: int, num: int, den: int, members: int, hashes: int) -> DataFrame:
     """(a, b): labels of linked documents that become one."""
-    clusters = scratch.save(components(tiles.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), scratch, "clusters"), "clusters")
+    clusters = scratch.save(components(tiles.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "clusters")
     ids = clusters.select(F.col("node").alias("doc_id"))
     sets = scratch.save(_hashes(id_join(docs, ids, "doc_id", "left_semi"), n), "hashes")
     of = clusters.select(F.col("node").alias("doc_id"), F.col("label").alias("cluster"))
@@ -401,7 +402,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     links = _links(docs, tiles, scratch, n, num, den, members, hashes)
     if repeated:
         links = links.union(id_join(known, again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
-    whole = scratch.save(components(links, scratch, "components"), "whole")
+    whole = scratch.save(components(links), "whole")
     scratch.drop("hashes")
     out = sets.select(*rows, F.col("n").alias("n_shingles")).join(known, rows, "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     out = out.join(whole, out.class_id == whole.node, "left")

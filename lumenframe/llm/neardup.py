@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from ..operators.graph import components, keyed
+from .common import Scratch
 from .vectors import matrix, prepared, unit, usable
 
 #: Most vectors of a block and most components of all its vectors (a block moves as int8, one byte each); a tile compares
@@ -45,16 +46,16 @@ def joined(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 class Side:
-    """The quantised vectors of one side of a tile: ids, members of each class, int8 vectors, scales, norms of what is left."""
+    """The quantised vectors of one side of a tile: numbers of classes, their smallest ids and members, int8 vectors, scales, norms of what is left."""
 
-    def __init__(self, ids: np.ndarray, members: np.ndarray, q: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
-        self.ids, self.members, self.q, self.s, self.e = ids, members, q, s, e
+    def __init__(self, ids: np.ndarray, rep: np.ndarray, members: np.ndarray, q: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        self.ids, self.rep, self.members, self.q, self.s, self.e = ids, rep, members, q, s, e
         # exact in single precision up to 1,040 components (1,040 * 127 * 127 < 2 ** 24), and in double beyond
         self.kind = np.float32 if q.shape[1] <= 1040 else np.float64
 
     @classmethod
-    def of(cls, ids: np.ndarray, members: np.ndarray, x: np.ndarray) -> Side:
-        return cls(ids, members, *quantise(unit(x)))
+    def of(cls, ids: np.ndarray, rep: np.ndarray, members: np.ndarray, x: np.ndarray) -> Side:
+        return cls(ids, rep, members, *quantise(unit(x)))
 
 
 def tile(x: Side, y: Side, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -82,8 +83,8 @@ class Links:
 
     def __init__(self, x: Side, y: Side, same: bool) -> None:
         self.x, self.y, self.same = x, y, same
-        self.ids = x.ids if same else np.concatenate([x.ids, y.ids])
-        self.order = np.argsort(self.ids)  # positions in ascending order of ids: a set's root is its smallest id
+        self.ids, self.rep = (x.ids, x.rep) if same else (np.concatenate([x.ids, y.ids]), np.concatenate([x.rep, y.rep]))
+        self.order = np.lexsort((self.ids, self.rep))  # positions in ascending order of ids: a set's root is its smallest one
         self.place = np.empty(len(self.ids), dtype=np.int64)
         self.place[self.order] = np.arange(len(self.ids))
         self.parent, self.links = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
@@ -99,8 +100,8 @@ class Links:
         """A row for each vector that is linked or (for a later look) in doubt."""
         hit = np.flatnonzero((self.links > 0) | doubtful)
         roots(self.parent)
-        root = self.ids[self.order][self.parent[self.place[hit]]]
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[hit]), pa.array(self.links[hit]), pa.array(root), pa.array(doubtful[hit])], names=["vec_id", "links", "root", "doubtful"])
+        root = self.order[self.parent[self.place[hit]]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[hit], self.rep[hit], self.links[hit], self.ids[root], self.rep[root], doubtful[hit])], names=["no", "rep", "links", "root", "root_rep", "doubtful"])
 
 
 def _vectors(table: pa.Table, name: str, dim: int) -> np.ndarray:
@@ -110,13 +111,14 @@ def _vectors(table: pa.Table, name: str, dim: int) -> np.ndarray:
 def _pack(table: pa.Table) -> pa.Table:
     """The row of a block: its vectors as int8."""
     dim = table.column("dim")[0].as_py()
-    side = Side.of(table.column("rep").to_numpy(), table.column("members").to_numpy(), _vectors(table, "v", dim))
+    side = Side.of(*(table.column(c).to_numpy() for c in ("no", "rep", "members")), _vectors(table, "v", dim))
     return pa.table({"block": table.column("block").slice(0, 1), "dim": table.column("dim").slice(0, 1)} | {k: pa.array([np.ascontiguousarray(v).tobytes()]) for k, v in vars(side).items() if k in PACKED})
 
 
 #: What a packed block holds, as bytes.
-PACKED = {"ids": np.int64, "members": np.int64, "q": np.int8, "s": np.float64, "e": np.float64}
-FOUND = "lo long, hi long, vec_id long, links long, root long, doubtful boolean"
+PACKED = {"ids": np.int64, "rep": np.int64, "members": np.int64, "q": np.int8, "s": np.float64, "e": np.float64}
+LINKED = "no long, rep long, links long, root long, root_rep long"
+FOUND = f"lo long, hi long, {LINKED}, doubtful boolean"
 
 
 def _compare(threshold: float):
@@ -127,7 +129,7 @@ def _compare(threshold: float):
             got = {k: np.frombuffer(row[k], dtype=kind) for k, kind in PACKED.items()}
             sides.append(Side(**got | {"q": got["q"].reshape(-1, dim)}))
         if len(sides) < 1 + (lo != hi):  # no vectors of this length in the other block
-            return pa.table({"lo": [], "hi": [], "vec_id": [], "links": [], "root": [], "doubtful": []}, schema=SHAPE)
+            return SHAPE.empty_table()
         x, y, same = sides[0], sides[-1], lo == hi
         out, doubtful = Links(x, y, same), np.zeros(len(x.ids) + (0 if same else len(y.ids)), dtype=bool)
         for i, j, sure in tile(x, y, threshold, same):
@@ -142,7 +144,7 @@ def _compare(threshold: float):
 
 #: Pairs that are recomputed at once.
 AT_ONCE = 1 << 16
-SHAPE = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("vec_id", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("doubtful", pa.bool_())])
+SHAPE = pa.schema([(c, pa.int64()) for c in ("lo", "hi", "no", "rep", "links", "root", "root_rep")] + [("doubtful", pa.bool_())])
 
 
 def exact(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -159,9 +161,9 @@ def _recompute(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lo, hi, dim = (k.as_py() for k in key)
         v, block = _vectors(table, "v", dim), table.column("block").to_numpy()
-        ids, members, same = table.column("rep").to_numpy(), table.column("members").to_numpy(), lo == hi
+        own, same = [table.column(c).to_numpy() for c in ("no", "rep", "members")], lo == hi
         first, second = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        x, y = (Side.of(ids[k], members[k], v[k]) for k in (first, second))
+        x, y = (Side.of(*(c[k] for c in own), v[k]) for k in (first, second))
         out = Links(x, y, same)
         for i, j, sure in tile(x, y, threshold, same):
             i, j = i[~sure], j[~sure]
@@ -170,7 +172,7 @@ def _recompute(threshold: float):
                 linked = exact(v[first[a]], v[second[b]], threshold)
                 out.add(a[linked], b[linked])
         found = pa.Table.from_batches([out.rows(np.zeros(len(out.ids), dtype=bool))])
-        return found.select(["vec_id", "links", "root"])
+        return found.select(["no", "rep", "links", "root", "root_rep"])
 
     return run
 
@@ -184,28 +186,31 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     vectors alone are then fetched in full, and what is between the bounds is recomputed. The work is quadratic in
     the number of distinct vectors, at about 64 multiplications a pair; a block of 3 MB moves for a billion pairs. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without an id, link with nothing (an id's component is itself). Vectors of different
-    lengths never link. Rows with equal ids count as vectors of their own.
+    lengths never link. Rows with equal ids are vectors of their own, with links and a component each.
     """
     scratch = Scratch(vectors.sparkSession, "neardup")
     rows = prepared(vectors, id_col, vector_col)
-    classes = scratch.save(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")), "classes")
+    classes = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
+    # a class's number, not its smallest id: an id may have several vectors
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("no"), "v", "rep", "members"), "classes")
     n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     blocks = max(1, -(-n // min(BLOCK, max(1, COMPONENTS // dim))), min(LEAST, n // (4 * STRIP)))
-    classes = classes.select("*", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("long").alias("block"), F.size("v").alias("dim"))
+    classes = classes.select("*", F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("long").alias("block"), F.size("v").alias("dim"))
     packed = classes.repartition(blocks, "block").groupBy("block", "dim").applyInArrow(_pack, "block long, dim int, " + ", ".join(f"{k} binary" for k in PACKED))
     packed = scratch.save(packed, "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     tiles = packed.select("*", other.alias("other")).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).drop("other")
     count = min(blocks * (blocks + 1) // 2, MOST_TASKS)
     seen = scratch.save(tiles.repartition(count, "lo", "hi", "dim").groupBy("lo", "hi", "dim").applyInArrow(_compare(threshold), FOUND), "seen")
-    doubt = seen.where("doubtful").select("lo", "hi", F.col("vec_id").alias("rep"))
-    doubt = doubt.join(classes, "rep").repartition(count, "lo", "hi", "dim").groupBy("lo", "hi", "dim").applyInArrow(_recompute(threshold), "vec_id long, links long, root long")
-    found = scratch.save(seen.where("links > 0").select("vec_id", "links", "root").union(doubt), "found")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch, "components")
-    of = classes.join(links, classes.rep == links.vec_id, "left").drop("vec_id").join(labels, F.col("rep") == labels.node, "left")
-    of = of.select("v", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
-    linked = rows.join(of, "v").select("vec_id", "n_links", "component_id")
+    doubt = seen.where("doubtful").select("lo", "hi", "no")
+    doubt = doubt.join(classes, "no").repartition(count, "lo", "hi", "dim").groupBy("lo", "hi", "dim").applyInArrow(_recompute(threshold), LINKED)
+    found = scratch.save(seen.where("links > 0").drop("lo", "hi", "doubtful").union(doubt), "found")
+    links = found.groupBy("no").agg(F.sum("links").alias("links"))
+    # nodes are (smallest id, number), so that a component's label says its smallest id
+    labels = components(found.select(F.struct("rep", "no").alias("a"), F.struct(F.col("root_rep").alias("rep"), F.col("root").alias("no")).alias("b")))
+    labels = labels.select(F.col("node.no").alias("no"), F.col("label.rep").alias("label"))
+    of = classes.join(links, "no", "left").join(labels, "no", "left")
+    of = of.select("v", F.col("members").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
+    linked = keyed(rows, of, "v").select("vec_id", "n_links", "component_id")
     alone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNull() | ~usable(F.col("v"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-

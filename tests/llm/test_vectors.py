@@ -48,7 +48,7 @@ def test_neardup(spark, monkeypatch, block):
 
 def test_bounds():
     x = np.array([v for _, v in data(2)], dtype=np.float64)
-    pairs, doubtful, side = set(), 0, neardup.Side.of(np.arange(len(x)), np.ones(len(x), dtype=np.int64), x)
+    pairs, doubtful, side = set(), 0, neardup.Side.of(np.arange(len(x)), np.arange(len(x)), np.ones(len(x), dtype=np.int64), x)
     for i, j, sure in neardup.tile(side, side, 0.9, True):
         linked = sure | neardup.exact(x[i], x[j], 0.9) if len(i) else sure
         assert (neardup.exact(x[i[sure]], x[j[sure]], 0.9)).all() if sure.any() else True
@@ -88,6 +88,32 @@ def test_repeated_rows(spark):
     assert linked == [(0, 12, 0)] * 4 + [(7, 12, 0)] * 9
 
 
+def test_repeated_ids(spark):
+    """A row links by its own vector, whatever other vectors its id has."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [1.0, 0.1]), (9, [-1.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (5, 1, 1, False), (9, 0, 9, True)]
+
+
+def test_ties(spark):
+    """Of equal cosines the smaller ids are nearer, within a shard and across shards."""
+    for rows in ([(i, [2.0 ** (i % 7 - 3) * (1 + i // 7), 3.0 * 2.0 ** (i % 7 - 3) * (1 + i // 7)]) for i in range(20)], [(i, [2.0 ** ((i * 13) % 20), 2.0 ** ((i * 13) % 20 + 1)]) for i in range(20)]):
+        exact = [r for r in rows if np.log2(r[1][0]) % 1 == 0]
+        got = [(r["rank"], r.vec_id) for r in hnsw.neighbours(spark.createDataFrame(exact, SCHEMA).repartition(3), "vec_id = 0").collect()]
+        assert sorted(got) == [(i, v) for i, (v, _) in enumerate(exact[1:6], 1)]
+
+
+def test_hubs(spark):
+    """Components with a hub whose edges come by a broadcast are those without."""
+    from lumenframe.operators.graph import components
+
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(140, 59), (7, 7), (200, 201), (201, 200), (300, None)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = {i: 0 for i in [*range(60), *range(100, 141)]} | {200: 200, 201: 200}
+    for hub in (3, 100_000):
+        assert {r.node: r.label for r in components(df, hub).collect()} == want
+
+
 def test_few(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 1.0]), (7, [0.0, 1.0])]
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in hnsw.neighbours(spark.createDataFrame(rows, SCHEMA), "vec_id % 50 = 0").collect())
