@@ -26,9 +26,15 @@ class CharClass(NamedTuple):
 
     @property
     def pattern(self) -> str:
-        return f"[{self.alphabet.replace('-', '')}{'-' * ('-' in self.alphabet)}]{{{self.window},}}"
+        """Candidates: runs of the class, cut where a part of them (between ``/ _ -``) holds a word of examples."""
+        inner = "".join(c for c in self.alphabet if c not in PARTS)
+        part = f"(?<![{inner}])(?![{inner}]*(?i:{WORDS}))[{inner}]"
+        ends = "".join(c for c in PARTS if c in self.alphabet)
+        return f"(?=[{inner}{ends}]{{{self.window}}})(?:{part}++|[{ends}])++" if ends else f"{part}{{{self.window},}}"
 
 
+#: What parts a candidate, and words of parts that are no secrets.
+PARTS, WORDS = "/_-", "example|sample|dummy|placeholder"
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Windows of one class of characters; each threshold is about 0.75 of the most that its window can hold.
 CLASSES = (
@@ -37,18 +43,22 @@ CLASSES = (
     CharClass("entropy_base64", DIGITS + LOWER + UPPER + "+/_-", 24, 3.9),
 )
 
-# Candidates that are no secrets (whole-candidate patterns): no digit at all, UUIDs,
-# digests of the empty input, documentation's own keys, runs made of one or two characters.
+# Spans that are no secrets (patterns of the whole span): numbers, UUIDs, digests of the empty input.
 ALLOW = (
-    r"[^0-9]*",
     r"[0-9]*",
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)d41d8cd98f00b204e9800998ecf8427e",
     r"(?i)da39a3ee5e6b4b0d3255bfef95601890afd80709",
     r"(?i)e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
-    r"(?i).*(example|sample|dummy|placeholder).*",
 )
 
+
+def wordy(span: Column) -> Column:
+    """No digit, and capitals are less than a third or more than two thirds: words, names in camel case, constants."""
+    capitals, n = 3 * F.regexp_count(span, F.lit("[A-Z]")), F.char_length(span)
+    return ~span.rlike("[0-9]") & ((capitals < n) | (capitals > 2 * n))
+
+
 SPAN = "struct<s:int,e:int,k:int,kind:string>"
 CHUNK = 256
 
@@ -122,8 +132,9 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets", classes:
     """Add ``out``: array of structs (s, e, k, kind), code points, end exclusive, by start and then kind.
 
     Kinds 0 to 2 are the base ones (assign, access, hex), further ones the classes whose candidate strings
-    hold a window of high entropy; the span goes from the first such window to the end of the last, and a
-    candidate that matches the allow-list whole is suppressed. Base spans are never suppressed. Null and
+    hold a window of high entropy; the span goes from the first such window to the end of the last. Parts of a run
+    that hold a word of examples are left out (what stands beside them is not), spans that match the allow-list whole or
+    consist of words are suppressed. Base spans are never suppressed. Null and
     empty text give an empty array, and an empty table gives an empty one. A column named ``out`` is replaced, all
     others stay as they are; repeated rows are judged one by one, texts of any length whole. Everything is row-wise: no shuffle, whatever the distribution of sources or copies.
     """
@@ -137,12 +148,18 @@ def scan(docs: DataFrame, text_col: str = "text", out: str = "secrets", classes:
         df = _spans(df, text, pattern, cols[-1], lambda m, v, kind=kind: F.char_length(v) >= MIN_VALUE if kind == "assign" else F.lit(True), span(k, kind))
     for k, c in enumerate(classes, len(base)):
         cols.append(f"{own}_{k}")
-        allowed = lambda m: ~m.rlike("^(?:" + "|".join(f"(?:{a})" for a in allow) + ")$") if allow else F.lit(True)
+        listed_ = lambda m: m.rlike("^(?:" + "|".join(f"(?:{a})" for a in allow) + ")$") if allow else F.lit(False)
+
+        def narrowed(s: Column, e: Column, m: Column, k: int = k, c: CharClass = c, listed_=listed_) -> Column:
+            """From the first high window to the end of the last; null without one, and where that span is no secret."""
+
+            def span_of(x: Column) -> Column:
+                found = F.substring(m, x["first"] + 1, x["last"] - x["first"])
+                return F.when(x["first"].isNotNull() & ~listed_(found) & ~wordy(found), F.struct((s + x["first"]).alias("s"), (s + x["last"]).alias("e"), F.lit(k).alias("k"), F.lit(c.kind).alias("kind")))
 
-        def narrowed(s: Column, e: Column, m: Column, k: int = k, c: CharClass = c) -> Column:
-            return F.element_at(F.transform(F.array(windows(m, c)), lambda x: F.when(x["first"].isNotNull(), F.struct((s + x["first"]).alias("s"), (s + x["last"]).alias("e"), F.lit(k).alias("k"), F.lit(c.kind).alias("kind")))), 1)
+            return F.element_at(F.transform(F.array(windows(m, c)), span_of), 1)
 
-        df = _spans(df, text, c.pattern, cols[-1], lambda m, v, allowed=allowed: allowed(m), narrowed)
+        df = _spans(df, text, c.pattern, cols[-1], lambda m, v, c=c: F.char_length(m) >= c.window, narrowed)
         df = df.withColumn(cols[-1], F.filter(cols[-1], lambda x: x.isNotNull()))
     return df.withColumn(out, F.transform(F.array_sort(F.transform(F.concat(*cols), lambda x: F.struct(x.s.alias("s"), x.k.alias("k"), x.e.alias("e"), x.kind.alias("kind")))), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.k.alias("k"), x.kind.alias("kind")))).drop(text, *cols)
 
