@@ -203,41 +203,50 @@ def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + 1 if len(starts) else starts
 
 
+def _tile(held: list[pa.RecordBatch], length: int) -> pa.RecordBatch:
+    """(anchor, slice, a, b) of the ranges of repeated starts within the slices of some anchors."""
+    own = pa.Table.from_batches(held)
+    texts, seen, keep = own.column(2).to_pylist(), set(), []
+    for i, k in enumerate(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True)):  # a repeated row's slice counts once
+        if k not in seen:
+            seen.add(k)
+            keep.append(i)
+    own, texts = own.take(pa.array(keep)), [texts[i] for i in keep]
+    place = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    symbols = np.zeros(place[-1], dtype=np.uint16)
+    for p, t in zip(place.tolist(), texts, strict=False):
+        symbols[p : p + len(t)] = np.frombuffer(t, dtype=np.uint8).astype(np.uint16) + 1
+    hits = repeated(symbols, length)
+    slot = np.searchsorted(place, hits, side="right") - 1
+    offset = hits - place[np.minimum(slot, len(texts) - 1)]
+    fits = (slot >= 0) & (slot < len(texts)) & (offset <= np.array([len(t) for t in texts])[np.minimum(slot, len(texts) - 1)] - length)
+    slot, offset = slot[fits], offset[fits]
+    a, b = _ranges(slot * (1 << 40) + offset)
+    who = pa.array(a >> 40)
+    return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (own.column(0).take(who), own.column(1).take(who), pa.array(a & ((1 << 40) - 1)), pa.array((b - 1 & ((1 << 40) - 1)) + 1))], names=["anchor", "slice", "a", "b"])
+
+
 def _search(length: int):
-    """Tiles of a partition's anchors: (anchor, slice, a, b), ranges of repeated starts within slices."""
+    """Rows come sorted by anchor; whole anchors are searched as soon as they fill a tile, so a task holds one tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        anchor = table.column(0).to_numpy()
-        sizes = pa.compute.binary_length(table.column(2)).to_numpy() + 1
-        order = np.argsort(anchor, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
-        total = np.concatenate([[0], np.cumsum(sizes[order])])
-        at = 0
-        while at < len(cuts) - 1:
-            to = max(at + 1, int(np.searchsorted(total[cuts], total[cuts[at]] + TILE)) - 1)
-            own = table.take(pa.array(order[cuts[at] : cuts[to]]))
-            at = to
-            texts, seen, keep = own.column(2).to_pylist(), set(), []
-            for i, k in enumerate(zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True)):  # a repeated row's slice counts once
-                if k not in seen:
-                    seen.add(k)
-                    keep.append(i)
-            own, texts = own.take(pa.array(keep)), [texts[i] for i in keep]
-            place = np.cumsum([1, *(len(t) + 1 for t in texts)])
-            symbols = np.zeros(place[-1], dtype=np.uint16)
-            for p, t in zip(place.tolist(), texts, strict=False):
-                symbols[p : p + len(t)] = np.frombuffer(t, dtype=np.uint8).astype(np.uint16) + 1
-            hits = repeated(symbols, length)
-            slot = np.searchsorted(place, hits, side="right") - 1
-            offset = hits - place[np.minimum(slot, len(texts) - 1)]
-            fits = (slot >= 0) & (slot < len(texts)) & (offset <= np.array([len(t) for t in texts])[np.minimum(slot, len(texts) - 1)] - length)
-            slot, offset = slot[fits], offset[fits]
-            a, b = _ranges(slot * (1 << 40) + offset)
-            who = pa.array(a >> 40)
-            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (own.column(0).take(who), own.column(1).take(who), pa.array(a & ((1 << 40) - 1)), pa.array((b - 1 & ((1 << 40) - 1)) + 1))], names=["anchor", "slice", "a", "b"])
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch.column(0).to_numpy()
+            total = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch.column(2)).to_numpy() + 1)])
+            cuts = (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist()
+            start = 0
+            for at in cuts if anchor[0] == last or last is None else [0, *cuts]:
+                if size + total[at] - total[start] >= TILE:
+                    held += [batch.slice(start, at - start)] if at > start else []
+                    yield _tile(held, length)
+                    held, size, start = [], 0, at
+            held.append(batch.slice(start))
+            size, last = size + total[-1] - total[start], anchor[-1]
+        if held:
+            yield _tile(held, length)
 
     return run
 
@@ -285,7 +294,7 @@ def _shorter(length: int, step: int, gram: int):
 def _resolve(slices: DataFrame, scratch: Scratch, length: int, gram: int, level: int = 0) -> DataFrame:
     """Ranges (anchor, slice, a, b) of repeated starts of different slices (anchor, slice, n, text, k of the anchor)."""
     schema = "anchor long, slice binary, a long, b long"
-    found = slices.where(F.col("k") <= MOST).select("anchor", "slice", "text").repartition("anchor").mapInArrow(_search(length), schema)
+    found = slices.where(F.col("k") <= MOST).select("anchor", "slice", "text").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search(length), schema)
     found = scratch.save(found, f"found-{level}")
     hot = slices.where(F.col("k") > MOST)
     if level == len(STEPS) or hot.isEmpty():
