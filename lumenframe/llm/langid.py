@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, id_join
 
 #: N-grams of a profile, and labelled texts that each language's profile is made from at most.
 PROFILE, SAMPLE = 300, 2000
 UNKNOWN = "und"
+#: Languages that a fit may have.
+LANGUAGES = 1000
 #: Groups of a language's ids that are cut to the sample's size before they meet.
 SALTS = 64
 #: Characters counted at once.
@@ -83,7 +85,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     The sample is chosen by ids alone, first in SALTS groups of each language and then of what these keep, so no
     task gets more than SALTS times ``sample`` ids of a language; its texts are then counted in tasks, and what
-    reaches the driver is ``most`` n-grams for each language.
+    reaches the driver is ``most`` n-grams for each language; more than LANGUAGES languages are an error.
+    Rows with a null label, text or id are left out, and so are languages without a letter. Ids of equal hashes go by the
+    id; rows that repeat an id of the sample are all counted. N-grams of equal counts go by the n-gram.
     """
     scratch = Scratch(docs.sparkSession, "langid")
     known = docs.where(train & docs[lang_col].isNotNull() & docs[id_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"))
@@ -91,7 +95,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
         known = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r")
     ids = scratch.save(known.select("id").distinct(), "sample")
-    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), train.alias("train")).where("train and lang is not null").join(F.broadcast(ids), "id", "left_semi")
+    rows = docs.select(docs[id_col].alias("id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"), train.alias("train")).where("train and lang is not null")
+    rows = id_join(rows, ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +112,10 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     grams = rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= most)
-    return [(r.lang, [x.gram for x in sorted(r.grams)]) for r in top.groupBy("lang").agg(F.collect_list(F.struct("r", "gram")).alias("grams")).orderBy("lang").collect()]
+    found = top.groupBy("lang").agg(F.collect_list(F.struct("r", "gram")).alias("grams")).limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    return sorted((r.lang, [x.gram for x in sorted(r.grams)]) for r in found)
 
 
 def predict(docs: DataFrame, profiles: list[tuple[str, list[int]]], text_col: str = "text", most: int = PROFILE, prefix: str = "lang_") -> DataFrame:
