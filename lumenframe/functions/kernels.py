@@ -25,44 +25,99 @@ def components(clusters: np.ndarray) -> np.ndarray:
     return parent[place] + 1
 
 
+class Basis:
+    """A spanning tree of sources and sinks (source i is node i, sink j node m + j) with its flows and potentials.
+
+    The masses are made uneven by less than one part, so that every flow of the tree stays above 0 and no exchange is idle.
+    """
+
+    def __init__(self, supply: list[int], demand: list[int], costs: np.ndarray) -> None:
+        self.m, self.costs = len(supply), costs
+        self.part = 2 * self.m + 1
+        left = [x * self.part + 1 for x in supply] + [x * self.part for x in demand]
+        left[-1] += self.m
+        self.near: list[dict[int, int]] = [{} for _ in left]  # flows of the tree's arcs, by both of their ends
+        rows, cols = self.m, len(left) - self.m
+        for cell in np.argsort(costs, axis=None, kind="stable").tolist():  # cheapest arcs first; each uses up one end
+            i, j = divmod(cell, len(demand))
+            j += self.m
+            if left[i] and left[j]:
+                x = min(left[i], left[j])
+                left[i] -= x
+                left[j] -= x
+                self.near[i][j] = self.near[j][i] = x
+                rows, cols = rows - (not left[i]), cols - (not left[j])
+                if not rows + cols:
+                    break
+        self.up, self.depth = [-1] * len(left), [0] * len(left)
+        self.potential = np.zeros(len(left))
+        for node in self._below(0, -1):
+            if (p := self.up[node]) >= 0:
+                i, j = (node, p - self.m) if node < self.m else (p, node - self.m)
+                self.potential[node] = costs[i, j] - self.potential[p]
+
+    def _below(self, top: int, parent: int) -> list[int]:
+        """The nodes of a subtree, each after its parent; hangs it under ``parent``."""
+        self.up[top], self.depth[top] = parent, self.depth[parent] + 1 if parent >= 0 else 0
+        out = [top]
+        for node in out:
+            for x in self.near[node]:
+                if x != self.up[node]:
+                    self.up[x], self.depth[x] = node, self.depth[node] + 1
+                    out.append(x)
+        return out
+
+    def exchange(self, i: int, j: int, gain: float) -> None:
+        """Take the arc from source i to sink j, of negative reduced cost, into the tree, and the first to run dry out of it."""
+        x, y, ahead, behind = j + self.m, i, [], []  # arcs on the way from the sink, and from the source, to where they meet
+        while x != y:
+            if self.depth[x] >= self.depth[y]:
+                ahead.append((x, self.up[x]))
+                x = self.up[x]
+            else:
+                behind.append((self.up[y], y))
+                y = self.up[y]
+        way = ahead + behind[::-1]  # from the sink to the source: arcs of even place lose what the new arc gains
+        lose = way[0::2]
+        amount, out = min((self.near[a][b], k) for k, (a, b) in enumerate(lose))
+        for k, (a, b) in enumerate(way):
+            self.near[a][b] = self.near[b][a] = self.near[a][b] + (amount if k % 2 else -amount)
+        a, b = lose[out]
+        del self.near[a][b], self.near[b][a]
+        i, j = i, j + self.m
+        self.near[i][j] = self.near[j][i] = amount
+        inner, outer = (j, i) if 2 * out < len(ahead) else (i, j)  # the end that the lost arc cut off from the root
+        moved = self._below(inner, outer)
+        # every arc of the moved part keeps its balance: sources move one way, sinks the other
+        step = gain if inner < self.m else -gain
+        moved = np.array(moved)
+        own = moved < self.m
+        self.potential[moved[own]] += step
+        self.potential[moved[~own]] -= step
+
+    def flows(self) -> np.ndarray:
+        out = np.zeros(self.costs.shape, dtype=np.int64)
+        for i in range(self.m):
+            for j, x in self.near[i].items():
+                out[i, j - self.m] = (x + self.m) // self.part
+        return out
+
+
 def transport(supply: np.ndarray, demand: np.ndarray, costs: np.ndarray) -> tuple[float, np.ndarray]:
-    """Least cost of moving integer masses, and the flows, by successive shortest paths."""
-    left, need = supply.astype(np.int64).copy(), demand.astype(np.int64).copy()
-    if left.sum() != need.sum():
+    """Least cost of moving integer masses, and the flows: exchanges of arcs of a spanning tree until none gains."""
+    if supply.sum() != demand.sum():
         raise ValueError("the masses differ")
-    flow = np.zeros(costs.shape, dtype=np.int64)
-    while left.any():
-        to_source = np.where(left > 0, 0.0, np.inf)
-        back, via, to_sink = np.full(len(left), -1), np.full(len(need), -1), np.full(len(need), np.inf)
-        while True:
-            through = to_source[:, None] + costs
-            by = through.argmin(axis=0)
-            shorter = through[by, np.arange(len(need))] < to_sink - 1e-12  # ties keep the first way, so that ways have no loops
-            to_sink = np.where(shorter, through[by, np.arange(len(need))], to_sink)
-            via = np.where(shorter, by, via)
-            undo = np.where(flow > 0, to_sink[None, :] - costs, np.inf)
-            by = undo.argmin(axis=1)
-            better = undo[np.arange(len(left)), by] < to_source - 1e-12
-            if not better.any():
-                break
-            to_source = np.where(better, undo[np.arange(len(left)), by], to_source)
-            back = np.where(better, by, back)
-        j = int(np.where(need > 0, to_sink, np.inf).argmin())
-        path, i, amount = [], int(via[j]), need[j]
-        end = j
+    flow, some, want = np.zeros(costs.shape, dtype=np.int64), np.flatnonzero(supply), np.flatnonzero(demand)
+    if len(some):
+        own = np.ascontiguousarray(costs[np.ix_(some, want)], dtype=np.float64)
+        tree, least = Basis(supply[some].astype(np.int64).tolist(), demand[want].astype(np.int64).tolist(), own), -1e-11 * max(1.0, float(own.max()))
         while True:
-            path.append((i, j, 1))
-            if back[i] < 0:
+            reduced = own - tree.potential[: tree.m, None] - tree.potential[None, tree.m :]
+            i, j = divmod(int(reduced.argmin()), len(want))
+            if reduced[i, j] >= least:
                 break
-            j = int(back[i])
-            path.append((i, j, -1))
-            amount = min(amount, flow[i, j])
-            i = int(via[j])
-        amount = int(min(amount, left[i]))
-        for a, b, sign in path:
-            flow[a, b] += sign * amount
-        left[i] -= amount
-        need[end] -= amount
+            tree.exchange(i, j, float(reduced[i, j]))
+        flow[np.ix_(some, want)] = tree.flows()
     return float((flow * costs).sum()), flow
 
 
@@ -110,20 +165,29 @@ def shape_convexity(labels: np.ndarray, least: float = 1 / 200, coverage: float
     return total / (h * w)
 
 
+def squares_from(m: np.ndarray) -> np.ndarray:
+    """Width of the largest square of equal values that each cell is the first corner of: four squares of a width make one of the next."""
+    out = np.ones(m.shape, dtype=np.int64)
+    whole = (m[:-1, :-1] == m[1:, :-1]) & (m[:-1, :-1] == m[:-1, 1:]) & (m[:-1, :-1] == m[1:, 1:])
+    while whole.any():
+        out[: whole.shape[0], : whole.shape[1]] += whole
+        whole = whole[:-1, :-1] & whole[1:, :-1] & whole[:-1, 1:] & whole[1:, 1:]
+    return out
+
+
 def rle2d(m: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, width, largest possible width) of greedy squares of equal values, column by column over the cells not yet covered."""
     h, w = m.shape
-    done = np.zeros((h, w), dtype=bool)
-    out = []
-    for c in range(w):
-        for r in range(h):
-            if done[r, c]:
-                continue
-            most, k, v = min(h - r, w - c), 1, m[r, c]
-            while k < most and (m[r : r + k + 1, c + k] == v).all() and (m[r + k, c : c + k + 1] == v).all():
-                k += 1
-            done[r : r + k, c : c + k] = True
-            out.append((int(v), k, most))
+    widths, values = squares_from(m).T.ravel().tolist(), m.T.ravel().tolist()
+    done, out = bytearray(h * w), []
+    at = done.find(0)
+    while at >= 0:
+        k = widths[at]
+        c, r = divmod(at, h)
+        out.append((int(values[at]), k, min(h - r, w - c)))
+        for i in range(at, at + k * h, h):
+            done[i : i + k] = b"\1" * k
+        at = done.find(0, at + k)
     return out
 
 
@@ -146,32 +210,52 @@ def elias_delta(n: int) -> int:
 def mdl_rle2d(m: np.ndarray, k: int) -> tuple[float, float, float, float]:
     """Bits of the dimensions, the number of squares, their values and their widths."""
     code = rle2d(m)
-    return elias_delta(m.shape[0]) + elias_delta(m.shape[1]), float(np.log2(len(code))), len(code) * float(np.log2(k)) if k > 1 else 0.0, float(sum(np.log2(x[2]) for x in code))
+    return elias_delta(m.shape[0]) + elias_delta(m.shape[1]), float(np.log2(len(code))), len(code) * float(np.log2(k)) if k > 1 else 0.0, float(np.log2([x[2] for x in code]).sum())
+
+
+def seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ seeds of the rows of x; fewer where the rows are covered before."""
+    centres = x[[rng.integers(len(x))]]
+    near = ((x - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < k and near.sum() > 0:
+        pick = min(len(x) - 1, int(np.searchsorted(np.cumsum(near), rng.random() * near.sum(), side="right")))
+        centres = np.concatenate([centres, x[[pick]]])
+        near = np.minimum(near, ((x - x[pick]) ** 2).sum(axis=1))
+    return centres
+
+
+def squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of every row to every centre, a column at a time."""
+    out = np.zeros((len(x), len(centres)))
+    for d in range(x.shape[1]):
+        diff = x[:, d, None] - centres[None, :, d]
+        diff *= diff
+        out += diff
+    return out
+
+
+def lloyd(x: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centres, assignment and within sum of squares after at most so many rounds."""
+    for _ in range(rounds):
+        of = squares(x, centres).argmin(axis=1)
+        n = np.bincount(of, minlength=len(centres))
+        moved = np.stack([np.bincount(of, x[:, d], len(centres)) for d in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
+        moved = np.where(n[:, None] > 0, moved, centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    dist = squares(x, centres)
+    of = dist.argmin(axis=1)
+    return centres, of, float(dist[np.arange(len(x)), of].sum())
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10, restarts: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Centres, assignment and within sum of squares: k-means++ seeding, then Lloyd's rounds; the best of the restarts."""
+    """Centres, assignment and within sum of squares of the best of the restarts."""
     best = None
     for _ in range(restarts):
-        centres = x[[rng.integers(len(x))]]
-        near = ((x - centres[0]) ** 2).sum(axis=1)
-        while len(centres) < k and near.sum() > 0:
-            pick = min(len(x) - 1, int(np.searchsorted(np.cumsum(near), rng.random() * near.sum(), side="right")))
-            centres = np.concatenate([centres, x[[pick]]])
-            near = np.minimum(near, ((x - x[pick]) ** 2).sum(axis=1))
-        for _ in range(rounds):
-            of = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            n = np.bincount(of, minlength=len(centres))
-            moved = np.stack([np.bincount(of, x[:, d], len(centres)) for d in range(x.shape[1])], axis=1) / np.maximum(n, 1)[:, None]
-            moved = np.where(n[:, None] > 0, moved, centres)
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        dist = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-        of = dist.argmin(axis=1)
-        within = float(dist[np.arange(len(x)), of].sum())
-        if best is None or within < best[2]:
-            best = centres, of, within
+        found = lloyd(x, seeded(x, k, rng), rounds)
+        if best is None or found[2] < best[2]:
+            best = found
     return best
 
 
@@ -190,19 +274,3 @@ def clustering_bits(luv: np.ndarray, of: np.ndarray, centres: np.ndarray, h: int
             p = np.mean([np.exp(-((own + o) ** 2) / (2 * sd * sd)) / (sd * np.sqrt(2 * np.pi)) for o in (-0.5, 0.0, 0.5)], axis=0)
             total += -np.log2(np.maximum(p, 1e-300)).sum()
     return float(total)
-
-
-def segmentation(luv: np.ndarray, h: int, w: int, seed: int, k_max: int = 30, rounds: int = 20, restarts: int = 3, thin_above: int = 10_000) -> tuple[np.ndarray, int]:
-    """Components (h x w) and number of clusters of least description length; clusters are fitted on at most ``thin_above`` pixels."""
-    grid = luv.reshape(w, h, 3).transpose(1, 0, 2)
-    thin = np.sqrt(max(1.0, h * w / thin_above))
-    rows, cols = (np.unique(np.rint(np.linspace(0, n - 1, max(1, int(np.ceil(n / thin))))).astype(int)) for n in (h, w))
-    part = grid[np.ix_(rows, cols)].transpose(1, 0, 2).reshape(-1, 3)
-    best = (clustering_bits(part, np.zeros(len(part), dtype=int), np.zeros((0, 3)), len(rows), len(cols)), part.mean(axis=0)[None])
-    for k in range(1, k_max + 1):
-        centres, of, _ = kmeans(part, k, np.random.default_rng([seed, k]), rounds, restarts)
-        bits = clustering_bits(part, of, centres, len(rows), len(cols))
-        if bits < best[0]:
-            best = bits, centres
-    of = ((grid[:, :, None, :] - best[1][None, None]) ** 2).sum(axis=3).argmin(axis=2)
-    return components(of), len(best[1])

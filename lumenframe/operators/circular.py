@@ -74,9 +74,9 @@ from (select *, n * rbar * rbar as z from ({_MEAN}))""")
 _KAPPA = f"select g, n, mu, {a1inv('a')} as kappa from (select m.g, m.n, m.mu, avg(cos(x - mu)) as a from {{a}} a join ({_MEAN}) m on a.g = m.g group by m.g, m.n, m.mu)"
 est_kappa = SqlOp(f"select g, round(kappa, 6) as kappa, round(case when kappa < 2 then greatest(kappa - 2 / (n * kappa), 0e0) else pow(n - 1, 3) * kappa / (pow(n, 3) + n) end, 6) as kappa_unbiased from ({_KAPPA})")
 vm_ml = SqlOp(f"select g, round(mu, :digits) as mu, round(kappa, :digits) as kappa from ({_KAPPA})", digits=6)
-circ_cor = SqlOp(f"""
-with d as (select g, x, y, case when atan2(sum(sin(x)) over (partition by g), sum(cos(x)) over (partition by g)) is null then 0e0 else sin(x - atan2(sum(sin(x)) over (partition by g), sum(cos(x)) over (partition by g))) end as a,
-  sin(y - atan2(sum(sin(y)) over (partition by g), sum(cos(y)) over (partition by g))) as b from {{pairs}})
+circ_cor = SqlOp("""
+with m as (select g, atan2(sum(sin(x)), sum(cos(x))) as mx, atan2(sum(sin(y)), sum(cos(y))) as my from {pairs} group by g),
+d as (select p.g, sin(p.x - coalesce(m.mx, 0e0)) as a, sin(p.y - m.my) as b from {pairs} p join m on p.g = m.g)
 select g, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) as r, round(sqrt(count(*) * avg(a * a) * avg(b * b) / avg(a * a * b * b)) * sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 5) as test_stat from d group by g""")
 
 _SORTED = f"select g, x, row_number() over (partition by g order by x) as i, count(*) over (partition by g) as n, lead(x) over (partition by g order by x) as nxt, min(x) over (partition by g) as x1 from (select g, {modulo('x')} as x from {{a}})"
@@ -86,6 +86,7 @@ _GAP = f"coalesce(nxt, first + {TAU}) - x"
 circ_range = TwoLevel(f"select g, round(2 * pi() - max(coalesce(nxt, x1 + 2 * pi()) - x), :digits) as range from ({_SORTED}) group by g", f"{_RANKED} select g, round({TAU} - max({_GAP}), :digits) as range from ranked group by g", digits=6)
 rao_spacing = TwoLevel(f"select g, round(sum(abs(degrees(coalesce(nxt, x1 + 2 * pi()) - x) - 360e0 / n)) / 2, 5) as u from ({_SORTED}) group by g",
     f"{_RANKED} select g, round(sum(abs(degrees({_GAP}) - 360e0 / mn) + (m - 1) * (360e0 / mn)) / 2, 5) as u from ranked group by g")
+#: Upper points of Kuiper's statistic.
 _BAND = "case when v < 1.537e0 then 'p > 0.15' when v < 1.62e0 then '0.10 < p < 0.15' when v < 1.747e0 then '0.05 < p < 0.10' when v < 1.862e0 then '0.025 < p < 0.05' when v < 2.001e0 then '0.01 < p < 0.025' else 'p < 0.01' end"
 kuiper = TwoLevel(f"""
 select g, v, {_BAND} as p_band
@@ -98,6 +99,19 @@ from (select g, max(n) as n, sum(pow(u - ubar - (2 * i - 1) / (2e0 * n) + 0.5e0,
 {_RANKED}, means as (select g, sum(m * x) / sum(case when x is not null then m end) / {TAU} as ubar from points group by g)
 select g, round((u2 - 0.1e0 / n + 0.1e0 / (cast(n as double) * n)) * (1 + 0.8e0 / n), 6) as u2
 from (select r.g, max(mn) as n, sum(m * pow(x / {TAU} - ubar - (2 * m0 + m) / (2e0 * mn) + 0.5e0, 2) + (pow(m, 3) - m) / (12e0 * mn * mn)) + 1 / (12e0 * max(mn)) as u2 from ranked r join means on r.g <=> means.g group by r.g)""")
+#: Upper points of Watson's statistics, of one sample against the uniform distribution and of two samples.
+_UNIFORM_BAND = "case when u2 > 0.267e0 then 'p < 0.01' when u2 > 0.221e0 then '0.01 < p < 0.025' when u2 > 0.187e0 then '0.025 < p < 0.05' when u2 > 0.152e0 then '0.05 < p < 0.10' else 'p > 0.10' end"
+_TWO_BAND = "case when u2 > 0.385e0 then 'p < 0.001' when u2 > 0.268e0 then '0.001 < p < 0.01' when u2 > 0.187e0 then '0.01 < p < 0.05' when u2 > 0.152e0 then '0.05 < p < 0.10' else 'p > 0.10' end"
+
+
+class Banded(TwoLevel):
+    """A test with the band of its p-value."""
+
+    def __init__(self, test: TwoLevel, band: str) -> None:
+        head = f"select *, {band} as p_band from"
+        super().__init__(f"{head} ({test.raw}) t", f"{head} ({test.plan.raw}) t")
+
+
 #: Upper points of Watson's statistic for a fitted von Mises distribution: concentration below, then the 10 %, 5 % and 1 % points.
 WATSON_VM_POINTS = (
     (0.25, 0.052, 0.061, 0.081), (0.75, 0.056, 0.066, 0.09), (1.25, 0.066, 0.079, 0.11), (1.75, 0.077, 0.092, 0.128), (3, 0.084, 0.101, 0.142), (5, 0.093, 0.113, 0.158), (float("inf"), 0.096, 0.117, 0.164),
@@ -115,6 +129,7 @@ t as (select cast(an as double) as n1, cast(bn as double) as n2, an + bn as n, a
 u as (select *, d0 - (a + 1) / (2 * n1) as da, d0 - a / n1 + (b + 1) / (2 * n2) as db from t)
 select cast(max(n1) as bigint) as n1, cast(max(n2) as bigint) as n2, round(max(n1) * max(n2) / (cast(max(n) as double) * max(n)) * (
   sum(a * da * da + (pow(a, 3) - a) / (12 * n1 * n1) + b * db * db + (pow(b, 3) - b) / (12 * n2 * n2)) - pow(sum(a * da + b * db), 2) / max(n)), 6) as u2 from u""")
+watson_uniform_test, watson_two_test = Banded(watson_uniform, _UNIFORM_BAND), Banded(watson_two, _TWO_BAND)
 rao_homogeneity = SqlOp("""
 with m as (select g, count(*) as n, avg(cos(x)) as x, avg(sin(x)) as y, var_samp(cos(x)) as co, var_samp(sin(x)) as ss, covar_samp(cos(x), sin(x)) as cs from {a} group by g),
 s as (select y / x as t, x * x + y * y as u, (ss / (x * x) + y * y * co / pow(x, 4) - 2 * y * cs / pow(x, 3)) / n as polar, 4 * (x * x * co + y * y * ss + 2 * x * y * cs) / n as disp from m)
@@ -140,8 +155,9 @@ bessel_ratio = SqlOp(f"""
 select k, round(i0, 6) as i0, round(i1, 6) as i1, round(i2, 6) as i2, round(i1 / i0, 6) as a1, round({a1inv('(i1 / i0)')}, 6) as a1inv
 from (select k, {bessel(0, 'k')} as i0, {bessel(1, 'k')} as i1, {bessel(2, 'k')} as i2 from {{kappas}})""")
 
-#: Ways to choose k of n, n up to 20; 0 where k is above n.
-binomial = SqlOp("select n, k, case when k > n then 0 else cast(round(factorial(cast(n as int)) / cast(factorial(cast(k as int)) * factorial(cast(greatest(n - k, 0) as int)) as double)) as bigint) end as ways from {numbers}")
+#: Ways to choose k of n; 0 where k is above n. A product of quotients, so that nothing overflows before the result does.
+binomial = TwoLevel("select n, k, case when k > n then 0 else cast(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) as bigint) end as ways from {numbers}",
+    "select n, k, case when k > n then 0 when k = 0 then 1 else cast(round(aggregate(sequence(1, cast(k as int)), 1e0, (a, i) -> a * (n - k + i) / i)) as bigint) end as ways from {numbers}")
 
 
 def wrapped_normal(x: str, mu: str, rho: str, terms: int = 8) -> str:

@@ -43,8 +43,11 @@ from (select *, case when y <= 216e0 / 24389e0 then y * 24389e0 / 27e0 else 116
 
 #: ``radians`` 1 for hues in radians instead of degrees, ``max_value`` for saturations and values up to another bound than 1.
 hsv_pixels = SqlOp(f"select {KEY}, round(case when :radians = 1 then radians(hue) else hue end, 6) as hue, round(sat * :max_value, 6) as sat, round(val * :max_value, 6) as val from ({HSV})", radians=0, max_value=1.0)
-_R, _G, _B = _rgb("coalesce(hue, :na_hue)", "sat", "val")
-rgb_roundtrip = SqlOp(f"select {KEY}, round({_R}, 6) as r, round({_G}, 6) as g, round({_B}, 6) as b from ({HSV})", na_hue=0.0)
+#: Hues come in degrees, or with ``radians`` 1 in radians; ``na_hue`` is that of pixels without one.
+_DEGREES = "(case when :radians = 1 then degrees(coalesce(hue, :na_hue)) else coalesce(hue, :na_hue) end)"
+_R, _G, _B = _rgb("hue_", "sat", "val")
+to_rgb = SqlOp(f"select {KEY}, round({_R}, 6) as r, round({_G}, 6) as g, round({_B}, 6) as b from (select *, {_DEGREES} as hue_ from {{hsv}}) x", na_hue=0.0, radians=0)
+rgb_roundtrip = SqlOp(to_rgb.raw.replace("{hsv}", f"(select {KEY}, case when :radians = 1 then radians(hue) else hue end as hue, sat, val from ({HSV}) y)"), na_hue=0.0, radians=0)
 xyz_pixels = SqlOp(f"select {KEY}, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from ({XYZ})")
 #: The same of values that are linear already.
 xyz_plain = SqlOp(f"select {KEY}, round(x, 6) as x, round(y, 6) as y, round(z, 6) as z from ({_xyz(str)})")
@@ -75,6 +78,17 @@ exposure_contrast = SqlOp(f"""
 select photo_id, round(case when m between 0 and 1 then 4 * m * (1 - m) else 0 end, 6) as exposure, round(sd, 6) as rms_contrast, round(hi - lo, 6) as interval_contrast
 from (select photo_id, avg(lum) as m, stddev_samp(lum) as sd, percentile(lum, 0.975) as hi, percentile(lum, 0.025) as lo from (select photo_id, {LUM} as lum from {{px}}) group by photo_id)""")
 
+_IN = f"case when {_CENTRAL} then {{}} end"
+#: All of the above in one aggregation, by the names of the measure record.
+simple_measures = SqlOp(f"""
+select photo_id, round(case when m between 0 and 1 then 4 * m * (1 - m) else 0 end, 6) as Exposure, round(sd, 6) as RmsContrast, round(hi - lo, 6) as IntervalContrast,
+  round(val, 6) as AverageIntensity, round(sat, 6) as AverageSaturation, round(hue, 6) as AverageHue, round(cval, 6) as AverageCentralIntensity, round(csat, 6) as AverageCentralSaturation, round(chue, 6) as AverageCentralHue,
+  h + w as SizeFeature, round(h / cast(w as double), 6) as AspectRatio, round(greatest(h / cast(w as double), w / cast(h as double)), 6) as AspectRatioMax
+from (select photo_id, avg(lum) as m, stddev_samp(lum) as sd, percentile(lum, 0.975) as hi, percentile(lum, 0.025) as lo, avg(val) as val, avg(sat) as sat, avg(hue) as hue,
+    avg({_IN.format('val')}) as cval, avg({_IN.format('sat')}) as csat, avg({_IN.format('hue')}) as chue, max(h) as h, max(w) as w
+  from (select *, {LUM} as lum from ({HSV})) group by photo_id)""")
+
+
 class Buckets(SqlOp):
     """Counts of n by n by n colour buckets, n from 1 to MOST."""
 
@@ -95,6 +109,11 @@ digits as (select distinct n from (values {", ".join(f"({i})" for i in range(Buc
 buckets as (select x.n * {_N} * {_N} + y.n * {_N} + z.n + 1 as bucket from digits x cross join digits y cross join digits z)
 select ids.photo_id, buckets.bucket, coalesce(c.n, 0) as n from ids cross join buckets left join c on c.photo_id = ids.photo_id and c.bucket = buckets.bucket""", n=4)
 
+_MID = {c: f"(cast(floor((bucket - 1) / {d}e0) as int) % 4 + 0.5e0) / 4" for c, d in (("r", 1), ("g", 4), ("b", 16))}
+#: The buckets (4 a channel) that photos' colours fall into, as pixels of the midpoints' colours; the bucket is the id.
+bucket_midpoints = SqlOp(f"select bucket as photo_id, 1 as h, 1 as w, 1 as rw, 1 as cl, {', '.join(f'{m} as {c}' for c, m in _MID.items())} from (select distinct cast(least(floor(b * 4), 3) * 16 + least(floor(g * 4), 3) * 4 + least(floor(r * 4), 3) as int) + 1 as bucket from {{px}}) t")
+bucket_rgb = SqlOp(f"select photo_id as bucket, r, g, b from ({bucket_midpoints.raw}) m")
+
 _HUE_K = f"""
 with a as (select photo_id, h, w, rw, cl, radians(hue) as t from ({HSV}) where hue is not null),
 m as (select photo_id, case when atan2(sum(sin(t)), sum(cos(t))) < 0 then atan2(sum(sin(t)), sum(cos(t))) + 2 * pi() else atan2(sum(sin(t)), sum(cos(t))) end as mu, count(*) as hued from a group by photo_id),

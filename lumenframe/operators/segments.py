@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.store import spread_out, tasks_of, written
+from . import clusters
 from .base import SqlOp
-from .color import HSV, LUV
+from .color import HSV
 
 #: Eight fixed centres: the midpoints of two intervals of each channel, red fastest, as 8-bit values.
 CENTRES = [(64 + 127 * (i & 1), 64 + 127 * (i >> 1 & 1), 64 + 127 * (i >> 2)) for i in range(8)]
@@ -39,18 +45,19 @@ def per_photo(px: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
             rasters[c] = m
         return pd.DataFrame(fn(key[0], h, w, rasters), columns=[x.split()[0] for x in schema.split(", ")])
 
-    return px.select("photo_id", "h", "w", "rw", "cl", *columns).groupBy("photo_id").applyInPandas(run, schema)
+    rows = px.select("photo_id", "h", "w", "rw", "cl", *columns)
+    return rows.repartition(tasks_of(px.sparkSession), "photo_id").groupBy("photo_id").applyInPandas(run, schema)
 
 
-def components(clusters: DataFrame) -> DataFrame:
-    """photo_id, h, w, rw, cl, segment_id of rows with a cluster_id."""
+def components(found: DataFrame, more: list[str] = []) -> DataFrame:
+    """photo_id, h, w, rw, cl, segment_id of rows with a cluster_id, and ``more`` columns of numbers of a photo."""
 
     def rows(photo, h, w, m):
         label = kernels.components(m["cluster_id"])
         rw, cl = np.mgrid[1 : h + 1, 1 : w + 1]
-        return {"photo_id": photo, "h": h, "w": w, "rw": rw.ravel(), "cl": cl.ravel(), "segment_id": label.ravel()}
+        return {"photo_id": photo, "h": h, "w": w, "rw": rw.ravel(), "cl": cl.ravel(), "segment_id": label.ravel()} | {c: int(m[c][0, 0]) for c in more}
 
-    return per_photo(clusters, ["cluster_id"], rows, "photo_id long, h int, w int, rw int, cl int, segment_id long")
+    return per_photo(found, ["cluster_id", *more], rows, "photo_id long, h int, w int, rw int, cl int, segment_id long" + "".join(f", {c} int" for c in more))
 
 
 #: The same by reachability, for the oracle engine.
@@ -97,8 +104,12 @@ def inside_hull(hull: list[tuple[float, float]]) -> SqlOp:
 
 
 hull_inside = inside_hull(_HULL)
-#: The turn from a segment to each pixel: cross product, clockwise, counterclockwise.
-turns = SqlOp(f"select photo_id, rw, cl, c as cross_product, c < 0 as clockwise, c > 0 as counterclockwise from (select photo_id, rw, cl, {_cross(_HULL[0], _HULL[2])} as c from {{px}})")
+#: Cross product of the vectors p and q, and whether q turns from p clockwise or counterclockwise; where they lie on one line, it does both.
+TURN = "*, px * qy - py * qx as cross_product, px * qy - py * qx <= 0 as clockwise, px * qy - py * qx >= 0 as counterclockwise"
+turn = SqlOp(f"select {TURN} from {{vectors}}")
+_FROM, _TO = _HULL[0], _HULL[2]
+#: The turn from a segment to each pixel.
+turns = SqlOp(f"select photo_id, rw, cl, cross_product, clockwise, counterclockwise from (select {TURN} from (select photo_id, rw, cl, {_TO[0] - _FROM[0]} as px, {_TO[1] - _FROM[1]} as py, cl - {_FROM[0]} as qx, rw - {_FROM[1]} as qy from {{px}}) v) t")
 hull_area = SqlOp("""
 with b as (select photo_id, segment_id, min(cl) as x0, max(cl) as x1, min(rw) as y0, max(rw) as y1 from {segments} group by 1, 2),
 p as (select photo_id, segment_id, t.i, case when t.i in (1, 2) then x0 else x1 + 1 end as x, case when t.i in (2, 3) then y1 + 1 else y0 end as y from b cross join (values (1), (2), (3), (4)) t(i)),
@@ -175,36 +186,43 @@ def bucket_colours(n: int) -> np.ndarray:
     return np.stack([light, 13 * light * (4 * x / s - 4 * 0.312713 / white), 13 * light * (9 * y / s - 9 * 0.329016 / white)], axis=1)
 
 
+#: Photos whose transport a task solves.
+PHOTOS = 32
+
+
+def _transported(costs: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for buckets, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                supply = np.array(n, dtype=np.int64) * costs.shape[1]
+                total, _ = kernels.transport(supply, np.full(costs.shape[1], sum(n)), costs[np.array(buckets) - 1])
+                out.append(total / supply.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["photo_id", "colorfulness"])
+
+    return run
+
+
 def colorfulness(buckets: DataFrame, mode: str = "uniform", n: int = 4) -> DataFrame:
-    """Earth mover's distance of a photo's colours from an even (or, ``grey``, an even grey) spread; ``buckets``: photo_id, bucket, n."""
+    """Earth mover's distance of a photo's colours from an even (or, ``grey``, an even grey) spread; ``buckets``: photo_id, bucket, n.
+
+    A photo is one row of at most n ** 3 counts, and the rows are dealt out evenly, whatever their size in bytes.
+    """
     if mode not in ("uniform", "grey"):
         raise ValueError("mode is uniform or grey")
     luv = bucket_colours(n)
     target = np.arange(n**3) if mode == "uniform" else np.arange(n) * (n * n + n + 1)
     costs = np.sqrt(((luv[:, None] - luv[target][None]) ** 2).sum(axis=2))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf[pdf["n"] > 0]
-        supply, place = f["n"].to_numpy() * len(target), f["bucket"].to_numpy() - 1
-        total, _ = kernels.transport(supply, np.full(len(target), f["n"].sum()), costs[place])
-        return pd.DataFrame({"photo_id": [key[0]], "colorfulness": [total / supply.sum()]})
-
-    return buckets.select("photo_id", "bucket", "n").groupBy("photo_id").applyInPandas(run, "photo_id long, colorfulness double")
-
-
-LUV_PIXELS = SqlOp(f"select photo_id, h, w, rw, cl, l, coalesce(u, 0e0) as u, coalesce(v, 0e0) as v from ({LUV})")
+    full = F.sort_array(F.collect_list(F.struct("bucket", F.col("n").cast("long").alias("n"))))
+    rows = buckets.where("n > 0").groupBy("photo_id").agg(full.alias("b")).select("photo_id", "b.bucket", "b.n")
+    return spread_out(rows, PHOTOS).mapInArrow(_transported(costs), "photo_id long, colorfulness double")
 
 
 def segmentation(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFrame:
-    """photo_id, h, w, rw, cl, segment_id, clusters: clusters of least description length; the seed is the photo's id."""
-
-    def rows(photo, h, w, m):
-        luv = np.stack([m[c].T.ravel() for c in ("l", "u", "v")], axis=1)
-        label, k = kernels.segmentation(luv, h, w, int(photo) & 0x7FFFFFFF, k_max, restarts=restarts)
-        rw, cl = np.mgrid[1 : h + 1, 1 : w + 1]
-        return {"photo_id": photo, "h": h, "w": w, "rw": rw.ravel(), "cl": cl.ravel(), "segment_id": label.ravel(), "clusters": k}
-
-    return per_photo(LUV_PIXELS(px), ["l", "u", "v"], rows, "photo_id long, h int, w int, rw int, cl int, segment_id long, clusters int")
+    """photo_id, h, w, rw, cl, segment_id, clusters: components of the clusters of least description length; seeds are the photo's id."""
+    luv = clusters.LUV_PIXELS(px)
+    of = clusters.assigned(luv, written(clusters.best_centres(luv, k_max, restarts), "centres"))
+    return components(of, ["clusters"])
 
 
 def kmeanspp(px: DataFrame, k: int = 4, restarts: int = 2) -> DataFrame:
@@ -215,4 +233,4 @@ def kmeanspp(px: DataFrame, k: int = 4, restarts: int = 2) -> DataFrame:
         centres, of, within = kernels.kmeans(x, k, np.random.default_rng(int(photo) & 0x7FFFFFFF), restarts=restarts)
         return {"photo_id": photo, "cluster_id": range(1, len(centres) + 1), "l": centres[:, 0], "u": centres[:, 1], "v": centres[:, 2], "n": np.bincount(of, minlength=len(centres)), "within": within}
 
-    return per_photo(LUV_PIXELS(px), ["l", "u", "v"], rows, "photo_id long, cluster_id int, l double, u double, v double, n long, within double")
+    return per_photo(clusters.LUV_PIXELS(px), ["l", "u", "v"], rows, "photo_id long, cluster_id int, l double, u double, v double, n long, within double")

@@ -7,7 +7,11 @@ direction and no pixel is copied for a tap. Beyond the edge the edge pixel count
 from __future__ import annotations
 
 import math
+import re
 
+from pyspark.sql import DataFrame
+
+from ..sources.store import written
 from .base import SqlOp
 from .color import HSV, LUM
 
@@ -144,31 +148,44 @@ def _level(source: str) -> str:
     return f"select photo_id, channel, h, cast(floor(w / 2e0) as int) as w, rw, cast(floor(cl / 2e0) as int) as cl, ll, lh, hl, hh from (select photo_id, channel, h, w, rw, cl, {both} from ({half})) where cl % 2 = 1"
 
 
+_CHANNELS = f"""select photo_id, t.channel, h, w, rw - 1 as rw, cl - 1 as cl, case t.channel when 'hue' then coalesce(hue, 0e0) / 360 when 'sat' then sat else val end as x
+  from ({HSV}) cross join (values ('hue'), ('sat'), ('val')) t(channel)"""
+_NEXT = "select photo_id, channel, h, w, rw, cl, ll as x from {0} where h >= 2 and w >= 2"
 _WAVES = f"""
-with hsv as ({HSV}),
-l0 as (select photo_id, t.channel, h, w, rw - 1 as rw, cl - 1 as cl, case t.channel when 'hue' then coalesce(hue, 0e0) / 360 when 'sat' then sat else val end as x
-  from hsv cross join (values ('hue'), ('sat'), ('val')) t(channel)),
+with l0 as ({_CHANNELS}),
 w1 as ({_level('l0')}),
-l1 as (select photo_id, channel, h, w, rw, cl, ll as x from w1 where h >= 2 and w >= 2),
+l1 as ({_NEXT.format('w1')}),
 w2 as ({_level('l1')}),
-l2 as (select photo_id, channel, h, w, rw, cl, ll as x from w2 where h >= 2 and w >= 2),
+l2 as ({_NEXT.format('w2')}),
 w3 as ({_level('l2')})"""
-wavelet_texture = SqlOp(_WAVES + """,
-t as (select photo_id, channel, level, sum(abs(hh) + abs(hl) + abs(lh)) / (3 * count(*)) as texture from (
-  select photo_id, channel, 1 as level, hh, hl, lh from w1 union all select photo_id, channel, 2, hh, hl, lh from w2 union all select photo_id, channel, 3, hh, hl, lh from w3) group by 1, 2, 3)
+_TEXTURE = """
 select photo_id, channel, round(max(case when level = 1 then texture end), 6) as level1, round(max(case when level = 2 then texture end), 6) as level2, round(max(case when level = 3 then texture end), 6) as level3, round(sum(texture), 6) as total
-from t group by photo_id, channel""")
+from (select photo_id, channel, level, sum(abs(hh) + abs(hl) + abs(lh)) / (3 * count(*)) as texture from (
+  select photo_id, channel, 1 as level, hh, hl, lh from {w1} union all select photo_id, channel, 2, hh, hl, lh from {w2} union all select photo_id, channel, 3, hh, hl, lh from {w3}) group by 1, 2, 3)
+group by photo_id, channel"""
 #: Share of the third level's detail in the middle blocks (2nd to 4th of 5 in both directions) against that of an even spread.
 _MID = "{0} + 1 between floor(1 + ({1} - 1) / 5e0 + 0.5e0) and floor(1 + 4 * ({1} - 1) / 5e0 + 0.5e0)"
-wavelet_dof = SqlOp(_WAVES + f""",
-d as (select photo_id, channel, abs(hh) + abs(hl) + abs(lh) as detail, case when {_MID.format('rw', 'h')} and {_MID.format('cl', 'w')} then 1 else 0 end as middle from w3)
-select photo_id, channel, round(case when sum(detail) = 0 then 0 else sum(detail * middle) / sum(detail) / (sum(middle) / cast(count(*) as double)) - 1 end, 5) + 0e0 as dof from d group by photo_id, channel""")
+_DOF = f"""
+select photo_id, channel, round(case when sum(detail) = 0 then 0 else sum(detail * middle) / sum(detail) / (sum(middle) / cast(count(*) as double)) - 1 end, 5) + 0e0 as dof
+from (select photo_id, channel, abs(hh) + abs(hl) + abs(lh) as detail, case when {_MID.format('rw', 'h')} and {_MID.format('cl', 'w')} then 1 else 0 end as middle from {{w3}}) group by photo_id, channel"""
+_named = lambda text: re.sub(r"\{(w\d)\}", r"\1", text)
+wavelet_texture, wavelet_dof = SqlOp(_WAVES + _named(_TEXTURE)), SqlOp(_WAVES + _named(_DOF))
+_FIRST, _FURTHER = SqlOp(f"with l as ({_CHANNELS}) {_level('l')}"), SqlOp(f"with l as ({_NEXT.format('{w}')}) {_level('l')}")
+_TEXTURE_OF, _DOF_OF = SqlOp(_TEXTURE), SqlOp(_DOF)
+
+
+def wavelets(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``wavelet_texture`` and ``wavelet_dof`` of the same three levels, each level a table."""
+    levels = [written(_FIRST(px), "level")]
+    for _ in range(2):
+        levels.append(written(_FURTHER(levels[-1]), "level"))
+    return _TEXTURE_OF(*levels), _DOF_OF(levels[-1])
 
 
 def conv2(weights: list[list[float]], value: str = LUM, shape: str = "same", pad: float = 0.0) -> SqlOp:
     """Two-dimensional convolution with any odd kernel; beyond the edge lies ``pad``.
 
-    ``shape`` is that of the result: ``same`` as the photo, ``full`` (every place a pixel reaches), or ``valid``
+    ``shape`` is that of the result: ``same`` as the photo, ``reach`` (every place a pixel reaches), or ``valid``
     (places whose kernel lies inside). Every pixel sends its weighted value to the places around it, and places
     sum what they get: one aggregation with partial sums, no join of pixels with pixels. Separable kernels are
     cheaper as two passes of ``conv``.
@@ -176,9 +193,9 @@ def conv2(weights: list[list[float]], value: str = LUM, shape: str = "same", pad
     n, m = len(weights), len(weights[0])
     if n % 2 == 0 or m % 2 == 0 or any(len(row) != m for row in weights):
         raise ValueError("kernels have odd sizes")
-    if shape not in ("same", "full", "valid"):
+    if shape not in ("same", "reach", "valid"):
         raise ValueError(f"no such shape: {shape}")
-    out = {"same": 0, "full": 1, "valid": -1}[shape]
+    out = {"same": 0, "reach": 1, "valid": -1}[shape]
     down, right = out * (n // 2), out * (m // 2)
     total = sum(map(sum, weights))
     taps = ", ".join(f"({i - n // 2}, {j - m // 2}, cast({w!r} as double))" for i, row in enumerate(weights) for j, w in enumerate(row) if w)
@@ -188,6 +205,39 @@ from (select photo_id, h, w, rw + dr as rw, cl + dc as cl, weight, weight * {val
 where rw between 1 - {down} and h + {down} and cl between 1 - {right} and w + {right} group by photo_id, rw, cl""")
 
 
+def conv2_inner(weights: list[list[float]], value: str = LUM, shape: str = "same") -> SqlOp:
+    """Two-dimensional convolution without padding: only places whose kernel lies inside are computed.
+
+    ``same`` gives those, numbered from 1; ``full`` the photo's size, with the photo's own values along the border; ``valid``
+    leaves out another border of the kernel's half size.
+    """
+    down, right = len(weights) // 2, len(weights[0]) // 2
+    if shape not in ("same", "full", "valid"):
+        raise ValueError(f"no such shape: {shape}")
+    inner = conv2(weights, value, "valid").raw
+    if shape == "same":
+        return SqlOp(inner)
+    if shape == "full":
+        border = f"rw <= {down} or rw > h - {down} or cl <= {right} or cl > w - {right}"
+        return SqlOp(f"select photo_id, rw + {down} as rw, cl + {right} as cl, v from ({inner}) union all select photo_id, rw, cl, round({value}, 6) + 0e0 as v from {{px}} where {border}")
+    return SqlOp(f"""
+select c.photo_id, c.rw - {down} as rw, c.cl - {right} as cl, v from ({inner}) c join (select photo_id, max(h) as h, max(w) as w from {{px}} group by photo_id) p on p.photo_id = c.photo_id
+where c.rw > {down} and c.rw <= h - {3 * down} and c.cl > {right} and c.cl <= w - {3 * right}""")
+
+
+def padded(rows: int, cols: int, pad: float | str = "replicate") -> SqlOp:
+    """The pixel relation with so many rows and columns more on every side: of a number, or of the pixels at the edge."""
+    if isinstance(pad, str) and pad != "replicate":
+        raise ValueError(f"no such padding: {pad}")
+    beyond = lambda d, at, size: f"({d} = 0 or ({d} < 0 and {at} = 1) or ({d} > 0 and {at} = {size}))"
+    steps = lambda n: "(values " + ", ".join(f"({i})" for i in range(-n, n + 1)) + ")"
+    value = lambda c: c if pad == "replicate" else f"case when dr = 0 and dc = 0 then {c} else {float(pad)!r}e0 end"
+    return SqlOp(f"""
+select photo_id, h + {2 * rows} as h, w + {2 * cols} as w, rw + dr + {rows} as rw, cl + dc + {cols} as cl, {', '.join(f'{value(c)} as {c}' for c in 'rgb')}
+from {{px}} cross join {steps(rows)} y(dr) cross join {steps(cols)} x(dc)
+where {beyond('dr', 'rw', 'h')} and {beyond('dc', 'cl', 'w')}""")
+
+
 def gaussian_kernel(n: int, sigma: float) -> list[list[float]]:
     """Weights of a two-dimensional Gaussian of n by n places, which sum to 1."""
     side = [math.exp(-((i - (n - 1) / 2) ** 2) / (2 * sigma * sigma)) for i in range(n)]
@@ -196,5 +246,7 @@ def gaussian_kernel(n: int, sigma: float) -> list[list[float]]:
 
 _EMBOSS = [[-1.0, -2.0, -1.0], [0.0, 0.0, 0.0], [1.0, 2.0, 1.0]]
 emboss = conv2(_EMBOSS)
-emboss_full, emboss_valid, emboss_padded = conv2(_EMBOSS, shape="full"), conv2(_EMBOSS, shape="valid"), conv2([[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]], pad=0.5)
+emboss_reach, emboss_valid, emboss_padded = conv2(_EMBOSS, shape="reach"), conv2(_EMBOSS, shape="valid"), conv2([[0.0, 1.0, 0.0], [1.0, 2.0, 1.0], [0.0, 1.0, 0.0]], pad=0.5)
 gaussian_blur_2d = conv2(gaussian_kernel(5, 1.2))
+emboss_full, emboss_trimmed = conv2_inner(_EMBOSS, shape="full"), conv2_inner(_EMBOSS, shape="valid")
+pad_replicate, pad_number = padded(1, 2), padded(2, 1, -0.25)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vonmises
-from ..operators import circular, color, raster, segments, stencil
+from ..operators import circular, circular_data, color, raster, segments, stencil
 from ..operators.base import SqlOp
 from ..sources import files, tables
+from ..sources.store import once
 from . import model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,18 +43,64 @@ def _view(text: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
 
 _BY_TYPE = {"a": _view("select event_type as g, theta as x from {angles}")}
 _BY_USER = {"a": _view("select user_id as g, theta as x from {angles}")}
-for _name in "circ_summary circ_disp trig_moment est_kappa vm_ml circ_range kuiper watson_uniform rao_spacing rao_homogeneity rose_bins edf".split():
+for _name in "circ_summary circ_disp trig_moment est_kappa vm_ml circ_range kuiper watson_uniform watson_uniform_test rao_spacing rao_homogeneity rose_bins edf".split():
     register(_name, getattr(circular, _name), _BY_TYPE)
 register("rayleigh", circular.rayleigh, _BY_USER)
 register("trig_moment_centred", circular.trig_moment, _BY_TYPE, p=1, center=1)
 register("circ_cor", circular.circ_cor, {"pairs": _view("select event_type as g, theta as x, (theta * 3 + user_id) % 6e0 as y from {angles}")})
-for _name in ("watson_two", "watson_two_all"):  # two names of one query
-    register(_name, circular.watson_two, {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles}")})
+_TWO = {"two": _view("select case when event_type = (select min(event_type) from {angles}) then 1 else 2 end as side, theta as x from {angles}")}
+for _name in ("watson_two", "watson_two_test"):
+    register(_name, getattr(circular, _name), _TWO)
 register("change_point", circular.change_point, {"ordered": _view("select event_type as g, theta as x, event_id as o from {angles}")})
 register("circular_convert", circular.circular_convert, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("circular_densities", circular.circular_densities, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("bessel_ratio", circular.bessel_ratio, {"kappas": _view("select distinct (user_id % 40) / 4e0 + 0.05e0 as k from {angles}")})
 
+# angles in other terms: what they are given as, and what is asked for
+_TERMS: dict[str, tuple[dict, dict]] = {
+    "compass": ({}, {"units": "degrees", "template": "geographics", "modulo": "2pi"}),
+    "clock": ({}, {"units": "hours", "template": "clock24", "modulo": "2pi"}),
+    "half": ({"units": "degrees"}, {"units": "degrees", "modulo": "pi", "rotation": "clock"}),
+    "doubled": ({"units": "hours"}, {"units": "radians", "type": "directions", "modulo": "2pi"}),
+    "from_compass": ({"units": "degrees", "template": "geographics"}, {"units": "radians", "zero": 0.0, "rotation": "counter"}),
+    "shifted": ({"units": "hours", "zero": 1.0, "rotation": "clock"}, {"units": "degrees", "zero": -0.5, "rotation": "counter", "modulo": "2pi"}),
+    "asis": ({"units": "degrees", "modulo": "pi"}, {"units": "hours", "modulo": "asis"}),
+}
+
+
+def _in_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = READERS["angles"](spark, sf_dir).selectExpr("event_id as id", *[f"theta as {n}" for n in _TERMS])
+    for name, (have, want) in _TERMS.items():
+        out = circular_data.conversion(circular_data.circular(out, name, **have), name, **want)
+    return out.select("id", *[F.round(n, 6).alias(n) for n in _TERMS])
+
+
+def _in_terms_sql(name: str) -> str:
+    have, want = (dict(x) for x in _TERMS[name])
+    means = circular_data.Circular(**have).templated()
+    return circular_data.converted(circular_data._within("theta", means.units, means.modulo), means, **want)[0]
+
+
+QUERIES["circular_terms"] = _in_terms
+SQL["circular_terms"] = f"select event_id as id, {', '.join(f'round({_in_terms_sql(n)}, 6) as {n}' for n in _TERMS)} from ({tables.ANSI['angles']}) a"
+_MET = ({"units": "degrees", "modulo": "2pi"}, {}, {"units": "hours", "template": "clock24"})
+
+
+def _concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees, radians and hours of a clock in one column, in the terms of the first."""
+    a = READERS["angles"](spark, sf_dir)
+    values = ("degrees(theta)", "theta * 3", "theta * 12 / pi()")
+    each = [circular_data.circular(a.where(f"event_id % 3 = {i}").selectExpr("event_id as id", f"{v} as x"), "x", **t) for i, (v, t) in enumerate(zip(values, _MET, strict=True))]
+    out = circular_data.concatenated(*each, column="x")
+    return out.select("id", F.round("x", 6).alias("x"))
+
+
+QUERIES["circular_concat"] = _concatenated
+SQL["circular_concat"] = f"""
+with a as ({tables.ANSI['angles']})
+select event_id as id, round(case event_id % 3 when 0 then (degrees(theta) % 360e0 + 360e0) % 360e0 when 1 then (degrees(theta * 3) % 360e0 + 360e0) % 360e0
+  else ((-(theta * 180 / pi() - 90e0)) % 360e0 + 360e0) % 360e0 end, 6) as x from a"""
+
 
 # clusters by fixed centres, and what is made of their components
 _CLUSTERS = SqlOp(segments.CLUSTERS)
@@ -100,16 +147,23 @@ QUERIES["photo_segmentation"] = lambda spark, sf_dir: segments.segmentation(tabl
 QUERIES["region_composition"] = lambda spark, sf_dir: segments.top5_segments(segments.segmentation(tables.px(spark, sf_dir)), tables.px(spark, sf_dir))
 
 # ratings and models
-for _name in "ratings_join rating_stdev fill_missing correlations simple_regressions bw_color_split error_metrics".split():
+for _name in "ratings_join rating_stdev fill_missing correlations simple_regressions bw_color_split error_metrics prediction_errors".split():
     register(_name, getattr(model, _name))
 register("train_split", model.split)
 QUERIES["linear_model"] = lambda spark, sf_dir: model.linear_model(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
 QUERIES["random_forest"] = lambda spark, sf_dir: model.random_forest(tables.px(spark, sf_dir), tables.ratings(spark, sf_dir))
-QUERIES["measure_record"] = lambda spark, sf_dir: model.measure_record(tables.px(spark, sf_dir))
+
+
+def _record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measure record of the table's photos: written once, read by every model."""
+    return once(spark, "measure_record", tables.read(spark, sf_dir, "lineitem"), lambda: model.measure_record(tables.px(spark, sf_dir)))
+
+
+QUERIES["measure_record"] = _record
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.rated(QUERIES["measure_record"](spark, sf_dir), tables.ratings(spark, sf_dir)).persist()
+    return model.rated(_record(spark, sf_dir), tables.ratings(spark, sf_dir))
 
 
 for _kind in ("all", "colour", "bw"):
@@ -144,14 +198,14 @@ QUERIES["pp_data"] = lambda spark, sf_dir: vonmises.fitted(QUERIES["edf"](spark,
 QUERIES["circ_cor_test"] = lambda spark, sf_dir: vonmises.correlation_test(QUERIES["circ_cor"](spark, sf_dir))
 QUERIES["rao_homogeneity_test"] = lambda spark, sf_dir: vonmises.homogeneity_test(QUERIES["rao_homogeneity"](spark, sf_dir))
 
-for _name in "emboss emboss_full emboss_valid emboss_padded gaussian_blur_2d".split():
+for _name in "emboss emboss_full emboss_reach emboss_trimmed emboss_valid emboss_padded pad_replicate pad_number gaussian_blur_2d".split():
     register(_name, getattr(stencil, _name))
 register("hsv_radians", color.hsv_pixels, radians=1, max_value=255.0)
 register("turns", segments.turns)
-register("binomial", circular.binomial, {"numbers": _view("select distinct user_id % 16 as n, user_id * 7 % 5 as k from {angles}")})
-_DIGITS = "(values (0), (1), (2), (3))"
-_BUCKETS = f"select z.n * 16 + y.n * 4 + x.n + 1 as photo_id, 1 as h, 1 as w, 1 as rw, 1 as cl, (x.n + 0.5e0) / 4 as r, (y.n + 0.5e0) / 4 as g, (z.n + 0.5e0) / 4 as b from {_DIGITS} x(n) cross join {_DIGITS} y(n) cross join {_DIGITS} z(n)"
-register("bucket_luv", color.luv_pixels, {"px": (lambda spark, sf_dir: spark.sql(_BUCKETS), _BUCKETS)})
+register("binomial", circular.binomial, {"numbers": _view("select distinct user_id % 41 as n, user_id * 7 % 23 as k from {angles}")})
+register("rgb_roundtrip_radians", color.rgb_roundtrip, radians=1, na_hue=0.5)
+register("bucket_rgb", color.bucket_rgb)
+register("bucket_luv", color.luv_pixels, {"px": (lambda spark, sf_dir: color.bucket_midpoints(tables.px(spark, sf_dir)), color.bucket_midpoints.ansi({"px": tables.ANSI["px"]}))})
 
 
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,27 +15,62 @@ from pyspark.sql import functions as F
 
 from ..operators import color, segments, stencil
 from ..operators.base import SqlOp
+from ..operators.circular import CELLS, TwoLevel, in_cells
 from ..operators.color import HSV, LUM
+from ..sources.store import written
 
 #: A few measures a photo, the first the id.
 MEASURES = f"""
-select photo_id as photo, avg(val) as intensity, avg(sat) as saturation, avg(case when r8 > 40 then hue end) as hue, 4 * avg({LUM}) * (1 - avg({LUM})) as exposure, stddev_samp({LUM}) as contrast, max(h) + max(w) as size
+select photo_id as photo, avg(val) as intensity, avg(sat) as saturation, avg(hue) as hue, 4 * avg({LUM}) * (1 - avg({LUM})) as exposure, stddev_samp({LUM}) as contrast, max(h) + max(w) as size
 from ({HSV}) group by photo_id"""
 
 ratings_join = SqlOp(f"select m.photo, round(intensity, 6) as intensity, round(saturation, 6) as saturation, round(hue, 5) as hue, round(exposure, 6) as exposure, round(contrast, 6) as contrast, r.num, round(r.rating, 6) as rating from ({MEASURES}) m join {{ratings}} r on m.photo = r.photo where r.rating > 0")
 _NUMS = [f"num{i}" for i in range(1, 11)]
 _SPREAD = f"sqrt(({' + '.join(f'{n} * pow({i} - rating, 2)' for i, n in enumerate(_NUMS, 1))}) / (num - 1))"
 rating_stdev = SqlOp(f"select photo, num, round(rating, 6) as rating, round({_SPREAD}, 6) as sd from {{ratings}} where num > 1")
-fill_missing = SqlOp(f"select photo, round(coalesce(case when size % 3 = 0 then null else hue end, 0e0), 5) as hue, cast(coalesce(case when size % 2 = 0 then null else size end, 22) as bigint) as position from ({MEASURES})")
+_BLOCK = "10 * (least(cast(floor((rw - 1) * 3e0 / h) as int), 2) + 1) + least(cast(floor((cl - 1) * 3e0 / w) as int), 2) + 1"
+#: Grey pixels have no hue, and no place (a block of 3 by 3) among those that have one: 0, and the middle block.
+fill_missing = SqlOp(f"select photo_id, rw, cl, round(coalesce(hue, 0e0), 5) as hue, coalesce(case when hue is not null then {_BLOCK} end, 22) as position from ({HSV})")
 correlations = SqlOp(f"""
 select round(corr(rating, intensity), 6) as intensity, round(corr(rating, saturation), 6) as saturation, round(corr(rating, exposure), 6) as exposure, round(corr(rating, contrast), 6) as contrast, round(corr(intensity, contrast), 6) as intensity_contrast, count(*) as n
 from ({MEASURES}) m join {{ratings}} r on m.photo = r.photo""")
 simple_regressions = SqlOp(f"select round(regr_slope(rating, intensity), 5) as slope_intensity, round(regr_intercept(rating, intensity), 5) as at_intensity, round(regr_slope(rating, contrast), 5) as slope_contrast, round(regr_intercept(rating, contrast), 5) as at_contrast from ({MEASURES}) m join {{ratings}} r on m.photo = r.photo")
 bw_color_split = SqlOp(f"select photo_id, case when count(hue) = 0 or avg(case when rw between floor(h / 3e0) and ceil(2 * h / 3e0) then sat end) < 1e-5 then 'bw' else 'colour' end as kind, count(*) - count(hue) as grey_pixels from ({HSV}) group by photo_id")
-error_metrics = SqlOp(f"""
-select round(avg(abs(e)), 6) as mean_abs, round(avg(abs(e) / sd), 6) as mean_relative, round(percentile(e / sd, 0.025), 6) as low, round(percentile(e / sd, 0.975), 6) as high
-from (select rating - (select avg(rating) from {{ratings}}) as e, {_SPREAD} as sd from {{ratings}} where num > 1) x""")
-split = SqlOp("select photo, row_number() over (order by photo * 7919 % 104729, photo) <= floor(:share * count(*) over ()) as train from {ratings}", share=0.6)
+_POINT = "select {0} as k, max(case when m0 <= floor({0} * (mn - 1)) and floor({0} * (mn - 1)) < m0 + m then x end) as a, max(case when m0 <= ceil({0} * (mn - 1)) and ceil({0} * (mn - 1)) < m0 + m then x end) as b, max({0} * (mn - 1) - floor({0} * (mn - 1))) as part from ranked"
+
+
+_OF_ERRORS = "select e / sd as x, abs(e) as size, abs(e / sd) as relative from {0} e"
+_POINTS = f"select 0 as g, x, count(*) as m, lo, hi from ({_OF_ERRORS.format('{errors}')}) r cross join (select min(e / sd) as lo, max(e / sd) as hi from {{errors}} e2) ends where x is not null group by x, lo, hi"
+_IN_CELLS = f"case when hi > lo then cast(floor((x - lo) / (hi - lo) * {CELLS}) as int) else 0 end"
+_METRICS = f"""
+with {in_cells(_POINTS, "m", "x", _IN_CELLS)},
+low as ({_POINT.format("0.025e0")}), high as ({_POINT.format("0.975e0")}), sizes as (select avg(size) as a, avg(relative) as r from ({_OF_ERRORS.format('{errors}')}) r3)
+select round(sizes.a, 6) as mean_abs, round(sizes.r, 6) as mean_relative, round(low.a + low.part * (low.b - low.a), 6) as low, round(high.a + high.part * (high.b - high.a), 6) as high from sizes cross join low cross join high"""
+
+
+class Errors(TwoLevel):
+    """Mean error of rows (e, sd), absolute and in deviations, and its central 95 %.
+
+    On Spark the errors are a table first, and the percentiles are found in cells of equal width.
+    """
+
+    def __init__(self, errors: str) -> None:
+        super().__init__(f"select round(avg(size), 6) as mean_abs, round(avg(relative), 6) as mean_relative, round(percentile(x, 0.025), 6) as low, round(percentile(x, 0.975), 6) as high from ({_OF_ERRORS.format(f'({errors})')}) r", _METRICS)
+        self.errors = SqlOp(errors)
+
+    def __call__(self, *frames: DataFrame, **params: float) -> DataFrame:
+        return self.plan(written(self.errors(*frames), "errors"))
+
+
+error_metrics = Errors(f"select rating - (select avg(rating) from {{ratings}}) as e, {_SPREAD} as sd from {{ratings}} where num > 1")
+#: The same of the line through contrast and rating.
+prediction_errors = Errors(f"""
+select rating - (slope * contrast + base) as e, {_SPREAD} as sd from {{ratings}} r join ({MEASURES}) m on m.photo = r.photo
+cross join (select regr_slope(rating, contrast) as slope, regr_intercept(rating, contrast) as base from {{ratings}} r1 join ({MEASURES}) m1 on m1.photo = r1.photo) line where num > 1""")
+_SHUFFLED = "select 0 as g, cast(photo * 7919 % 104729 as bigint) * 1000000000000 + photo as o, photo, 1 as m from {ratings}"
+#: A share of the photos in an order fixed by hashes of their ids; on Spark the order is counted in cells of the hash.
+split = TwoLevel("select photo, row_number() over (order by photo * 7919 % 104729, photo) <= floor(:share * count(*) over ()) as train from {ratings}",
+    f"with {in_cells(_SHUFFLED, 'm', 'o', f'cast(floor(o / 1000000000000 * {CELLS} / 104729) as int)')} select o % 1000000000000 as photo, m0 + 1 <= floor(:share * mn) as train from ranked", share=0.6)
 
 FEATURES = ["intensity", "saturation", "hue", "exposure", "contrast"]
 
@@ -65,35 +100,42 @@ def _wide(df: DataFrame, values: dict[str, str], suffix: str) -> DataFrame:
 
 
 def measure_record(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFrame:
-    """One row of 71 measures a photo: native aggregates joined on photo_id with the grouped-map ones.
+    """One row of 71 measures a photo: aggregates of its pixels, neighbourhoods and segments, joined on photo_id.
 
-    The pixels and the segmentation, the dearest step, are read by many measures, so they are kept (in memory, or on
-    disk beyond it) once made; ``spark.catalog.clearCache()`` lets go of them.
+    The pixels, their segments and wavelet levels are read by several measures, so each is a table first.
     """
-    px = px.persist(StorageLevel.MEMORY_AND_DISK)
-    seg = segments.segmentation(px, k_max, restarts).persist(StorageLevel.MEMORY_AND_DISK)
+    px = written(px, "pixels")
+    seg = written(segments.segmentation(px, k_max, restarts), "segments")
     top, place = segments.top5_segments(seg, px), segments.segment_positions(seg)
-    pivot = lambda df, cols: df.groupBy("photo_id").agg(*[F.max(F.when(F.col("place") == i, F.col(c))).alias(f"{n}{i}") for c, n in cols.items() for i in range(1, 6)])
+    texture, depth = stencil.wavelets(px)
+    patches = top.join(place, ["photo_id", "place"])
+    names = {"hue": "AvgHuePatch", "sat": "AvgSatPatch", "val": "AvgValPatch", "share": "RelSizePatch", "position": "PositionPatch", "distance": "DistanceFromCenterPatch"}
+    each = [F.max(F.when(F.col("place") == i, F.col(c))).alias(f"{n}{i}") for c, n in names.items() for i in range(1, 6)]
     parts = [
         stencil.blur_annoyance(px).withColumnRenamed("quality", "Blur"),
         stencil.mdwe(px).toDF("photo_id", "MdweBlur", "MdweGaussian", "MdweJpeg2k"),
-        color.exposure_contrast(px).toDF("photo_id", "Exposure", "RmsContrast", "IntervalContrast"),
-        color.hsv_averages(px).toDF("photo_id", "AverageIntensity", "AverageSaturation", "AverageHue"),
-        color.hsv_central_averages(px).toDF("photo_id", "AverageCentralIntensity", "AverageCentralSaturation", "AverageCentralHue"),
+        color.simple_measures(px),
         segments.colorfulness(color.color_buckets(px)).toDF("photo_id", "Colorfulness"),
         segments.colorfulness(color.color_buckets(px, n=6), "grey", 6).toDF("photo_id", "ColorfulnessGrey"),
-        _wide(stencil.wavelet_texture(px), {"level1": "Texture{}Level1", "level2": "Texture{}Level2", "level3": "Texture{}Level3", "total": "Texture{}Sum"}, ""),
-        _wide(stencil.wavelet_dof(px), {"dof": "DepthOfField{}"}, ""),
-        color.size_aspect(px).toDF("photo_id", "SizeFeature", "AspectRatio", "AspectRatioMax"),
-        top.groupBy("photo_id").agg(F.sum(F.col("large").cast("int")).alias("NumLargePatches")),
+        _wide(texture, {"level1": "Texture{}Level1", "level2": "Texture{}Level2", "level3": "Texture{}Level3", "total": "Texture{}Sum"}, ""),
+        _wide(depth, {"dof": "DepthOfField{}"}, ""),
+        patches.groupBy("photo_id").agg(F.sum(F.col("large").cast("int")).alias("NumLargePatches"), *each),
         seg.groupBy("photo_id").agg(F.max("clusters").alias("NumClusters")),
-        pivot(top, {"hue": "AvgHuePatch", "sat": "AvgSatPatch", "val": "AvgValPatch", "share": "RelSizePatch"}),
-        pivot(place, {"position": "PositionPatch", "distance": "DistanceFromCenterPatch"}),
         segments.convexity(seg).toDF("photo_id", "ShapeConvexity"),
         color.dominant_hue(px).toDF("photo_id", "DdcMean", "DdcCompactness", "DdcDominance"),
         segments.spread(color.dominant_pixels(px)).toDF("photo_id", "DdcSpatial", "DdcNormSpatial"),
     ]
-    return reduce(lambda a, b: a.join(b, "photo_id", "left"), parts, px.select("photo_id").distinct())
+    joined = reduce(lambda a, b: a.join(b, "photo_id", "left"), parts, px.select("photo_id").distinct())
+    return joined.select("photo_id", *RECORD)
+
+
+_PATCHES = [f"{n}{i}" for n in ("AvgHuePatch", "AvgSatPatch", "AvgValPatch", "RelSizePatch", "PositionPatch", "DistanceFromCenterPatch") for i in range(1, 6)]
+#: The measures in order.
+RECORD = [
+    "Blur", "MdweBlur", "MdweGaussian", "MdweJpeg2k", "Exposure", "RmsContrast", "IntervalContrast", "AverageIntensity", "AverageSaturation", "AverageHue", "AverageCentralIntensity", "AverageCentralSaturation", "AverageCentralHue",
+    "Colorfulness", "ColorfulnessGrey", *[f"Texture{c}{x}" for x in ("Level1", "Level2", "Level3", "Sum") for c in ("Hue", "Sat", "Val")], *[f"DepthOfField{c}" for c in ("Hue", "Sat", "Val")],
+    "SizeFeature", "AspectRatio", "AspectRatioMax", "NumLargePatches", "NumClusters", *_PATCHES, "ShapeConvexity", "DdcMean", "DdcCompactness", "DdcDominance", "DdcSpatial", "DdcNormSpatial",
+]
 
 
 #: What stands for a patch that a photo does not have: no hue, saturation, value, size or distance, and the position of the centre.

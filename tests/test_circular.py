@@ -16,13 +16,13 @@ def compare(df, con, sql):
     assert df.columns == names and as_rows(df.collect()) == as_rows(con.execute(sql).fetchall())
 
 
-def test_watson_two_all(spark, small):
+def test_watson_two_whole(spark, small):
     """Every event counts."""
     con = duckdb.connect()
     con.execute(f"create view events as select * from read_parquet('{small}/events.parquet')")
-    df = catalog.QUERIES["watson_two_all"](spark, small)
+    df = catalog.QUERIES["watson_two"](spark, small)
     assert sum(df.first()[:2]) == spark.read.parquet(f"{small}/events.parquet").count()
-    compare(df, con, catalog.SQL["watson_two_all"])
+    compare(df, con, catalog.SQL["watson_two"])
 
 
 @pytest.mark.parametrize("name", TWO_LEVEL)

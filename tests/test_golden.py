@@ -120,11 +120,94 @@ def test_components():
     assert kernels.components(m).tolist() == [[1, 1, 2], [2, 1, 2], [2, 2, 2]]
 
 
-def test_segmentation():
-    flat = np.zeros((200, 3))
-    flat[100:] = [80, 60, -40]
-    label, k = kernels.segmentation(flat, 10, 20, 1, 4, restarts=1)
-    assert k == 2 and len(np.unique(label)) == 2
+def test_segmentation(spark):
+    """Two halves of different colours, with some noise."""
+    img = np.zeros((10, 20, 3)) + 0.2
+    img[:, 10:] = [0.9, 0.1, 0.5]
+    img += np.random.default_rng(0).normal(0, 0.002, img.shape)
+    rows = segments.segmentation(frame(spark, img), 4, 1).collect()
+    assert len(rows) == 200 and {r.clusters for r in rows} == {2} and len({r.segment_id for r in rows}) == 2
+    assert all((r.segment_id == 1) == (r.cl <= 10) for r in rows)
+
+
+def test_transport_against_lines():
+    """On a line the least cost is the area between the running sums; masses may be 0, alone, or tied."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        m, n = rng.integers(1, 9, 2)
+        supply, demand = rng.integers(0, 7, m), np.zeros(n, dtype=np.int64)
+        np.add.at(demand, rng.integers(0, n, supply.sum()), 1)
+        x, y = rng.integers(0, 10, m), rng.integers(0, 10, n)
+        costs = np.abs(x[:, None] - y[None, :]).astype(float)
+        total, flow = kernels.transport(supply, demand, costs)
+        area = sum(abs(supply[x <= t].sum() - demand[y <= t].sum()) for t in range(10))
+        assert abs(total - area) < 1e-9 and (flow.sum(axis=1) == supply).all() and (flow.sum(axis=0) == demand).all() and (flow >= 0).all()
+    with pytest.raises(ValueError):
+        kernels.transport(np.ones(2), np.ones(3), np.ones((2, 3)))
+
+
+def test_squares():
+    """Largest squares of equal values against a plain search."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        m = rng.integers(0, 2, rng.integers(1, 9, 2))
+        h, w = m.shape
+        want = [[max(k for k in range(1, min(h - r, w - c) + 1) if (m[r : r + k, c : c + k] == m[r, c]).all()) for c in range(w)] for r in range(h)]
+        assert kernels.squares_from(m).tolist() == want
+
+
+def test_sampled_pixels(spark):
+    """Rows and columns of a thinned photo, rounded half to even; every pixel of a small one."""
+    from lumenframe.operators import clusters
+
+    for h, w, most in ((11, 7, 30), (5, 4, 100), (1, 9, 4), (40, 3, 17)):
+        luv = spark.createDataFrame([(1, h, w, r, c, float(r), float(c), 0.0) for r in range(1, h + 1) for c in range(1, w + 1)], "photo_id long, h int, w int, rw int, cl int, l double, u double, v double")
+        thin = max(1.0, math.sqrt(h * w / most))
+        rows, cols = ([int(x) + 1 for x in np.unique(np.rint(np.linspace(0, n - 1, max(1, math.ceil(n / thin)))))] for n in (h, w))
+        got = one(clusters.samples(luv, most))
+        assert (got.h, got.w) == (len(rows), len(cols)) and list(zip(got.u, got.l, strict=True)) == [(c, r) for c in cols for r in rows]
+
+
+def test_turns(spark):
+    """Turns along one line are both; else one."""
+    given = [(0.0, 1.0, 0.0, 1.0, True, True), (0.0, 1.0, 0.0, -3.0, True, True), (-2.0, 3.0, 4.0, -6.0, True, True), (0.0, 1.0, 0.1, 1000.0, True, False), (0.0, 1.0, -0.1, 1000.0, False, True), (-2.0, 3.0, 4.0, -5.9, True, False), (-2.0, 3.0, 4.0, -6.1, False, True)]
+    got = segments.turn(spark.createDataFrame(given, "px double, py double, qx double, qy double, a boolean, b boolean")).collect()
+    assert all((r.clockwise, r.counterclockwise) == (r.a, r.b) for r in got) and len(got) == len(given)
+
+
+def raster_of(rows, column):
+    h, w = max(r.rw for r in rows), max(r.cl for r in rows)
+    out = np.full((h, w), np.nan)
+    for r in rows:
+        out[r.rw - 1, r.cl - 1] = r[column]
+    return out
+
+
+def test_padding(spark):
+    img = np.arange(1.0, 37.0).reshape((3, 4, 3), order="F")
+    got = raster_of(stencil.padded(1, 2)(frame(spark, img)).collect(), "r")
+    assert got.tolist() == [[1, 1, 1, 4, 7, 10, 10, 10]] + [[k, k, k, k + 3, k + 6, k + 9, k + 9, k + 9] for k in (1, 2, 3)] + [[3, 3, 3, 6, 9, 12, 12, 12]]
+    got = stencil.padded(1, 2, -8)(frame(spark, img)).collect()
+    assert raster_of(got, "g").tolist() == [[-8] * 8] + [[-8, -8, k, k + 3, k + 6, k + 9, -8, -8] for k in (13, 14, 15)] + [[-8] * 8] and {(r.h, r.w) for r in got} == {(5, 8)}
+    one_pixel = raster_of(stencil.padded(2, 1)(frame(spark, np.full((1, 1, 3), 0.5))).collect(), "b")
+    assert (one_pixel == 0.5).all() and one_pixel.shape == (5, 3)
+    with pytest.raises(ValueError):
+        stencil.padded(1, 1, "circular")
+
+
+def test_conv2_shapes(spark):
+    """Only inner places are computed; the border of the full result is the photo's own."""
+    m = np.array([[1, 5, 2, 3], [8, 7, 3, 6], [3, 3, 9, 1]], dtype=float)
+    f = [[1.0, 2.0, 3.0], [0.0, 0.0, 0.0], [6.0, 5.0, 4.0]]
+    px = frame(spark, np.stack([m] * 3, axis=2))
+    assert raster_of(stencil.conv2_inner(f, "r")(px).collect(), "v").tolist() == [[65, 76]]
+    assert raster_of(stencil.conv2_inner(f, "r", "full")(px).collect(), "v").tolist() == [[1, 5, 2, 3], [8, 65, 76, 6], [3, 3, 9, 1]]
+    big = np.random.default_rng(0).integers(0, 9, (8, 7)).astype(float)
+    px = frame(spark, np.stack([big] * 3, axis=2))
+    same, valid = (raster_of(stencil.conv2_inner(f, "r", s)(px).collect(), "v") for s in ("same", "valid"))
+    assert same.shape == (6, 5) and valid.shape == (4, 3) and (valid == same[1:5, 1:4]).all()
+    with pytest.raises(ValueError):
+        stencil.conv2_inner(f, "r", "most")
 
 
 def test_line_distance(spark):

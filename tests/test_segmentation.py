@@ -25,6 +25,21 @@ def test_whole_search(spark, small, monkeypatch):
         return real(px, k_max, restarts)
 
     monkeypatch.setattr(catalog.segments, "segmentation", spy)
-    for name in ("photo_segmentation", "region_composition", "measure_record"):
+    for name in ("photo_segmentation", "region_composition"):
         catalog.QUERIES[name](spark, small)
+    catalog.model.measure_record(catalog.tables.px(spark, small))
     assert calls == [(30, 3)] * 3
+
+
+def test_record_is_kept(spark, small):
+    """The record is written once for the same files, and another table has one of its own."""
+    from lumenframe.sources import store
+
+    made = []
+
+    def make(n):
+        made.append(n)
+        return spark.range(n)
+
+    events, orders = (catalog.tables.read(spark, small, t) for t in ("events", "orders"))
+    assert [store.once(spark, "t", df, lambda n=n: make(n)).count() for n, df in ((3, events), (4, events), (5, orders), (6, events))] == [3, 3, 5, 3] and made == [3, 5]
