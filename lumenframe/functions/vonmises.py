@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.circular import WATSON_VM_BAND, a1inv, circ_range, vm_ml, watson_fitted
+from ..operators.circular import WATSON_VM_BAND, a1inv, circ_range, rao_spacing, vm_ml, watson_fitted
+from ..sources.store import tasks_of, written
 
 TAU = 2 * math.pi
 
@@ -130,22 +131,80 @@ def v0_test(a: DataFrame, mu0: float = 0.0) -> DataFrame:
     return s.select("g", "r0_bar", (1 - normal_cdf(z) + F.exp(-z * z / 2) / math.sqrt(TAU) * series).alias("p_value"))
 
 
-def cauchy_ml(a: DataFrame, mu0: float = 1.0, rho0: float = 0.3, tol: float = 1e-12, rounds: int = 10_000) -> DataFrame:
-    """Wrapped Cauchy estimates of each group, by reweighting to a fixed point."""
+def cauchy_ml(a: DataFrame, mu0: float = 1.0, rho0: float = 0.3, tol: float = 1e-12, rounds: int = 100) -> DataFrame:
+    """Wrapped Cauchy estimates (g, mu, rho) of each group: the fixed point of reweighting, reached by Newton's steps.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf["x"].to_numpy()
-        c, s, m = np.cos(x), np.sin(x), np.array([math.cos(mu0), math.sin(mu0)]) * 2 * rho0 / (1 + rho0**2)
-        for _ in range(rounds):
-            w = 1 / (1 - m[0] * c - m[1] * s)
-            new = np.array([(w * c).sum(), (w * s).sum()]) / w.sum()
-            done, m = np.abs(new - m).max() < tol, new
-            if done:
-                break
-        size = math.hypot(*m)
-        return pd.DataFrame({"g": [key[0]], "mu": [math.atan2(m[1], m[0]) % TAU], "rho": [(1 - math.sqrt(1 - size**2)) / size if size else 0.0]})
-
-    return a.select("g", "x").groupBy("g").applyInPandas(run, "g string, mu double, rho double")
+    Equal angles are one row. A round sums eight products of every group's rows, with partial sums, and the state is two
+    numbers a group, so no group meets in a task. A step that would leave the unit disc is the plain reweighting instead.
+    Null angles are left out. Groups that still move after ``rounds`` rounds keep the state they have reached.
+    """
+    rows = a.where("x is not null and not isnan(x)").groupBy("g", "x").agg(F.count("*").alias("n"))
+    rows = written(rows.select("g", "n", F.cos("x").alias("c"), F.sin("x").alias("s")), "angles")
+    size = 2 * rho0 / (1 + rho0**2)
+    state = written(rows.select("g").distinct().select("g", F.lit(size * math.cos(mu0)).alias("a"), F.lit(size * math.sin(mu0)).alias("b"), F.lit(1.0).alias("moved")), "state")
+    for _ in range(rounds):
+        w = rows.join(state.where(F.col("moved") >= tol), "g").withColumn("w", 1 / (1 - F.col("a") * F.col("c") - F.col("b") * F.col("s")))
+        total = lambda e: F.sum(F.expr(f"n * {e}"))
+        sums = {"w0": "w", "n1": "w * c", "n2": "w * s", "v1": "w * w * c", "v2": "w * w * s", "m11": "w * w * c * c", "m12": "w * w * c * s", "m22": "w * w * s * s"}
+        t = w.groupBy("g", "a", "b").agg(*[total(e).alias(k) for k, e in sums.items()])
+        # the mean under the weights less the state, and its derivatives
+        t = t.selectExpr("g", "a", "b", "n1 / w0 as p", "n2 / w0 as q", *[f"(m{min(i, j)}{max(i, j)} - n{i} / w0 * v{j}) / w0 - {int(i == j)} as j{i}{j}" for i in (1, 2) for j in (1, 2)])
+        t = t.withColumn("det", F.expr("j11 * j22 - j12 * j21"))
+        t = t.withColumns({"na": F.expr("a - try_divide(j22 * (p - a) - j12 * (q - b), det)"), "nb": F.expr("b - try_divide(j11 * (q - b) - j21 * (p - a), det)")})
+        inner = F.coalesce(F.expr("na * na + nb * nb < 1"), F.lit(False))
+        t = t.select("g", "a", "b", F.when(inner, F.col("na")).otherwise(F.col("p")).alias("na"), F.when(inner, F.col("nb")).otherwise(F.col("q")).alias("nb"))
+        moved = t.select("g", F.col("na").alias("a"), F.col("nb").alias("b"), F.greatest(F.abs(F.col("na") - F.col("a")), F.abs(F.col("nb") - F.col("b"))).alias("moved"))
+        state = written(moved.union(state.where(F.col("moved") < tol)), "state")
+        if state.where(F.col("moved") >= tol).isEmpty():
+            break
+    size = F.hypot("a", "b")
+    return state.select("g", F.pmod(F.atan2("b", "a"), F.lit(TAU)).alias("mu"), F.when(size > 0, (1 - F.sqrt(F.greatest(F.lit(0.0), 1 - size * size))) / size).otherwise(0.0).alias("rho"))
+
+
+# Up to which number of angles a table of Rao's spacing is read, and the number whose row is read there (below, its own).
+RAO_ROWS = ((32, 30), (37, 35), (42, 40), (47, 45), (62, 50), (87, 75), (125, 100), (175, 150), (250, 200), (350, 300), (450, 400), (550, 500), (650, 600), (750, 700), (850, 800), (950, 900))
+#: Numbers of uniform angles drawn for a row, and how many of them a task draws.
+RAO_DRAWS, RAO_CHUNK = 40_000, 1000
+
+
+def _rao_row(n: Column) -> Column:
+    out = F.lit(1000)
+    for most, row in reversed(RAO_ROWS):
+        out = F.when(n <= most, row).otherwise(out)
+    return F.when(n <= 30, n).otherwise(out).cast("int")
+
+
+def _spacings(seed: int):
+    def run(frames):
+        for pdf in frames:
+            for n, chunk in zip(pdf["row"], pdf["chunk"], strict=True):
+                gaps = np.random.default_rng([seed, int(n), int(chunk)]).standard_exponential((RAO_CHUNK, int(n)))
+                u = np.abs(360 * gaps / gaps.sum(axis=1, keepdims=True) - 360 / n).sum(axis=1) / 2
+                yield pd.DataFrame({"row": np.full(len(u), n, dtype=np.int32), "u": u})
+
+    return run
+
+
+def rao_null(rows: DataFrame, draws: int = RAO_DRAWS, seed: int = 1) -> DataFrame:
+    """row, null: for each number of angles (row) the statistics of so many uniform samples, ascending; drawn in tasks, fixed by number and seed."""
+    chunks = -(-draws // RAO_CHUNK)
+    units = rows.select("row").distinct().select("row", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    drawn = units.repartition(tasks_of(rows.sparkSession), "row", "chunk").mapInPandas(_spacings(seed), "row int, u double")
+    return drawn.groupBy("row").agg(F.sort_array(F.collect_list("u")).alias("null"))
+
+
+def rao_test(a: DataFrame, draws: int = RAO_DRAWS, seed: int = 1) -> DataFrame:
+    """g, n, u and the p_value of Rao's spacing test of uniformity, with its band; null for groups of fewer than 4 angles.
+
+    The share of uniform samples of as many angles that reach u, by simulation: of the group's own number up to 30, and of
+    classes of numbers beyond, as tables of the test have them (of 1,000 for all larger ones).
+    """
+    found = rao_spacing(a).join(a.where("x is not null and not isnan(x)").groupBy("g").agg(F.count("*").alias("n")), "g")
+    found = found.withColumn("row", F.when(F.col("n") >= 4, _rao_row(F.col("n"))))
+    null = rao_null(found.where("row is not null"), draws, seed)
+    p = F.size(F.filter("null", lambda v: v >= F.col("u"))) / F.size("null")
+    band = "case when p_value < 0.001 then 'p < 0.001' when p_value < 0.01 then '0.001 < p < 0.01' when p_value < 0.05 then '0.01 < p < 0.05' when p_value < 0.1 then '0.05 < p < 0.10' when p_value is not null then 'p > 0.10' end"
+    return found.join(null, "row", "left").select("g", "n", "u", p.alias("p_value")).withColumn("p_band", F.expr(band))
 
 
 def _design(order: int) -> list[str]:

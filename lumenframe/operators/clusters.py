@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +87,20 @@ def assigned(luv: DataFrame, centres: DataFrame) -> DataFrame:
     """photo_id, h, w, rw, cl, cluster_id (from 1: the nearest centre, the first of equal ones), clusters."""
     d = "array_min(transform(centres, (c, i) -> struct((l - c[0]) * (l - c[0]) + (u - c[1]) * (u - c[1]) + (v - c[2]) * (v - c[2]) as d, i as i))).i + 1"
     return luv.join(centres, "photo_id").selectExpr("photo_id", "h", "w", "rw", "cl", f"{d} as cluster_id", "size(centres) as clusters")
+
+
+def table_clusters(px: DataFrame, k: int = 8, rounds: int = 50, steps: int = 5, restarts: int = 3, seed: int = 1) -> tuple[DataFrame, float]:
+    """cluster_id, l, u, v, n: one clustering of the colours of all pixels of a table, and its within sum of squares.
+
+    Equal colours are one row with a weight first. Seeds are oversampled in ``steps`` rounds of weighted candidates, which are
+    clustered to k; the rounds after that are aggregates; the best of the restarts counts. Centres come in order of their lightness.
+    """
+    colours = LUV_PIXELS(px).groupBy("l", "u", "v").agg(F.count("*").cast("double").alias("n"))
+    rows = written(colours, "colours").select(array_to_vector(F.array("l", "u", "v")).alias("features"), "n")
+    fit = KMeans(k=k, maxIter=rounds, initMode="k-means||", initSteps=steps, weightCol="n")
+    model = min((fit.setSeed(seed + i).fit(rows) for i in range(restarts)), key=lambda m: m.summary.trainingCost)
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    order = sorted(range(len(centres)), key=centres.__getitem__)
+    sizes = model.transform(rows).groupBy("prediction").agg(F.sum("n").cast("long").alias("n"))
+    names = px.sparkSession.createDataFrame([(old, new, *centres[old]) for new, old in enumerate(order, 1)], "prediction int, cluster_id int, l double, u double, v double")
+    return names.join(sizes, "prediction", "left").select("cluster_id", "l", "u", "v", F.coalesce("n", F.lit(0)).alias("n")), float(model.summary.trainingCost)

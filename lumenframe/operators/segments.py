@@ -150,10 +150,6 @@ def dispersion(dominant: DataFrame) -> DataFrame:
     return spread(dominant).select("photo_id", "ds")
 
 
-def convexity(segments: DataFrame) -> DataFrame:
-    return per_photo(segments, ["segment_id"], lambda photo, h, w, m: {"photo_id": [photo], "convexity": [kernels.shape_convexity(m["segment_id"])]}, "photo_id long, convexity double")
-
-
 def rle(clusters: DataFrame) -> DataFrame:
     def rows(photo, h, w, m):
         code = kernels.rle2d(m["cluster_id"])

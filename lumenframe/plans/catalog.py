@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vonmises
-from ..operators import circular, circular_data, color, raster, segments, stencil
+from ..functions import search, vonmises
+from ..operators import circular, circular_data, clusters, color, draws, hulls, raster, segments, stencil, tiles
 from ..operators.base import SqlOp
 from ..sources import files, tables
-from ..sources.store import once
+from ..sources.store import once, written
 from . import model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,7 +137,6 @@ pairs as (select h, w, r, unnest(range(w)) as c from places),
 grid as (select h, w, sum((case when r = 0 then 1 else 2 end) * (h - r) * (case when c = 0 then 1 else 2 end) * (w - c) * sqrt(r * r + c * c)) / pow(h * w, 2) as whole from pairs group by h, w),
 ds as (select photo_id, sum(n * sqrt(dr * dr + dc * dc)) / sum(n) as ds from shift group by photo_id)
 select ds.photo_id, round(ds, 6) as ds, round(least(1, ds / whole), 6) as norm_ds from ds join (select distinct photo_id, h, w from d) p on ds.photo_id = p.photo_id join grid on grid.h = p.h and grid.w = p.w"""
-QUERIES["shape_convexity"] = lambda spark, sf_dir: segments.convexity(_segments(spark, sf_dir))
 QUERIES["rle2d"] = lambda spark, sf_dir: segments.rle(_clusters(spark, sf_dir))
 QUERIES["mdl_rle2d"] = lambda spark, sf_dir: segments.rle_bits(_clusters(spark, sf_dir))
 QUERIES["colorfulness"] = lambda spark, sf_dir: segments.colorfulness(color.color_buckets(tables.px(spark, sf_dir)))
@@ -222,3 +221,61 @@ SQL["rasters"] = f"""
 with px as ({tables.ANSI["px"]}),
 rows_ as (select photo_id, rw, string_agg(cast(r8 as varchar), ',' order by cl) as v from px group by photo_id, rw)
 select photo_id, string_agg(v, ',' order by rw) as flat, string_agg(v, ';' order by rw) as rows, string_agg(v, ';' order by rw) as floats from rows_ group by photo_id"""
+
+# weighted draws, tiles, hulls, clusters of a whole table, bisection
+register("weighted_draw", draws.weighted_draw, {"points": _view("select photo_id as g, (cl - 1) * h + rw as o, r8 as weight from {px}")})
+_SOFT = [[v * (1 + (i - j) / 62) for j, v in enumerate(row)] for i, row in enumerate(stencil.gaussian_kernel(31, 5.0))]
+QUERIES["blur_fft"] = lambda spark, sf_dir: tiles.conv2_fft(tables.px(spark, sf_dir), _SOFT, pad=0.25, side=16).withColumn("v", F.round("v", 6) + 0.0)
+SQL["blur_fft"] = stencil.conv2(_SOFT, pad=0.25).ansi({"px": tables.ANSI["px"]})
+QUERIES["components_tiled"] = lambda spark, sf_dir: tiles.components(_clusters(spark, sf_dir), side=8).select("photo_id", "rw", "cl", "segment_id")
+SQL["components_tiled"] = SQL["components"]
+
+
+def _segment_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hulls.segment_hulls(_segments(spark, sf_dir))
+    return found.select("photo_id", "segment_id", "n", "corners", F.round("area", 6).alias("area"), "inside", F.round("coverage", 6).alias("coverage"))
+
+
+#: Facets of the hulls of segments, clockwise (x: column, y: -row): pairs of corners with all other points on one side, and none of their line beyond them.
+_FACETS_SQL = f"""
+segs as materialized ({_SEGMENTS_SQL}),
+ends as (select photo_id, segment_id, cl as x, min(-rw) as lo, max(-rw) as hi from segs group by all),
+pts as materialized (select photo_id, segment_id, x, lo as y from ends union select photo_id, segment_id, x, hi from ends),
+facets as materialized (select a.photo_id, a.segment_id, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from pts a join pts b on a.photo_id = b.photo_id and a.segment_id = b.segment_id and (a.x <> b.x or a.y <> b.y)
+  where not exists (select 1 from pts r where r.photo_id = a.photo_id and r.segment_id = a.segment_id and ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) > 0
+    or ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) = 0 and (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) > 0)))),
+sizes as materialized (select photo_id, segment_id, count(*) as n from segs group by all)"""
+QUERIES["segment_hulls"] = _segment_hulls
+SQL["segment_hulls"] = f"""
+with {_FACETS_SQL},
+found as (select photo_id, segment_id, count(*) as corners, abs(sum(ax * by_ - ay * bx)) / 2.0::double as area, sum(gcd(abs(bx - ax), abs(by_ - ay))) as edge from facets group by all),
+filled as (select photo_id, segment_id, n, coalesce(corners, 1) as corners, coalesce(area, 0) as area, cast(round(coalesce(area, 0) + coalesce(edge, 0) / 2.0::double) as bigint) + 1 as inside from sizes left join found using (photo_id, segment_id))
+select photo_id, segment_id, n, cast(corners as int) as corners, round(area, 6) as area, inside, round(n / inside::double, 6) as coverage from filled"""
+
+
+def _inside_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pixels of a photo lie in the hull of its largest segment."""
+    segs = written(_segments(spark, sf_dir), "segments")
+    largest = segs.groupBy("photo_id", "segment_id").agg(F.count("*").alias("n")).groupBy("photo_id").agg(F.max_by("segment_id", F.struct("n", "segment_id")).alias("segment_id"))
+    found = hulls.hulls(segs.join(largest, ["photo_id", "segment_id"]).select("photo_id", F.col("cl").alias("x"), (-F.col("rw")).alias("y")), ["photo_id"])
+    return segs.join(found, "photo_id").select("photo_id", "rw", "cl", hulls.inside(F.col("cl").cast("double"), -F.col("rw").cast("double"), F.col("hull")).alias("inside"))
+
+
+QUERIES["inside_largest"] = _inside_largest
+SQL["inside_largest"] = f"""
+with {_FACETS_SQL},
+largest as (select photo_id, arg_max(segment_id, (n, segment_id)) as segment_id from sizes group by photo_id),
+own as materialized (select f.* from facets f join largest using (photo_id, segment_id))
+select p.photo_id, p.rw, p.cl, bool_and((bx - ax) * (-p.rw - ay) - (by_ - ay) * (p.cl - ax) <= 0) as inside from segs p join own using (photo_id) group by all"""
+QUERIES["shape_convexity"] = lambda spark, sf_dir: hulls.convexity(written(_segments(spark, sf_dir), "segments"))
+SQL["shape_convexity"] = f"""
+with {_FACETS_SQL},
+found as (select photo_id, segment_id, abs(sum(ax * by_ - ay * bx)) / 2.0::double as area, sum(gcd(abs(bx - ax), abs(by_ - ay))) as edge from facets group by all),
+photos as (select photo_id, max(h) * max(w) as size from segs group by photo_id),
+filled as (select photo_id, n, n / (round(coalesce(area, 0) + coalesce(edge, 0) / 2.0::double) + 1) as coverage from sizes left join found using (photo_id, segment_id))
+select photo_id, sum(case when n >= size / 200.0 and coverage >= 0.8 then n else 0 end) / max(size)::double as convexity from filled join photos using (photo_id) group by photo_id"""
+QUERIES["table_clusters"] = lambda spark, sf_dir: clusters.table_clusters(tables.px(spark, sf_dir))[0]
+# x ^ 3 + x = theta
+QUERIES["bisect_roots"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", F.round(search.bisect(lambda x: x * x * x + x, F.col("x"), 0.0, 7.0), 6).alias("root"))
+SQL["bisect_roots"] = f"select event_id as id, round(cbrt(theta / 2 + sqrt(theta * theta / 4 + 1 / 27e0)) - cbrt(sqrt(theta * theta / 4 + 1 / 27e0) - theta / 2), 6) as root from ({tables.ANSI['angles']}) a"
+QUERIES["rao_spacing_test"] = lambda spark, sf_dir: vonmises.rao_test(_BY_USER["a"][0](spark, sf_dir))

@@ -13,7 +13,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import color, segments, stencil
+from ..operators import color, hulls, segments, stencil
 from ..operators.base import SqlOp
 from ..operators.circular import CELLS, TwoLevel, in_cells
 from ..operators.color import HSV, LUM
@@ -121,7 +121,7 @@ def measure_record(px: DataFrame, k_max: int = 30, restarts: int = 3) -> DataFra
         _wide(depth, {"dof": "DepthOfField{}"}, ""),
         patches.groupBy("photo_id").agg(F.sum(F.col("large").cast("int")).alias("NumLargePatches"), *each),
         seg.groupBy("photo_id").agg(F.max("clusters").alias("NumClusters")),
-        segments.convexity(seg).toDF("photo_id", "ShapeConvexity"),
+        hulls.convexity(seg).toDF("photo_id", "ShapeConvexity"),
         color.dominant_hue(px).toDF("photo_id", "DdcMean", "DdcCompactness", "DdcDominance"),
         segments.spread(color.dominant_pixels(px)).toDF("photo_id", "DdcSpatial", "DdcNormSpatial"),
     ]
