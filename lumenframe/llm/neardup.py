@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components, keyed
+from ..operators.graph import HUB, components, keyed
 from .common import Scratch
 from .vectors import matrix, prepared, unit, usable
 
@@ -193,7 +193,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
     # a class's number, not its smallest id: an id may have several vectors
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("no"), "v", "rep", "members"), "classes")
-    n, dim = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n, dim, most = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1)), F.coalesce(F.max("members"), F.lit(0))).first()
     blocks = max(1, -(-n // min(BLOCK, max(1, COMPONENTS // dim))), min(LEAST, n // (4 * STRIP)))
     classes = classes.select("*", F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("long").alias("block"), F.size("v").alias("dim"))
     packed = classes.repartition(blocks, "block").groupBy("block", "dim").applyInArrow(_pack, "block long, dim int, " + ", ".join(f"{k} binary" for k in PACKED))
@@ -211,6 +211,7 @@ def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     labels = labels.select(F.col("node.no").alias("no"), F.col("label.rep").alias("label"))
     of = classes.join(links, "no", "left").join(labels, "no", "left")
     of = of.select("v", F.col("members").alias("n"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
-    linked = keyed(rows, of, "v").select("vec_id", "n_links", "component_id")
+    met = rows.join(of, "v") if most <= HUB else keyed(rows, scratch.save(of, "of"), "v")  # no task reads more copies of a vector
+    linked = met.select("vec_id", "n_links", "component_id")
     alone = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v")).where(F.col("vec_id").isNull() | ~usable(F.col("v"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
