@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, secrets, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and reads it back
-as the next one's documents.
+as the next one's documents. All stages but the last return the columns of documents (COLUMNS) and leave out others, whatever
+their names; an empty table gives an empty one; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language go, and those unlike all of them; ``lang`` becomes what the text says."""
+    """Texts without a language go, and those unlike all of them; ``lang`` becomes what the text says.
+
+    Null and empty texts, and those without a letter, have no language; without any labelled text all rows go. Other columns may
+    be null; repeated rows are judged one by one.
+    """
     profiles = langid.fit(docs, F.lit(True))
     judged = langid.predict(docs, profiles)
     kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
@@ -26,7 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 5-word shingles (similarity 0.8 or more) the one of the smallest id stays."""
+    """Of each group of documents linked by 5-word shingles (similarity 0.8 or more) the one of the smallest id stays.
+
+    Rows are told apart by their ids: rows that repeat an id stay or go together. Rows without an id or a word are linked with nothing and stay.
+    """
     found = jaccard.join(docs, n=5, num=80, den=100)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
     others = Scratch(spark, "duplicates").save(others.distinct(), "ids")
@@ -34,17 +42,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; documents stay."""
+    """Secrets are replaced by a mark; documents stay, null and empty texts as they are (with a null or 0 ``n_chars``)."""
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have their target shares of the tokens."""
+    """A sample whose sources, languages and topics have their target shares of the tokens.
+
+    Null sources, languages and topics (of null and empty texts) are a category that keeps its share; rows that repeat an id stay or go together.
+    """
     return queries.mixed(docs).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4,096 tokens, a row for each piece."""
+    """Sequences of at most 4,096 tokens, a row for each piece.
+
+    Null texts count as empty: their one token, the end, is packed as well. Repeated rows, and rows without an id, are packed each.
+    """
     return packing.pack(docs).drop("ids")
 
 
