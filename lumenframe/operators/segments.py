@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -123,6 +124,7 @@ _DOT = "((cl - :x1) * (:x2 - :x1) + (rw - :y1) * (:y2 - :y1))"
 line_distance = SqlOp(f"select photo_id, rw, cl, round({_LINE}, 6) as to_line, round(case when {_DOT} <= 0 then {_D1} when {_DOT} >= pow(:x2 - :x1, 2) + pow(:y2 - :y1, 2) then {_D2} else {_LINE} end, 6) as to_segment from {{px}}", x1=2.0, y1=3.0, x2=11.0, y2=25.0)
 
 
+@lru_cache(maxsize=256)
 def grid_distance(h: int, w: int) -> float:
     """Mean distance of two places drawn from a whole raster, with replacement."""
     r, c = np.arange(h), np.arange(w)

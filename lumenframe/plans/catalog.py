@@ -172,11 +172,23 @@ QUERIES["model_report"] = lambda spark, sf_dir: model.model_report(_rated(spark,
 QUERIES["scrape_links"] = lambda spark, sf_dir: files.scrape(tables.read(spark, sf_dir, "pages"))
 SQL["scrape_links"] = files.SCRAPE_SQL
 
-# circular operators that SQL does not express
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _normal_sql(z: str) -> str:
+    """The normal distribution function by its series, for the oracle engine; beyond 6 deviations 0 or 1."""
+    series = f"list_sum(list_transform(range(0, 120), lambda k: (case when k % 2 = 0 then 1 else -1 end) * exp((2 * k + 1) * ln(abs({z}) / sqrt(2e0)) - lgamma(k + 1)) / (2 * k + 1)))"
+    return f"(case when {z} = 0 then 0.5e0 when abs({z}) > 6 then (case when {z} > 0 then 1e0 else 0e0 end) else 0.5e0 + sign({z}) * {series} / sqrt(pi()) end)"
+
+
+# circular operators that SQL does not express, or not alone
 _ANGLES_ID = _view("select event_id as id, event_type as g, theta as x from {angles}")[0]
 QUERIES["vm_cdf"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.cdf_column(F.col("x"), 1.0, 2.5).alias("p"))
 QUERIES["vm_quantile"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.quantile_column(F.col("x") / vonmises.TAU, 1.0, 2.5).alias("theta"))
-QUERIES["v0_test"] = lambda spark, sf_dir: vonmises.v0_test(_ANGLES_ID(spark, sf_dir), 1.0)
+QUERIES["v0_test"] = lambda spark, sf_dir: _rounded(vonmises.v0_test(_ANGLES_ID(spark, sf_dir), 1.0), "r0_bar", "p_value")
 QUERIES["wrpcauchy_ml"] = lambda spark, sf_dir: vonmises.cauchy_ml(_ANGLES_ID(spark, sf_dir))
 QUERIES["circ_range_test"] = lambda spark, sf_dir: vonmises.range_test(_BY_TYPE["a"][0](spark, sf_dir))
 QUERIES["watson_vm"] = lambda spark, sf_dir: vonmises.watson_vm(_BY_TYPE["a"][0](spark, sf_dir))
@@ -187,14 +199,35 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["circ_reg"] = lambda spark, sf_dir: vonmises.circular_regression(_pairs(spark, sf_dir))
-QUERIES["circ_reg_fit"] = lambda spark, sf_dir: vonmises.regression_fit(_pairs(spark, sf_dir), QUERIES["circ_reg"](spark, sf_dir))
-QUERIES["circ_reg_residuals"] = lambda spark, sf_dir: vonmises.residual_concentration(QUERIES["circ_reg_fit"](spark, sf_dir))
+
+
+def _reg_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vonmises.regression_fit(_pairs(spark, sf_dir), QUERIES["circ_reg"](spark, sf_dir))
+
+
+QUERIES["circ_reg_fit"] = lambda spark, sf_dir: _rounded(_reg_fit(spark, sf_dir), "x", "y", "fitted", "residual")
+QUERIES["circ_reg_residuals"] = lambda spark, sf_dir: _rounded(vonmises.residual_concentration(_reg_fit(spark, sf_dir)), "a_k", "kappa")
+_SLOPES = ", ".join(f"(covar_samp({t}, {a}) * var_samp({b}) - covar_samp({t}, {b}) * covar_samp({a}, {b})) / (var_samp({a}) * var_samp({b}) - pow(covar_samp({a}, {b}), 2)) as {t}_{a}" for t in ("cy", "sy") for a, b in (("cx", "sx"), ("sx", "cx")))
+_LINE = "{0}_m + {0}_cx * (cx - cx_m) + {0}_sx * (sx - sx_m)"
+_TURN = "(({0}) % (2 * pi()) + 2 * pi()) % (2 * pi())"
+_REG_FIT_SQL = f"""
+with p as (select event_type as g, theta as x, (theta * 2 + event_id % 5) % 6.283185307179586e0 as y, event_id as id from ({tables.ANSI['angles']}) a),
+t as (select *, cos(x) as cx, sin(x) as sx, cos(y) as cy, sin(y) as sy from p),
+m as (select g, avg(cx) as cx_m, avg(sx) as sx_m, avg(cy) as cy_m, avg(sy) as sy_m, {_SLOPES} from t group by g),
+f as (select t.g, x, y, id, {_TURN.format(f"atan2({_LINE.format('sy')}, {_LINE.format('cy')})")} as fitted from t join m using (g)),
+fits as (select *, {_TURN.format('y - fitted')} as residual from f)"""
+SQL["circ_reg_fit"] = f"{_REG_FIT_SQL} select g, round(x, 6) as x, round(y, 6) as y, id, round(fitted, 6) as fitted, round(residual, 6) as residual from fits"
+SQL["circ_reg_residuals"] = f"{_REG_FIT_SQL} select g, round(a_k, 6) as a_k, round({circular.a1inv('a_k')}, 6) as kappa from (select g, avg(cos(residual)) as a_k from fits group by g) r"
+SQL["v0_test"] = f"""
+select g, round(r0_bar, 6) as r0_bar, round(1 - {_normal_sql('z')} + exp(-z * z / 2) / sqrt(2 * pi()) * ((3 * z - pow(z, 3)) / (16 * n) + (15 * z + 305 * pow(z, 3) - 125 * pow(z, 5) + 9 * pow(z, 7)) / (4608 * n * n)), 6) as p_value
+from (select *, sqrt(2 * n) * r0_bar as z from (select event_type as g, count(*)::double as n, avg(cos(theta - 1)) as r0_bar from ({tables.ANSI['angles']}) a group by event_type) s) t"""
 QUERIES["bootstrap_ci"] = lambda spark, sf_dir: vonmises.bootstrap(_ANGLES_ID(spark, sf_dir))
 QUERIES["random_circular"] = lambda spark, sf_dir: vonmises.draws(_ANGLES_ID(spark, sf_dir).select("id"))
 
 QUERIES["vm_mixed_cdf"] = lambda spark, sf_dir: _ANGLES_ID(spark, sf_dir).select("id", vonmises.mixed_cdf_column(F.col("x"), 1.0, 2.5, 4.0, 1.5, 0.6).alias("p"))
 QUERIES["pp_data"] = lambda spark, sf_dir: vonmises.fitted(QUERIES["edf"](spark, sf_dir), QUERIES["circ_summary"](spark, sf_dir), QUERIES["vm_ml"](spark, sf_dir))
-QUERIES["circ_cor_test"] = lambda spark, sf_dir: vonmises.correlation_test(QUERIES["circ_cor"](spark, sf_dir))
+QUERIES["circ_cor_test"] = lambda spark, sf_dir: _rounded(vonmises.correlation_test(QUERIES["circ_cor"](spark, sf_dir)), "p_value")
+SQL["circ_cor_test"] = f"select *, round(2 * (1 - {_normal_sql('abs(test_stat)')}), 6) as p_value from ({SQL['circ_cor']}) c"
 QUERIES["rao_homogeneity_test"] = lambda spark, sf_dir: vonmises.homogeneity_test(QUERIES["rao_homogeneity"](spark, sf_dir))
 
 for _name in "emboss emboss_full emboss_reach emboss_trimmed emboss_valid emboss_padded pad_replicate pad_number gaussian_blur_2d".split():
