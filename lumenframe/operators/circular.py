@@ -155,6 +155,8 @@ bessel_ratio = SqlOp(f"""
 select k, round(i0, 6) as i0, round(i1, 6) as i1, round(i2, 6) as i2, round(i1 / i0, 6) as a1, round({a1inv('(i1 / i0)')}, 6) as a1inv
 from (select k, {bessel(0, 'k')} as i0, {bessel(1, 'k')} as i1, {bessel(2, 'k')} as i2 from {{kappas}})""")
 
+bessel_orders = SqlOp(f"select k, {', '.join(f'round({bessel(p, 'k')}, 6) as i{p}' for p in range(3, 8))} from {{kappas}}")
+
 #: Ways to choose k of n; 0 where k is above n. A product of quotients, so that nothing overflows before the result does.
 binomial = TwoLevel("select n, k, case when k > n then 0 else cast(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) as bigint) end as ways from {numbers}",
     "select n, k, case when k > n then 0 when k = 0 then 1 else cast(round(aggregate(sequence(1, cast(k as int)), 1e0, (a, i) -> a * (n - k + i) / i)) as bigint) end as ways from {numbers}")
@@ -173,3 +175,5 @@ circular_densities = SqlOp(f"""
 select id, round({von_mises('x', ':mu', ':kappa')}, 6) as von_mises, round(:share * {von_mises('x', ':mu', ':kappa')} + (1 - :share) * {von_mises('x', ':mu2', ':kappa2')}, 6) as mixed, round((1 + 2 * :rho * cos(x - :mu)) / (2 * pi()), 6) as cardioid,
   round((1 - :rho * :rho) / (2 * pi() * (1 + :rho * :rho - 2 * :rho * cos(x - :mu))), 6) as wrapped_cauchy, round((4 - pi() * pi() * :r + 2 * pi() * :r * abs(pi() - x)) / (8 * pi()), 6) as triangular, round({wrapped_normal('x', ':mu', ':rho')}, 6) as wrapped_normal
 from {{points}}""", mu=1.0, kappa=2.5, share=0.6, mu2=4.0, kappa2=1.5, rho=0.4, r=0.2)
+#: Logs of the von Mises density and of a mixture of two.
+log_densities = SqlOp(f"select id, round(:kappa * cos(x - :mu) - ln(2 * pi() * {bessel(0, ':kappa')}), 6) as von_mises, round(ln(:share * {von_mises('x', ':mu', ':kappa')} + (1 - :share) * {von_mises('x', ':mu2', ':kappa2')}), 6) as mixed from {{points}}", mu=1.0, kappa=2.5, share=0.6, mu2=4.0, kappa2=1.5)

@@ -76,7 +76,7 @@ size_aspect = SqlOp("select photo_id, max(h) + max(w) as size, round(max(h) / ca
 
 exposure_contrast = SqlOp(f"""
 select photo_id, round(case when m between 0 and 1 then 4 * m * (1 - m) else 0 end, 6) as exposure, round(sd, 6) as rms_contrast, round(hi - lo, 6) as interval_contrast
-from (select photo_id, avg(lum) as m, stddev_samp(lum) as sd, percentile(lum, 0.975) as hi, percentile(lum, 0.025) as lo from (select photo_id, {LUM} as lum from {{px}}) group by photo_id)""")
+from (select photo_id, avg(lum) as m, stddev_samp(lum) as sd, percentile(lum, 0.5 + :interval / 2) as hi, percentile(lum, 0.5 - :interval / 2) as lo from (select photo_id, {LUM} as lum from {{px}}) group by photo_id)""", interval=0.95)
 
 _IN = f"case when {_CENTRAL} then {{}} end"
 #: All of the above in one aggregation, by the names of the measure record.

@@ -57,7 +57,14 @@ def _channels(form: str) -> str:
 
 
 mean_blur = SqlOp(f"select photo_id, rw, cl, {_channels(_snap('@_f'))} from ({blurred(mean(3))})")
-gaussian_blur = SqlOp(f"select photo_id, rw, cl, {_channels('@_f')} from ({blurred(gaussian(3, 1.0))})")
+
+
+def gaussian_blurred(sigma: float) -> SqlOp:
+    """Blur by a Gaussian of so many pixels, which reaches three of its deviations to every side."""
+    return SqlOp(f"select photo_id, rw, cl, {_channels('@_f')} from ({blurred(gaussian(2 * math.ceil(3 * sigma) + 1, sigma))})")
+
+
+gaussian_blur, gaussian_blur_narrow = gaussian_blurred(1.0), gaussian_blurred(0.6)
 adjust_blur = SqlOp(f"select photo_id, rw, cl, {_channels('least(1e0, greatest(0e0, @ + (@ - @_f) * :factor))')} from ({blurred(mean(3))})", factor=-0.5)
 sharp_blur_amount = SqlOp(f"select photo_id, rw, cl, {', '.join(f'round(abs({c} - {c}_f), 6) as sharp_{c}, round(1 - abs({c} - {c}_f), 6) as blur_{c}' for c in 'rgb')} from ({blurred(mean(3))})")
 

@@ -165,6 +165,7 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.rated(_record(spark, sf_dir), tables.ratings(spark, sf_dir))
 
 
+QUERIES["rated_record"] = _rated
 for _kind in ("all", "colour", "bw"):
     QUERIES[f"correlation_matrix_{_kind}"] = lambda spark, sf_dir, kind=_kind: model.correlation_matrix(_rated(spark, sf_dir), kind)
     QUERIES[f"rating_model_{_kind}"] = lambda spark, sf_dir, kind=_kind: model.rating_model(_rated(spark, sf_dir), kind)
@@ -232,6 +233,10 @@ QUERIES["rao_homogeneity_test"] = lambda spark, sf_dir: vonmises.homogeneity_tes
 
 for _name in "emboss emboss_full emboss_reach emboss_trimmed emboss_valid emboss_padded pad_replicate pad_number gaussian_blur_2d".split():
     register(_name, getattr(stencil, _name))
+register("gaussian_blur_narrow", stencil.gaussian_blur_narrow)
+register("interval_contrast_80", color.exposure_contrast, interval=0.8)
+register("bessel_orders", circular.bessel_orders, {"kappas": _view("select distinct (user_id % 40) / 4e0 + 0.05e0 as k from {angles}")})
+register("log_densities", circular.log_densities, {"points": _view("select event_id as id, theta as x from {angles}")})
 register("hsv_radians", color.hsv_pixels, radians=1, max_value=255.0)
 register("turns", segments.turns)
 register("binomial", circular.binomial, {"numbers": _view("select distinct user_id % 41 as n, user_id * 7 % 23 as k from {angles}")})

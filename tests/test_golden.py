@@ -168,6 +168,14 @@ def test_sampled_pixels(spark):
         assert (got.h, got.w) == (len(rows), len(cols)) and list(zip(got.u, got.l, strict=True)) == [(c, r) for c in cols for r in rows]
 
 
+def test_gaussian_blur(spark):
+    """The shift of one column's red, as published."""
+    img = np.floor(256 * runif(144, 1)).reshape((4, 12, 3), order="F") / 255
+    got = raster_of(stencil.gaussian_blur(frame(spark, img)).collect(), "r") - img[:, :, 0]
+    assert got[:, 1].tolist() == pytest.approx([0.20684652, -0.39785871, -0.36144287, -0.05093839], abs=2e-6)
+    assert len(stencil.gaussian(3, 1.0)) == 3 and stencil.gaussian(1, 99.0) == [1.0]
+
+
 def test_turns(spark):
     """Turns along one line are both; else one."""
     given = [(0.0, 1.0, 0.0, 1.0, True, True), (0.0, 1.0, 0.0, -3.0, True, True), (-2.0, 3.0, 4.0, -6.0, True, True), (0.0, 1.0, 0.1, 1000.0, True, False), (0.0, 1.0, -0.1, 1000.0, False, True), (-2.0, 3.0, 4.0, -5.9, True, False), (-2.0, 3.0, 4.0, -6.1, False, True)]
