@@ -49,3 +49,14 @@ def test_query(spark, small):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.licenses == ",".join(sorted({names[n] for n, _, _ in brute(texts[r.doc_id])}))
+
+
+def test_odd_rows(spark):
+    """A column of the result's name, repeated rows, and a very long text."""
+    notice = licenses.NOTICES[0][1]
+    rows = [(1, notice, "mine", 5), (1, notice, "mine", 5), (2, "lorem ipsum dolor " * 4000 + notice + " sit amet" * 3000, None, None), (3, None, "x", 1)]
+    out = licenses.scan(spark.createDataFrame(rows, "id int, text string, licenses string, notice int")).collect()
+    assert sorted(out[0].asDict()) == ["id", "licenses", "notice", "text"] and len(out) == 4
+    found = [(r.id, {(x.notice, x.at, round(x.contained, 9)) for x in r.licenses}) for r in out]
+    assert sorted(i for i, _ in found) == [1, 1, 2, 3] and all(f == brute(next(t for i, t, *_ in rows if i == k)) for k, f in found)
+    assert all(f for k, f in found if k != 3)

@@ -81,3 +81,12 @@ def test_weighted_oracle(spark, small):
     got, want = sorted(map(tuple, df.collect()), key=key), sorted(want.fetchall(), key=key)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     assert all(g[5:] == pytest.approx(w[5:], abs=2e-6) for g, w in zip(got, want, strict=True))
+
+
+def test_clashing_columns(spark):
+    """Columns of the result's names are replaced; a very long text weighs all of its words; repeated rows go together."""
+    rows = [(1, "s", "a b", 9, "x"), (2, "t", "word " * 300_000, 9, "x"), (2, "t", "word " * 300_000, 9, "x"), (3, "t", "c", 9, None)]
+    df = spark.createDataFrame(rows, "id int, source string, text string, mix_tokens int, mix_source string")
+    out = mixing.mix(df, {"source": F.col("source")}, {"source": {"s": 0.5, "t": 0.5}}, mixing.tokens_of(F.col("text")), F.col("id"), rate=1.0).collect()
+    assert all(r.mix_source == r.source and r.mix_tokens == len(r.text.split()) for r in out) and len(out[0].asDict()) == 7
+    assert sum(r.id == 2 for r in out) in (0, 2) and {r.id for r in out} >= {1}
