@@ -9,13 +9,13 @@ RATING_SCHEMA = "Index int, Photo bigint, Num int, Rating double, " + ", ".join(
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """The pixel relation of the JPG and PNG files of a directory; photo_id is the number before the first dot.
+    """The pixel relation of the JPG and PNG files of a directory; photo_id is the number before the first dot; files without one are left out.
 
     Spark's image source gives rows of BGR (or grey, or BGRA) bytes; grey counts for all three channels, and
     an alpha channel is only allowed where it is opaque.
     """
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("lower(origin) rlike '[.](jpg|jpeg|png)$'")
-    img = img.select(F.regexp_extract("origin", r"([^/.]+)[^/]*$", 1).cast("long").alias("photo_id"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("ch"), "data")
+    img = img.select(F.regexp_extract("origin", r"([^/.]+)[^/]*$", 1).try_cast("long").alias("photo_id"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("ch"), "data").where("photo_id is not null")
     at = lambda k: F.conv(F.hex(F.substring("data", F.col("i") * F.col("ch") + 1 + k, 1)), 16, 10).cast("int")
     img = img.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)))
     img = img.withColumns({"rw": (F.floor(F.col("i") / F.col("w")) + 1).cast("int"), "cl": (F.col("i") % F.col("w") + 1).cast("int"), "b8": at(0), "g8": F.when(F.col("ch") == 1, at(0)).otherwise(at(1)), "r8": F.when(F.col("ch") == 1, at(0)).otherwise(at(2))})
