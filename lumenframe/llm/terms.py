@@ -32,7 +32,7 @@ def pieces(text: bytes, table: bytes) -> Iterator[list[bytes]]:
                 cut = len(part) + found if (found := more.find(b" ")) >= 0 else -1
                 part, end = part + more, end + len(more)
             if cut >= 0:
-                part, end = part[:cut], at + cut
+                part, end = part[:cut], at + cut + 1  # the blank goes, so that every piece is shorter than what is left
         yield part.split()
         at = end
 
