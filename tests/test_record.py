@@ -4,6 +4,7 @@ import numpy as np
 
 from lumenframe.functions import kernels
 from lumenframe.operators import clusters, segments
+from lumenframe.plans import catalog, model
 
 PIXELS = "photo_id long, h int, w int, rw int, cl int, r8 int, g8 int, b8 int, r double, g double, b double"
 
@@ -46,3 +47,10 @@ def test_pixels_move_once(spark):
         of = kernels.squares(np.array([[p.l, p.u, p.v] for p in own]), centres).argmin(axis=1).reshape(own[0].h, own[0].w)
         label = kernels.components(of)
         assert got[s.photo_id] == {(p.rw, p.cl): (label[p.rw - 1, p.cl - 1], len(centres)) for p in own}
+
+
+def test_record_has_a_small_plan(spark, small):
+    """Measures are tables before they meet: no plan of the driver holds them all, and nothing is broadcast."""
+    plan = model.measure_record(catalog.tables.px(spark, small), 2, 1)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(plan) <= 2 and "Broadcast" not in text and "ArrowEvalPython" not in text and "MapInArrow" not in text
