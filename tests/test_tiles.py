@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,33 @@ def test_components(spark, side):
     assert tiles.components(cells(spark, rasters).limit(0), side).count() == 0
 
 
+@pytest.mark.parametrize("seams", [0, 4, 1000])
+def test_components_by_batches(spark, monkeypatch, seams):
+    """Tiles share a batch, none is a group of its own; photos with more pairs at seams than a task takes are joined as a graph."""
+    rng = np.random.default_rng(4)
+    rasters = [rng.integers(0, 2, (h, w)) for h, w in ((30, 16), (1, 9), (9, 1), (4, 4), (17, 16))]
+    plans, real = [], tiles.written
+    monkeypatch.setattr(tiles, "written", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), real(df, name))[1])
+    df = tiles.components(cells(spark, rasters).repartition(5), 4, seams)
+    assert "MapInArrow" in plans[0] and not any("FlatMapGroups" in p for p in plans)
+    got = [np.zeros(m.shape, dtype=int) for m in rasters]
+    for r in df.collect():
+        got[r.photo_id][r.rw - 1, r.cl - 1] = r.segment_id
+    assert all((kernels.components(m) == g).all() for m, g in zip(rasters, got, strict=True))
+
+
+@pytest.mark.parametrize("least", [1, 7, 1000])
+def test_whole_keys(least):
+    """Batches cut anywhere give each key's rows at once."""
+    rng = np.random.default_rng(5)
+    key = np.sort(rng.integers(0, 12, 100))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(100))], names=["k", "v"])
+    cuts = np.unique(np.concatenate([[0, 100], rng.integers(0, 100, 9)]))
+    out = list(tiles._whole((rows.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), 1, least))
+    assert np.concatenate([v for _, v in out]).tolist() == list(range(100)) and sum(len(np.unique(k)) for k, _ in out) == len(np.unique(key))
+    assert list(tiles._whole(iter([]), 1, least)) == []
+
+
 def by_hand(x, y):
     """Corners of a hull, by trying all pairs."""
     p = sorted(set(zip(x.tolist(), y.tolist(), strict=True)))
