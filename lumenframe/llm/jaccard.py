@@ -9,7 +9,8 @@ Two sets link when ``den * |x & y| >= num * |x | y|``. The join is exact for set
    ``shares``). Passages that many documents share are common, so their shingles are what is dropped.
 3. Documents that keep the same key, in one size band or the next, form a tile; tiles of the same members are
    one. Documents that tiles connect form a cluster. Clusters of a bounded size are compared as a whole, so
-   that each set moves once; larger ones tile by tile, and tiles beyond that bound block by block.
+   that each set moves once; larger ones as a whole or tile by tile, whichever has fewer pairs, and what is
+   beyond that bound block by block.
 4. A comparison bounds overlaps from above by bit counts of hashed bitmaps and intersects the sorted hash
    arrays of the pairs that pass. It returns which labels become one, never pairs.
 """
@@ -313,8 +314,8 @@ def _compared(rows: DataFrame, keys: list[str], cross: bool, num: int, den: int)
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _tiles(firsts: DataFrame, scratch: Scratch, num: int, den: int, heavy_most: int, heavy_least: int) -> DataFrame:
-    """Members of the tiles of several documents, tiles of equal members once: tile, doc_id, part, up, m (members), rep (smallest)."""
+def _tiles(firsts: DataFrame, scratch: Scratch, num: int, den: int, heavy_most: int, heavy_least: int) -> tuple[DataFrame, DataFrame]:
+    """The tiles of several documents (tile, rep, m: smallest member, members), those of equal members once, and their members: tile, doc_id, part, up, rep."""
     heavy = _heavy(firsts, heavy_most, heavy_least)
     light = _rows(firsts, heavy, False, num, den).repartition("key").sortWithinPartitions("key").mapInArrow(_counted, "key long, doc_id long, meta long, times long")
     of_one = Window.partitionBy("doc_id", F.shiftright("meta", 40)).orderBy(F.desc("times"), "key")
@@ -331,14 +332,28 @@ def _tiles(firsts: DataFrame, scratch: Scratch, num: int, den: int, heavy_most:
         F.count("*").alias("m"), F.sum(F.col("up").cast("long")).alias("ups"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"),
         F.bit_xor(F.xxhash64("doc_id", "part", "up")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "up", "part", "doc_id")).alias("s2"),
     ).where("m > ups and rep <> last")
-    chosen = whole.groupBy("s1", "s2", "m").agg(F.min(F.struct("tile", "rep")).alias("x")).select("x.tile", "x.rep", "m")
-    out = scratch.save(tiles.join(chosen, "tile").select("tile", "doc_id", "part", "up", "m", "rep"), "tiles")
+    chosen = scratch.save(whole.groupBy("s1", "s2", "m").agg(F.min(F.struct("tile", "rep")).alias("x")).select("x.tile", "x.rep", "m"), "heads")
+    out = scratch.save(tiles.join(chosen.select("tile", "rep"), "tile").select("tile", "doc_id", "part", "up", "rep"), "tiles")
     scratch.drop("kept")
-    return out
+    return chosen, out
+
+
+def _cheaper(large: DataFrame, heads: DataFrame, tiles: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members (tile, doc_id, part, up) to compare for the clusters (doc_id, cluster) that are too large to be compared at once.
+
+    A document has as many rows as tiles, and tiles overlap: a cluster that has fewer pairs in all than its tiles have is one tile.
+    """
+    size = large.groupBy("cluster").agg(F.count("*").alias("c"))
+    pairs = heads.join(large, heads.rep == large.doc_id).groupBy("cluster").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    one = size.join(pairs, "cluster").where(F.col("c").cast("double") * F.col("c") <= F.col("pairs")).select("cluster", F.lit(True).alias("one"))
+    large = scratch.save(large.join(one, "cluster", "left").select("doc_id", "cluster", F.coalesce("one", F.lit(False)).alias("one")), "large")
+    whole = id_join(sets.select("doc_id", "part"), large.where("one").select("doc_id", "cluster"), "doc_id", "inner").select(F.xxhash64("cluster", F.lit("whole")).alias("tile"), "doc_id", "part", F.lit(False).alias("up"))
+    apart = id_join(tiles, large.where("not one").select("doc_id"), "doc_id", "left_semi").select("tile", "doc_id", "part", "up")
+    return scratch.save(whole.union(apart), "members")
 
 
 def _larger(tiles: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, members: int, hashes: int, num: int, den: int) -> DataFrame:
-    """Links of the clusters that are too large to be compared at once: by tiles, whose blocks first meet themselves, then others."""
+    """Links of the clusters that are too large to be compared at once: by their tiles, whose blocks first meet themselves, then others."""
     parts = ["doc_id", "part"]
     sized = tiles.join(sets.select(*parts, "n"), parts).groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / hashes)).cast("int").alias("blocks"))
     rows = tiles.select("tile", *parts, "up").join(sized, "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -357,7 +372,7 @@ def _larger(tiles: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratc
     return links.union(scratch.save(_compared(cut.join(sets, parts), ["tile", "x", "y"], True, num, den), "links-across"))
 
 
-def _links(docs: DataFrame, tiles: DataFrame, scratch: Scratch, n: int, num: int, den: int, members: int, hashes: int) -> DataFrame:
+def _links(docs: DataFrame, heads: DataFrame, tiles: DataFrame, scratch: Scratch, n: int, num: int, den: int, members: int, hashes: int) -> DataFrame:
     """(a, b): labels of linked documents that become one."""
     clusters = scratch.save(components(tiles.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "clusters")
     ids = clusters.select(F.col("node").alias("doc_id"))
@@ -368,9 +383,10 @@ def _links(docs: DataFrame, tiles: DataFrame, scratch: Scratch, n: int, num: int
     of = scratch.save(of.join(sizes.select("cluster", small.alias("small")), "cluster"), "sized")
     rows = id_join(sets, of.where("small"), "doc_id", "inner").select("cluster", F.lit(False).alias("up"), F.lit(False).alias("side"), F.col("doc_id").alias("label"), "hashes")
     links = scratch.save(_compared(rows, ["cluster"], False, num, den), "links")
-    large = of.where("not small").select("doc_id")
+    large = of.where("not small").select("doc_id", "cluster")
     if not large.isEmpty():
-        links = _larger(id_join(tiles, large, "doc_id", "left_semi"), id_join(sets, large, "doc_id", "left_semi"), links, scratch, members, hashes, num, den)
+        sets = id_join(sets, large.select("doc_id"), "doc_id", "left_semi")
+        links = _larger(_cheaper(large, heads, tiles, sets, scratch), sets, links, scratch, members, hashes, num, den)
     return links
 
 
@@ -398,8 +414,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     repeated = not again.isEmpty()
     if repeated:
         firsts = id_join(firsts, again, "doc_id", "left_anti").union(id_join(firsts, again, "doc_id", "left_semi").dropDuplicates(rows))
-    tiles = _tiles(firsts, scratch, num, den, heavy_most, heavy_least)
-    links = _links(docs, tiles, scratch, n, num, den, members, hashes)
+    heads, tiles = _tiles(firsts, scratch, num, den, heavy_most, heavy_least)
+    links = _links(docs, heads, tiles, scratch, n, num, den, members, hashes)
     if repeated:
         links = links.union(id_join(known, again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")))
     whole = scratch.save(components(links), "whole")

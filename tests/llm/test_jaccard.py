@@ -82,6 +82,19 @@ def test_brute_force(spark, seed, n, num, limits):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts, n, num, 100)
 
 
+def test_large_cluster(spark, monkeypatch):
+    """Near copies that share many tiles are compared as one: each has one row, not one for each tile."""
+    rnd = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = {d: " ".join(near(rnd, base, rnd.randint(1, 4))) for d in range(90)}
+    texts |= {100 + d: " ".join(near(rnd, base[::-1], 1)) for d in range(3)}
+    counts, real = [], jaccard._larger
+    monkeypatch.setattr(jaccard, "_larger", lambda tiles, *a: (counts.append(tiles.count()), real(tiles, *a))[1])
+    out = jaccard.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), n=4, num=85, members=16)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(texts, 4, 85, 100)
+    assert len(counts) == 1 and 16 < counts[0] <= 90
+
+
 def test_sizes_far_apart(spark):
     """Sets of 8 and of 20 shingles that share 8: 40 of 100."""
     words = [f"w{i}" for i in range(23)]
