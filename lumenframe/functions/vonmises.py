@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import decimal
+import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,18 +291,86 @@ def watson_vm(a: DataFrame) -> DataFrame:
     return watson_fitted(z.where("x is not null and not isnan(x)")).join(fits.select("g", "kappa"), "g").select("g", "n", "kappa", "u2", F.expr(WATSON_VM_BAND).alias("p_band"))
 
 
+_PRIME = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hashed(h: np.ndarray, value: np.ndarray, bits: int = 32) -> np.ndarray:
+    """``xxhash64`` of one more integer column of so many bits, where ``h`` is that of the columns before."""
+    p1, p2, p3, p4, p5 = _PRIME
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    value = value.astype(np.int64).view(np.uint64)
+    if bits == 32:
+        h = turned((h + (p5 + np.uint64(4))) ^ ((value & np.uint64(0xFFFFFFFF)) * p1), 23) * p2
+        h += p3
+    else:
+        h = turned((h + (p5 + np.uint64(8))) ^ (turned(value * p2, 31) * p1), 27) * p1
+        h += p4
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+#: Rows whose weights a task draws at once.
+DRAWN = 64
+
+
+def _weights(h: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Poisson weights of rows (by the ``xxhash64`` of their ids) in each repetition."""
+    h = _hashed(h.view(np.uint64)[:, None], np.arange(1, reps + 1)[None])
+    u = (_hashed(h, np.array([seed]), 32 if -(1 << 31) <= seed < 1 << 31 else 64) & np.uint64((1 << 30) - 1)).astype(np.uint32)
+    out = np.zeros(u.shape, dtype=np.uint8)
+    for c in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)]):
+        out += u >= np.uint32(math.ceil(c * (1 << 30)))
+    return out
+
+
+def _resampled(reps: int, seed: int):
+    """Sums (g, rep, s, c, n) of a task's rows (g, h, s, c), sorted by g."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed() -> pa.RecordBatch:
+            s, c, n = sums
+            return pa.RecordBatch.from_arrays([
+                pa.array([own] * reps, kind), pa.array(np.arange(1, reps + 1, dtype=np.int32)), *(pa.array(v) if some else pa.nulls(reps, pa.float64()) for v in (s, c)), pa.array(np.rint(n).astype(np.int64)),
+            ], names=["g", "rep", "s", "c", "n"])
+
+        own, some, sums, kind = None, False, None, None
+        for batch in batches:
+            g, kind = batch.column(0).to_pylist(), batch.schema.field(0).type
+            h, rows = batch.column(1).to_numpy(zero_copy_only=False), len(g)
+            there = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False) for i in (2, 3)] + [np.ones(rows)])
+            cuts = [i for i in range(rows) if not i or g[i] != g[i - 1]] + [rows]
+            for a, b in itertools.pairwise(cuts):
+                if sums is None or g[a] != own:
+                    if sums is not None:
+                        yield summed()
+                    own, some, sums = g[a], False, np.zeros((3, reps))
+                some |= bool(there[a:b].any())
+                for i in range(a, b, DRAWN):
+                    to = min(b, i + DRAWN)
+                    sums += x[:, i:to] @ _weights(h[i:to], reps, seed).astype(np.float64)
+        if sums is not None:
+            yield summed()
+
+    return run
+
+
 def bootstrap(a: DataFrame, reps: int = 1000, alpha: float = 0.05, seed: int = 1, bias: bool = False) -> DataFrame:
     """Percentile intervals of each group's mean direction, concentration and mean resultant length (low, high), by Poisson weights of every row and repetition.
 
-    The weights come from a hash of row, repetition and seed, and are summed with a partial aggregation. The directions of the
+    The weights come from a hash of row, repetition and seed, and each task sums those of its rows. The directions of the
     repetitions are cut at their widest gap, so ``mu_low`` may be negative; ``bias`` corrects the concentrations. Repetitions in which
     no row has a weight are left out, and those without a finite concentration (all directions equal) from its interval.
     """
-    u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    weight = sum((u >= float(c)).cast("int") for c in steps)
-    boot = a.select("g", "id", F.sin("x").alias("s"), F.cos("x").alias("c")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", weight)
-    sums = boot.groupBy("g", "rep").agg(*[F.sum(F.col("k") * F.col(c)).alias(c) for c in "sc"], F.sum("k").alias("n")).where("n > 0")
+    kind = a.schema["g"].dataType.simpleString()
+    rows = a.select("g", F.xxhash64("id").alias("h"), F.sin("x").alias("s"), F.cos("x").alias("c"))
+    rows = rows.repartition(tasks_of(a.sparkSession), "h").sortWithinPartitions("g")  # few bytes make much work: the input's own parts are too few
+    parts = rows.mapInArrow(_resampled(reps, seed), f"g {kind}, rep int, s double, c double, n long")
+    sums = parts.groupBy("g", "rep").agg(*[F.sum(c).alias(c) for c in "scn"]).where("n > 0")
     stat = sums.select("g", "n", F.pmod(F.atan2("s", "c"), F.lit(TAU)).alias("mu"), (F.sqrt(F.col("s") ** 2 + F.col("c") ** 2) / F.col("n")).alias("rho"))
     # a resultant within rounding of 1 has no finite concentration
     stat = stat.withColumn("kappa", F.when(F.col("rho") < 1 - 1e-12, F.expr(a1inv("rho"))))

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.functions import vonmises
 from lumenframe.plans import catalog
@@ -32,6 +33,32 @@ def test_intervals(spark):
     assert math.isclose(one.low, 1.0)
 
 
+@pytest.mark.parametrize("seed", [1, -3, 1 << 40])
+def test_weights(spark, seed):
+    """The weights are those of Spark's hash of row, repetition and seed."""
+    u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    rows = spark.range(-50, 50).select("id", F.xxhash64("id").alias("h"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("rep")).withColumn("k", sum((u >= float(c)).cast("int") for c in steps)).toPandas()
+    want = rows.sort_values(["id", "rep"]).k.to_numpy().reshape(100, 30)
+    assert (vonmises._weights(rows.drop_duplicates("id").sort_values("id").h.to_numpy(), 30, seed) == want).all() and want.max() > 3
+
+
+def test_parts(spark):
+    """One part of the input is dealt out; groups without a name, and of nothing but unknown directions."""
+    rows = [(i, (None, "a", "b")[i % 3], None if i % 3 == 2 else i / 7 % 6) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, g string, x double").coalesce(1)
+    plan = vonmises.bootstrap(df, reps=40)._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    got = {r.g: r for r in vonmises.bootstrap(df, reps=40).collect()}
+    assert set(got) == {None, "a", "b"} and got["b"].low is None and got["b"].mu_low is None
+    by = {g: np.array([x for _, k, x in rows if k == g]) for g in (None, "a")}
+    ids = {g: spark.createDataFrame([(i,) for i, k, _ in rows if k == g], "id long").select(F.xxhash64("id").alias("h")).toPandas().h.to_numpy() for g in by}
+    for g, x in by.items():
+        k = vonmises._weights(ids[g], 40, 1).astype(float)
+        rho = np.hypot(np.sin(x) @ k, np.cos(x) @ k) / k.sum(axis=0)
+        assert np.allclose([got[g].low, got[g].high], np.quantile(rho, [0.025, 0.975]))
+
+
 def test_registered(spark, small, monkeypatch):
     reps, real = [], vonmises.bootstrap
 
