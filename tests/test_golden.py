@@ -130,6 +130,37 @@ def test_segmentation(spark):
     assert all((r.segment_id == 1) == (r.cl <= 10) for r in rows)
 
 
+def test_transport_few():
+    """Many problems at once, with equal costs, empty sources and sinks that want nothing, against one at a time."""
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        m, k, q = rng.integers(1, 12), rng.integers(1, 6), rng.integers(1, 5)
+        costs = rng.integers(0, 4, (m, k)).astype(float) if trial % 2 else rng.random((m, k))
+        supply = rng.integers(0, 9, (q, m)) * rng.integers(0, 2, (q, m))
+        demand = np.array([rng.multinomial(x, np.ones(k) / k) for x in supply.sum(axis=1)])
+        got = kernels.transport_few(supply, demand, costs, trial % 5)
+        assert np.allclose(got, [kernels.transport(a, b, costs)[0] for a, b in zip(supply, demand, strict=True)], atol=1e-9)
+    with pytest.raises(ValueError):
+        kernels.transport_few(np.ones((1, 2), dtype=int), np.ones((1, 3), dtype=int), np.ones((2, 3)))
+
+
+@pytest.mark.parametrize(("mode", "n"), [("uniform", 2), ("grey", 6), ("grey", 9)])
+def test_colorfulness_of_counts(spark, mode, n):
+    """Counts of the colours that a photo has give what those of all colours give, and what one transport gives."""
+    imgs = np.random.default_rng(9).random((3, 5, 7, 3)) ** 3
+    px = frame(spark, imgs[0], 0).union(frame(spark, imgs[1], 1)).union(frame(spark, imgs[2], 2))
+    got = {r.photo_id: r.colorfulness for r in segments.colorfulness(color.bucket_counts(px, n=n), mode, n).collect()}
+    assert got == {r.photo_id: pytest.approx(r.colorfulness) for r in segments.colorfulness(color.color_buckets(px, n=n), mode, n).collect()}
+    luv = segments.bucket_colours(n)
+    to = luv if mode == "uniform" else luv[np.arange(n) * (n * n + n + 1)]
+    costs = np.sqrt(((luv[:, None] - to[None]) ** 2).sum(axis=2))
+    for i, img in enumerate(imgs):
+        c = np.minimum(np.floor(img * n), n - 1).astype(int).reshape(-1, 3)
+        counts = np.bincount(c @ [1, n, n * n], minlength=n**3)
+        total, _ = kernels.transport(counts * len(to), np.full(len(to), counts.sum()), costs)
+        assert got[i] == pytest.approx(total / (counts.sum() * len(to)))
+
+
 def test_transport_against_lines():
     """On a line the least cost is the area between the running sums; masses may be 0, alone, or tied."""
     rng = np.random.default_rng(4)
