@@ -54,3 +54,45 @@ def test_record_has_a_small_plan(spark, small):
     plan = model.measure_record(catalog.tables.px(spark, small), 2, 1)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert _exchanges(plan) <= 2 and "Broadcast" not in text and "ArrowEvalPython" not in text and "MapInArrow" not in text
+
+
+def test_batched_search_is_plain():
+    """Seeds, means, assignments and description lengths of many runs at once are those of one run after another."""
+
+    def plain(x, k, rng, rounds, restarts):
+        found = []
+        for _ in range(restarts):
+            centres = kernels.seeded(x, k, rng)
+            for _ in range(rounds):
+                of = kernels.squares(x, centres).argmin(axis=1)
+                moved = np.array([x[of == i].sum(axis=0) / max(1, (of == i).sum()) if (of == i).any() else centres[i] for i in range(len(centres))])
+                if (np.abs(moved - centres) <= 1e-8 + 1e-5 * np.abs(centres)).all():
+                    break
+                centres = moved
+            d = kernels.squares(x, centres)
+            found.append((centres, d.argmin(axis=1), d.min(axis=1).sum()))
+        return min(found, key=lambda f: f[2])
+
+    rng = np.random.default_rng(6)
+    for n, grid, same in ((400, 0.0, 400), (150, 10.0, 150), (90, 0.0, 5), (5000, 0.0, 5000), (1, 0.0, 1)):
+        x = (rng.random((same, 3)) * [100, 200, 200] - [0, 90, 90])[rng.integers(0, same, n)]
+        x = np.rint(x / grid) * grid if grid else x
+        stream = lambda k: np.random.default_rng([7, k])
+        starts = kernels.seedings(x, range(1, 13), 2, stream)
+        for k, centres, of, within in kernels.clusterings(x, dict(sorted(starts.items())), 20):
+            again = stream(k)
+            assert all((a == kernels.seeded(x, k, again)).all() for a in starts[k])
+            want = plain(x, k, stream(k), 20, 2)
+            assert len(centres) == len(want[0]) and abs(within - want[2]) <= 1e-9 * max(1.0, want[2])
+            assert (kernels.squares(x, centres).argmin(axis=1) == of).all()
+
+
+def test_bits_of_few_wide_squares():
+    """The squares counted are those of the code itself."""
+    rng = np.random.default_rng(8)
+    for h, w, k in ((9, 7, 2), (1, 6, 1), (30, 20, 1), (12, 12, 3), (25, 16, 30)):
+        m = rng.integers(0, k, (h, w))
+        m[: h // 2, : w // 2] = 0
+        code = kernels.rle2d(m)
+        got = kernels.mdl_rle2d(m, k)
+        assert got[1] == np.log2(len(code)) and got[2] == (len(code) * np.log2(k) if k > 1 else 0) and abs(got[3] - np.log2([c[2] for c in code]).sum()) < 1e-9
