@@ -79,7 +79,7 @@ def test_batched_search_is_plain():
         x = np.rint(x / grid) * grid if grid else x
         stream = lambda k: np.random.default_rng([7, k])
         starts = kernels.seedings(x, range(1, 13), 2, stream)
-        for k, centres, of, within in kernels.clusterings(x, dict(sorted(starts.items())), 20):
+        for k, centres, of, within in kernels.clusterings(x, starts, 20):
             again = stream(k)
             assert all((a == kernels.seeded(x, k, again)).all() for a in starts[k])
             want = plain(x, k, stream(k), 20, 2)
@@ -96,3 +96,14 @@ def test_bits_of_few_wide_squares():
         code = kernels.rle2d(m)
         got = kernels.mdl_rle2d(m, k)
         assert got[1] == np.log2(len(code)) and got[2] == (len(code) * np.log2(k) if k > 1 else 0) and abs(got[3] - np.log2([c[2] for c in code]).sum()) < 1e-9
+
+
+def test_search_sees_every_pixel(spark):
+    """A photo of 20,000 pixels whose second colour lies only in rows that a sample of 10,000 would leave out."""
+    h, w = 200, 100
+    of = np.unique(np.rint(np.linspace(0, h - 1, int(np.ceil(h / np.sqrt(h * w / 10_000))))).astype(int))
+    seen = set((of + 1).tolist())
+    rows = [(1, h, w, rw, cl, 255, v, 0, 1.0, v / 255, 0.0) for rw in range(1, h + 1) for v in [0 if rw in seen else 255] for cl in range(1, w + 1)]
+    got = segments.segmentation(spark.createDataFrame(rows, PIXELS), 3, 1).collect()
+    bands = 1 + sum((rw in seen) != (rw + 1 in seen) for rw in range(1, h))
+    assert len(got) == h * w and {r.clusters for r in got} == {2} and len({r.segment_id for r in got}) == bands
