@@ -3,7 +3,7 @@
 import numpy as np
 
 from lumenframe.functions import kernels
-from lumenframe.operators import clusters, segments
+from lumenframe.operators import clusters, segments, stencil
 from lumenframe.plans import catalog, model
 
 PIXELS = "photo_id long, h int, w int, rw int, cl int, r8 int, g8 int, b8 int, r double, g double, b double"
@@ -107,3 +107,22 @@ def test_search_sees_every_pixel(spark):
     got = segments.segmentation(spark.createDataFrame(rows, PIXELS), 3, 1).collect()
     bands = 1 + sum((rw in seen) != (rw + 1 in seen) for rw in range(1, h))
     assert len(got) == h * w and {r.clusters for r in got} == {2} and len({r.segment_id for r in got}) == bands
+
+
+def test_record_deals_pixels_by_photo(spark, small, monkeypatch):
+    """What the driver plans for the record: few shuffles in all, as windows of a photo share one; the widths of edges are those of ``mdwe``."""
+    shuffles, made, real = [], {}, model.written
+
+    def spy(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hash"))
+        out = real(df, name)
+        made.setdefault(tuple(out.columns), out)
+        return out
+
+    for module in (model, stencil):
+        monkeypatch.setattr(module, "written", spy)
+    px = catalog.tables.px(spark, small)
+    model.measure_record(px, 1, 1)
+    assert sum(shuffles) <= 45
+    got, want = made["photo_id", "MdweBlur", "MdweGaussian", "MdweJpeg2k"].collect(), stencil.mdwe(px).collect()
+    assert len(got) == 10 and sorted(map(tuple, got)) == sorted(map(tuple, want))
